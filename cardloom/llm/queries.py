@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, license_scan
+from cardloom.llm import bpe, chat_format, license_scan, near_dedup, pii, quality_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -23,13 +24,51 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rule and boosted-tree verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.assess(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in pii.BASE_KINDS]
+    counts = [(F.size(kinds) - left).cast("long").alias(f"n_{k}") for k, left in zip(pii.BASE_KINDS, counts, strict=True)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds control strings, formatted and read back."""
+    hard = "\\### Assistant: </turn> ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    messages = given.unionByName(extra).withColumn("parts", chat_format.text_part())
+    return chat_format.read_back(chat_format.format_turns(messages))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and expressions of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_pii": op4_pii,
+    "op6_chat_format": op6_chat_format,
+    "op8_near_dedup": op8_near_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
