@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, chat_format, license_scan, near_dedup, pii, quality_rules
+from cardloom.llm import (
+    _shared,
+    bpe,
+    chat_format,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    pii,
+    quality_rules,
+    token_counts,
+    token_shards,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -30,6 +42,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after repeated chunks of lines were cut, as a digest, with the lines that went."""
+    cut = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "removed_lines",
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -53,11 +76,40 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(messages))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: a heading, a cut in the middle, a closing word.
+
+    The edits follow from the document alone: ``# doc_id`` and a blank line go before the text, the fifth of the text
+    that begins at its third is replaced by ``...``, and `` End.`` goes behind the text as it then stands.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = F.length("text").cast("long")
+    heading = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n\n"))
+    heading = F.coalesce(heading, F.lit(""))
+    cut_from, cut_to = F.floor(n / 3).cast("long"), (F.floor(n / 3) + F.floor(n / 5)).cast("long")
+    grown = F.length(heading).cast("long")
+    final = n + grown - (cut_to - cut_from) + 3
+    edits = [(F.lit(0).cast("long"), F.lit(0).cast("long"), heading), (grown + cut_from, grown + cut_to, F.lit("...")), (final, final, F.lit(" End."))]
+    changes = F.array(*(F.struct(a.alias("start"), b.alias("end"), r.alias("replacement")) for a, b, r in edits))
+    return token_counts.count_edited(docs.withColumn("edits", changes), RANKS, PATTERN)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold passages of benchmark items, with substitutions."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token sequences written to shards in permuted order; the place of each sequence."""
+    docs = table(spark, sf_dir, "documents")
+    return token_shards.materialise(docs, _shared.new_path(spark, "shards"), RANKS, PATTERN, end_id=50256, key=2024)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, tags and expressions of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
@@ -65,10 +117,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pii": op4_pii,
+    "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
+    "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
+    "op9_token_shards": op9_token_shards,
     "op10_license_scan": op10_license_scan,
 }
 
