@@ -37,7 +37,7 @@ TILE, TILE_TOKENS, IMAGE_TOKENS, SECOND_TOKENS, PAGE_TOKENS = 512, 170, 85, 25,
 LOSS_ROLE = "assistant"
 
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<turn ([^<]*)>\n([^<]*(?:<(?!/turn>)[^<]*)*)</turn>\n")
+_TURN = re.compile(r"<turn ([^<>\n]*)>\n([^<]*(?:<(?!/turn>)[^<]*)*)</turn>\n")
 
 
 def escape(text: str) -> str:

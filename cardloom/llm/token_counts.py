@@ -212,7 +212,8 @@ def count_edited(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def edited_counts(docs: DataFrame, edits: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Counts of every document after the rows of ``edits`` (``doc_id``, ``edit_no``, ``start``, ``end``, ``replacement``)."""
-    change = F.struct(F.col("edit_no").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("replacement").cast("string"))
+    types = {"edit_no": "long", "start": "long", "end": "long", "replacement": "string"}
+    change = F.struct(*(F.col(name).cast(kind).alias(name) for name, kind in types.items()))
     by_doc = edits.groupBy(F.col("doc_id").cast("long").alias("edited")).agg(F.sort_array(F.collect_list(change)).alias("edits"))
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("edited")), "left").select("doc_id", "text", "edits")
