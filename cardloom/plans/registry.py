@@ -5,6 +5,518 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from cardloom.functions import columns as C
+from cardloom.operators import filters, refine, rewards, segments, summaries
+from cardloom.sources import star_tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TX = star_tables.SQL
+SPENT = f"{TX}, sp AS (SELECT * FROM tx WHERE transaction_type <> '退刷')"
+AMOUNT = "CAST(coalesce(sum(payment_amount), 0) AS DOUBLE)"
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_tables.transactions(spark, sf_dir)
+
+
+def spent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.consumption(tx(spark, sf_dir))
+
+
+def _monthly(keys: str, average: bool = True) -> str:
+    more = f", {AMOUNT} / count(*) AS avg_amount" if average else ""
+    some = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    return f"WITH {SPENT} SELECT strftime(transaction_date, '%Y-%m') AS month, {keys}, {AMOUNT} AS total_amount, count(*) AS n_transactions{more} FROM sp WHERE {some} GROUP BY ALL"
+
+
+@query(_monthly("category"))
+def monthly_by_category(spark, sf_dir):
+    return summaries.monthly(spent(spark, sf_dir), "category")
+
+
+@query(_monthly("bank_name, card_type"))
+def monthly_by_card(spark, sf_dir):
+    return summaries.monthly(spent(spark, sf_dir), "bank_name", "card_type")
+
+
+@query(_monthly("payment_process"))
+def monthly_by_payment(spark, sf_dir):
+    return summaries.monthly(spent(spark, sf_dir), "payment_process")
+
+
+@query(_monthly("card_type, category", average=False))
+def monthly_card_category(spark, sf_dir):
+    return summaries.monthly(spent(spark, sf_dir), "card_type", "category", average=False)
+
+
+def _cells(column: str, values: tuple[str, ...]) -> str:
+    return ", ".join(f"""CAST(coalesce(sum(payment_amount) FILTER (WHERE {column} = '{v}'), 0) AS DOUBLE) AS "{v}" """ for v in values)
+
+
+@query(f"WITH {SPENT} SELECT strftime(transaction_date, '%Y-%m') AS month, {_cells('category', TYPES)} FROM sp GROUP BY ALL")
+def pivot_month_category(spark, sf_dir):
+    return summaries.pivot(spent(spark, sf_dir), C.month_key(F.col("transaction_date")).alias("month"), "category", TYPES)
+
+
+@query(f"WITH {SPENT} SELECT card_type, {_cells('payment_process', PRIORITIES)} FROM sp GROUP BY ALL")
+def cross_pivot(spark, sf_dir):
+    return summaries.pivot(spent(spark, sf_dir), F.col("card_type"), "payment_process", PRIORITIES)
+
+
+@query(
+    f"""WITH {SPENT}, c AS (SELECT strftime(transaction_date, '%Y-%m') AS month, category, sum(payment_amount) AS a FROM sp GROUP BY ALL),
+    w AS (SELECT month, category, CAST(a AS DOUBLE) AS a, CAST(sum(a) OVER (PARTITION BY month) AS DOUBLE) AS t FROM c)
+    SELECT month, category, a * 100 / CASE WHEN t = 0 THEN 1 ELSE t END AS percent FROM w"""
+)
+def pivot_percent(spark, sf_dir):
+    return summaries.percentages(spent(spark, sf_dir).withColumn("month", C.month_key(F.col("transaction_date"))), "month", "category")
+
+
+@query(
+    f"""WITH {TX}, m AS (SELECT date_trunc('month', transaction_date) AS s, {AMOUNT} AS a FROM tx WHERE category = 'PROMO' AND payment_process = '2-HIGH' AND bank_name = 'NATION_1' AND month(transaction_date) <> 5 GROUP BY ALL),
+    e AS (SELECT min(s) AS lo, max(s) AS hi FROM m), r AS (SELECT unnest(generate_series(least(lo, hi - INTERVAL 11 MONTH), hi, INTERVAL 1 MONTH)) AS s FROM e)
+    SELECT strftime(r.s, '%Y-%m') AS month, coalesce(m.a, 0) AS total_amount FROM r LEFT JOIN m ON r.s = m.s"""
+)
+def trend_gapfill(spark, sf_dir):
+    rows = tx(spark, sf_dir).where("category = 'PROMO' and payment_process = '2-HIGH' and bank_name = 'NATION_1' and month(transaction_date) <> 5")
+    return summaries.trend(rows)
+
+
+@query(
+    f"""WITH {SPENT} SELECT {AMOUNT} AS total_amount, count(*) AS n_transactions, median(CAST(payment_amount AS DOUBLE)) AS median_amount,
+    count(DISTINCT strftime(transaction_date, '%Y-%m')) AS active_months, count(DISTINCT card_type) AS n_cards, count(DISTINCT payment_process) AS n_payments,
+    {AMOUNT} / greatest(count(DISTINCT strftime(transaction_date, '%Y-%m')), 1) AS monthly_average FROM sp"""
+)
+def dashboard_summary(spark, sf_dir):
+    return summaries.dashboard(spent(spark, sf_dir))
+
+
+def _rank(value: str, order: str, out: str) -> str:
+    w = f"PARTITION BY ({value} IS NOT NULL)"
+    rank = f"(rank() OVER ({w} ORDER BY {value} {order}) + (count(*) OVER ({w}, {value}) - 1) / 2.0) / count({value}) OVER ({w})"
+    return f"CASE WHEN {value} IS NULL THEN 0 ELSE CAST({rank} AS DOUBLE) END AS {out}"
+
+
+def _rfm(key: str, windows: dict[str, int | None], more: str = "") -> str:
+    aggs, cols = [], []
+    for n, d in windows.items():
+        cond = "TRUE" if d is None else f"transaction_date >= anchor - {d}"
+        aggs += [f"datediff('day', max(transaction_date) FILTER (WHERE {cond}), max(anchor)) AS {n}_r", f"nullif(count(DISTINCT transaction_id) FILTER (WHERE {cond}), 0) AS {n}_f", f"CAST(sum(payment_amount) FILTER (WHERE {cond}) AS DOUBLE) AS {n}_m"]
+        cols += [f"coalesce({n}_r, 9999) AS {n}_recency", f"coalesce({n}_f, 0) AS {n}_frequency", f"coalesce({n}_m, 0) AS {n}_monetary"]
+        cols += [_rank(f"{n}_r", "DESC", f"{n}_r_rank"), _rank(f"{n}_f", "ASC", f"{n}_f_rank"), _rank(f"{n}_m", "ASC", f"{n}_m_rank")]
+    return f"""WITH {SPENT}, a AS (SELECT CAST(max(transaction_date) AS DATE) + 1 AS anchor FROM sp), g AS (SELECT {key}, {', '.join(aggs)} FROM sp, a WHERE {key} IS NOT NULL GROUP BY ALL),
+    r AS (SELECT {key}, {', '.join(cols)} FROM g) SELECT *{more} FROM r"""
+
+
+_SHORT = {"d30": 30, "d180": 180, "life": None}
+_SEG = "CASE WHEN life_m_rank >= 0.8 AND d180_frequency > 0 THEN 'Core' WHEN life_m_rank >= 0.8 THEN 'Churned' WHEN d180_frequency > 0 AND d180_m_rank >= 0.8 THEN 'Rising' WHEN d180_frequency > 0 THEN 'Active' ELSE 'Dormant' END"
+
+
+@query(_rfm("normalized_merchant", segments.WINDOWS, f", {_SEG} AS segment"))
+def rfm_merchant(spark, sf_dir):
+    return segments.rfm(spent(spark, sf_dir), ["normalized_merchant"]).withColumn("segment", segments.merchant_segment())
+
+
+@query(_rfm("sub_category", _SHORT, f", {_SEG} AS segment"))
+def rfm_category(spark, sf_dir):
+    return segments.rfm(spent(spark, sf_dir), ["sub_category"], _SHORT).withColumn("segment", segments.merchant_segment())
+
+
+@query(_rfm("payment_process", _SHORT, ", CASE WHEN life_f_rank >= 0.7 AND d30_frequency > 0 THEN 'Main' WHEN life_f_rank >= 0.7 THEN 'Abandoned' WHEN d30_frequency > 0 THEN 'Backup' ELSE 'Dormant' END AS segment"))
+def rfm_payment(spark, sf_dir):
+    return segments.rfm(spent(spark, sf_dir), ["payment_process"], _SHORT).withColumn("segment", segments.payment_segment("d30"))
+
+
+@query(
+    _rfm(
+        "card_type",
+        _SHORT,
+        """, CASE WHEN life_recency > 180 THEN '冷凍' WHEN life_f_rank >= 0.5 AND life_m_rank >= 0.5 THEN '主力' WHEN life_f_rank >= 0.5 THEN '日常' WHEN life_m_rank >= 0.5 THEN '大額' ELSE '備用' END AS segment,
+        CASE WHEN life_frequency = 0 THEN 0 ELSE CAST(trunc(life_monetary / life_frequency) AS BIGINT) END AS avg_ticket""",
+    )
+)
+def rfm_card(spark, sf_dir):
+    out = segments.rfm(spent(spark, sf_dir), ["card_type"], _SHORT)
+    return out.withColumn("segment", segments.card_segment()).withColumn("avg_ticket", segments.average_ticket())
+
+
+@query(
+    f"""WITH {SPENT}, n AS (SELECT normalized_merchant, category, count(*) AS n FROM sp GROUP BY ALL)
+    SELECT normalized_merchant, category FROM n QUALIFY row_number() OVER (PARTITION BY normalized_merchant ORDER BY n DESC, category) = 1"""
+)
+def merchant_common_category(spark, sf_dir):
+    return segments.common_category(spent(spark, sf_dir))
+
+
+def _two(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 4) for n in names})
+
+
+@query(
+    f"""WITH {SPENT}, s AS (SELECT normalized_merchant, avg(CAST(payment_amount AS DOUBLE)) AS a, coalesce(stddev_samp(CAST(payment_amount AS DOUBLE)), 0) AS s, count(*) AS n FROM sp GROUP BY ALL)
+    SELECT normalized_merchant, round(a, 4) AS avg, round(s, 4) AS std, n, round(CASE WHEN a > 0 THEN s / a ELSE 0 END, 4) AS cv FROM s"""
+)
+def merchant_ticket_stats(spark, sf_dir):
+    return _two(segments.ticket_stats(spent(spark, sf_dir), "normalized_merchant"), "avg", "std", "cv")
+
+
+@query(
+    f"""WITH {SPENT}, x AS (SELECT payment_process, category, CAST(payment_amount AS DOUBLE) AS x, payment_amount FROM sp WHERE payment_amount > 0 AND payment_process IS NOT NULL AND category IS NOT NULL),
+    s AS (SELECT payment_process, category, count(*) AS n, {AMOUNT} AS total_amount, coalesce(stddev_samp(x), 0) AS std, min(x) AS low, max(x) AS high, {AMOUNT} / count(*) AS avg,
+      quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM x GROUP BY ALL),
+    w AS (SELECT *, greatest(low, q1 - (q3 - q1) * 1.5) AS whisker_low, least(high, q3 + (q3 - q1) * 1.5) AS whisker_high FROM s),
+    o AS (SELECT x.payment_process, x.category, count(*) AS n_outliers FROM x JOIN w USING (payment_process, category) WHERE x < whisker_low OR x > whisker_high GROUP BY ALL),
+    m AS (SELECT median(avg) FILTER (WHERE avg > 0) AS ma, median(std) FILTER (WHERE std > 0) AS ms FROM s)
+    SELECT payment_process, category, n, total_amount, round(std, 4) AS std, low, high, avg, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(whisker_low, 4) AS whisker_low,
+      round(whisker_high, 4) AS whisker_high, coalesce(n_outliers, 0) AS n_outliers, CASE WHEN n = 1 THEN 'single' WHEN q1 = q3 OR low = high THEN 'fixed_amount' ELSE 'regular' END AS kind,
+      CASE WHEN avg >= ma AND std >= ms THEN 'large_volatile' WHEN avg >= ma THEN 'large_stable' WHEN std >= ms THEN 'small_volatile' ELSE 'small_stable' END AS quadrant
+    FROM w LEFT JOIN o USING (payment_process, category), m"""
+)
+def volatility_payment_category(spark, sf_dir):
+    return _two(segments.volatility(spent(spark, sf_dir), "payment_process", "category"), "std", "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+@query(
+    f"""WITH {SPENT}, s AS (SELECT category, normalized_merchant, {AMOUNT} AS total_amount FROM sp GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY total_amount DESC, normalized_merchant) AS place FROM s QUALIFY place <= 3"""
+)
+def top3_by_category(spark, sf_dir):
+    return segments.top_per_group(spent(spark, sf_dir), "category", "normalized_merchant")
+
+
+@query(
+    f"""WITH {TX}, t AS (SELECT normalized_merchant FROM tx GROUP BY ALL ORDER BY sum(payment_amount) DESC, normalized_merchant LIMIT 10), l AS (
+    SELECT 0 AS layer, bank_name AS source, card_type AS target, {AMOUNT} AS value FROM tx GROUP BY ALL UNION ALL
+    SELECT 1, card_type, payment_process, {AMOUNT} FROM tx GROUP BY ALL UNION ALL SELECT 2, payment_process, category, {AMOUNT} FROM tx GROUP BY ALL UNION ALL
+    SELECT 3, category, normalized_merchant, {AMOUNT} FROM tx SEMI JOIN t USING (normalized_merchant) GROUP BY ALL)
+    SELECT * FROM l WHERE source IS NOT NULL AND target IS NOT NULL AND value > 1000"""
+)
+def sankey_links(spark, sf_dir):
+    return summaries.flow_links(tx(spark, sf_dir), 1000.0, top_merchants=10)
+
+
+@query(
+    f"""WITH {TX}, l AS (SELECT bank_name AS a, card_type AS b, sum(payment_amount) AS v FROM tx GROUP BY ALL UNION ALL SELECT card_type, payment_process, sum(payment_amount) FROM tx GROUP BY ALL
+    UNION ALL SELECT payment_process, category, sum(payment_amount) FROM tx GROUP BY ALL), k AS (SELECT * FROM l WHERE v > 0 AND a IS NOT NULL AND b IS NOT NULL) SELECT a AS name FROM k UNION SELECT b FROM k"""
+)
+def sankey_nodes(spark, sf_dir):
+    return summaries.flow_nodes(summaries.flow_links(tx(spark, sf_dir)))
+
+
+_MATRIX = ("1-URGENT", "2-HIGH", "實體卡/虛擬卡", "其他")
+_TIERED = "CASE WHEN payment_process IS NULL THEN '實體卡/虛擬卡' WHEN payment_process IN ('1-URGENT', '2-HIGH') THEN payment_process ELSE '其他' END"
+
+
+@query(
+    f"""WITH {SPENT}, p AS (SELECT category, payment_amount, {_TIERED} AS pay FROM sp), g AS (SELECT category, {AMOUNT} AS total_amount, {_cells('pay', _MATRIX)} FROM p GROUP BY ALL)
+    SELECT category, total_amount, {', '.join(f'"{v}" * 100 / CASE WHEN total_amount = 0 THEN 1 ELSE total_amount END AS "{v}"' for v in _MATRIX)} FROM g"""
+)
+def spending_matrix(spark, sf_dir):
+    return summaries.spending_matrix(spent(spark, sf_dir), summaries.tier(F.col("payment_process"), _MATRIX[:2], ()), _MATRIX)
+
+
+@query(
+    f"""WITH {SPENT}, a AS (SELECT max(transaction_date) AS d FROM sp), w AS (SELECT * FROM (VALUES ('d90', 90), ('d365', 365), ('life', NULL)) v(w, days)),
+    p AS (SELECT w.w AS "window", category, payment_amount, {_TIERED} AS pay FROM sp, a, w WHERE days IS NULL OR transaction_date >= d - days),
+    g AS (SELECT "window", category, {AMOUNT} AS total_amount, {_cells('pay', _MATRIX)} FROM p GROUP BY ALL)
+    SELECT "window", category, total_amount, {', '.join(f'"{v}" * 100 / CASE WHEN total_amount = 0 THEN 1 ELSE total_amount END AS "{v}"' for v in _MATRIX)} FROM g"""
+)
+def matrix_by_window(spark, sf_dir):
+    pay = summaries.tier(F.col("payment_process"), _MATRIX[:2], ())
+    return summaries.matrix_by_window(spent(spark, sf_dir), pay, _MATRIX, {"d90": 90, "d365": 365, "life": None})
+
+
+_TEN = "transaction_id, transaction_date, bank_name, card_type, normalized_merchant, merchant_location, payment_process, category, transaction_type, CAST(payment_amount AS DOUBLE) AS payment_amount"
+
+
+def _ten(df: DataFrame) -> DataFrame:
+    return df.selectExpr(*(_TEN.replace(" AS DOUBLE) AS", "@").split(", ")[:-1]), "cast(payment_amount as double) payment_amount")
+
+
+@query(f"WITH {SPENT} SELECT {_TEN} FROM sp WHERE payment_process IN ('1-URGENT') OR payment_process IS NULL OR trim(payment_process) = ''")
+def query_payment_filter(spark, sf_dir):
+    return _ten(filters.query_transactions(tx(spark, sf_dir), payments=["1-URGENT"]))
+
+
+@query(f"WITH {SPENT} SELECT {_TEN} FROM sp WHERE merchant_location NOT IN ('ASIA') AND bank_name IN ('NATION_1', 'NATION_2') AND card_type = 'BUILDING' AND payment_process IS NOT NULL")
+def query_location_filter(spark, sf_dir):
+    return _ten(
+        filters.query_transactions(tx(spark, sf_dir), banks=["NATION_1", "NATION_2"], cards=["BUILDING"], include_direct_payment=False, location="國外", domestic=["ASIA"])
+    )
+
+
+@query(f"WITH {SPENT}, a AS (SELECT max(transaction_date) AS d FROM tx) SELECT {_TEN} FROM sp, a WHERE transaction_date BETWEEN d - 90 AND d")
+def query_time_window(spark, sf_dir):
+    return _ten(filters.query_transactions(tx(spark, sf_dir), time_window="90d"))
+
+
+@query(f"WITH {SPENT}, a AS (SELECT max(transaction_date) AS d FROM tx) SELECT {_TEN} FROM sp, a WHERE year(transaction_date) = year(d) - 1 AND sub_category IN ('Brand#1', 'Brand#2')")
+def query_last_year(spark, sf_dir):
+    rows = filters.query_transactions(tx(spark, sf_dir), time_window="last_year")
+    return _ten(filters.prepared(rows, sub_categories=["Brand#1", "Brand#2"]))
+
+
+@query(f"WITH {TX} SELECT category, string_agg(DISTINCT sub_category, ',' ORDER BY sub_category) AS sub_categories FROM tx GROUP BY ALL")
+def filter_menu(spark, sf_dir):
+    return filters.menu(tx(spark, sf_dir))
+
+
+_KEYS = ["transaction_date", "normalized_merchant", "payment_amount", "transaction_type"]
+
+
+@query(
+    f"""WITH {TX}, n AS (SELECT *, row_number() OVER (PARTITION BY transaction_date, normalized_merchant, payment_amount, transaction_type ORDER BY transaction_id, category, sub_category, card_type, bank_no, payment_process, posting_date) - 1 AS seq FROM tx)
+    SELECT seq, substr(sha256(concat(transaction_date, normalized_merchant, payment_amount, transaction_type, seq)), 1, 32) AS transaction_id, transaction_type FROM n"""
+)
+def transaction_ids(spark, sf_dir):
+    order = ["transaction_id", "category", "sub_category", "card_type", "bank_no", "payment_process", "posting_date"]
+    return refine.with_ids(tx(spark, sf_dir), _KEYS, order).select("seq", "transaction_id", "transaction_type")
+
+
+@query(
+    f"""WITH {TX} SELECT transaction_id, CAST(arg_min(payment_amount, (payment_amount, posting_date)) AS DOUBLE) AS payment_amount, arg_min(posting_date, (payment_amount, posting_date)) AS posting_date FROM tx GROUP BY ALL"""
+)
+def dedup_first(spark, sf_dir):
+    rows = tx(spark, sf_dir).select("transaction_id", "payment_amount", "posting_date")
+    return refine.first_of_each(rows, ["transaction_id"], ["payment_amount", "posting_date"]).withColumn("payment_amount", F.col("payment_amount").cast("double"))
+
+
+_FX = [("ASIA", "JPY", "0.2185"), ("EUROPE", "EUR", "35.125"), ("AMERICA", "USD", "31.5")]
+
+
+@query(
+    f"""WITH {TX}, c AS (SELECT transaction_id, posting_date, payment_amount, CASE merchant_location WHEN 'ASIA' THEN 'JPY' WHEN 'EUROPE' THEN 'EUR' WHEN 'AMERICA' THEN 'USD' WHEN 'AFRICA' THEN 'ZAR' ELSE 'TWD' END AS cur FROM tx),
+    r AS (SELECT *, CASE cur WHEN 'JPY' THEN CAST(0.2185 AS DECIMAL(18,6)) WHEN 'EUR' THEN CAST(35.125 AS DECIMAL(18,6)) WHEN 'USD' THEN CAST(31.5 AS DECIMAL(18,6)) END AS rate FROM c),
+    x AS (SELECT *, CAST(payment_amount AS DECIMAL(18,2)) * rate AS v FROM r)
+    SELECT transaction_id, CASE WHEN v IS NULL THEN cur ELSE 'TWD' END AS payment_currency,
+    CASE WHEN v IS NULL THEN CAST(payment_amount AS DOUBLE) WHEN abs(v - trunc(v)) = 0.5 THEN CAST(2 * round(CAST(v AS DOUBLE) / 2) AS DOUBLE) ELSE CAST(round(v) AS DOUBLE) END AS payment_amount, cur = 'ZAR' AS fx_missing FROM x"""
+)
+def fx_convert(spark, sf_dir):
+    rows = tx(spark, sf_dir)
+    cur = F.lit("TWD")
+    for region, code, _ in [*_FX, ("AFRICA", "ZAR", "")]:
+        cur = F.when(F.col("merchant_location") == region, code).otherwise(cur)
+    day = F.to_date(F.lit("2000-01-01"))
+    rows = rows.select("transaction_id", "payment_amount", cur.alias("payment_currency"), cur.alias("currency_type"), day.alias("conversion_date"))
+    rates = spark.createDataFrame([(c, r, k) for k, (_, c, r) in enumerate(_FX)], "currency_type string, r string, load_ord int")
+    rates = rates.select(day.alias("conversion_date"), "currency_type", F.col("r").cast("decimal(18,6)").alias("fx_rate"), "load_ord")
+    out = refine.convert_currency(rows, rates)
+    return out.select("transaction_id", "payment_currency", F.col("payment_amount").cast("double").alias("payment_amount"), "fx_missing")
+
+
+_RULES = [
+    {"p": r"#0000000[0-2]\d", "name": "early", "group": None, "priority": 5},
+    {"p": r"SUPPLIER.*[05]$", "name": "round", "group": "tens", "priority": 1},
+    {"p": r"#\d*7$", "name": "seven", "group": "odd", "priority": None},
+    {"p": r"#\d*[2468]$", "name": None, "group": "even", "priority": 7},
+]
+
+
+@query(
+    f"""WITH {TX}, d AS (SELECT DISTINCT normalized_merchant AS m FROM tx), r AS (SELECT m, CASE WHEN regexp_matches(m, 'SUPPLIER.*[05]$', 'i') THEN 0 WHEN regexp_matches(m, '#0000000[0-2]\\d', 'i') THEN 1
+    WHEN regexp_matches(m, '#\\d*[2468]$', 'i') THEN 2 WHEN regexp_matches(m, '#\\d*7$', 'i') THEN 3 END AS k FROM d)
+    SELECT m AS normalized_merchant, k AS rule_no, CASE k WHEN 0 THEN 'round' WHEN 1 THEN 'early' WHEN 3 THEN 'seven' END AS "name", CASE k WHEN 0 THEN 'tens' WHEN 2 THEN 'even' WHEN 3 THEN 'odd' END AS "group", count(*) AS n
+    FROM tx JOIN r ON normalized_merchant = m GROUP BY ALL"""
+)
+def rule_first_match(spark, sf_dir):
+    out = refine.tag(tx(spark, sf_dir).select("normalized_merchant"), "normalized_merchant", _RULES, "p", ["name", "group"])
+    return out.groupBy("normalized_merchant", "rule_no", "name", "group").agg(F.count("*").alias("n"))
+
+
+_WORDS = {"payment": ["#000000001"], "credit": ["#000000002"], "fee": ["000000003", "000000004"]}
+
+
+@query(
+    f"""WITH {TX}, t AS (SELECT transaction_id, CASE WHEN contains(lower(normalized_merchant), '#000000001') THEN '繳款' WHEN contains(lower(normalized_merchant), '#000000002') THEN '紅利折抵'
+    WHEN contains(normalized_merchant, '000000003') OR contains(normalized_merchant, '000000004') THEN '各項費用' WHEN payment_amount < 0 THEN '退刷'
+    WHEN merchant_location <> 'ASIA' AND card_type = 'BUILDING' THEN '一般國外交易' WHEN merchant_location <> 'ASIA' THEN '國外台幣交易' WHEN card_type = 'BUILDING' THEN '國外網路交易' ELSE '交易' END AS kind FROM tx)
+    SELECT kind, count(*) AS n FROM t GROUP BY ALL"""
+)
+def type_cascade(spark, sf_dir):
+    place = F.when(F.col("merchant_location") == "ASIA", "TW").otherwise(F.col("merchant_location"))
+    current = F.when(F.col("card_type") == "BUILDING", "USD").otherwise("TWD")
+    kind = refine.transaction_type(F.col("normalized_merchant"), F.col("payment_amount"), place, current, F.lit(None).cast("string"), _WORDS)
+    return tx(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {TX} SELECT concat_ws('－', payment_process, category, CASE WHEN normalized_merchant <> category THEN normalized_merchant END) AS display_name, count(*) AS n FROM tx GROUP BY ALL"""
+)
+def display_names(spark, sf_dir):
+    name = refine.display_name(F.concat(F.col("payment_process"), F.lit("－ ")), F.col("category"), F.col("normalized_merchant"))
+    return tx(spark, sf_dir).groupBy(name.alias("display_name")).agg(F.count("*").alias("n"))
+
+
+def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = tx(spark, sf_dir).select("bank_no", F.trunc("posting_date", "month").alias("m")).distinct()
+    return days.select("bank_no", F.lit(None).cast("string").alias("card_id"), F.date_format("m", "yyyy-MM").alias("statement_month"), F.date_add("m", F.col("bank_no").cast("int") % 20 + 4).alias("closing_date"), F.lit(None).cast("date").alias("actual_closing_date"))
+
+
+_CLOSES = f"""{TX}, c AS (SELECT DISTINCT bank_no, strftime(posting_date, '%Y-%m') AS statement_month, CAST(date_trunc('month', posting_date) AS DATE) + CAST(CAST(bank_no AS INT) % 20 + 4 AS INT) AS last_day FROM tx),
+    b AS (SELECT bank_no, statement_month, CAST(coalesce(lag(last_day) OVER (PARTITION BY bank_no ORDER BY last_day), last_day - INTERVAL 1 MONTH) AS DATE) + 1 AS first_day, last_day FROM c)"""
+
+
+@query(f"WITH {_CLOSES} SELECT * FROM b")
+def billing_intervals(spark, sf_dir):
+    return refine.billing_intervals(_closes(spark, sf_dir)).drop("card_id")
+
+
+@query(
+    f"""WITH {_CLOSES} SELECT tx.bank_no, coalesce(b.statement_month, strftime(posting_date, '%Y-%m')) AS statement_month, count(*) AS n, {AMOUNT} AS total_amount
+    FROM tx LEFT JOIN b ON tx.bank_no = b.bank_no AND posting_date BETWEEN first_day AND last_day GROUP BY ALL"""
+)
+def statement_months(spark, sf_dir):
+    rows = tx(spark, sf_dir).withColumn("card_id", F.col("card_type"))
+    out = refine.statement_of(rows, refine.billing_intervals(_closes(spark, sf_dir)))
+    return out.groupBy("bank_no", "statement_month").agg(F.count("*").alias("n"), summaries.total().alias("total_amount"))
+
+
+# Reward configuration over the star tables: two base programs and three campaigns, one of which ends the calculation.
+_PROGRAMS = """reward_id string, bank_no string, card_id string, reward_program string, source string, reward_cycle string, reward_type string, calc_method string, round_strategy string,
+    priority int, reward_cal_break boolean, reward_rate decimal(9,4), cap_amount decimal(18,2), start_date date, end_date date, load_ord int"""
+_PROGRAM_ROWS = """('p1','ALL','ALL','excluded','campaign','NONE','point','PER_ITEM','floor',1,true,0,NULL,NULL,NULL,0),
+ ('p2','ALL','BUILDING','building','campaign','CALENDAR_MONTH','point','PER_ITEM','round',10,false,3,20000,NULL,NULL,1),
+ ('p3','ALL','ALL','high','campaign','CAMPAIGN_CYCLE','openpoint','AGGREGATE','round',20,false,0.5,300000,DATE'1996-01-01',DATE'2000-12-31',2),
+ ('p4','3','ALL','bank3','base','BILLING_CYCLE','point','AGGREGATE','floor',30,true,1.5,NULL,NULL,NULL,3),
+ ('p5','ALL','','base','base','TRANSACTION_DATE','point','PER_ITEM','floor',40,false,1,500,NULL,NULL,4)"""
+
+
+def _rewards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = tx(spark, sf_dir).groupBy("transaction_id").agg(
+        F.min_by(F.struct("transaction_date", "posting_date", "bank_no", "card_type", "payment_process", "merchant_location", "normalized_merchant", "payment_amount", "category"),
+                 F.struct("transaction_date", "posting_date", "bank_no", "card_type", "normalized_merchant", "payment_amount", "category")).alias("r")
+    )
+    none = F.lit(None).cast("string")
+    txns = rows.select(
+        "transaction_id", "r.transaction_date", "r.posting_date", "r.bank_no", F.col("r.card_type").alias("card_id"), "r.payment_process", "r.merchant_location", "r.normalized_merchant",
+        F.col("r.category").alias("merchant_display"), none.alias("ec_platform"), none.alias("vpc_type"), none.alias("statement_month"), F.col("r.payment_amount").alias("amount"),
+    )
+    programs = spark.sql(f"SELECT * FROM VALUES {_PROGRAM_ROWS} AS t({', '.join(c.split()[0] for c in _PROGRAMS.replace('decimal(9,4)', 'd').replace('decimal(18,2)', 'd').split(','))})")
+    programs = programs.select(*(F.col(c.split()[0]).cast(c.split()[1].replace(";", ",")).alias(c.split()[0]) for c in _PROGRAMS.replace("(9,4)", "(9;4)").replace("(18,2)", "(18;2)").split(",")))
+    links = spark.createDataFrame([("p1", "gone", 0), ("p3", "high", 0), ("p3", "asia", 1)], "reward_id string, pool_id string, link_ord int")
+    rule = "struct<payment_process:array<string>,ec_platform:array<string>,vpc_type:array<string>,merchant_location:array<string>,merchants:array<string>,merchant_rate:decimal(9,4),start_date:date,end_date:date>"
+    shops = '[{"merchants":["00000007","000000031"]}]'
+    pools = spark.createDataFrame(
+        [
+            ("gone", "[]", shops),
+            ("high", '[{"merchant_location":["AFRICA"]}]', '[{"payment_process":["1-urgent","2-HIGH"],"merchant_rate":2.5},{"payment_process":["NONE"]}]'),
+            ("asia", "[]", '[{"merchant_location":["Asia"],"merchants":["PROMO"],"merchant_rate":4}]'),
+        ],
+        "pool_id string, p string, r string",
+    )
+    pools = pools.select("pool_id", F.from_json("p", f"array<{rule}>").alias("pass_rules"), F.from_json("r", f"array<{rule}>").alias("rules"))
+    return txns, rewards.calculate(txns, programs, links, pools)
+
+
+_RW = f"""{TX}, u AS (SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY transaction_date, posting_date, bank_no, card_type, normalized_merchant, payment_amount, category) = 1),
+ pr AS (SELECT * FROM (VALUES {_PROGRAM_ROWS}) v(reward_id, p_bank, p_card, reward_program, source, cycle, rtype, method, strat, priority, brk, rate0, cap, s, e, load_ord)),
+ c AS (SELECT u.*, pr.* FROM u JOIN pr ON (s IS NULL OR transaction_date >= s) AND (e IS NULL OR transaction_date <= e) AND p_bank IN ('ALL', bank_no) AND p_card IN ('ALL', '', card_type)),
+ h AS (SELECT *, CASE reward_id WHEN 'p1' THEN CASE WHEN contains(normalized_merchant, '00000007') OR contains(normalized_merchant, '000000031') THEN 'gone' END
+   WHEN 'p3' THEN CASE WHEN merchant_location <> 'AFRICA' AND (payment_process IN ('1-URGENT', '2-HIGH') OR payment_process IS NULL) THEN 'high' WHEN merchant_location = 'ASIA' AND contains(category, 'PROMO') THEN 'asia' END END AS pool_id FROM c),
+ f AS (SELECT *, CAST(CASE WHEN pool_id = 'high' AND payment_process IS NOT NULL THEN 2.5 WHEN pool_id = 'asia' THEN 4 ELSE rate0 END AS DECIMAL(9,4)) AS rate FROM h WHERE reward_id NOT IN ('p1', 'p3') OR pool_id IS NOT NULL),
+ wf AS (SELECT * FROM f QUALIFY coalesce(max(CAST(brk AS INT)) OVER (PARTITION BY transaction_id ORDER BY priority, load_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)"""
+
+
+@query(f"WITH {_RW} SELECT reward_program, pool_id, CAST(rate AS DOUBLE) AS rate, count(*) AS n, CAST(sum(payment_amount) AS DOUBLE) AS amount FROM wf GROUP BY ALL")
+def reward_waterfall(spark, sf_dir):
+    _, out = _rewards(spark, sf_dir)
+    return out.groupBy("reward_program", "pool_id", F.col("rate").cast("double").alias("rate")).agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+_W = "PARTITION BY {k} ORDER BY transaction_date, transaction_id, priority, load_ord ROWS BETWEEN UNBOUNDED PRECEDING AND {b}"
+
+
+@query(
+    f"""WITH {_RW}, p AS (SELECT *, concat(card_type, bank_no, strftime(transaction_date, '%Y-%m')) AS k, CAST(round(payment_amount * rate / 100) AS DECIMAL(18,2)) AS p FROM wf WHERE reward_id = 'p2'),
+    s AS (SELECT *, sum(p) OVER ({_W.format(k='k', b='CURRENT ROW')}) AS cs FROM p), m AS (SELECT *, max(cs) OVER ({_W.format(k='k', b='1 PRECEDING')}) AS cm FROM s)
+    SELECT transaction_id, CAST(CASE WHEN coalesce(cm >= cap, FALSE) THEN 0 ELSE least(p, cap - (cs - p)) END AS DOUBLE) AS reward, coalesce(cm >= cap, FALSE) OR cs > cap AS is_capped FROM m"""
+)
+def reward_cap_per_item(spark, sf_dir):
+    _, out = _rewards(spark, sf_dir)
+    return out.where("reward_id = 'p2'").select("transaction_id", F.col("reward").cast("double").alias("reward"), "is_capped")
+
+
+@query(
+    f"""WITH {_RW}, a AS (SELECT *, concat(card_type, strftime(posting_date, '%Y-%m')) AS k FROM wf WHERE reward_id = 'p4'),
+    s AS (SELECT *, floor(sum(payment_amount) OVER ({_W.format(k='k', b='CURRENT ROW')}) * rate / 100) AS earned FROM a),
+    m AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_W.format(k='k', b='1 PRECEDING')}), 0)) AS had FROM s)
+    SELECT transaction_id, CAST(greatest(had, earned) - had AS DOUBLE) AS reward FROM m"""
+)
+def reward_cap_aggregate(spark, sf_dir):
+    _, out = _rewards(spark, sf_dir)
+    return out.where("reward_id = 'p4'").select("transaction_id", F.col("reward").cast("double").alias("reward"))
+
+
+@query()
+def reward_audit(spark, sf_dir):
+    """All programs of all transactions, placeholders included."""
+    txns, out = _rewards(spark, sf_dir)
+    found = rewards.audit(txns, out)
+    return found.withColumn("reward", F.col("reward").cast("double"))
+
+
+@query(
+    f"""WITH {_RW}, r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, CAST(sum(floor(payment_amount / 100)) AS DOUBLE) AS reward FROM wf WHERE reward_id = 'p5' AND payment_amount BETWEEN 0 AND 50000 GROUP BY ALL),
+    s AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, {AMOUNT} AS spending FROM u WHERE payment_amount > 0 GROUP BY ALL)
+    SELECT month, bank_name, card_type, coalesce(spending, 0) AS spending, coalesce(reward, 0) AS reward, CASE WHEN coalesce(spending, 0) = 0 THEN 0 ELSE coalesce(reward, 0) * 100 / spending END AS rate_percent
+    FROM s FULL JOIN r USING (month, bank_name, card_type)"""
+)
+def reward_monthly_summary(spark, sf_dir):
+    txns, out = _rewards(spark, sf_dir)
+    month = C.month_key(F.col("transaction_date"))
+    names = lambda df: df.withColumns({"month": month, "bank_name": F.col("bank_no"), "card_type": F.col("card_id"), "payment_amount": F.col("amount")})
+    return summaries.reward_month_summary(names(txns).where("amount > 0"), names(out).where("reward_id = 'p5' and amount between 0 and 50000"))
+
+
+@query(
+    f"""WITH {_RW}, a AS (SELECT * FROM wf WHERE reward_id = 'p3'), w AS (SELECT *, 1 AS k FROM a),
+    s AS (SELECT *, CAST(round(sum(payment_amount) OVER ({_W.format(k='k', b='CURRENT ROW')}) * rate / 100, 2) AS DECIMAL(18,2)) AS earned FROM w),
+    m AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_W.format(k='k', b='1 PRECEDING')}), 0)) AS had FROM s),
+    r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, pool_id, least(cap, greatest(had, earned)) - least(cap, had) AS reward, had >= cap OR greatest(had, earned) > cap AS is_capped, cap FROM m
+      UNION ALL SELECT strftime(transaction_date, '%Y-%m'), pool_id, 0, FALSE, NULL FROM wf WHERE reward_id = 'p1')
+    SELECT month, pool_id, CAST(sum(reward) AS DOUBLE) AS reward, bool_or(is_capped) AS is_capped, CAST(max(cap) AS DOUBLE) AS cap_amount FROM r GROUP BY ALL"""
+)
+def pool_utilization(spark, sf_dir):
+    _, out = _rewards(spark, sf_dir)
+    rows = out.withColumn("month", C.month_key(F.col("transaction_date"))).where("pool_id is not null")
+    return summaries.pool_use(rows)
+
+
+@query(
+    f"""WITH {TX}, s AS (SELECT * FROM (VALUES ('alpha', DATE'1996-01-01', DATE'1996-06-30'), ('beta', DATE'1996-06-15', DATE'1996-12-31')) v(p, s, e)),
+    d AS (SELECT DISTINCT transaction_date AS d FROM tx), j AS (SELECT d, string_agg(p, ',' ORDER BY p) FILTER (WHERE d BETWEEN s AND e) AS locked, bool_or(abs(datediff('day', s, d)) <= 2 OR abs(datediff('day', e, d)) <= 2) AS near_change
+    FROM d JOIN s ON d BETWEEN s - 2 AND e + 2 GROUP BY ALL) SELECT transaction_date, coalesce(locked, '') AS locked, coalesce(near_change, FALSE) AS near_change, count(*) AS n FROM tx LEFT JOIN j ON transaction_date = d GROUP BY ALL"""
+)
+def day_selection(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM VALUES ('alpha', DATE'1996-01-01', DATE'1996-06-30'), ('beta', DATE'1996-06-15', DATE'1996-12-31') AS t(base_reward_program, start_date, end_date)")
+    out = rewards.day_selection(tx(spark, sf_dir), rows, 2)
+    locked = F.coalesce(F.array_join("locked", ","), F.lit(""))
+    return out.groupBy("transaction_date", locked.alias("locked"), F.coalesce("near_change", F.lit(False)).alias("near_change")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value, CAST(ts AS DATE) AS day FROM events)
+    SELECT event_type, day, count(*) AS n, count(DISTINCT k) AS n_keys, round(sum(CAST(value AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM e GROUP BY ALL"""
+)
+def events_by_day(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return rows.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("k").alias("n_keys"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
