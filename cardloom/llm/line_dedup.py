@@ -1,10 +1,11 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by repeated runs of lines.
 
-A rolling hash over the hashes of the last ``ROLL`` lines decides after each line whether a chunk ends there, so
-boundaries depend on nearby content only and a passage is cut alike wherever it stands.  ``CUTS`` independent rolling
-hashes cut every text, which makes it likely that some chunk starts and ends with a repeated passage.  A line of more
-than ``LONG_LINE`` words (several printed lines) always stands alone.  Chunks of two lines or more, and long lines, of
-at least ``MIN_WORDS`` words are candidates.
+A run of lines goes if an equal one stands earlier and it has two lines with words or more and at least ``MIN_WORDS``
+words; a line of more than ``LONG_LINE`` words (several printed lines) goes alone, too.  The chunks that are compared
+are the smallest runs with that much: one starts at every line with words and one ends there.  A chunk depends on its
+own lines only, and the chunks within a run cover it whole: the chunk that starts at a line either fits into the run, or
+the one that ends with the run reaches back over that line.  So every later copy goes from its first line with words to
+its last, wherever it stands; copies may overlap, and a line repeated over and over leaves one.
 
 Only chunk hashes are dealt out at first.  Chunks whose hash occurs again are fetched and compared byte by byte (rows
 are grouped by the chunk's bytes); of equal chunks the first, by document id and position, stays and all others are
@@ -26,10 +27,6 @@ from pyspark.sql import functions as F
 
 from cardloom.llm import _shared, _text
 
-ROLL = 2
-CUTS = 4
-#: A chunk ends after one line in so many.
-ONE_IN = 2
 LONG_LINE = 50
 MIN_WORDS = 10
 _CHUNK = ["doc_id", "text_key", "hash", "first_byte", "end_byte"]
@@ -39,34 +36,25 @@ def chunks(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Text, hash, first byte and end byte (both within the text) of every candidate chunk of a block."""
     starts, ends, first = block.lines()
     prefix = block.prefix()
-    line = block.hashes(prefix, starts, ends)
     word_starts, _ = block.runs(_text.WORD_BYTE)
     words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
     text = np.repeat(np.arange(block.rows), np.diff(first))
-    n = len(line)
-    last = np.zeros(n, bool)
-    last[first[1:] - 1] = True
-    long = words > LONG_LINE
-    before_long = np.zeros(n, bool)
-    before_long[:-1] = long[1:]
-    found = []
-    for cut in range(CUTS):
-        rolled = line * np.uint64(2 * cut + 3)
-        for back in range(1, ROLL):
-            earlier = np.zeros(n, np.uint64)
-            earlier[back:] = line[:-back]
-            earlier[back:][text[back:] != text[:-back]] = 0
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + earlier
-        ends_here = last | long | before_long | (_text.mix(rolled + np.uint64(cut)) % np.uint64(ONE_IN) == 0)
-        chunk_last = np.flatnonzero(ends_here)
-        chunk_first = np.concatenate(([0], chunk_last[:-1] + 1)) if len(chunk_last) else chunk_last
-        total = np.concatenate(([0], np.cumsum(words)))
-        worded = np.concatenate(([0], np.cumsum(words > 0)))
-        n_words = total[chunk_last + 1] - total[chunk_first]
-        n_lines = worded[chunk_last + 1] - worded[chunk_first]
-        good = (n_words >= MIN_WORDS) & ((n_lines >= 2) | long[chunk_first])
-        found.append(np.column_stack((chunk_first[good], chunk_last[good])))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    worded = np.flatnonzero(words)
+    n = len(worded)
+    of = text[worded]
+    total = np.concatenate(([0], np.cumsum(words[worded])))
+    each = np.arange(n)
+    # The nearest line with which each one has enough words, at least the next: after it and before it.
+    to = np.maximum(each + 1, np.searchsorted(total, total[:-1] + MIN_WORDS) - 1)
+    back = np.minimum(each - 1, np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1)
+    starting = to < n
+    starting[starting] = of[to[starting]] == of[starting]
+    ending = back >= 0
+    ending[ending] = of[back[ending]] == of[ending]
+    long = each[words[worded] > LONG_LINE]
+    first_line = np.concatenate((each[starting], back[ending], long))
+    last_line = np.concatenate((to[starting], each[ending], long))
+    pairs = np.unique(np.column_stack((worded[first_line], worded[last_line])), axis=0)
     a, b = starts[pairs[:, 0]], ends[pairs[:, 1]]
     of = text[pairs[:, 0]]
     return of, block.hashes(prefix, a, b), a - block.offsets[of], b - block.offsets[of]

@@ -114,3 +114,27 @@ def licenses(text: str | None) -> tuple[int, int, int | None, int | None, str]:
                 places.append(k)
                 labels.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def repeated_lines(rows: list[tuple[int, str]], few: int, long: int) -> dict[int, tuple[str, int]]:
+    """Text left of each document, and lines gone, when every run of lines goes that an earlier place has, too.
+
+    Runs start and end with a line that has words; they have two of these and ``few`` words, or one of more than ``long``.
+    """
+    seen: set[tuple[str, ...]] = set()
+    out = {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        words = [len(WORD.findall(x)) for x in lines]
+        gone: set[int] = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if not words[a] or not words[b]:
+                    continue
+                enough = words[a] > long if a == b else sum(words[a : b + 1]) >= few
+                run = tuple(lines[a : b + 1])
+                if enough and run in seen:
+                    gone.update(range(a, b + 1))
+                seen.add(run)
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out

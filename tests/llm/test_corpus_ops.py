@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -71,6 +73,24 @@ def test_line_dedup_removes_later_copies(spark, edge, no_docs):
     assert len(kept) == len(edge_texts()) + 2 and line_dedup.remove_repeats(no_docs).collect() == []
 
 
+def test_line_dedup_removes_every_repeated_run(spark):
+    """Short passages amid other lines, against all runs of lines."""
+    rng = random.Random(3)
+    common = ["\n".join(passage(2000 + 10 * k + j, rng.choice((1, 2, 4, 12, 30, 60))) for j in range(2 + k % 5)) for k in range(25)]
+    rows = []
+    for i in range(150):
+        parts = [passage(9000 + 7 * i + j, rng.choice((1, 3, 9, 25, 55))) for j in range(5)]
+        for _ in range(3):
+            lines = rng.choice(common).split("\n")
+            lines = lines[rng.randrange(2) :] if rng.random() < 0.3 else lines
+            parts.insert(rng.randrange(len(parts) + 1), ("\n\n" if rng.random() < 0.2 else "\n").join(lines))
+        rows.append((i, rng.choice(("\n", "\n\n")).join(parts)))
+    rows.append((150, "\n".join([passage(1, 6)] * 4 + ["", passage(2, 3)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.remove_repeats(df).collect()}
+    assert out == brute.repeated_lines(rows, line_dedup.MIN_WORDS, line_dedup.LONG_LINE)
+
+
 def test_line_dedup_loses_no_line(spark, sf_dir, documents):
     """Every line that went stays somewhere; what is left of a text are its own lines in order."""
     cut = line_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
