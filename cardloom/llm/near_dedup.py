@@ -14,9 +14,15 @@ Method
 5. *Components* of the links.  Most lists now lie within one component and are done.
 6. *Rest.*  In the lists that still hold several components, members of different components are paired.  Lists of
    more than ``WIDE`` components (a common passage) are skipped for documents that have enough other values: these
-   list more of their sketch instead, leaving the common values out.  Documents made up mostly of common passages keep
-   their common lists: those with the same common values are paired with the smallest of them, and each is paired
-   with a random member of every common list it is in, in rounds, until a round finds no new link.
+   list more of their sketch instead, leaving the common values out.
+7. *Common passages.*  Documents made up mostly of common passages are joined on their whole sets, exactly.  Shingles
+   that the same of these documents hold are one *part* with a weight, so a passage is one part and not many shingles,
+   and what a single document says takes no part.  Documents with equal parts form a group: two of them share just
+   these parts, so if they are similar then each is similar to the smallest of the group, and the sizes alone tell.
+   Across groups, if two documents are similar then so are each one and the other's smallest, and the two smallest;
+   hence only the smallest of each group, and those not similar to theirs, are compared with the smallest of other
+   groups.  Similar sets share a part among the rarest quarter of each (prefix filter), and what follows the first
+   shared part bounds what they share.
 
 Nothing about all documents reaches the driver: sketches lie in a written table, everything else is joins, aggregates
 and checkpoints in the shared folder.
@@ -33,7 +39,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm import _shared, _text
@@ -47,8 +53,8 @@ ESTIMATE = 0.43
 WIDE = 64
 #: Share of a sketch's values in wide lists from which a document counts as made of common passages.
 COMMON = 0.5
-#: Values of a sketch that a size level looks at, of the largest sets in it.
-LEVEL_VALUES = 32
+#: Columns that name a part: in how many sets its shingles are, and two hashes of these sets.
+PART = ["holders", "one", "two"]
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -196,7 +202,7 @@ def _across(lists: DataFrame) -> DataFrame:
 def _rest(classes: DataFrame, label: DataFrame, shared_lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Pairs that the stars can have missed: members of different components that share a listed value.
 
-    Also the common values (``cls``, ``n``, ``v``) of the documents that are made up mostly of common passages.
+    Also the classes (``cls``) of the documents that are made up mostly of common passages.
     """
     spread = label.select("cls", "comp")
 
@@ -227,45 +233,48 @@ def _rest(classes: DataFrame, label: DataFrame, shared_lists: DataFrame) -> tupl
     common = breadth.where(F.col("width") > WIDE).select("v")
     share = deep.join(common.withColumn("is_common", F.lit(1)), "v", "left").groupBy("cls")
     mostly = share.agg(F.avg(F.coalesce("is_common", F.lit(0))).alias("share")).where(F.col("share") >= COMMON)
-    held = deep.join(mostly, "cls", "left_semi").join(common, "v", "left_semi").select("cls", "n", "v")
-    return pairs.distinct(), _shared.save(held, "held")
+    return pairs.distinct(), _shared.save(mostly.select("cls"), "held")
 
 
-def _same_passages(held: DataFrame) -> DataFrame:
-    """Pairs among documents with the same common passages: each with the one that has the smallest set.
+def _parts(whole: DataFrame) -> DataFrame:
+    """The parts of every set that has any: ``holders``, ``one``, ``two`` name a part, the rarest part comes first.
 
-    Similar documents share a size level (each has two).  A level looks only at values below a bound that every sketch
-    of its sizes reaches, so documents with the same common passages have the same values there, whatever else they
-    say; these form a group.  If two of them are similar through the passages alone, then each is similar to the
-    smallest, as it adds less of its own.
+    ``shared`` is the weight of all parts of the set, ``rest`` that of this part and those after it.
     """
-    step = float(np.log(100 / PERCENT))
-    level = F.explode(F.array(*(F.floor(F.log(F.col("n")) / step).cast("int") + k for k in (0, 1)))).alias("level")
-    rows = held.select("cls", "n", "v", level)
-    bound = F.lit(2.0**64 * LEVEL_VALUES) / F.exp((F.col("level") + 1) * step) - F.lit(2.0**63)
-    rows = rows.where((F.col("v") < bound) | (F.exp((F.col("level") + 1) * step) <= SKETCH))
-    members = rows.groupBy("level", "cls", "n").agg(F.xxhash64(F.array_sort(F.collect_list("v"))).alias("held"))
-    hubs = members.groupBy("level", "held").agg(F.min(F.struct("n", "cls")).alias("hub"))
-    star = members.join(hubs, ["level", "held"]).where(_near_size("n", "hub.n"))
-    return star.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
-
-
-def _round(held: DataFrame, label: DataFrame, number: int) -> DataFrame:
-    """Pairs across components in the common lists: each member with its list's random member of this round.
-
-    A member of a larger component than that waits until the random member is one of its own component: the pair is
-    the same either way, and so a round's pairs follow the documents that are still apart.
-    """
-    rows = held.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = rows.join(rows.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    hubs = rows.groupBy("v").agg(
-        F.min(F.struct(F.xxhash64("cls", "v", F.lit(number)).alias("order"), "cls", "n", "comp", "size")).alias("hub"),
-        F.min("comp").alias("low"),
-        F.max("comp").alias("high"),
+    flat = whole.select("cls", F.size("whole").cast("long").alias("n"), F.explode("whole").alias("v"))
+    holders = flat.groupBy("v").agg(
+        F.count("*").alias("holders"), F.bit_xor(F.xxhash64("cls")).alias("one"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("two")
+    )
+    parts = flat.join(holders.where("holders > 1"), "v").groupBy("cls", "n", *PART).agg(F.count("*").alias("weight"))
+    of_set = Window.partitionBy("cls")
+    shared = F.sum("weight").over(of_set)
+    rest = F.sum("weight").over(of_set.orderBy(*(F.desc(c) for c in PART)).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.select("cls", "n", *PART, shared.alias("shared"), rest.alias("rest"))
+
+
+def _common(whole: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links within groups of equal parts, and pairs across groups and components that can be similar."""
+    parts = _shared.save(_parts(whole), "parts")
+    members = parts.groupBy("cls", "n", "shared").agg(
+        F.bit_xor(F.xxhash64("one", "two")).alias("g1"), F.bit_xor(F.xxhash64("two", "holders", "one")).alias("g2")
     )
-    met = rows.join(hubs.where("low != high").select("v", "hub"), "v")
-    met = met.where((F.col("comp") != F.col("hub.comp")) & (F.col("size") <= F.col("hub.size")) & _near_size("n", "hub.n"))
-    return met.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
+    smallest = members.groupBy("g1", "g2").agg(F.min(F.struct("n", "cls")).alias("hub"))
+    members = members.join(smallest, ["g1", "g2"]).withColumn("is_hub", F.col("cls") == F.col("hub.cls"))
+    members = _shared.save(members.withColumn("like_hub", _similar(F.col("shared"), F.col("n"), F.col("hub.n"))), "members")
+    links = members.where("like_hub and not is_hub").select(F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
+
+    asking = members.where("is_hub or not like_hub").select("cls", "is_hub")
+    rows = parts.where(F.col("rest") * 100 >= F.col("n") * PERCENT).join(asking, "cls")
+    rows = rows.join(label.select("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = _shared.save(rows.select("cls", "n", "is_hub", "comp", "rest", *PART), "asking")
+    several = rows.groupBy(*PART).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    rows = rows.join(several, PART, "left_semi")
+    hubs = rows.where("is_hub").select(*PART, *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "comp", "rest")))
+    met = (F.col("comp") != F.col("b_comp")) & _near_size("n", "b_n") & (~F.col("is_hub") | (F.col("cls") < F.col("b_cls")))
+    met = met & _similar(F.least("rest", "b_rest"), F.col("n"), F.col("b_n"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in PART]
+    pairs = rows.alias("x").join(hubs.alias("y"), [*same, met])
+    return links, _ordered(pairs.select(F.col("cls").alias("a"), F.col("b_cls").alias("b")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,16 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = _shared.save(links.unionByName(new), "links")
         label = components(links)
     if held is not None:
-        common = _shared.save(classes.join(held.select("cls").distinct(), "cls", "left_semi"), "common")
-        whole = _shared.save(_whole(common.select("cls"), docs, common), "whole")
-        number = 0
-        while number == 0 or not new.isEmpty():
-            pairs = _round(held, label, number)
-            pairs = _ordered(pairs if number else pairs.unionByName(_same_passages(held)))
-            new = _shared.save(_verified(_estimated(pairs, common), whole), "links")
-            links = _shared.save(links.unionByName(new), "links")
-            label = components(links)
-            number += 1
+        common = _shared.save(classes.join(held, "cls", "left_semi"), "common")
+        whole = _shared.save(_whole(common.select("cls"), docs, common).join(held, "cls", "left_semi"), "whole")
+        alike, pairs = _common(whole, label)
+        new = _verified(_estimated(_shared.save(pairs, "pairs"), common), whole)
+        links = _shared.save(links.unionByName(alike).unionByName(new), "links")
+        label = components(links)
 
     reach = classes.select("cls", "rep").join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = reach.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -51,6 +51,24 @@ def test_near_duplicates_in_hot_groups(spark):
     assert near(df) == expected(rows)
 
 
+def amid_common(spark, few, pairs):
+    """Pairs of pieces of ``few`` passages, each of which stands in 100 other texts and, by its shingles, in short ones."""
+    texts = []
+    for k in range(few):
+        words = passage(3000 + k, 12).split()
+        texts += [" ".join(words) + " " + passage(100_000 + 100 * k + j, 6) for j in range(100)]
+        texts += [" ".join(words[j : j + 5]) for j in range(8)]
+        texts += [" ".join(piece) for piece in pairs(words, k)]
+    rows = list(enumerate(texts))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def test_near_duplicates_among_many_holders_of_a_passage(spark):
+    """Two pieces that share 6 of 8 shingles, all of them common, and not the same common ones."""
+    rows, df = amid_common(spark, 20, lambda words, k: (words[:11], words[1:]))
+    assert near(df) == expected(rows)
+
+
 def test_line_dedup_removes_later_copies(spark, edge, no_docs):
     lines = [passage(k, 12) for k in range(10)]
     block = "\n".join(lines)
