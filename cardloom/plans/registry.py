@@ -487,6 +487,15 @@ def reward_monthly_summary(spark, sf_dir):
     return summaries.reward_month_summary(names(txns).where("amount > 0"), names(out).where("reward_id = 'p5' and amount between 0 and 50000"))
 
 
+@query()
+def reward_monthly_summary_all(spark, sf_dir):
+    """Spending and the rewards of all programs and amounts; ``reward_monthly_summary`` is the part of it that has SQL."""
+    txns, out = _rewards(spark, sf_dir)
+    month = C.month_key(F.col("transaction_date"))
+    names = lambda df: df.withColumns({"month": month, "bank_name": F.col("bank_no"), "card_type": F.col("card_id"), "payment_amount": F.col("amount")})
+    return summaries.reward_month_summary(names(txns).where("amount > 0"), names(out))
+
+
 @query(
     f"""WITH {_RW}, a AS (SELECT * FROM wf WHERE reward_id = 'p3'), w AS (SELECT *, 1 AS k FROM a),
     s AS (SELECT *, CAST(round(sum(payment_amount) OVER ({_W.format(k='k', b='CURRENT ROW')}) * rate / 100, 2) AS DECIMAL(18,2)) AS earned FROM w),

@@ -45,6 +45,15 @@ def test_audit_has_every_transaction(spark, sf_dir):
     assert {r.transaction_id for r in rows} == ids and all(r.reward is not None for r in rows)
 
 
+def test_monthly_summary_has_every_reward(spark, sf_dir):
+    """All programs and amounts, summed row by row."""
+    earned = [r for r in registry._rewards(spark, sf_dir)[1].select("reward_id", "reward", "amount").collect() if r.reward]
+    rows = registry.QUERIES["reward_monthly_summary_all"](spark, sf_dir).collect()
+    assert {"p3", "p4", "p5"} <= {r.reward_id for r in earned} and any(r.amount > 50000 for r in earned)
+    assert sum(float(r.reward) for r in rows) == pytest.approx(float(sum(r.reward for r in earned)))
+    assert all(r.rate_percent == (pytest.approx(float(r.reward) * 100 / float(r.spending)) if r.spending else 0) for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
