@@ -1,4 +1,4 @@
-"""Incremental ingestion with Structured Streaming: idempotent loads and running, capped rewards."""
+"""Incremental ingestion with Structured Streaming: idempotent loads, windowed spending and distinct rows."""
 
 from __future__ import annotations
 
