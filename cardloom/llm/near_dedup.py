@@ -218,8 +218,8 @@ def _rest(classes: DataFrame, label: DataFrame, shared_lists: DataFrame) -> tupl
         return pairs, None
 
     # Documents with common values list more of their sketch, without those values.
-    touched = lists.join(wide, "v", "left_semi").groupBy("cls").agg(F.count("*").alias("common"))
-    touched = touched.where(F.col("common") * 4 >= LISTED).select("cls")
+    touched = lists.join(wide, "v", "left_semi").groupBy("cls", "n").agg(F.count("*").alias("common"))
+    touched = touched.where(F.col("common") * 4 >= F.least("n", F.lit(LISTED))).select("cls")
     deep = classes.join(touched, "cls", "left_semi")
     deep = deep.select("cls", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     deep = _shared.save(with_comp(deep), "deep")

@@ -69,6 +69,12 @@ def test_near_duplicates_among_many_holders_of_a_passage(spark):
     assert near(df) == expected(rows)
 
 
+def test_short_near_duplicates_among_many_holders_of_a_passage(spark):
+    """Sets of 3 and 4 shingles of which 3 are common."""
+    rows, df = amid_common(spark, 8, lambda words, k: (words[:7], [*words[:7], f"own{k}"]))
+    assert near(df) == expected(rows)
+
+
 def test_line_dedup_removes_later_copies(spark, edge, no_docs):
     lines = [passage(k, 12) for k in range(10)]
     block = "\n".join(lines)
