@@ -108,6 +108,20 @@ def to_postfix(expression: str) -> list[str]:
     return output + stack[::-1]
 
 
+def before_prose(text: str) -> str:
+    """The text up to a bracket that follows a complete operand while no bracket is open, such as ``MIT (see LICENSE)``."""
+    depth, operand = 0, False
+    for found in _TOKEN.finditer(text):
+        token = found[0].lower()
+        if token not in ("(", ")"):
+            operand = token not in _BINDS
+        elif operand and not depth:
+            return text[: found.start()]
+        else:
+            depth += 1 if token == "(" else -1
+    return text
+
+
 def evaluate(expression: str) -> tuple[float, set[str], str]:
     """Freedom of an expression, its labels and its fully bracketed form.
 
@@ -169,7 +183,7 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
     if tagged:
         for found in TAG.finditer(text):
             try:
-                free, names, bracketed = evaluate(found[1])
+                free, names, bracketed = evaluate(before_prose(found[1]))
             except LicenseExpressionError:
                 continue
             freedom.append(free)

@@ -174,6 +174,12 @@ def test_licenses(spark, sf_dir, documents, edge, no_docs):
     assert license_scan.scan_licenses(no_docs).collect() == []
 
 
+def test_license_tags_before_brackets():
+    tags = {"MIT (see LICENSE)": ["MIT"], "Apache-2.0)": ["Apache-2.0"], "(MIT OR Apache-2.0) (x)": ["(MIT OR Apache-2.0)"], "(MIT (x)": []}
+    machine = license_scan.automaton()
+    assert {t: license_scan.scan_text(f"(SPDX-License-Identifier: {t}", machine)[-1] for t in tags} == tags
+
+
 def test_license_expressions():
     assert license_scan.to_postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
     assert license_scan.evaluate("MIT AND (GPL-3.0 OR Apache-2.0)")[0] == 1.0
