@@ -2,26 +2,31 @@
 
 A mask such as ``11011001`` hashes the words under its ones and ignores those under its zeros, so a seed still matches
 when an ignored word was replaced.  Seeds of the test items and of the documents are joined on their hashes; around
-each hit the document and the item are aligned, and the hit counts only if some ``WINDOW`` aligned words (or the whole
-item, if shorter) differ in at most ``SUBSTITUTIONS`` places.
+each hit the document and the item are aligned, and the hit counts only if some ``WINDOW`` aligned words differ in at
+most ``SUBSTITUTIONS`` places.  The fixed masks hit every such overlap.  An item of 8 to 12 words counts as a whole, with
+as many substitutions; below 12 its masks come from quarters of the item, each pair of quarters being one mask: two
+replaced words leave two quarters untouched.  A shorter item counts only if it stands there word for word.
 
 The test items are a query set: they are read in blocks of at most ``BLOCK_WORDS`` words, each block becomes a sorted
 seed table of bounded size that the tasks hold, and every document meets every block where it is read.  More items mean
 more blocks, never a larger table.  A bitmap of the seed hashes turns away nearly all document positions before the
 join.  Words are lower-cased runs of letters and digits, so case and punctuation do not matter.
 
-Defined cases: a null document text has no words and is clean; null or empty items, and items of fewer than
-``MIN_ITEM_WORDS`` words (too little to tell a leak from chance), match nothing; a null ``doc_id`` is carried through;
-rows repeating a ``doc_id`` share one verdict, contaminated if any of them is; repeated items are reported by each of
-their ids; extra columns are kept by the filter and ignored by the report; empty tables give empty or clean results.
+Defined cases: a null document text has no words and is clean; null, empty or wordless items match nothing; an item with
+a null id contaminates like any other but is not listed; a null ``doc_id`` is carried through; rows repeating a
+``doc_id`` share one verdict in the report, contaminated if any of them is, while the filter judges each row; repeated
+items are compared once and reported by each of their ids; extra columns are kept by the filter and ignored by the
+report; empty tables give empty or clean results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +36,13 @@ from cardloom.llm import _shared, _text
 MASKS = ("1101011", "11010011", "110010000101")
 WINDOW = 13
 SUBSTITUTIONS = 2
-MIN_ITEM_WORDS = 8
+#: Shorter items are looked for word for word; those of fewer words than ``MASKED`` have masks of their own.
+VERBATIM, MASKED = 8, 12
 #: Words of test items in one seed table (tens of MB), and passes over the documents before the result is written.
 BLOCK_WORDS = 1_000_000
 CHAINED = 4
+#: Aligned words that are compared at a time.
+COMPARED = 1_000_000
 MATCHES = "doc_id long, item_id long, start long, n_aligned long, n_equal long"
 
 _TOKEN_BYTE = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -59,31 +67,55 @@ def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return _text.mix(out)
 
 
+def masks_for(n_words: int) -> tuple[str, ...]:
+    """The masks that an item of so many words is looked for with."""
+    if n_words >= MASKED:
+        return MASKS
+    if n_words < VERBATIM:
+        return ("1" * n_words,)
+    quarter = [4 * k // n_words for k in range(n_words)]
+    return tuple("".join("01"[q in pair] for q in quarter) for pair in combinations(range(4), 2))
+
+
+_NUMBER = {mask: k for k, mask in enumerate(dict.fromkeys(m for n in range(1, MASKED + 1) for m in masks_for(n)))}
+
+
 class SeedTable:
     """The seeds of one block of test items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = [i for i, _ in items]
-        self.words = [w for _, w in items]
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+        ids: dict[bytes, list[int | None]] = {}
+        for i, w in items:
+            if len(w):
+                ids.setdefault(w.tobytes(), []).append(i)
+        self.ids = list(ids.values())
+        self.words = [np.frombuffer(w, np.uint64) for w in ids]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.start = np.cumsum(self.size) - self.size
+        of_mask: dict[str, list[int]] = {}
+        for k, w in enumerate(self.words):
+            for mask in masks_for(len(w)):
+                of_mask.setdefault(mask, []).append(k)
         self.tables = []
-        for number, mask in enumerate(MASKS):
-            hashes = [seeds(w, mask, number) for w in self.words]
-            flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        for mask, own in of_mask.items():
+            hashes = [seeds(self.words[k], mask, _NUMBER[mask]) for k in own]
+            flat = np.concatenate(hashes)
             order = np.argsort(flat, kind="stable")
-            item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-            place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])[order]
-            self.tables.append((flat[order], item, place))
-        total = sum(len(t[0]) for t in self.tables)
+            item = np.repeat(own, [len(h) for h in hashes])[order]
+            place = np.concatenate([np.arange(len(h)) for h in hashes])[order]
+            self.tables.append((mask, flat[order], item, place))
+        total = sum(len(t[1]) for t in self.tables)
         self.shift = np.uint64(64 - max(20, int(8 * total).bit_length()))
         self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
-        for flat, _, _ in self.tables:
+        for _, flat, _, _ in self.tables:
             self.bitmap[flat >> self.shift] = True
 
-    def hits(self, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, document position of the item's first word) of every seed hit."""
-        found: set[tuple[int, int, int]] = set()
-        for number, (mask, (flat, item, place)) in enumerate(zip(MASKS, self.tables, strict=True)):
-            own = seeds(words, mask, number)
+    def hits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(text, item, document position of the item's first word) of every seed hit, each once, in order."""
+        found = [np.zeros((0, 3), np.int64)]
+        for mask, flat, item, place in self.tables:
+            own = seeds(words, mask, _NUMBER[mask])
             at = np.flatnonzero(self.bitmap[own >> self.shift])
             if not len(at):
                 continue
@@ -91,23 +123,38 @@ class SeedTable:
             fits = at + len(mask) <= first[text + 1]  # a mask never reaches into the next text
             at, text = at[fits], text[fits]
             low, high = np.searchsorted(flat, own[at], "left"), np.searchsorted(flat, own[at], "right")
-            for k in np.flatnonzero(high > low):
-                for j in range(low[k], high[k]):
-                    found.add((int(text[k]), int(item[j]), int(at[k] - first[text[k]] - place[j])))
-        return found
+            n = high - low
+            of = np.repeat(np.arange(len(at)), n)
+            seed = np.arange(len(of)) + np.repeat(low - (np.cumsum(n) - n), n)
+            found.append(np.column_stack((text[of], item[seed], at[of] - first[text[of]] - place[seed])))
+        return np.unique(np.concatenate(found), axis=0)
 
-    def matches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def matches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
         """(text, item id, first aligned word, aligned words, equal words) of every verified hit."""
-        for text, item, shift in sorted(self.hits(words, first)):
-            own, theirs = words[first[text] : first[text + 1]], self.words[item]
-            a, b = max(0, shift), min(len(own), shift + len(theirs))
-            equal = own[a:b] == theirs[a - shift : b - shift]
-            width = min(WINDOW, len(theirs))
-            if len(equal) < width:
-                continue
-            total = np.concatenate(([0], np.cumsum(equal)))
-            if (total[width:] - total[:-width]).max() >= width - SUBSTITUTIONS:
-                yield text, self.ids[item], a, b - a, int(total[-1])
+        text, item, shift = self.hits(words, first).T
+        a = np.maximum(shift, 0)
+        n = np.minimum(first[text + 1] - first[text], shift + self.size[item]) - a
+        width = np.minimum(WINDOW, self.size[item])
+        needed = width - np.where(self.size[item] < VERBATIM, 0, SUBSTITUTIONS)
+        could = np.flatnonzero(n >= width)
+        total = np.cumsum(n[could])
+        while len(could):
+            part = max(1, int(np.searchsorted(total, COMPARED, "right")))
+            own, could, total = could[:part], could[part:], total[part:] - total[part - 1]
+            size = n[own]
+            ends = np.cumsum(size)
+            k = np.repeat(np.arange(part), size)
+            within = np.arange(len(k)) - np.repeat(ends - size, size)
+            theirs = self.start[item[own]] + a[own] - shift[own]
+            equal = words[(first[text[own]] + a[own])[k] + within] == self.flat[theirs[k] + within]
+            summed = np.concatenate(([0], np.cumsum(equal)))
+            to = np.arange(len(k)) + width[own][k]
+            in_window = np.where(to <= ends[k], summed[np.minimum(to, len(k))] - summed[:-1], 0)
+            good = np.maximum.reduceat(in_window, ends - size) >= needed[own]
+            n_equal = summed[ends] - summed[ends - size]
+            for h, same in zip(own[good].tolist(), n_equal[good].tolist(), strict=True):
+                for i in self.ids[item[h]]:
+                    yield int(text[h]), i, int(a[h]), int(n[h]), same
 
 
 def seed_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[SeedTable]:
@@ -118,13 +165,11 @@ def seed_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
             rows = [w[a:b].tobytes() for _, w, f in word_hashes(batch.column(1)) for a, b in zip(f[:-1], f[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["item_id", "words"])
 
-    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null")
-    block: list[tuple[int, np.ndarray]] = []
+    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
+    block: list[tuple[int | None, np.ndarray]] = []
     size = 0
     for row in rows.mapInArrow(hashed, "item_id long, words binary").orderBy("item_id", "words").toLocalIterator():
         words = np.frombuffer(bytes(row.words), np.uint64)
-        if len(words) < MIN_ITEM_WORDS:
-            continue
         if block and size + len(words) > block_words:
             yield SeedTable(block)
             block, size = [], 0
@@ -139,10 +184,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     spark = docs.sparkSession
     out = spark.createDataFrame([], MATCHES)
-    for number, table in enumerate(seed_tables(benchmark)):
-        held = spark.sparkContext.broadcast(table)
+    sent: list[Broadcast[SeedTable]] = []
+    for table in seed_tables(benchmark):
+        if len(sent) == CHAINED:
+            out = _written(out, "matches", sent)
+        sent.append(spark.sparkContext.broadcast(table))
 
-        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], held=sent[-1]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
                 for row, words, first in word_hashes(batch.column(1)):
@@ -152,8 +200,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[1:])], [c.split()[0] for c in MATCHES.split(", ")])
 
         out = out.unionByName(rows.mapInArrow(run, MATCHES))
-        if number % CHAINED == CHAINED - 1:
-            out = _shared.save(out, "matches")
+    return out
+
+
+def _written(df: DataFrame, name: str, sent: list[Broadcast[SeedTable]]) -> DataFrame:
+    """The table as written; the seed tables that it was made with are given up."""
+    out = _shared.save(df, name)
+    while sent:
+        sent.pop().destroy()
     return out
 
 
@@ -166,7 +220,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs.selectExpr("cast(doc_id as long) doc_id").join(by_doc, F.col("doc_id").eqNullSafe(F.col("matched")), "left")
     return out.select(
         "doc_id",
-        F.col("item_ids").isNotNull().alias("contaminated"),
+        F.col("most_equal").isNotNull().alias("contaminated"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
         F.coalesce("most_equal", F.lit(0)).alias("most_equal"),
@@ -175,12 +229,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that overlap no test item; each block of items filters in the same pass."""
-    for number, table in enumerate(seed_tables(benchmark)):
-        if number and number % CHAINED == 0:
-            docs = _shared.save(docs, "clean")
-        held = docs.sparkSession.sparkContext.broadcast(table)
+    sent: list[Broadcast[SeedTable]] = []
+    for table in seed_tables(benchmark):
+        if len(sent) == CHAINED:
+            docs = _written(docs, "clean", sent)
+        sent.append(docs.sparkSession.sparkContext.broadcast(table))
 
-        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], held=sent[-1]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for row, words, first in word_hashes(batch.column("text").cast(pa.string())):

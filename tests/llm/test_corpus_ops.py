@@ -144,21 +144,21 @@ def test_line_chunks_resist_shifts():
 
 @pytest.fixture(scope="module")
 def items():
-    return [(k, passage(500 + k, 40)) for k in range(5)] + [(9, passage(600, 9)), (10, "too short"), (11, None), (12, "")]
+    return [(k, passage(500 + k, 40)) for k in range(5)] + [(9, passage(600, 9)), (10, "quite short"), (11, None), (12, ""), (13, "?!")]
 
 
 def plain_leaks(text: str | None, items) -> set[int]:
-    """Items of which some 13 aligned words (or all, if fewer) stand in the text with at most two replaced."""
+    """Items of which some 13 aligned words (or all, if fewer) stand in the text, of 8 or more with at most two replaced."""
     words = brute.re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", brute.lower(text or ""))
     found = set()
     for i, item in items:
         theirs = brute.re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", brute.lower(item or ""))
         width = min(13, len(theirs))
-        if len(theirs) < decontaminate.MIN_ITEM_WORDS:
+        if not theirs:
             continue
         for a in range(len(words) - width + 1):
             for b in range(len(theirs) - width + 1):
-                if sum(x == y for x, y in zip(words[a : a + width], theirs[b : b + width], strict=True)) >= width - 2:
+                if sum(x == y for x, y in zip(words[a : a + width], theirs[b : b + width], strict=True)) >= width - 2 * (width >= 8):
                     found.add(i)
     return found
 
@@ -181,6 +181,8 @@ def test_leaks_with_replaced_words(spark, items, edge, no_docs):
         (6, passage(8, 300)),
         (7, None),
         (8, ""),
+        (9, "a QUITE, short one"),
+        (10, "quite a short one"),
         (None, texts[0] + " " + texts[1]),
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -189,7 +191,7 @@ def test_leaks_with_replaced_words(spark, items, edge, no_docs):
     assert out == {i: plain_leaks(t, items) for i, t in rows}
     assert out[0] == {0} and out[2] == {2} and out[3] == {3} and out[4] == set() and out[5] == {9} and out[None] == {0, 1}
     clean = decontaminate.keep_clean(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {4, 6, 7, 8}
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {4, 6, 7, 8, 10}
     assert decontaminate.report(no_docs, bench).collect() == []
     assert not any(r.contaminated for r in decontaminate.report(edge, bench.limit(0)).collect())
 
@@ -205,8 +207,34 @@ def test_blocks_of_items_find_the_same(items):
 def test_leaks_in_the_documents(spark, sf_dir, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     out = {r.doc_id: set(r.item_ids) for r in queries.op7_decontaminate(spark, sf_dir).collect()}
-    some = [d for d in documents if len(d.text) < 2500][:40] + [d for d in documents if out[d.doc_id] and len(d.text) < 6000]
-    assert {i: out[i] for i, _ in some} == {i: plain_leaks(t, items[:12]) | (out[i] & {k for k, _ in items[12:]}) for i, t in some}
+    some = [d for d in documents if len(d.text) < 1500][:25] + [d for d in documents if out[d.doc_id] and len(d.text) < 4000][:15]
+    assert {i: out[i] for i, _ in some} == {i: plain_leaks(t, items) for i, t in some}
+
+
+@pytest.mark.parametrize("n", range(1, 16))
+def test_every_pair_of_replaced_words_is_found(n):
+    """An item of any length, with every one or two of its words replaced, amid other words."""
+    item = np.arange(n, dtype=np.uint64) + np.uint64(1000)
+    table = decontaminate.SeedTable([(5, item), (5, item), (None, item)])
+    for a in range(n):
+        for b in range(a, n):
+            own = np.concatenate((np.arange(9, dtype=np.uint64), item, np.arange(20, 25, dtype=np.uint64)))
+            own[9 + a] = own[9 + b] = np.uint64(7)
+            found = list(table.matches(own, np.array([0, 0, len(own), len(own)])))
+            assert found == ([(1, 5, 9, n, n - len({a, b}))] * 2 + [(1, None, 9, n, n - len({a, b}))] if n >= 8 else [])
+    own = np.concatenate((item, item[:-1]))
+    assert {m[2] for m in table.matches(own, np.array([0, len(own)]))} == {0} | ({n} if n > 13 else set())
+
+
+def test_leaks_of_nameless_repeated_and_long_items(spark):
+    text, long = passage(1, 30), passage(2, 30_000)
+    bench = spark.createDataFrame([(None, text), (3, text), (3, text), (4, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, " ".join([text] * 5)), (3, long[1000:3000]), (4, passage(4, 30)), (4, text)], "doc_id long, text string")
+    out = {(r.doc_id, r.contaminated, tuple(r.item_ids)) for r in decontaminate.report(docs, bench).collect()}
+    assert out == {(1, True, (3,)), (2, True, (3,)), (3, True, (4,)), (4, True, (3,))}
+    assert [r.text for r in decontaminate.keep_clean(docs, bench).collect()] == [passage(4, 30)]
+    nameless = decontaminate.report(docs, bench.where("item_id is null")).where("contaminated").collect()
+    assert {(r.doc_id, r.n_items) for r in nameless} == {(1, 0), (2, 0), (4, 0)}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
