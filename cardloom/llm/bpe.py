@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,16 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct words that a Python worker keeps encoded from block to block.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
+#: Token pairs whose merge it remembers.
+MEMO_PAIRS = 1_000_000
 #: A token pair is one integer: the left id shifted by so many bits, then the right id.
 _SHIFT = 24
 _MASK = (1 << _SHIFT) - 1
 #: Shorter lists of places are merged one by one.
 _FEW = 24
 #: Characters of text that make up one corpus for the replay.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 16_000_000
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +70,8 @@ class MergeReplay:
         """The words' token ids one after another, and how many each word has."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.known) > MEMO_PAIRS:
+            self.known.clear()
         whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))  # a word that is a token stays one
         known = whole >= 0
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -94,7 +98,8 @@ class _Corpus:
         self.token = token
         self.after = np.minimum(np.arange(1, size + 1), size - 1)
         self.before = np.arange(-1, size - 1)  # -1 reads the last token, which is -1 too
-        self.index: dict[int, list[np.ndarray]] = {}
+        self.views = memoryview(self.token), memoryview(self.after), memoryview(self.before)  # single values, read fast
+        self.index: dict[int, list[np.ndarray | int]] = {}
         self.queue: list[tuple[int, int]] = []
         places = np.flatnonzero(inside[:-1] & inside[1:])
         self.add((token[places] << _SHIFT) | token[places + 1], places)
@@ -127,11 +132,14 @@ class _Corpus:
             found = index.pop(pair, None)
             if not found:
                 continue
-            places = np.sort(np.concatenate(found)) if len(found) > 1 else found[0]
-            if len(places) < _FEW:
-                self.one_by_one(rank, pair, places)
+            places = [x for x in found if type(x) is int]
+            arrays = [x for x in found if type(x) is not int]
+            if sum(map(len, arrays)) + len(places) < _FEW:
+                self.one_by_one(rank, pair, sorted(itertools.chain(places, *(x.tolist() for x in arrays))))
+            elif len(found) == 1:
+                self.together(rank, pair, arrays[0])
             else:
-                self.together(rank, pair, places)
+                self.together(rank, pair, np.sort(np.concatenate((np.array(places, np.int64), *arrays))))
         left = self.token >= 0
         return self.token[left], np.diff(np.cumsum(left)[self.ends], prepend=0)
 
@@ -140,7 +148,7 @@ class _Corpus:
         token, after, before = self.token, self.after, self.before
         a, b = pair >> _SHIFT, pair & _MASK
         if a == b:
-            return self.one_by_one(rank, pair, places)
+            return self.one_by_one(rank, pair, places.tolist())
         places = places[token[places] == a]
         right = after[places]
         ok = token[right] == b
@@ -168,39 +176,37 @@ class _Corpus:
             if r is None:
                 r = self.merges.pair_rank(new)
             if 0 <= r < rank:  # an earlier merge becomes possible: order matters
-                return self.one_by_one(rank, pair, places if rest is None else np.sort(np.concatenate((places, rest))))
+                return self.one_by_one(rank, pair, sorted([*places.tolist(), *([] if rest is None else rest.tolist())]))
         token[places] = rank
         token[right] = -2
         after[places] = beyond
         before[beyond] = places
         self.add(pairs, np.concatenate((places[has_next], left[has_last])))
         if rest is not None:
-            self.one_by_one(rank, pair, rest)
+            self.one_by_one(rank, pair, rest.tolist())
         return None
 
-    def one_by_one(self, rank: int, pair: int, places: np.ndarray) -> None:
+    def one_by_one(self, rank: int, pair: int, places: list[int]) -> None:
         """Merges the places of a pair from left to right."""
-        token, after, before, index = self.token, self.after, self.before, self.index
+        token, after, before = self.views
+        index, queue = self.index, self.queue
         a, b = pair >> _SHIFT, pair & _MASK
         known, pair_rank = self.merges.known, self.merges.pair_rank
-        todo = places.tolist()
-        for n, place in enumerate(todo):
+        for n, place in enumerate(places):
             if token[place] != a:
                 continue
-            right = int(after[place])
+            right = after[place]
             if token[right] != b:
                 continue
-            beyond, left = int(after[right]), int(before[place])
+            beyond, left = after[right], before[place]
             token[place] = rank
             token[right] = -2
             after[place] = beyond
             before[beyond] = place
             lower = False
-            for x, at, new in (
-                (x := int(token[beyond]), place, (rank << _SHIFT) | x),
-                (x := int(token[left]), left, (x << _SHIFT) | rank),
-            ):
-                if x < 0:
+            following, last = token[beyond], token[left]
+            for at, new in ((place, (rank << _SHIFT) | following if following >= 0 else -1), (left, (last << _SHIFT) | rank if last >= 0 else -1)):
+                if new < 0:
                     continue
                 r = known.get(new)
                 if r is None:
@@ -208,18 +214,17 @@ class _Corpus:
                 if r < 0:
                     continue
                 if new in index:
-                    index[new].append(np.array([at]))
+                    index[new].append(at)
                 else:
-                    index[new] = [np.array([at])]
-                    heappush(self.queue, (r, new))
+                    index[new] = [at]
+                    heappush(queue, (r, new))
                 lower = lower or r < rank
-            if lower and n + 1 < len(todo):  # an earlier merge became possible: it goes before the other places
-                rest = places[n + 1 :]
+            if lower and n + 1 < len(places):  # an earlier merge became possible: it goes before the other places
                 if pair in index:
-                    index[pair].append(rest)
+                    index[pair] += places[n + 1 :]
                 else:
-                    index[pair] = [rest]
-                    heappush(self.queue, (rank, pair))
+                    index[pair] = list(places[n + 1 :])
+                    heappush(queue, (rank, pair))
                 return
 
 
@@ -250,11 +255,20 @@ def latin1_pattern(pattern: str) -> str:
 
 
 class Table:
-    """Variable-length entries in one flat array, looked up many at a time."""
+    """Variable-length entries in one flat array, looked up many at a time; more can be added behind."""
 
     def __init__(self, flat: np.ndarray, counts: np.ndarray):
         self.flat, self.counts = flat, counts.astype(np.int32)
         self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
+        self.size, self.used = len(counts), len(flat)
+
+    def extend(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        """Adds entries behind the present ones; the arrays double when they are full, so adding is cheap."""
+        starts = self.used + np.cumsum(counts, dtype=np.int64) - counts
+        self.flat = _put(self.flat, self.used, flat)
+        self.counts = _put(self.counts, self.size, counts)
+        self.starts = _put(self.starts, self.size, starts)
+        self.size, self.used = self.size + len(counts), self.used + len(flat)
 
     def take(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries one after another, and how long each is."""
@@ -265,6 +279,14 @@ class Table:
         return self.flat[places], counts
 
 
+def _put(buffer: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The buffer with ``more`` behind its first ``used`` values; the same one if it has room."""
+    if used + len(more) > len(buffer):
+        buffer = np.concatenate((buffer[:used], np.empty(max(used, len(more)), buffer.dtype)))
+    buffer[used : used + len(more)] = more
+    return buffer
+
+
 class CorpusEncoder:
     """Pre-tokenises texts and encodes them block by block with a bounded memo of words."""
 
@@ -288,33 +310,27 @@ class CorpusEncoder:
         """Pre-tokens of a text."""
         return (self._latin1 if is_latin1(text) else self._any)(text)
 
-    def words(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's pre-tokens as entries of ``ids``; words not met before are encoded together."""
+    def number(self, words: list[str]) -> np.ndarray:
+        """The pre-tokens as entries of ``ids``; new ones are encoded by the next :meth:`learn`."""
+        return np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
+
+    def make_room(self) -> None:
+        """Forgets all words once there are too many; entries handed out before are void then."""
         if len(self.vocabulary) > self.memo_words:
             self.reset()
-        number = self.vocabulary.__getitem__
-        per_text = []
-        for text in texts:
-            words = self.split(text)
-            per_text.append(np.fromiter(map(number, words), np.int32, len(words)))
+
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's pre-tokens as entries of ``ids``; words not met before are encoded together."""
+        self.make_room()
+        per_text = [self.number(self.split(text)) for text in texts]
         self.learn()
         return per_text
 
     def learn(self) -> None:
         """Replays the merges over the words that got numbers since the last time."""
-        known = len(self.ids.counts)
-        new = [w.encode("utf-8", "surrogatepass") for w in islice(self.vocabulary, known, None)]
+        new = list(itertools.islice(reversed(self.vocabulary), len(self.vocabulary) - self.ids.size))
         if new:
-            ids, counts = self.replay.encode(new)
-            self.ids = Table(np.concatenate((self.ids.flat, ids.astype(np.int32))), np.concatenate((self.ids.counts, counts)))
-
-    def count(self, words: list[str]) -> list[int]:
-        """How many tokens each pre-token has."""
-        if len(self.vocabulary) > self.memo_words:
-            self.reset()
-        entries = np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
-        self.learn()
-        return self.ids.counts[entries].tolist()
+            self.ids.extend(*self.replay.encode([w.encode("utf-8", "surrogatepass") for w in reversed(new)]))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text."""

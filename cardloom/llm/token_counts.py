@@ -16,8 +16,9 @@ edits apply in the order of ``edit_no`` to the text as left by the earlier ones,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,40 +29,66 @@ LEAF = 48
 CONTEXT = 2
 #: Characters that are split at a time behind an edit until boundaries meet.
 STEP = 64
+#: Characters of text whose trees a task holds at a time.
+BLOCK_CHARS = 1_000_000
 
 
 class CountTree:
-    """Segment tree over one document's pre-tokens."""
+    """Segment tree over one document's pre-tokens.
 
-    def __init__(self, text: str, split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]]):
-        self.split, self.count = split, count
+    An edit updates the character sums at once and marks the leaves it touched; their token sums follow when the total
+    is asked for, so the new pre-tokens of many documents' edits are encoded together.
+    """
+
+    def __init__(self, words: list[str], entries: np.ndarray, coder: bpe.CorpusEncoder):
+        self.coder = coder
         self.recounted = 0
-        words = split(text)
-        self.build([list(x) for x in zip(*self._leaves(words, count(words)), strict=True)] if words else [[], []])
+        self.build(list(self._leaves(words, entries)))
+
+    @classmethod
+    def of(cls, text: str, coder: bpe.CorpusEncoder) -> CountTree:
+        """The tree of a text."""
+        words = coder.split(text)
+        return cls(words, coder.number(words), coder)
 
     @staticmethod
-    def _leaves(words: list[str], counts: list[int]) -> Iterator[tuple[list[str], list[int]]]:
+    def _leaves(words: list[str], entries: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
         for k in range(0, len(words), LEAF):
-            yield words[k : k + LEAF], counts[k : k + LEAF]
+            yield words[k : k + LEAF], entries[k : k + LEAF]
 
-    def build(self, leaves: list[list]) -> None:
-        """Places the leaves and sums them upwards."""
-        self.words, self.counts = leaves
+    def build(self, leaves: list[tuple[list[str], np.ndarray]]) -> None:
+        """Places the leaves, sums their characters upwards and marks them all."""
+        leaves = leaves or [([], np.zeros(0, np.int32))]
+        self.words, self.entries = [x[0] for x in leaves], [x[1] for x in leaves]
         self.size = 1
-        while self.size < max(1, len(self.words)):
+        while self.size < len(leaves):
             self.size *= 2
         self.chars = [0] * (2 * self.size)
         self.tokens = [0] * (2 * self.size)
-        for k in range(len(self.words)):
-            self.chars[self.size + k] = sum(map(len, self.words[k]))
-            self.tokens[self.size + k] = sum(self.counts[k])
+        for k, words in enumerate(self.words):
+            self.chars[self.size + k] = sum(map(len, words))
         for k in range(self.size - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        self.stale = set(range(len(leaves)))
+
+    def settle(self) -> None:
+        """Sums the tokens of the marked leaves and carries the sums upwards."""
+        self.coder.learn()
+        counts = self.coder.ids.counts
+        for k in self.stale:
+            self.tokens[self.size + k] = int(counts[self.entries[k]].sum())
+        nodes = {(self.size + k) // 2 for k in self.stale}
+        while nodes and 0 not in nodes:
+            for k in nodes:
+                self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+            nodes = {k // 2 for k in nodes}
+        self.stale.clear()
 
     @property
     def total(self) -> int:
         """Tokens of the whole document."""
+        if self.stale:
+            self.settle()
         return self.tokens[1]
 
     @property
@@ -87,8 +114,6 @@ class CountTree:
         """Replaces the characters from ``start`` to ``end``."""
         start = min(max(start, 0), self.length)
         end = min(max(end, start), self.length)
-        if not self.words:
-            self.words, self.counts = [[]], [[]]
         first, before = self.find(max(0, start - CONTEXT - 1))
         # The pre-token that may change first: the earliest whose end lies past start - CONTEXT.
         leaf_words = self.words[first]
@@ -131,7 +156,7 @@ class CountTree:
                 base += len(old[-1])
                 ends[fixed + base] = (leaf, word)
             tail += "".join(old)
-            words = self.split(head + replacement + tail)
+            words = self.coder.split(head + replacement + tail)
             done, offset = None, 0
             for k, w in enumerate(words):
                 # Pre-tokens that end too close to the cut may still grow.
@@ -148,37 +173,31 @@ class CountTree:
             step *= 2
         stop_leaf, stop_word = ends[offset]
         fresh = words[:done]
-        counts = self.count(fresh)
         self.recounted += len(fresh)
-        rest_words = self.words[stop_leaf][stop_word:] if stop_leaf < len(self.words) else []
-        rest_counts = self.counts[stop_leaf][stop_word:] if stop_leaf < len(self.words) else []
-        words = self.words[first][:keep] + fresh + rest_words
-        counts = self.counts[first][:keep] + counts + rest_counts
-        self.put(first, min(stop_leaf, len(self.words) - 1), words, counts)
-
-    def put(self, first: int, last: int, words: list[str], counts: list[int]) -> None:
-        """Spreads pre-tokens over the leaves ``first`` to ``last`` and updates the sums above them."""
+        entries = [self.entries[first][:keep], self.coder.number(fresh)]
+        words = self.words[first][:keep] + fresh
+        if stop_leaf < len(self.words):
+            words += self.words[stop_leaf][stop_word:]
+            entries.append(self.entries[stop_leaf][stop_word:])
+        self.put(first, min(stop_leaf, len(self.words) - 1), words, np.concatenate(entries))
+
+    def put(self, first: int, last: int, words: list[str], entries: np.ndarray) -> None:
+        """Spreads pre-tokens over the leaves ``first`` to ``last`` and updates the character sums above them."""
         leaves = last - first + 1
         if len(words) > 4 * LEAF * leaves:  # outgrown: new leaves for all
-            parts = list(self._leaves(words, counts))
-            self.build(
-                [
-                    self.words[:first] + [p[0] for p in parts] + self.words[last + 1 :],
-                    self.counts[:first] + [p[1] for p in parts] + self.counts[last + 1 :],
-                ]
-            )
+            own = list(zip(self.words, self.entries, strict=True))
+            self.build(own[:first] + list(self._leaves(words, entries)) + own[last + 1 :])
             return
         per = -(-len(words) // leaves) or 1
         for k in range(leaves):
             own = slice(k * per, (k + 1) * per)
-            self.words[first + k], self.counts[first + k] = words[own], counts[own]
+            self.words[first + k], self.entries[first + k] = words[own], entries[own]
             self.chars[self.size + first + k] = sum(map(len, words[own]))
-            self.tokens[self.size + first + k] = sum(counts[own])
+        self.stale.update(range(first, last + 1))
         low, high = (self.size + first) // 2, (self.size + last) // 2
         while low:
             for k in range(low, high + 1):
                 self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-                self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
             low, high = low // 2, high // 2
 
 
@@ -192,18 +211,19 @@ def count_edited(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         coder = bpe.shared_encoder(ranks_path, pattern)
         for batch in batches:
             rows: list[list[int]] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            edits = batch.column(2).to_pylist()
-            done = 0
-            for block in bpe.by_size(texts):
-                coder.words(block)  # the block's words are encoded together; the trees then look them up
-                for text, changes in zip(block, edits[done : done + len(block)], strict=True):
-                    tree = CountTree(text, coder.split, coder.count)
-                    before = tree.total
-                    for change in changes or ():
+            edits = iter(batch.column(2).to_pylist())
+            for block in bpe.by_size([t or "" for t in batch.column(1).to_pylist()], BLOCK_CHARS):
+                coder.make_room()
+                trees = [CountTree.of(text, coder) for text in block]
+                before = [tree.total for tree in trees]  # the block's words are encoded together
+                n_edits = []
+                for tree in trees:
+                    changes = next(edits) or ()
+                    n_edits.append(len(changes))
+                    for change in changes:
                         tree.edit(change["start"] or 0, change["end"] or 0, change["replacement"] or "")
-                    rows.append([before, len(changes or ()), tree.total, tree.length, tree.recounted])
-                done += len(block)
+                # ... and so are the words that their edits made.
+                rows += [[a, n, t.total, t.length, t.recounted] for a, n, t in zip(before, n_edits, trees, strict=True)]
             columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in COUNTS.split(", ")])
 

@@ -94,7 +94,7 @@ def test_bpe_on_any_text(known, texts):
 )
 def test_edited_counts_equal_counts_of_the_edited_text(known, text, edits):
     coder = bpe.shared_encoder(queries.RANKS, queries.PATTERN)
-    tree = token_counts.CountTree(text, coder.split, coder.count)
+    tree = token_counts.CountTree.of(text, coder)
     assert tree.total == len(known.encode_ordinary(text))
     for start, size, new in edits:
         a = min(start, len(text))
