@@ -105,9 +105,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's token sequences written to shards in permuted order; the place of each sequence."""
+    """All documents' token sequences written to shards in permuted order, into a lasting folder; where each document's ids went."""
     docs = table(spark, sf_dir, "documents")
-    return token_shards.materialise(docs, _shared.new_path(spark, "shards"), RANKS, PATTERN, end_id=50256, key=2024)
+    return token_shards.materialise(docs, _shared.new_path(spark, "shards", lasting=True), RANKS, PATTERN, end_id=50256, key=2024)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

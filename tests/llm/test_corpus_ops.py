@@ -88,11 +88,12 @@ def test_line_dedup_removes_later_copies(spark, edge, no_docs):
         (6, None),
         (None, block),
     ]
-    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, hash int").repartition(3)
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, hash int").withColumnsRenamed({"hash": "_id"}).repartition(3)
+    assert {r["_id"] for r in line_dedup.remove_repeats(df).collect()} == {5}
     out = {r.doc_id: r for r in line_dedup.remove_repeats(df).collect()}
     assert [out[k].text for k in (1, 3, 5, 6, None)] == [dict(rows)[k] for k in (1, 3, 5, 6, None)]
     assert "end of two" in out[2].text and out[2].removed_lines >= 6 and out[4].text == "its own line " + passage(51, 20)
-    assert line_dedup.remove_repeats(df).columns == ["doc_id", "text", "hash", "removed_lines"]
+    assert line_dedup.remove_repeats(df).columns == ["doc_id", "text", "_id", "removed_lines"]
     kept = line_dedup.remove_repeats(edge).collect()
     assert len(kept) == len(edge_texts()) + 2 and line_dedup.remove_repeats(no_docs).collect() == []
 
@@ -115,6 +116,15 @@ def test_line_dedup_removes_every_repeated_run(spark):
     assert out == brute.repeated_lines(rows, line_dedup.MIN_WORDS, line_dedup.LONG_LINE)
 
 
+def test_line_dedup_of_very_frequent_chunks(spark, monkeypatch):
+    """Chunks that are dealt by several salts, other lengths than the usual ones."""
+    monkeypatch.setattr(line_dedup, "SALTED", 7)
+    rows = [(i, f"own {i}\n" + "\n".join(passage(i % 3, 4).split()) + f"\nend {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.remove_repeats(df, 3, 40).collect()}
+    assert out == brute.repeated_lines(rows, 3, 40) and sum(n for _, n in out.values()) == 87 * 4
+
+
 def test_line_dedup_loses_no_line(spark, sf_dir, documents):
     """Every line that went stays somewhere; what is left of a text are its own lines in order."""
     cut = line_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
@@ -246,36 +256,52 @@ def test_permutation_is_a_bijection(n):
     assert n < 64 or slots.tolist() != token_shards.Permutation(n, 12).slot(np.arange(n, dtype=np.uint64)).tolist()
 
 
-def test_shards_hold_every_sequence(spark, edge, no_docs, tmp_path):
-    out = f"file://{tmp_path}/shards"
-    places = token_shards.materialise(edge, out, queries.RANKS, queries.PATTERN, end_id=50256, key=7, length=32, per_shard=50).collect()
-    n = len(places)
-    assert sorted(p.slot for p in places) == list(range(n))
-    records = list(token_shards.read_slots(out, 0, n, 32, 50, np.dtype("<u2")))
+def check_shards(places, texts, out, length, per_shard):
+    """All shards against the documents' ids laid end to end; every row of the result against its document."""
     coder = bpe.shared_encoder(queries.RANKS, queries.PATTERN)
-    texts = dict(enumerate(edge_texts())) | {None: "no id at all"}
+    ids = [np.append(x, 50256) for x in coder.encode([t or "" for _, t in texts])]
+    stream = np.concatenate(ids)
+    n = -(-len(stream) // length)
+    stream = np.append(stream, [50256] * (n * length - len(stream)))
+    records = np.array(list(token_shards.read_slots(out, 0, n, length, per_shard, np.dtype("<u2"))))
+    slots = token_shards.Permutation(n, 2024).slot(np.arange(n))
+    assert (records[slots] == stream.reshape(n, length)).all()
     by_doc: dict = {}
     for p in places:
-        assert p.shard == p.slot // 50 and p.byte_offset == p.slot % 50 * 64
-        by_doc.setdefault(p.doc_id, []).append((p.seq_no, records[p.slot][: p.n_tokens]))
-        assert (records[p.slot][p.n_tokens :] == 50256).all()
-    for i, t in texts.items():
-        (ids,) = coder.encode([t or ""])
-        rows = sorted(by_doc[i], key=lambda s: s[0])
-        copies = 2 if i == 7 else 1
-        assert np.concatenate([r[1] for r in rows[::copies]]).tolist() == [*ids.tolist(), 50256]
-    assert [r.tolist() for r in token_shards.read_slots(out, 120, 125, 32, 50, np.dtype("<u2"))] == [r.tolist() for r in records[120:125]]
+        assert p.slot == slots[p.seq_no] and p.shard == p.slot // per_shard
+        at = p.byte_offset // 2 - p.slot % per_shard * length
+        by_doc.setdefault(p.doc_id, []).append((p.first_token, records[p.slot][at : at + p.n_tokens].tolist()))
+    for (i, _), own in zip(texts, ids, strict=True):
+        rows = sorted(by_doc[i], key=lambda x: x[0])
+        copies = [k for k, _ in texts].count(i)
+        assert sum(len(r[1]) for r in rows) == copies * len(own) and all(r == own[k : k + len(r)].tolist() for k, r in rows)
+    return records
+
+
+def test_shards_hold_every_sequence(spark, edge, no_docs, tmp_path):
+    out = f"file://{tmp_path}/shards"
+    places = token_shards.materialise(edge, out, queries.RANKS, queries.PATTERN, end_id=50256, key=2024, length=32, per_shard=50).collect()
+    texts = [(None, "no id at all"), *enumerate(edge_texts())]
+    records = check_shards(places, texts[:9] + [texts[8]] + texts[9:], out, 32, 50)
+    assert [r.tolist() for r in token_shards.read_slots(out, 120, 125, 32, 50, np.dtype("<u2"))] == records[120:125].tolist()
     assert token_shards.materialise(no_docs, f"file://{tmp_path}/none", queries.RANKS, queries.PATTERN, 50256, 7).collect() == []
 
 
-def test_shards_do_not_depend_on_the_run(spark, edge, tmp_path):
-    """A second run writes the same bytes."""
-    docs = edge.coalesce(1).sortWithinPartitions("doc_id", "cls")
+def test_shards_query(spark, sf_dir, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries._shared, "new_path", lambda spark, name, lasting=False: f"file://{tmp_path}/{name}")
+    places = queries.op9_token_shards(spark, sf_dir).collect()
+    check_shards(places, sorted((r.doc_id, r.text) for r in documents), f"file://{tmp_path}/shards", token_shards.LENGTH, token_shards.PER_SHARD)
+
+
+@pytest.mark.parametrize("writers", [1, 1000])
+def test_shards_do_not_depend_on_the_run(spark, edge, tmp_path, monkeypatch, writers):
+    """Other partitions of the input, or fewer writing tasks, give the same bytes."""
+    monkeypatch.setattr(token_shards, "WRITERS", writers)
     files = []
-    for name in ("a", "b"):
+    for name, docs in (("a", edge.repartition(2)), ("b", edge.repartition(20, "n"))):
         token_shards.materialise(docs, f"file://{tmp_path}/{name}", queries.RANKS, queries.PATTERN, 50256, 7, 64, 100).count()
         files.append({p.name: p.read_bytes() for p in (tmp_path / name).glob("shard-*")})
-    assert files[0] == files[1] and files[0]
+    assert files[0] == files[1] and len(files[0]) > 1
 
 
 def test_pipeline_stages(spark, sf_dir):
