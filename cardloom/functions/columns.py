@@ -19,6 +19,8 @@ LOCATIONS = {
 CURRENCIES = {"NTD": "TWD", "NT$": "TWD", "台幣": "TWD", "新臺幣": "TWD", "日圓": "JPY", "日幣": "JPY", "美金": "USD", "美元": "USD", "歐元": "EUR", "人民幣": "CNY", "RMB": "CNY"}
 #: Rule and dimension tables up to so many rows are sent to every task.
 SMALL_ROWS = 50_000
+#: Ranges of values that ranks are summed up in.
+RANGES = 200
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -74,25 +76,47 @@ def currency(c: Column) -> Column:
 
 
 def smart_date(c: Column, year: Column, month: Column) -> Column:
-    """Date from ``Y/M/D`` (years below 1911 count from 1911) or ``M/D``, whose year follows from the bill's period."""
+    """Date from ``Y/M/D`` (years below 1911 count from 1911) or ``M/D``, whose year follows from the bill's period.
+
+    A month more than six after the bill's is of the year before; January on a December bill is of the year after.
+    """
     t = F.regexp_replace(F.trim(c.cast("string")), "[.年月-]", "/")
     part = lambda pattern, k: F.regexp_extract(t, pattern, k).try_cast("int")
-    full, short = r"^(\d{2,4})/(\d{1,2})/(\d{1,2})", r"^(\d{1,2})/(\d{1,2})$"
+    full, short = r"^(\d{2,4})/(\d{1,2})/(\d{1,2})", r"^(\d{1,2})/(\d{1,2})"
     y = part(full, 1)
     own = F.when(y < 1911, y + 1911).otherwise(y)
     m = part(short, 1)
-    near = F.when((month <= 2) & (m >= 11), year - 1).when((month >= 11) & (m <= 2), year + 1).otherwise(year)
+    near = F.when(m - month > 6, year - 1).when((month == 12) & (m == 1), year + 1).when(month.isNotNull(), year)
     made = lambda a, b, d: F.try_to_date(F.format_string("%04d-%02d-%02d", a, b, d), "yyyy-MM-dd")
     return F.when(t.rlike(full), made(own, part(full, 2), part(full, 3))).when(t.rlike(short), made(near, m, part(short, 2)))
 
 
-def share_of_rank(value: Column, descending: bool = False, partition: Iterable[Column] = ()) -> Column:
-    """Rank as a share of the rows with a value, ties at their average rank; null for null values."""
-    parts = [value.isNotNull(), *partition]
-    order = Window.partitionBy(*parts).orderBy(value.desc() if descending else value.asc())
-    ties = Window.partitionBy(*parts, value)
-    n = F.count(value).over(Window.partitionBy(*parts))
-    return F.when(value.isNotNull(), (F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2) / n)
+def rank_shares(df: DataFrame, keys: Iterable[str], ranks: Mapping[str, tuple[Column, bool]]) -> DataFrame:
+    """Adds each named rank as a share of the rows that have the value, ties at their average rank; null for null values.
+
+    ``ranks`` gives the value and whether it ranks descending; ``keys`` identify a row.  Equal values are counted first
+    (partial aggregates); the counts are summed up within ranges of values, and the ranges' sums, a few hundred rows a
+    rank, are carried over.  No task sees more than the different values of one range.
+    """
+    keys = list(keys)
+    values = F.array(*(F.struct(F.lit(n).alias("_rank"), v.cast("double").alias("_value")) for n, (v, _) in ranks.items()))
+    long = df.select(*keys, F.explode(values).alias("_r")).select(*keys, "_r.*").where("_value is not null")
+    counts = long.groupBy("_rank", "_value").agg(F.count("*").alias("_n"))
+    splits = counts.groupBy("_rank").agg(F.percentile_approx("_value", [k / RANGES for k in range(1, RANGES)]).alias("_splits"))
+    counts = counts.join(F.broadcast(splits), "_rank")
+    counts = counts.withColumn("_range", F.size(F.filter("_splits", lambda x: x < F.col("_value")))).drop("_splits")
+    sums = counts.groupBy("_rank", "_range").agg(F.sum("_n").alias("_in_range"))
+    of_rank = Window.partitionBy("_rank")
+    sums = sums.withColumns({"_all": F.sum("_in_range").over(of_rank), "_upto": F.sum("_in_range").over(of_rank.orderBy("_range"))})
+    sums = sums.select("_rank", "_range", "_all", (F.col("_upto") - F.col("_in_range")).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy("_rank", "_range").orderBy("_value"))
+    counts = counts.withColumn("_within", upto - F.col("_n")).join(F.broadcast(sums), ["_rank", "_range"])
+    low = F.col("_before") + F.col("_within")
+    place = F.when(F.col("_rank").isin([n for n, (_, down) in ranks.items() if down]), F.col("_all") - low - F.col("_n")).otherwise(low)
+    share = (place + (F.col("_n") + 1) / 2) / F.col("_all")
+    found = long.join(counts.select("_rank", "_value", share.alias("_share")), ["_rank", "_value"])
+    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_rank") == n, F.col("_share"))).alias(n) for n in ranks))
+    return df.join(found, keys, "left")
 
 
 def hashed_id(*parts: Column) -> Column:
@@ -101,9 +125,10 @@ def hashed_id(*parts: Column) -> Column:
 
 
 def rounded(value: Column, how: Column, digits: Column) -> Column:
-    """Reward rounding by name: floor, ceil or round (half away from zero), to 0 or 2 digits."""
+    """Reward rounding by name: floor or down, ceil, ceiling or up, all others half away from zero; to 0 or 2 digits."""
     scaled = value * F.when(digits == 2, F.lit(100)).otherwise(F.lit(1)).cast("decimal(5,0)")
-    whole = F.when(F.lower(how) == "floor", F.floor(scaled)).when(F.lower(how) == "ceil", F.ceil(scaled)).otherwise(F.round(scaled))
+    name = F.lower(F.trim(how))
+    whole = F.when(name.isin("floor", "down"), F.floor(scaled)).when(name.isin("ceil", "ceiling", "up"), F.ceil(scaled)).otherwise(F.round(scaled))
     return (whole.cast("decimal(20,0)") / F.when(digits == 2, F.lit(100)).otherwise(F.lit(1)).cast("decimal(5,0)")).cast("decimal(18,2)")
 
 

@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 
-# Look-back windows in days, other windows by name, and further names of each.
-DAYS = {"last_30_days": 30, "last_90_days": 90, "last_180_days": 180, "last_365_days": 365, "last_730_days": 730}
-ALIASES = {
-    "30d": "last_30_days", "90d": "last_90_days", "180d": "last_180_days", "365d": "last_365_days", "1y": "last_365_days",
-    "730d": "last_730_days", "2y": "last_730_days", "ytd": "this_year", "all": "lifetime", "life": "lifetime",
-    "previous_year": "last_year",
-}
+# Look-back windows in days, and the names that each window goes by; case does not matter.
+DAYS = {"LAST_MONTH": 30, "LAST_QUARTER": 90, "LAST_HALF_YEAR": 180, "LAST_YEAR": 365, "LAST_2_YEARS": 730}
+NAMES = {
+    "LAST_MONTH": ("1M", "30D", "近一個月", "LAST_30_DAYS"),
+    "LAST_QUARTER": ("3M", "90D", "近一季", "LAST_90_DAYS"),
+    "LAST_HALF_YEAR": ("6M", "180D", "近半年", "LAST_180_DAYS"),
+    "LAST_YEAR": ("1Y", "365D", "近一年", "LAST_365_DAYS"),
+    "LAST_2_YEARS": ("2Y", "730D", "近兩年", "LAST_730_DAYS"),
+    "THIS_YEAR": ("THIS_CALENDAR_YEAR", "今年", "YTD"),
+    "LAST_CALENDAR_YEAR": ("PREV_YEAR", "PREVIOUS_YEAR", "去年", "去年(曆年)", "LAST_YEAR_CALENDAR"),
+    "LIFETIME": ("LIFE", "ALL", "全歷史", "全時段", "NONE", "NULL", ""),
+}
 DOMESTIC = ("TW", "TWN", "台灣")
 UNSORTED, BANK_FEES, NO_SUB = "未分類", "銀行費用", "無次分類"
 
@@ -29,19 +34,22 @@ def consumption(df: DataFrame) -> DataFrame:
     return df.where(~F.col("transaction_type").isin(*C.NOT_CONSUMPTION))
 
 
-def resolve_window(name: str, anchor: datetime.date) -> tuple[datetime.date | None, datetime.date | None]:
+def window_name(name: str | None) -> str:
+    """The window that a name stands for; no name and unknown ones are the whole history."""
+    key = (name or "").strip().upper()
+    return next((window for window, others in NAMES.items() if key == window or key in others), "LIFETIME")
+
+
+def resolve_window(name: str | None, anchor: datetime.date) -> tuple[datetime.date | None, datetime.date | None]:
     """First and last day of a named window that ends at the anchor; (None, None) is unbounded."""
-    key = name.strip().lower()
-    key = ALIASES.get(key, key)
+    key = window_name(name)
     if key in DAYS:
         return anchor - datetime.timedelta(days=DAYS[key]), anchor
-    if key == "this_year":
+    if key == "THIS_YEAR":
         return datetime.date(anchor.year, 1, 1), anchor
-    if key == "last_year":
+    if key == "LAST_CALENDAR_YEAR":
         return datetime.date(anchor.year - 1, 1, 1), datetime.date(anchor.year - 1, 12, 31)
-    if key == "lifetime":
-        return None, None
-    raise ValueError(f"unknown window {name!r}")
+    return None, None
 
 
 def between_days(first: datetime.date | None, last: datetime.date | None) -> Column:

@@ -16,25 +16,30 @@ from pyspark.sql import functions as F
 from cardloom.functions import columns as C
 
 MONEY = "decimal(18,2)"
-# Digits and rounding by reward type; all others have none and round down.
+# Reward types with two digits (others have none) and those that round down (others round half up).
 TWO_DIGITS = ("openpoint",)
+DOWN = ("cashback_floor", "esunpoint_floor", "esun_points_floor")
 FIELDS = ("payment_process", "ec_platform", "vpc_type", "merchant_location")
 
 
 def candidates(txns: DataFrame, programs: DataFrame) -> DataFrame:
     """Transactions with every program that is open on their day for their bank and card.
 
-    A ``locked`` array, if the transactions have one and it is not empty, lets only its base programs through.
+    A ``locked`` array, if the transactions have one and it is not empty, lets only its base programs through.  A program
+    is for a bank or ALL and for a card or ALL (blank is ALL); a transaction asks for each of these combinations, so
+    programs are found by equal keys.
     """
-    side = C.small(programs.withColumnsRenamed({"bank_no": "_bank", "card_id": "_card", "start_date": "_start", "end_date": "_end"}))
+    names = {"bank_no": "_bank", "card_id": "_card", "start_date": "_start", "end_date": "_end"}
+    wanted = programs.withColumnsRenamed(names).withColumns({"_bank": F.lower("_bank"), "_card": F.when(C.blank(F.col("_card")), "all").otherwise(F.lower("_card"))})
+    every = F.lit("all")
+    pairs = [F.struct(b.alias("_bank"), c.alias("_card")) for b in (F.lower("bank_no"), every) for c in (F.lower("card_id"), every)]
+    asked = txns.withColumn("_asked", F.explode(F.array_distinct(F.array(*pairs)))).withColumns({"_bank": F.col("_asked._bank"), "_card": F.col("_asked._card")}).drop("_asked")
     day = F.col("transaction_date")
     cond = (F.coalesce(day >= F.col("_start"), F.lit(True))) & (F.coalesce(day <= F.col("_end"), F.lit(True)))
-    cond = cond & ((F.col("_bank") == "ALL") | (F.lower("_bank") == F.lower("bank_no")))
-    cond = cond & (C.blank(F.col("_card")) | (F.col("_card") == "ALL") | (F.lower("_card") == F.lower("card_id")))
     if "locked" in txns.columns:
         open_to = (F.col("source") != "base") | F.coalesce(F.size("locked"), F.lit(0)).isin(0, -1) | F.array_contains("locked", F.col("reward_program"))
         cond = cond & F.coalesce(open_to, F.lit(True))
-    return txns.join(side, cond).drop("_bank", "_card", "_start", "_end")
+    return asked.join(C.small(wanted), ["_bank", "_card"]).where(cond).drop("_bank", "_card", "_start", "_end")
 
 
 def matches(wanted: Column, value: Column, blanks: tuple[str, ...] = ()) -> Column:
@@ -86,12 +91,18 @@ def waterfall(rows: DataFrame) -> DataFrame:
 
 
 def cycle_key(rows: DataFrame) -> Column:
-    """What a cap is counted over, in lower case."""
-    cycle = F.upper("reward_cycle")
-    key = F.when(cycle == "BILLING_CYCLE", F.concat_ws("|", "reward_program", "bank_no", "card_id", F.coalesce("statement_month", F.date_format("posting_date", "yyyy-MM"))))
-    key = key.when(cycle == "CALENDAR_MONTH", F.concat_ws("|", "reward_program", "bank_no", "card_id", F.date_format("transaction_date", "yyyy-MM")))
-    key = key.when(cycle == "CAMPAIGN_CYCLE", F.concat_ws("|", "reward_program", F.col("program_start").cast("string"), F.col("program_end").cast("string")))
-    return F.lower(key.otherwise(F.concat_ws("|", "reward_program", "transaction_id")))
+    """What a cap is counted over, in lower case; missing parts keep their place, so they never join two keys."""
+    cycle = F.upper(F.trim("reward_cycle"))
+
+    def key(kind: str, *parts: Column) -> Column:
+        return F.concat_ws("|", F.lit(kind), F.coalesce("reward_program", F.lit("")), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+
+    card = [F.when(~C.blank(F.col(c)), F.col(c)) for c in ("card_id", "card_type") if c in rows.columns]
+    month = F.coalesce("statement_month", F.date_format("posting_date", "yyyy-MM"))
+    out = F.when(cycle == "BILLING_CYCLE", key("billing", F.col("bank_no"), F.coalesce(*card, F.lit("DEFAULT")), month))
+    out = out.when(cycle == "CALENDAR_MONTH", key("month", F.col("bank_no"), F.col("card_id"), F.date_format("transaction_date", "yyyy-MM")))
+    out = out.when(cycle == "CAMPAIGN_CYCLE", key("campaign", F.col("program_start"), F.col("program_end")))
+    return F.lower(out.otherwise(key("one", F.col("transaction_id"))))
 
 
 def digits(kind: Column) -> Column:
@@ -99,29 +110,41 @@ def digits(kind: Column) -> Column:
     return F.when(F.lower(kind).isin(*TWO_DIGITS), 2).otherwise(0)
 
 
+def rounding() -> Column:
+    """The program's way of rounding, else that of its reward type."""
+    given = F.when(~C.blank(F.col("round_strategy")), F.col("round_strategy"))
+    return F.coalesce(given, F.when(F.lower("reward_type").isin(*DOWN), "floor").otherwise("round"))
+
+
 def base_reward(rows: DataFrame) -> Column:
     """Rounded reward of one transaction alone."""
-    return C.rounded(F.col("amount") * F.col("rate") / F.lit(100), F.coalesce("round_strategy", F.lit("floor")), digits(F.col("reward_type")))
+    return C.rounded(F.col("amount") * F.col("rate") / F.lit(100), rounding(), digits(F.col("reward_type")))
+
+
+def with_mixed(programs: DataFrame) -> DataFrame:
+    """Adds ``_mixed``: whether programs of one name and cycle, which can share a key, differ in cap or method."""
+    cap = F.when(F.col("cap_amount") > 0, F.col("cap_amount")).cast(MONEY)
+    kind = F.struct(F.coalesce(cap, F.lit(-1)), F.coalesce(F.upper("calc_method") == "AGGREGATE", F.lit(False)))
+    same = Window.partitionBy(F.lower("reward_program"), F.upper(F.trim("reward_cycle")))
+    return programs.withColumn("_mixed", F.min(kind).over(same) != F.max(kind).over(same))
 
 
 ORDER = ("transaction_date", "transaction_id", "priority", "load_ord")
 
 
-def capped(rows: DataFrame) -> DataFrame:
+def capped(rows: DataFrame, any_mixed: bool = True) -> DataFrame:
     """Adds ``reward`` and ``is_capped``: rewards of each cycle key in order, up to its cap (none if null or not positive).
 
     PER_ITEM rounds each row and pays up to what is left; once full, a key pays nothing more.  AGGREGATE rounds the
-    running amount and pays the increments.  Both are running sums and maxima over one sort.
+    running amount and pays the increments.  Both are running sums and maxima over one sort.  Rows with ``_mixed`` go
+    through a loop per key instead; ``any_mixed`` says whether there can be any.
     """
     rows = rows.withColumn("cycle_key", cycle_key(rows)).withColumn("_p", base_reward(rows))
     rows = rows.withColumn("_cap", F.when(F.col("cap_amount") > 0, F.col("cap_amount")).cast(MONEY)).withColumn("_agg", F.upper("calc_method") == "AGGREGATE")
-    kind = F.struct(F.coalesce(F.col("_cap"), F.lit(-1)), F.coalesce(F.col("_agg"), F.lit(False)))
-    whole = Window.partitionBy("cycle_key")
-    rows = rows.withColumn("_mixed", F.min(kind).over(whole) != F.max(kind).over(whole))
     order = Window.partitionBy("cycle_key").orderBy(*ORDER)
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    amounts = rows.where("not _mixed").withColumn("_sum", F.sum("_p").over(upto)).withColumn("_amount", F.sum("amount").over(upto))
-    earned = C.rounded(F.col("_amount") * F.col("rate") / F.lit(100), F.coalesce("round_strategy", F.lit("floor")), digits(F.col("reward_type")))
+    amounts = (rows.where("not _mixed") if any_mixed else rows).withColumn("_sum", F.sum("_p").over(upto)).withColumn("_amount", F.sum("amount").over(upto))
+    earned = C.rounded(F.col("_amount") * F.col("rate") / F.lit(100), rounding(), digits(F.col("reward_type")))
     amounts = amounts.withColumn("_earned", earned)
     amounts = amounts.withColumn("_max", F.max("_sum").over(before)).withColumn("_before", F.greatest(F.lit(0), F.coalesce(F.max("_earned").over(before), F.lit(0))))
     cap, zero = F.col("_cap"), F.lit(0).cast(MONEY)
@@ -132,14 +155,18 @@ def capped(rows: DataFrame) -> DataFrame:
     hit = F.coalesce(F.when(F.col("_agg"), (F.col("_before") >= cap) | (now > cap)).otherwise(full | (F.col("_sum") > cap)), F.lit(False))
     columns = [c for c in rows.columns if not c.startswith("_")]
     closed = amounts.select(*columns, F.when(F.col("_agg"), share).otherwise(item).cast(MONEY).alias("reward"), hit.alias("is_capped"))
+    if not any_mixed:
+        return closed
     schema = closed.schema
     mixed = rows.where("_mixed").repartition("cycle_key").sortWithinPartitions("cycle_key", *ORDER).mapInPandas(_loop, schema)
     return closed.unionByName(mixed)
 
 
 def _round(value: Decimal, how: str | None, kind: str | None) -> Decimal:
-    unit = Decimal("0.01") if (kind or "").lower() in TWO_DIGITS else Decimal(1)
-    rule = {"ceil": ROUND_CEILING, "round": ROUND_HALF_UP}.get((how or "floor").lower(), ROUND_FLOOR)
+    kind = (kind or "").lower()
+    unit = Decimal("0.01") if kind in TWO_DIGITS else Decimal(1)
+    name = (how or "").strip().lower() or ("floor" if kind in DOWN else "round")
+    rule = {"floor": ROUND_FLOOR, "down": ROUND_FLOOR, "ceil": ROUND_CEILING, "ceiling": ROUND_CEILING, "up": ROUND_CEILING}.get(name, ROUND_HALF_UP)
     return value.quantize(unit, rule)
 
 
@@ -169,8 +196,9 @@ def _loop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def calculate(txns: DataFrame, programs: DataFrame, links: DataFrame, pools: DataFrame) -> DataFrame:
     """Every applied program of every transaction with its reward."""
-    programs = programs.withColumn("program_start", F.col("start_date")).withColumn("program_end", F.col("end_date"))
-    return capped(waterfall(with_rates(candidates(txns, programs), links, pools)))
+    programs = with_mixed(programs).withColumn("program_start", F.col("start_date")).withColumn("program_end", F.col("end_date"))
+    any_mixed = not programs.where("_mixed").isEmpty()
+    return capped(waterfall(with_rates(candidates(txns, programs), links, pools)), any_mixed)
 
 
 def audit(txns: DataFrame, applied: DataFrame) -> DataFrame:

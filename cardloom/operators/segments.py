@@ -12,17 +12,24 @@ from cardloom.operators.summaries import total
 
 WINDOWS = {"d30": 30, "d90": 90, "d180": 180, "d365": 365, "d730": 730, "life": None}
 NO_RECENCY = 9999
+# Names of groups without a value, and the labels of segments.
+NO_CATEGORY, NO_PAYMENT = "未分類", "實體卡/其他"
+MERCHANT_LABELS = ("核心商家 (Core)", "流失高價值 (Churned)", "潛力商家 (Rising)", "一般活躍 (Active)", "沉睡 (Dormant)")
+CATEGORY_LABELS = ("核心類別 (Core)", "流失高價值類別 (Churned)", "潛力新興類別 (Rising)", "一般活躍類別 (Active)", "沉睡類別 (Dormant)")
+PAYMENT_LABELS = ("主力支付 (Main)", "已棄用 (Abandoned)", "輔助支付 (Backup)", "冷門支付 (Rare)")
+CARD_LABELS = ("❄️ 冷凍/沉睡", "👑 主要使用卡片", "🎯 特定用途使用卡片", "🔄 備用卡片", "📉 不常用卡片")
+QUADRANT_LABELS = ("固定大額型 (Fixed High-Value)", "大額偶發型 (Spike Big-Ticket)", "微額日常型 (Micro-Routine)", "長尾混合型 (Elastic Long-Tail)")
 
 
-def rfm(df: DataFrame, keys: Sequence[str], windows: Mapping[str, int | None] = WINDOWS) -> DataFrame:
+def rfm(df: DataFrame, keys: Sequence[str], windows: Mapping[str, int | None] = WINDOWS, names: Mapping[str, str] | None = None) -> DataFrame:
     """Recency, frequency (different transactions), money and their ranks per key and look-back window.
 
-    One shuffle: rows are first brought to one per key and transaction, so the windows' distinct counts are plain
-    counts.  The anchor is the day after the last transaction.  Ranks cover the keys that a window holds; a key that
-    it does not hold gets recency 9999 and zeros.
+    Rows are first brought to one per key and transaction, so the windows' distinct counts are plain counts.  The anchor
+    is the day after the last transaction.  Ranks cover the keys that a window holds; a key that it does not hold gets
+    recency 9999 and zeros.  ``names`` gives null keys a name; other null keys are left out.
     """
     (last,) = df.agg(F.max("transaction_date")).first()
-    rows = df.dropna(subset=list(keys))
+    rows = df.fillna(dict(names or {})).dropna(subset=list(keys))
     if last is None:
         last = F.lit(None).cast("date")
     anchor = F.date_add(F.lit(last), 1)
@@ -40,23 +47,23 @@ def rfm(df: DataFrame, keys: Sequence[str], windows: Mapping[str, int | None] =
             F.sum(f"_{name}").cast("double").alias(f"{name}_monetary"),
         ]
     out = per_id.groupBy(*keys).agg(*aggs)
+    ranks: dict[str, tuple[Column, bool]] = {}
     cols: list[Column] = [F.col(k) for k in keys]
     for name in windows:
         here = F.col(f"{name}_frequency") > 0
         recency = F.when(here, F.datediff(anchor, f"{name}_day"))
         frequency, money = F.when(here, F.col(f"{name}_frequency")), F.when(here, F.coalesce(f"{name}_monetary", F.lit(0.0)))
+        ranks |= {f"{name}_r_rank": (recency, True), f"{name}_f_rank": (frequency, False), f"{name}_m_rank": (money, False)}
         cols += [
             F.coalesce(recency, F.lit(NO_RECENCY)).alias(f"{name}_recency"),
             F.coalesce(frequency, F.lit(0)).alias(f"{name}_frequency"),
             F.coalesce(money, F.lit(0.0)).alias(f"{name}_monetary"),
-            F.coalesce(C.share_of_rank(recency, descending=True), F.lit(0.0)).alias(f"{name}_r_rank"),
-            F.coalesce(C.share_of_rank(frequency), F.lit(0.0)).alias(f"{name}_f_rank"),
-            F.coalesce(C.share_of_rank(money), F.lit(0.0)).alias(f"{name}_m_rank"),
+            *(F.coalesce(f"{name}_{x}_rank", F.lit(0.0)).alias(f"{name}_{x}_rank") for x in "rfm"),
         ]
-    return out.select(*cols)
+    return C.rank_shares(out, keys, ranks).select(*cols)
 
 
-def merchant_segment(middle: str = "d180", labels: Sequence[str] = ("Core", "Churned", "Rising", "Active", "Dormant")) -> Column:
+def merchant_segment(middle: str = "d180", labels: Sequence[str] = MERCHANT_LABELS) -> Column:
     """Segment by lifetime money and activity in the middle window."""
     core, churned, rising, active, dormant = labels
     high, seen = F.col("life_m_rank") >= 0.8, F.col(f"{middle}_frequency") > 0
@@ -67,13 +74,14 @@ def merchant_segment(middle: str = "d180", labels: Sequence[str] = ("Core", "Chu
 def payment_segment(short: str = "life") -> Column:
     """Segment by lifetime frequency and activity in the short window."""
     high, seen = F.col("life_f_rank") >= 0.7, F.col(f"{short}_frequency") > 0
-    return F.when(high & seen, "Main").when(high, "Abandoned").when(seen, "Backup").otherwise("Dormant")
+    return F.when(high & seen, PAYMENT_LABELS[0]).when(high, PAYMENT_LABELS[1]).when(seen, PAYMENT_LABELS[2]).otherwise(PAYMENT_LABELS[3])
 
 
 def card_segment(window: str = "life") -> Column:
-    """冷凍 after 180 days without use, else by frequency and money above or below the middle."""
+    """The first label after 180 days without use, else by frequency and money above or below the middle."""
     f, m = F.col(f"{window}_f_rank") >= 0.5, F.col(f"{window}_m_rank") >= 0.5
-    return F.when(F.col(f"{window}_recency") > 180, "冷凍").when(f & m, "主力").when(f, "日常").when(m, "大額").otherwise("備用")
+    idle, main, special, spare, rare = CARD_LABELS
+    return F.when(F.col(f"{window}_recency") > 180, idle).when(f & m, main).when(m, special).when(f, spare).otherwise(rare)
 
 
 def average_ticket(window: str = "life") -> Column:
@@ -97,7 +105,8 @@ def ticket_stats(df: DataFrame, *keys: str) -> DataFrame:
 def quadrant(avg: Column, std: Column, middle_avg: Column, middle_std: Column) -> Column:
     """One of four labels by size and spread against the medians."""
     big, wide = avg >= middle_avg, std >= middle_std
-    return F.when(big & wide, "large_volatile").when(big, "large_stable").when(wide, "small_volatile").otherwise("small_stable")
+    fixed, spike, routine, mixed = QUADRANT_LABELS
+    return F.when(big & wide, spike).when(big, fixed).when(wide, mixed).otherwise(routine)
 
 
 def volatility(df: DataFrame, *keys: str) -> DataFrame:
@@ -136,8 +145,9 @@ def top_per_group(df: DataFrame, group: str, item: str, n: int = 3) -> DataFrame
 
 
 def pinned_first(df: DataFrame, name: str, pinned: Sequence[str], money: str) -> DataFrame:
-    """Sort key and flag of rows that stand first in the given order, then by money."""
+    """Adds ``is_pinned`` and ``sort_key``, by which rows sort: those that hold a pinned word in the given order, then by money."""
     place = F.lit(len(pinned))
     for k, word in reversed(list(enumerate(pinned))):
         place = F.when(F.lower(F.col(name)).contains(word.lower()), k).otherwise(place)
-    return df.withColumn("is_pinned", place < len(pinned)).withColumn("sort_key", F.row_number().over(Window.orderBy(place, F.desc(money), name)))
+    key = F.struct(place.alias("place"), (-F.col(money)).alias("money"), F.col(name).alias("name"))
+    return df.withColumn("is_pinned", place < len(pinned)).withColumn("sort_key", key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 
-# Payment tiers by name; the first name equal to or found in a value gives its tier.
-TIER_1 = ("Linepay", "街口支付", "全支付", "Apple Pay", "Google Pay", "實體卡/虛擬卡")
-TIER_2 = ("悠遊付", "全盈+PAY", "Pi 拍錢包", "icash Pay", "OPEN錢包", "Samsung Pay")
+# Payment tiers where no table of payments gives priorities (1 to 7 and 8 to 16), and names of plain cards.
+TIER_1 = ("Linepay", "街口支付", "悠遊付", "icash Pay", "一卡通", "全盈+PAY", "全支付")
+TIER_2 = ("橘子支付", "台灣pay", "玉山Wallet", "OPEN錢包", "Famipay", "PXPay")
+CARD = "實體卡/虛擬卡"
+CARD_NAMES = ("實體卡/其他", "實體卡", "虛擬卡", "實體卡/虛擬卡")
+LINE_PAY = "Linepay"
 OTHER = "其他"
 
 
@@ -93,11 +97,27 @@ def flow_nodes(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("source", "target")).alias("name")).distinct()
 
 
+def payment_tiers(payments: DataFrame) -> tuple[list[str], list[str]]:
+    """The payments of the two tiers, by priority, from a table of ``payment_process`` and ``priority``.
+
+    At most the rows of priority 1 to 16 are read, one for each name.
+    """
+    rank = F.col("priority").try_cast("int")
+    rows = payments.where(rank.between(1, 16) & F.col("payment_process").isNotNull()).groupBy(F.trim("payment_process").alias("name")).agg(F.min(rank).alias("rank"))
+    tiers: tuple[list[str], list[str]] = ([], [])
+    for r in rows.orderBy("rank", "name").collect():
+        name = LINE_PAY if r.rank <= 7 and re.search("(?i)line.*pay", r.name) else r.name
+        if name not in tiers[r.rank > 7]:
+            tiers[r.rank > 7].append(name)
+    return tiers if any(tiers) else (list(TIER_1), list(TIER_2))
+
+
 def tier(c: Column, first: Iterable[str] = TIER_1, second: Iterable[str] = TIER_2) -> Column:
-    """Payment tier: blank is a card, LINE Pay under any spelling, then the first listed name found in the value."""
-    out = F.when(C.blank(c), "實體卡/虛擬卡").when(c.rlike("(?iu)line.*pay|連加"), "Linepay")
+    """Payment tier: blank and card names are a card, LINE Pay under any spelling, then the first listed name found in the value."""
+    value = F.trim(c)
+    out = F.when(C.blank(c) | value.isin(*CARD_NAMES), CARD).when(c.rlike("(?iu)line.*pay|連加"), LINE_PAY)
     for name in (*first, *second):
-        out = out.when(F.lower(c).contains(name.lower()), name)
+        out = out.when(F.lower(value).contains(name.lower()), name)
     return out.otherwise(OTHER)
 
 

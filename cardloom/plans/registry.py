@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,46 +117,62 @@ def _rank(value: str, order: str, out: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN 0 ELSE CAST({rank} AS DOUBLE) END AS {out}"
 
 
-def _rfm(key: str, windows: dict[str, int | None], more: str = "") -> str:
+def _labels(names, *conditions: str) -> str:
+    """A CASE of the labels in order, the last one for all other rows."""
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in zip(conditions, names, strict=False)) + f" ELSE '{names[-1]}' END"
+
+
+def _rfm(key: str, windows: dict[str, int | None], more: str = "", name: str | None = None) -> str:
     aggs, cols = [], []
     for n, d in windows.items():
         cond = "TRUE" if d is None else f"transaction_date >= anchor - {d}"
         aggs += [f"datediff('day', max(transaction_date) FILTER (WHERE {cond}), max(anchor)) AS {n}_r", f"nullif(count(DISTINCT transaction_id) FILTER (WHERE {cond}), 0) AS {n}_f", f"CAST(sum(payment_amount) FILTER (WHERE {cond}) AS DOUBLE) AS {n}_m"]
         cols += [f"coalesce({n}_r, 9999) AS {n}_recency", f"coalesce({n}_f, 0) AS {n}_frequency", f"coalesce({n}_m, 0) AS {n}_monetary"]
         cols += [_rank(f"{n}_r", "DESC", f"{n}_r_rank"), _rank(f"{n}_f", "ASC", f"{n}_f_rank"), _rank(f"{n}_m", "ASC", f"{n}_m_rank")]
-    return f"""WITH {SPENT}, a AS (SELECT CAST(max(transaction_date) AS DATE) + 1 AS anchor FROM sp), g AS (SELECT {key}, {', '.join(aggs)} FROM sp, a WHERE {key} IS NOT NULL GROUP BY ALL),
+    rows = f"(SELECT * REPLACE (coalesce({key}, '{name}') AS {key}) FROM sp)" if name else "sp"
+    some = " AND ".join(f"{k} IS NOT NULL" for k in key.split(", "))
+    return f"""WITH {SPENT}, a AS (SELECT CAST(max(transaction_date) AS DATE) + 1 AS anchor FROM sp), g AS (SELECT {key}, {', '.join(aggs)} FROM {rows}, a WHERE {some} GROUP BY ALL),
     r AS (SELECT {key}, {', '.join(cols)} FROM g) SELECT *{more} FROM r"""
 
 
 _SHORT = {"d30": 30, "d180": 180, "life": None}
-_SEG = "CASE WHEN life_m_rank >= 0.8 AND d180_frequency > 0 THEN 'Core' WHEN life_m_rank >= 0.8 THEN 'Churned' WHEN d180_frequency > 0 AND d180_m_rank >= 0.8 THEN 'Rising' WHEN d180_frequency > 0 THEN 'Active' ELSE 'Dormant' END"
+_SEGMENTS = ("life_m_rank >= 0.8 AND d180_frequency > 0", "life_m_rank >= 0.8", "d180_frequency > 0 AND d180_m_rank >= 0.8", "d180_frequency > 0")
 
 
-@query(_rfm("normalized_merchant", segments.WINDOWS, f", {_SEG} AS segment"))
+@query(_rfm("normalized_merchant", segments.WINDOWS, f", {_labels(segments.MERCHANT_LABELS, *_SEGMENTS)} AS segment"))
 def rfm_merchant(spark, sf_dir):
     return segments.rfm(spent(spark, sf_dir), ["normalized_merchant"]).withColumn("segment", segments.merchant_segment())
 
 
-@query(_rfm("sub_category", _SHORT, f", {_SEG} AS segment"))
+@query(_rfm("category", _SHORT, f", {_labels(segments.CATEGORY_LABELS, *_SEGMENTS)} AS segment", segments.NO_CATEGORY))
 def rfm_category(spark, sf_dir):
-    return segments.rfm(spent(spark, sf_dir), ["sub_category"], _SHORT).withColumn("segment", segments.merchant_segment())
+    out = segments.rfm(spent(spark, sf_dir), ["category"], _SHORT, {"category": segments.NO_CATEGORY})
+    return out.withColumn("segment", segments.merchant_segment(labels=segments.CATEGORY_LABELS))
 
 
-@query(_rfm("payment_process", _SHORT, ", CASE WHEN life_f_rank >= 0.7 AND d30_frequency > 0 THEN 'Main' WHEN life_f_rank >= 0.7 THEN 'Abandoned' WHEN d30_frequency > 0 THEN 'Backup' ELSE 'Dormant' END AS segment"))
+@query(
+    _rfm(
+        "payment_process",
+        _SHORT,
+        f", {_labels(segments.PAYMENT_LABELS, 'life_f_rank >= 0.7 AND d30_frequency > 0', 'life_f_rank >= 0.7', 'd30_frequency > 0')} AS segment",
+        segments.NO_PAYMENT,
+    )
+)
 def rfm_payment(spark, sf_dir):
-    return segments.rfm(spent(spark, sf_dir), ["payment_process"], _SHORT).withColumn("segment", segments.payment_segment("d30"))
+    out = segments.rfm(spent(spark, sf_dir), ["payment_process"], _SHORT, {"payment_process": segments.NO_PAYMENT})
+    return out.withColumn("segment", segments.payment_segment("d30"))
 
 
 @query(
     _rfm(
-        "card_type",
+        "bank_name, card_type",
         _SHORT,
-        """, CASE WHEN life_recency > 180 THEN '冷凍' WHEN life_f_rank >= 0.5 AND life_m_rank >= 0.5 THEN '主力' WHEN life_f_rank >= 0.5 THEN '日常' WHEN life_m_rank >= 0.5 THEN '大額' ELSE '備用' END AS segment,
+        f""", {_labels(segments.CARD_LABELS, 'life_recency > 180', 'life_f_rank >= 0.5 AND life_m_rank >= 0.5', 'life_m_rank >= 0.5', 'life_f_rank >= 0.5')} AS segment,
         CASE WHEN life_frequency = 0 THEN 0 ELSE CAST(trunc(life_monetary / life_frequency) AS BIGINT) END AS avg_ticket""",
     )
 )
 def rfm_card(spark, sf_dir):
-    out = segments.rfm(spent(spark, sf_dir), ["card_type"], _SHORT)
+    out = segments.rfm(spent(spark, sf_dir), ["bank_name", "card_type"], _SHORT)
     return out.withColumn("segment", segments.card_segment()).withColumn("avg_ticket", segments.average_ticket())
 
 
@@ -188,7 +205,7 @@ def merchant_ticket_stats(spark, sf_dir):
     m AS (SELECT median(avg) FILTER (WHERE avg > 0) AS ma, median(std) FILTER (WHERE std > 0) AS ms FROM s)
     SELECT payment_process, category, n, total_amount, round(std, 4) AS std, low, high, avg, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(whisker_low, 4) AS whisker_low,
       round(whisker_high, 4) AS whisker_high, coalesce(n_outliers, 0) AS n_outliers, CASE WHEN n = 1 THEN 'single' WHEN q1 = q3 OR low = high THEN 'fixed_amount' ELSE 'regular' END AS kind,
-      CASE WHEN avg >= ma AND std >= ms THEN 'large_volatile' WHEN avg >= ma THEN 'large_stable' WHEN std >= ms THEN 'small_volatile' ELSE 'small_stable' END AS quadrant
+      {_labels(segments.QUADRANT_LABELS, 'avg >= ma AND std < ms', 'avg >= ma', 'std < ms')} AS quadrant
     FROM w LEFT JOIN o USING (payment_process, category), m"""
 )
 def volatility_payment_category(spark, sf_dir):
@@ -269,12 +286,26 @@ def query_time_window(spark, sf_dir):
     return _ten(filters.query_transactions(tx(spark, sf_dir), time_window="90d"))
 
 
-@query(f"WITH {SPENT}, a AS (SELECT max(transaction_date) AS d FROM tx) SELECT {_TEN} FROM sp, a WHERE year(transaction_date) = year(d) - 1 AND sub_category IN ('Brand#1', 'Brand#2')")
+_BRANDS = "sub_category IN ('Brand#1', 'Brand#2')"
+
+
+@query(f"WITH {SPENT}, a AS (SELECT max(transaction_date) AS d FROM tx) SELECT {_TEN} FROM sp, a WHERE transaction_date BETWEEN d - 365 AND d AND {_BRANDS}")
 def query_last_year(spark, sf_dir):
     rows = filters.query_transactions(tx(spark, sf_dir), time_window="last_year")
     return _ten(filters.prepared(rows, sub_categories=["Brand#1", "Brand#2"]))
 
 
+@query(f"WITH {SPENT}, a AS (SELECT max(transaction_date) AS d FROM tx) SELECT {_TEN} FROM sp, a WHERE year(transaction_date) = year(d) - 1 AND {_BRANDS}")
+def query_previous_year(spark, sf_dir):
+    rows = filters.query_transactions(tx(spark, sf_dir), time_window="去年")
+    return _ten(filters.prepared(rows, sub_categories=["Brand#1", "Brand#2"]))
+
+
+@query(f"WITH {SPENT} SELECT {_TEN} FROM sp WHERE transaction_date BETWEEN DATE '1997-01-15' AND DATE '1997-03-01'")
+def query_between_days(spark, sf_dir):
+    return _ten(filters.query_transactions(tx(spark, sf_dir), start_date=datetime.date(1997, 1, 15), end_date=datetime.date(1997, 3, 1)))
+
+
 @query(f"WITH {TX} SELECT category, string_agg(DISTINCT sub_category, ',' ORDER BY sub_category) AS sub_categories FROM tx GROUP BY ALL")
 def filter_menu(spark, sf_dir):
     return filters.menu(tx(spark, sf_dir))
@@ -443,30 +474,40 @@ def reward_waterfall(spark, sf_dir):
 
 
 _W = "PARTITION BY {k} ORDER BY transaction_date, transaction_id, priority, load_ord ROWS BETWEEN UNBOUNDED PRECEDING AND {b}"
-
-
-@query(
-    f"""WITH {_RW}, p AS (SELECT *, concat(card_type, bank_no, strftime(transaction_date, '%Y-%m')) AS k, CAST(round(payment_amount * rate / 100) AS DECIMAL(18,2)) AS p FROM wf WHERE reward_id = 'p2'),
-    s AS (SELECT *, sum(p) OVER ({_W.format(k='k', b='CURRENT ROW')}) AS cs FROM p), m AS (SELECT *, max(cs) OVER ({_W.format(k='k', b='1 PRECEDING')}) AS cm FROM s)
-    SELECT transaction_id, CAST(CASE WHEN coalesce(cm >= cap, FALSE) THEN 0 ELSE least(p, cap - (cs - p)) END AS DOUBLE) AS reward, coalesce(cm >= cap, FALSE) OR cs > cap AS is_capped FROM m"""
-)
+_NOW, _HAD = _W.format(k="k", b="CURRENT ROW"), _W.format(k="k", b="1 PRECEDING")
+_KEEP = "transaction_id, transaction_date, bank_no, card_type, reward_id, reward_program, pool_id, source, cap"
+# The rewards of each program by its own cap and rounding.
+_APPLIED = f"""{_RW}, a2 AS (SELECT *, concat(card_type, bank_no, strftime(transaction_date, '%Y-%m')) AS k, CAST(round(payment_amount * rate / 100) AS DECIMAL(18,2)) AS p FROM wf WHERE reward_id = 'p2'),
+ b2 AS (SELECT *, sum(p) OVER ({_NOW}) AS cs FROM a2), c2 AS (SELECT *, max(cs) OVER ({_HAD}) AS cm FROM b2),
+ a3 AS (SELECT *, 1 AS k FROM wf WHERE reward_id = 'p3'), b3 AS (SELECT *, CAST(round(sum(payment_amount) OVER ({_NOW}) * rate / 100, 2) AS DECIMAL(18,2)) AS earned FROM a3),
+ c3 AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_HAD}), 0)) AS had FROM b3),
+ a4 AS (SELECT *, concat(card_type, strftime(posting_date, '%Y-%m')) AS k FROM wf WHERE reward_id = 'p4'), b4 AS (SELECT *, CAST(floor(sum(payment_amount) OVER ({_NOW}) * rate / 100) AS DECIMAL(18,2)) AS earned FROM a4),
+ c4 AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_HAD}), 0)) AS had FROM b4),
+ a5 AS (SELECT *, CAST(floor(payment_amount * rate / 100) AS DECIMAL(18,2)) AS p FROM wf WHERE reward_id = 'p5'),
+ applied AS (SELECT {_KEEP}, CAST(0 AS DECIMAL(18,2)) AS reward, FALSE AS is_capped FROM wf WHERE reward_id = 'p1'
+  UNION ALL SELECT {_KEEP}, CASE WHEN coalesce(cm >= cap, FALSE) THEN 0 ELSE least(p, cap - (cs - p)) END, coalesce(cm >= cap, FALSE) OR cs > cap FROM c2
+  UNION ALL SELECT {_KEEP}, least(cap, greatest(had, earned)) - least(cap, had), had >= cap OR greatest(had, earned) > cap FROM c3
+  UNION ALL SELECT {_KEEP}, greatest(had, earned) - had, FALSE FROM c4
+  UNION ALL SELECT {_KEEP}, least(p, cap), p > cap FROM a5)"""
+
+
+@query(f"WITH {_APPLIED} SELECT transaction_id, CAST(reward AS DOUBLE) AS reward, is_capped FROM applied WHERE reward_id = 'p2'")
 def reward_cap_per_item(spark, sf_dir):
     _, out = _rewards(spark, sf_dir)
     return out.where("reward_id = 'p2'").select("transaction_id", F.col("reward").cast("double").alias("reward"), "is_capped")
 
 
-@query(
-    f"""WITH {_RW}, a AS (SELECT *, concat(card_type, strftime(posting_date, '%Y-%m')) AS k FROM wf WHERE reward_id = 'p4'),
-    s AS (SELECT *, floor(sum(payment_amount) OVER ({_W.format(k='k', b='CURRENT ROW')}) * rate / 100) AS earned FROM a),
-    m AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_W.format(k='k', b='1 PRECEDING')}), 0)) AS had FROM s)
-    SELECT transaction_id, CAST(greatest(had, earned) - had AS DOUBLE) AS reward FROM m"""
-)
+@query(f"WITH {_APPLIED} SELECT transaction_id, CAST(reward AS DOUBLE) AS reward FROM applied WHERE reward_id = 'p4'")
 def reward_cap_aggregate(spark, sf_dir):
     _, out = _rewards(spark, sf_dir)
     return out.where("reward_id = 'p4'").select("transaction_id", F.col("reward").cast("double").alias("reward"))
 
 
-@query()
+@query(
+    f"""WITH {_APPLIED} SELECT u.transaction_id, coalesce(a.reward_program, '未匹配方案') AS reward_program,
+    CASE WHEN a.reward_program IS NULL THEN '無回饋池' WHEN a.pool_id IS NULL AND a.source = 'base' THEN 'BASE_PROGRAM' ELSE coalesce(a.pool_id, 'N/A') END AS pool_id,
+    CAST(coalesce(a.reward, 0) AS DOUBLE) AS reward, coalesce(a.is_capped, FALSE) AS is_capped FROM u LEFT JOIN applied a USING (transaction_id)"""
+)
 def reward_audit(spark, sf_dir):
     """All programs of all transactions, placeholders included."""
     txns, out = _rewards(spark, sf_dir)
@@ -475,34 +516,43 @@ def reward_audit(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_RW}, r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, CAST(sum(floor(payment_amount / 100)) AS DOUBLE) AS reward FROM wf WHERE reward_id = 'p5' AND payment_amount BETWEEN 0 AND 50000 GROUP BY ALL),
-    s AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, {AMOUNT} AS spending FROM u WHERE payment_amount > 0 GROUP BY ALL)
-    SELECT month, bank_name, card_type, coalesce(spending, 0) AS spending, coalesce(reward, 0) AS reward, CASE WHEN coalesce(spending, 0) = 0 THEN 0 ELSE coalesce(reward, 0) * 100 / spending END AS rate_percent
-    FROM s FULL JOIN r USING (month, bank_name, card_type)"""
+    f"""WITH {_APPLIED} SELECT transaction_id, CAST(sum(reward) AS DOUBLE) AS reward, string_agg(reward_program, ' > ' ORDER BY priority, load_ord) AS programs
+    FROM applied JOIN pr USING (reward_id, reward_program) GROUP BY ALL"""
 )
-def reward_monthly_summary(spark, sf_dir):
-    txns, out = _rewards(spark, sf_dir)
-    month = C.month_key(F.col("transaction_date"))
-    names = lambda df: df.withColumns({"month": month, "bank_name": F.col("bank_no"), "card_type": F.col("card_id"), "payment_amount": F.col("amount")})
-    return summaries.reward_month_summary(names(txns).where("amount > 0"), names(out).where("reward_id = 'p5' and amount between 0 and 50000"))
+def reward_totals(spark, sf_dir):
+    """Reward and trace of every transaction that has any program."""
+    _, out = _rewards(spark, sf_dir)
+    return rewards.totals(out).withColumn("reward", F.col("reward").cast("double"))
 
 
-@query()
-def reward_monthly_summary_all(spark, sf_dir):
-    """Spending and the rewards of all programs and amounts; ``reward_monthly_summary`` is the part of it that has SQL."""
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, out = _rewards(spark, sf_dir)
     month = C.month_key(F.col("transaction_date"))
     names = lambda df: df.withColumns({"month": month, "bank_name": F.col("bank_no"), "card_type": F.col("card_id"), "payment_amount": F.col("amount")})
     return summaries.reward_month_summary(names(txns).where("amount > 0"), names(out))
 
 
+_SUMMARY = f"""WITH {_APPLIED}, r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, CAST(sum(reward) AS DOUBLE) AS reward FROM applied GROUP BY ALL),
+    s AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, {AMOUNT} AS spending FROM u WHERE payment_amount > 0 GROUP BY ALL)
+    SELECT month, bank_name, card_type, coalesce(spending, 0) AS spending, coalesce(reward, 0) AS reward, CASE WHEN coalesce(spending, 0) = 0 THEN 0 ELSE coalesce(reward, 0) * 100 / spending END AS rate_percent
+    FROM s FULL JOIN r USING (month, bank_name, card_type)"""
+
+
+@query(_SUMMARY)
+def reward_monthly_summary(spark, sf_dir):
+    """Spending and the rewards of all programs and amounts."""
+    return _summary(spark, sf_dir)
+
+
+@query(_SUMMARY)
+def reward_monthly_summary_all(spark, sf_dir):
+    """The same under its earlier name."""
+    return _summary(spark, sf_dir)
+
+
 @query(
-    f"""WITH {_RW}, a AS (SELECT * FROM wf WHERE reward_id = 'p3'), w AS (SELECT *, 1 AS k FROM a),
-    s AS (SELECT *, CAST(round(sum(payment_amount) OVER ({_W.format(k='k', b='CURRENT ROW')}) * rate / 100, 2) AS DECIMAL(18,2)) AS earned FROM w),
-    m AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_W.format(k='k', b='1 PRECEDING')}), 0)) AS had FROM s),
-    r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, pool_id, least(cap, greatest(had, earned)) - least(cap, had) AS reward, had >= cap OR greatest(had, earned) > cap AS is_capped, cap FROM m
-      UNION ALL SELECT strftime(transaction_date, '%Y-%m'), pool_id, 0, FALSE, NULL FROM wf WHERE reward_id = 'p1')
-    SELECT month, pool_id, CAST(sum(reward) AS DOUBLE) AS reward, bool_or(is_capped) AS is_capped, CAST(max(cap) AS DOUBLE) AS cap_amount FROM r GROUP BY ALL"""
+    f"""WITH {_APPLIED} SELECT strftime(transaction_date, '%Y-%m') AS month, pool_id, CAST(sum(reward) AS DOUBLE) AS reward, bool_or(is_capped) AS is_capped, CAST(max(cap) AS DOUBLE) AS cap_amount
+    FROM applied WHERE pool_id IS NOT NULL GROUP BY ALL"""
 )
 def pool_utilization(spark, sf_dir):
     _, out = _rewards(spark, sf_dir)

@@ -38,7 +38,25 @@ LAYOUTS: dict[str, dict] = {
     },
 }
 STANDARD = ("transaction_date", "posting_date", "merchant", "merchant_location", "currency_type", "currency_amount", "payment_currency", "payment_amount", "card_no", "conversion_date", "place_currency", "wallet", "kind")
-LETHAL = r"(?i)<script|javascript:|__import__|\beval\s*\(|\bexec\s*\(|drop\s+table|union\s+select|os\.system|\$\(|`.*`"
+# What refuses a file, and what a spreadsheet would run, as patterns without regard to case.
+LETHAL = (
+    r"__import__\s*\(",
+    r"\beval\s*\(",
+    r"\bexec\s*\(",
+    r"<script[\s>]",
+    r"javascript\s*:",
+    r";\s*(?:DROP|ALTER|TRUNCATE)\s+(?:TABLE|DATABASE)\b|;\s*DELETE\s+FROM\b",
+    r";\s*UPDATE\s+.*?\bSET\b",
+    r"\bUNION\s+(?:ALL\s+)?SELECT\b",
+    r"\bxp_cmdshell\b",
+    r"\bWAITFOR\s+DELAY\b",
+)
+FORMULAS = (
+    r"^[=@+\-]\s*(?:cmd(?:\.exe)?|powershell|calc(?:\.exe)?|certutil|mshta|cscript|wscript|bash|sh|curl|wget)\b",
+    r"^[=@+\-]\s*['\"]?[a-zA-Z0-9_\\]+['\"]?\s*\|",
+    r"^[=@+\-]\s*(?:SUM|AVERAGE|COUNT|IF|VLOOKUP|HYPERLINK|EXEC|DDE)\s*\(.*?(?:cmd|calc|powershell|http|\|)",
+)
+LONGEST = 255
 
 
 def decoded(content: Column, encoding: Column) -> Column:
@@ -86,9 +104,9 @@ def table_rows(rows: DataFrame) -> DataFrame:
     lines = F.when(is_html, html_rows).otherwise(csv_lines)
     out = rows.where("bank is not null").withColumn("is_html", is_html).withColumn("_stop", stop).select("file", "file_hash", "bank", "is_html", "_stop", F.posexplode(lines).alias("line_no", "line"))
     html_cells = F.transform(F.regexp_extract_all("line", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>|&nbsp;", " "), r"\s+", " ")))
-    fields = ", ".join(f"c{k} string" for k in range(16))
-    parsed = F.from_csv("line", fields)
-    csv_cells = F.array(*(F.trim(parsed[f"c{k}"]) for k in range(16)))
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',(\s*"(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    unquoted = lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    csv_cells = F.transform(fields, lambda c: F.trim(unquoted(F.trim(c))))
     out = out.withColumn("cells", F.when(F.col("is_html"), html_cells).otherwise(csv_cells)).withColumn("_plain", F.array_join("cells", ","))
     upto = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     is_head = F.contains("_plain", header)
@@ -131,16 +149,25 @@ def standard_rows(spark: SparkSession, folder: str, registry: DataFrame | None =
     return out.where("transaction_date is not null")
 
 
-def sanitised(rows: DataFrame, text: str = "merchant") -> tuple[DataFrame, DataFrame]:
-    """Clean rows and the files that are refused: one lethal text refuses its whole file.
+def safe_text(c: Column) -> Column:
+    """Text without control characters, cut after ``LONGEST`` characters, with a quote before what a spreadsheet would run.
 
-    Control characters go, texts end after 255 characters, and a quote stands before what a spreadsheet would run.
+    Numbers with a sign stay; of texts with other signs only those that name a command, a pipe or a function call.
     """
-    bad = rows.where(F.col(text).rlike(LETHAL)).select("file_hash", "file").distinct()
-    plain = F.substring(F.regexp_replace(F.col(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), 1, 255)
-    number = plain.rlike(r"^[+-]?[0-9][0-9,]*(\.[0-9]+)?$")
-    safe = F.when(plain.rlike("^[=+@-]") & ~number, F.concat(F.lit("'"), plain)).otherwise(plain)
-    return rows.join(bad.select("file_hash"), "file_hash", "left_anti").withColumn(text, safe), bad
+    plain = F.substring(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), 1, LONGEST)
+    bare = F.trim(plain)
+    runs = bare.startswith("=") | bare.rlike("(?i)" + "|".join(FORMULAS))
+    return F.when(runs & ~bare.rlike(r"^[+\-]?\d+(?:\.\d+)?$"), F.concat(F.lit("'"), plain)).otherwise(plain)
+
+
+def sanitised(rows: DataFrame, *texts: str) -> tuple[DataFrame, DataFrame]:
+    """Clean rows and the files that are refused: one lethal text in any of the columns (all strings) refuses its whole file."""
+    texts = texts or tuple(n for n, kind in rows.dtypes if kind == "string" and n not in ("file", "file_hash"))
+    plain = [F.substring(F.regexp_replace(F.col(t), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), 1, LONGEST) for t in texts]
+    lethal = F.coalesce(*(F.when(t.rlike("(?i)" + "|".join(LETHAL)), F.lit(True)) for t in plain), F.lit(False))
+    bad = rows.where(lethal).select("file_hash", "file").distinct()
+    clean = rows.join(bad.select("file_hash"), "file_hash", "left_anti").withColumns({t: safe_text(F.col(t)) for t in texts})
+    return clean.select(*rows.columns), bad
 
 
 def card_table(cards: DataFrame) -> DataFrame:

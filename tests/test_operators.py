@@ -39,12 +39,12 @@ def test_place_filter(spark, place, expected):
 
 def test_windows():
     day = D(2026, 6, 10)
-    assert filters.resolve_window("30d", day) == (D(2026, 5, 11), day)
-    assert filters.resolve_window("YTD", day) == (D(2026, 1, 1), day)
-    assert filters.resolve_window("last_year", day) == (D(2025, 1, 1), D(2025, 12, 31))
-    assert filters.resolve_window("lifetime", day) == (None, None)
-    with pytest.raises(ValueError, match="unknown window"):
-        filters.resolve_window("soon", day)
+    back = {30: ("30d", "1M", "last_month", "近一個月"), 90: ("90D", "3m", "LAST_QUARTER", "近一季"), 180: ("6M", "近半年"), 365: ("1y", "last_year", "近一年"), 730: ("2Y", "近兩年")}
+    for days, names in back.items():
+        assert {filters.resolve_window(n, day) for n in names} == {(day - datetime.timedelta(days=days), day)}
+    assert filters.resolve_window("YTD", day) == filters.resolve_window("今年", day) == (D(2026, 1, 1), day)
+    assert {filters.resolve_window(n, day) for n in ("prev_year", "LAST_CALENDAR_YEAR", "去年")} == {(D(2025, 1, 1), D(2025, 12, 31))}
+    assert {filters.resolve_window(n, day) for n in ("lifetime", "", None, "全歷史", "no such window")} == {(None, None)}
 
 
 def test_banks_by_any_name():
@@ -52,10 +52,22 @@ def test_banks_by_any_name():
     assert filters.bank_names(["cube", "013", "other"], banks) == ["國泰世華", "國泰世華", "other"]
 
 
-def test_rank_shares_ties(spark):
-    df = spark.createDataFrame([(v,) for v in (5, 1, 1, 9, 5, 5, None)], "v int")
-    ranks = {r.v: r.p for r in df.select("v", C.share_of_rank(F.col("v")).alias("p")).collect()}
-    assert ranks == {1: 0.25, 5: pytest.approx(2 / 3), 9: 1.0, None: None}
+@pytest.mark.parametrize("ranges", [2, 200])
+def test_rank_shares_ties(spark, monkeypatch, ranges):
+    monkeypatch.setattr(C, "RANGES", ranges)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate((5, 1, 1, 9, 5, 5, None))], "k int, v int")
+    out = C.rank_shares(df, ["k"], {"up": (F.col("v"), False), "down": (F.col("v"), True), "none": (F.lit(None), False)}).collect()
+    assert {r.v: r.up for r in out} == {1: 0.25, 5: pytest.approx(2 / 3), 9: 1.0, None: None}
+    assert {r.v: r.down for r in out} == {1: pytest.approx(5.5 / 6), 5: 0.5, 9: pytest.approx(1 / 6), None: None}
+    assert len(out) == 7 and {r.none for r in out} == {None}
+
+
+def test_rank_shares_equal_a_sort(spark):
+    rng = random.Random(4)
+    values = [rng.choice((rng.randrange(40), rng.random() * 1000)) for _ in range(3000)]
+    out = C.rank_shares(spark.createDataFrame(list(enumerate(map(float, values))), "k int, v double"), ["k"], {"p": (F.col("v"), False)}).collect()
+    place = sorted(values)
+    assert all(r.p == pytest.approx((place.index(r.v) + 1 + (place.count(r.v) - 1) / 2) / 3000) for r in out)
 
 
 def test_rfm_values(spark):
@@ -69,9 +81,12 @@ def test_rfm_values(spark):
 
 
 def test_dates_amounts_codes(spark):
-    date = lambda text, y=2026, m=1: one(spark, C.smart_date(F.lit(text), F.lit(y), F.lit(m)))
+    date = lambda text, y=2026, m=1: one(spark, C.smart_date(F.lit(text), F.lit(y), F.lit(m).cast("int")))
     assert date("2025/10/05") == D(2025, 10, 5) and date("115/05/07") == D(2026, 5, 7) and date("12/31") == D(2025, 12, 31)
-    assert date("01/02", 2025, 12) == D(2026, 1, 2) and date("13/45") is None and date("no") is None
+    assert date("01/02", 2025, 12) == D(2026, 1, 2) and date("13/45") is None and date("no") is None and date("01/02", 2025, None) is None
+    months = spark.createDataFrame([(bill, m) for bill in range(1, 13) for m in range(1, 13)], "bill int, m int")
+    found = months.select("bill", "m", F.year(C.smart_date(F.concat_ws("/", "m", F.lit(5)), F.lit(2025), F.col("bill"))).alias("y")).collect()
+    assert all(r.y == 2025 - (r.m - r.bill > 6) + ((r.bill, r.m) == (12, 1)) for r in found)
     amount = lambda text: float(one(spark, C.clean_amount(F.lit(text))))
     assert [amount(t) for t in ("1,234.50", "(20)", "$-200", "30-", "－5", "x", "")] == [1234.5, -20, -200, -30, -5, 0, 0]
     assert one(spark, C.code(F.lit("7.0"), 3)) == "007" and one(spark, C.code(F.lit("12345"), 4)) == "2345"
@@ -79,7 +94,7 @@ def test_dates_amounts_codes(spark):
     assert one(spark, C.month_key(F.lit(None).cast("date"))) == "UNKNOWN"
 
 
-@pytest.mark.parametrize(("how", "value", "expected"), [("floor", "10.8", 10), ("round", "10.5", 11), ("ceil", "10.1", 11), ("round", "-2.5", -3)])
+@pytest.mark.parametrize(("how", "value", "expected"), [("floor", "10.8", 10), ("round", "10.5", 11), ("ceil", "10.1", 11), ("round", "-2.5", -3), ("up", "10.2", 11), (" Down", "10.8", 10), ("ceiling", "10.2", 11), ("other", "10.5", 11), (None, "10.5", 11)])
 def test_rounding(spark, how, value, expected):
     assert float(one(spark, C.rounded(F.lit(Decimal(value)).cast("decimal(18,4)"), F.lit(how), F.lit(0)))) == expected
 
@@ -140,9 +155,25 @@ def test_upsert(spark):
 
 
 def test_tiers(spark):
-    df = spark.createDataFrame([(None,), ("",), ("LINE Pay",), ("連加*x",), ("apple pay",), ("悠遊付 x",), ("cash",)], "p string")
+    df = spark.createDataFrame([(None,), ("",), ("實體卡/其他",), ("LINE Pay",), ("連加*x",), ("icash pay",), ("悠遊付 x",), ("taiwan 台灣Pay",), ("cash",)], "p string")
     found = [r.t for r in df.select(summaries.tier(F.col("p")).alias("t")).collect()]
-    assert found == ["實體卡/虛擬卡", "實體卡/虛擬卡", "Linepay", "Linepay", "Apple Pay", "悠遊付", "其他"]
+    assert found == ["實體卡/虛擬卡"] * 3 + ["Linepay", "Linepay", "icash Pay", "悠遊付", "台灣pay", "其他"]
+    given = spark.createDataFrame([("街口支付", "2"), ("line pay", "1"), ("PXPay", "16"), ("x", "17"), (None, "3"), ("y", "no")], "payment_process string, priority string")
+    assert summaries.payment_tiers(given) == (["Linepay", "街口支付"], ["PXPay"])
+    assert summaries.payment_tiers(given.limit(0)) == (list(summaries.TIER_1), list(summaries.TIER_2))
+
+
+def test_default_rounding_and_keys(spark):
+    """Rounding by reward type where a program gives none; null parts of a key stay apart."""
+    rows = spark.createDataFrame([("CASHBACK_FLOOR", None, "1.9"), ("point", None, "1.5"), ("ESUNPOINT_FLOOR", "up", "1.1"), ("openpoint", "", "1.005")], "reward_type string, round_strategy string, a string")
+    rows = rows.withColumns({"amount": F.col("a").cast("decimal(18,3)"), "rate": F.lit(100).cast("decimal(9,4)")})
+    assert [float(r.p) for r in rows.select(rewards.base_reward(rows).alias("p")).collect()] == [1, 2, 2, 1.01]
+    assert [float(rewards._round(Decimal(r.a), r.round_strategy, r.reward_type)) for r in rows.collect()] == [1, 2, 2, 1.01]
+    cards = spark.createDataFrame([(None, None, "013"), ("", "gold", "013"), ("DEFAULT|013", None, None), ("a", None, "013"), (None, "a", "013")], "card_id string, card_type string, bank_no string")
+    cards = cards.withColumns({"reward_cycle": F.lit("BILLING_CYCLE"), "reward_program": F.lit("p"), "statement_month": F.lit("2025-01"), "posting_date": F.lit(None).cast("date"), "transaction_date": F.lit(None).cast("date"), "transaction_id": F.lit("t")})
+    cards = cards.withColumns({"program_start": F.lit(None).cast("date"), "program_end": F.lit(None).cast("date")})
+    keys = [r.k for r in cards.select(rewards.cycle_key(cards).alias("k")).collect()]
+    assert keys[0].split("|") == ["billing", "p", "013", "default", "2025-01"] and keys[1].split("|")[3] == "gold" and keys[3] == keys[4] and len(set(keys)) == 4
 
 
 def test_field_rules(spark):
@@ -159,7 +190,8 @@ def txn(k, amount, day=D(2025, 1, 1), cap=None, method="PER_ITEM", cycle="CALEND
 
 
 def paid(spark, rows):
-    return [(float(r.reward), r.is_capped) for r in rewards.capped(spark.createDataFrame(rows, PROGRAM)).orderBy("transaction_date", "transaction_id").collect()]
+    df = rewards.with_mixed(spark.createDataFrame(rows, PROGRAM))
+    return [(float(r.reward), r.is_capped) for r in rewards.capped(df, not df.where("_mixed").isEmpty()).orderBy("transaction_date", "transaction_id").collect()]
 
 
 def test_caps(spark):
@@ -225,6 +257,16 @@ def test_statements(spark, tmp_path):
     assert bills.files(spark, str(tmp_path), done).count() == 0
 
 
+def test_sanitiser_texts(spark):
+    safe = {"+50": "+50", "-120.5": "-120.5", "LINE@官方店家": "LINE@官方店家", "+1 Google": "+1 Google", "@cmd|' /C calc'!A0": "'@cmd|' /C calc'!A0", "=1": "'=1", "-sum(http://x)": "'-sum(http://x)", "a" * 300: "a" * 255, "run `ls` $(x)": "run `ls` $(x)"}
+    df = spark.createDataFrame([(k,) for k in safe], "t string")
+    assert {r.t: r.s for r in df.select("t", bills.safe_text(F.col("t")).alias("s")).collect()} == safe
+    lethal = ["xp_cmdshell x", "1; UPDATE t SET a=1", "waitfor  delay '0'", "a; drop table x", "UNION ALL SELECT 1", "eval (x)", "<SCRIPT>"]
+    rows = spark.createDataFrame([(f"h{k}", f"f{k}", t, None) for k, t in enumerate(lethal)] + [("ok", "ok", "drop table", "select"), ("h9", "f9", "fine", "javascript :x")], "file_hash string, file string, merchant string, wallet string")
+    good, bad = bills.sanitised(rows)
+    assert {r.file for r in good.collect()} == {"ok"} and good.columns == rows.columns and bad.count() == 8
+
+
 def test_sanitiser(spark):
     rows = spark.createDataFrame([("h1", "f1", "=cmd()"), ("h1", "f1", "-120"), ("h1", "f1", "Disney+\x00"), ("h2", "f2", "ok"), ("h2", "f2", "a <script>x")], "file_hash string, file string, merchant string")
     good, bad = bills.sanitised(rows)
