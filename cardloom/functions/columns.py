@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Transaction type labels.
 PURCHASE, REPAYMENT, FEE, REFUND, POINTS = "交易", "繳款", "各項費用", "退刷", "紅利折抵"
-FOREIGN, FOREIGN_TWD, FOREIGN_ONLINE = "一般國外交易", "國外台幣交易", "國外網路交易"
+FOREIGN, FOREIGN_TWD, FOREIGN_DUAL = "一般國外交易", "台幣跨境交易", "一般雙幣交易"
 NOT_CONSUMPTION = (REPAYMENT, FEE, REFUND, POINTS)
 # ISO country codes of locations, two and three letters, and currency names.
 LOCATIONS = {

@@ -60,6 +60,19 @@ def tag(df: DataFrame, text: str, rules: Sequence[Mapping], pattern: str, fields
     return df.join(names, df[text].eqNullSafe(names[text]), "left").drop(names[text])
 
 
+def tag_all(df: DataFrame, text: str, tags: Sequence[tuple[Sequence[Mapping], str, Mapping[str, str]]]) -> DataFrame:
+    """As :func:`tag` for several rule lists at once: each gives the values of its first matching rule under new names."""
+    names = df.select(text).distinct()
+    for rules, pattern, fields in tags:
+        chosen = C.ordered(rules)
+        names = names.withColumn("_rule", C.first_rule(F.col(text), chosen, pattern))
+        for field, name in fields.items():
+            value = F.get(F.array(*(F.lit(r.get(field)).cast("string") for r in chosen)), F.col("_rule")) if chosen else F.lit(None).cast("string")
+            names = names.withColumn(name, value)
+    names = names.drop("_rule").withColumnsRenamed({text: "_text"})
+    return df.join(names, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def tag_each(df: DataFrame, text: str, rules: Sequence[Mapping], pattern: str, fields: Sequence[str]) -> DataFrame:
     """As :func:`tag`, but every field comes from the first matching rule that sets it."""
     chosen = C.ordered(rules)
@@ -106,19 +119,48 @@ def match_cards(df: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-def transaction_type(merchant: Column, amount: Column, place: Column, current: Column, given: Column, words: Mapping[str, Sequence[str]]) -> Column:
-    """Type label: one set before stays; then repayment, credit and fee words, refunds, the foreign kinds, and purchase."""
+def _names(text: Column, words: Mapping[str, Sequence[str]], kind: str) -> Column:
+    patterns = words.get(kind) or ()
+    return F.coalesce(text.rlike("(?iu)" + "|".join(patterns)), F.lit(False)) if patterns else F.lit(False)
+
+
+def transaction_type(merchant: Column, amount: Column, place: Column, current: Column, given: Column, words: Mapping[str, Sequence[str]], paid: Column | None = None) -> Column:
+    """Type label: one set before stays; then repayment, credit and fee patterns, refunds, the foreign kinds, and purchase.
 
-    def has(kind: str) -> Column:
-        out = F.lit(False)
-        for w in words.get(kind, ()):
-            out = out | F.lower(merchant).contains(w.lower())
-        return out
+    Abroad, a purchase in another currency than it is paid in is a foreign one; otherwise the home currency tells.
+    """
+    abroad, other = F.coalesce(place, F.lit("TW")) != "TW", ~current.eqNullSafe(F.lit("TWD") if paid is None else paid)
+    found = F.when(_names(merchant, words, "payment"), C.REPAYMENT).when(_names(merchant, words, "credit"), C.POINTS).when(_names(merchant, words, "fee"), C.FEE)
+    found = found.when(amount < 0, C.REFUND).when(abroad & other, C.FOREIGN).when(abroad & (current == "TWD"), C.FOREIGN_TWD).when(abroad, C.FOREIGN_DUAL)
+    return F.when(C.blank(given), found.otherwise(C.PURCHASE)).otherwise(given)
+
+
+def classify(df: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Adds the type to rows without one, and puts right what repayments, credits and fees say of place, currency and card.
 
-    abroad, foreign = ~place.isin("TW", "TWN", "台灣") & ~C.blank(place), current != "TWD"
-    found = F.when(has("payment"), C.REPAYMENT).when(has("credit"), C.POINTS).when(has("fee"), C.FEE).when(amount < 0, C.REFUND)
-    found = found.when(abroad & foreign, C.FOREIGN).when(abroad, C.FOREIGN_TWD).when(foreign, C.FOREIGN_ONLINE).otherwise(C.PURCHASE)
-    return F.when(C.blank(given), found).otherwise(given)
+    ``words`` holds patterns under payment, credit and fee.  These three happen at home; a missing paid amount or currency
+    is the original one; a repayment is paid in the original currency and has no card; a fee's currency is the paid one.
+    """
+    fresh = C.blank(F.col("transaction_type"))
+    repaid = fresh & _names(F.col("merchant"), words, "payment")
+    credit = fresh & ~repaid & _names(F.col("merchant"), words, "credit")
+    fee = fresh & ~repaid & ~credit & _names(F.col("merchant"), words, "fee")
+    rows = df.withColumn("_kind", F.when(repaid, 1).when(credit, 2).when(fee, 3).otherwise(0))
+    kind = F.col("_kind")
+    paid = F.when((kind == 1) | ((kind > 1) & C.blank(F.col("payment_currency"))), F.col("currency_type")).otherwise(F.col("payment_currency"))
+    fixed = rows.withColumns(
+        {
+            "merchant_location": F.when(kind > 0, "TW").otherwise(F.col("merchant_location")),
+            "payment_amount": F.when(kind > 0, F.coalesce("payment_amount", "currency_amount")).otherwise(F.col("payment_amount")),
+            "payment_currency": paid,
+            "currency_type": F.when(kind == 3, paid).otherwise(F.col("currency_type")),
+            **{c: F.when(kind != 1, F.col(c)) for c in ("card_type", "card_no") if c in df.columns},
+        }
+    )
+    label = F.when(kind == 1, C.REPAYMENT).when(kind == 2, C.POINTS).when(kind == 3, C.FEE)
+    amount = F.coalesce("payment_amount", "currency_amount")
+    rest = transaction_type(F.col("merchant"), amount, F.col("merchant_location"), F.col("currency_type"), F.col("transaction_type"), {}, F.col("payment_currency"))
+    return fixed.withColumn("transaction_type", F.coalesce(label, rest)).drop("_kind")
 
 
 def billing_intervals(history: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ MERCHANT_LABELS = ("核心商家 (Core)", "流失高價值 (Churned)", "潛力
 CATEGORY_LABELS = ("核心類別 (Core)", "流失高價值類別 (Churned)", "潛力新興類別 (Rising)", "一般活躍類別 (Active)", "沉睡類別 (Dormant)")
 PAYMENT_LABELS = ("主力支付 (Main)", "已棄用 (Abandoned)", "輔助支付 (Backup)", "冷門支付 (Rare)")
 CARD_LABELS = ("❄️ 冷凍/沉睡", "👑 主要使用卡片", "🎯 特定用途使用卡片", "🔄 備用卡片", "📉 不常用卡片")
+GROUP_LABELS = ("核心 (Core)", "流失高價值 (Churned)", "潛力 (Rising)", "一般活躍 (Active)", "沉睡 (Dormant)")
+RENAMED = {"潛力新星 (Rising)": "潛力商家 (Rising)", "流失商家 (Churned)": "流失高價值 (Churned)"}
+NO_CARD, NO_MERCHANT = "其他卡別", "未知商家"
 QUADRANT_LABELS = ("固定大額型 (Fixed High-Value)", "大額偶發型 (Spike Big-Ticket)", "微額日常型 (Micro-Routine)", "長尾混合型 (Elastic Long-Tail)")
 
 
@@ -151,3 +154,75 @@ def pinned_first(df: DataFrame, name: str, pinned: Sequence[str], money: str) ->
         place = F.when(F.lower(F.col(name)).contains(word.lower()), k).otherwise(place)
     key = F.struct(place.alias("place"), (-F.col(money)).alias("money"), F.col(name).alias("name"))
     return df.withColumn("is_pinned", place < len(pinned)).withColumn("sort_key", key)
+
+
+#: Groupings of the volatility view.
+MODES = {
+    "category_only": ("category",),
+    "card_only": ("card_type",),
+    "payment_only": ("payment_process",),
+    "payment_category": ("payment_process", "category"),
+    "card_category": ("card_type", "category"),
+    "card_payment": ("card_type", "payment_process"),
+}
+
+
+def named_groups(df: DataFrame) -> DataFrame:
+    """Payments, categories and cards without a value get a name."""
+    names = {"payment_process": NO_PAYMENT, "category": NO_CATEGORY, "card_type": NO_CARD}
+    return df.withColumns({c: F.coalesce(C.text_or_null(F.col(c)), F.lit(n)) for c, n in names.items()})
+
+
+def group_segment(df: DataFrame, *keys: str) -> DataFrame:
+    """Segment of each group by the rank of its money, and of its money in the last 180 days."""
+    rows = df.where("payment_amount > 0")
+    last = rows.select(F.max("transaction_date").alias("_last"))
+    recent = F.col("transaction_date") >= F.date_sub("_last", 180)
+    sums = rows.join(F.broadcast(last)).groupBy(*keys).agg(
+        F.sum("payment_amount").cast("double").alias("money"),
+        F.coalesce(F.sum(F.when(recent, F.col("payment_amount"))).cast("double"), F.lit(0.0)).alias("recent_money"),
+        F.count(F.when(recent, F.lit(1))).alias("n_recent"),
+    )
+    out = C.rank_shares(sums, keys, {"_m": (F.col("money"), False), "_r": (F.col("recent_money"), False)})
+    high, seen = F.col("_m") >= 0.8, F.col("n_recent") > 0
+    core, churned, rising, active, dormant = GROUP_LABELS
+    label = F.when(high & seen, core).when(high, churned).when(seen & (F.col("_r") >= 0.8), rising).when(seen, active).otherwise(dormant)
+    return out.select(*keys, "n_recent", label.alias("rfm_segment"))
+
+
+def top_outliers(df: DataFrame, beyond: DataFrame, *keys: str, n: int = 25) -> DataFrame:
+    """The ``n`` largest tickets of each group outside its whiskers, as an array; only so many rows of a group are kept."""
+    rows = df.where("payment_amount > 0").join(beyond.select(*keys, "whisker_low", "whisker_high"), list(keys))
+    amount = F.col("payment_amount").cast("double")
+    rows = rows.where((amount < F.col("whisker_low")) | (amount > F.col("whisker_high")))
+    shop = F.coalesce(C.text_or_null(F.col("normalized_merchant")), F.lit(NO_MERCHANT))
+    rows = rows.select(*keys, F.struct((-F.round(amount, 2)).alias("below"), shop.alias("merchant"), F.col("transaction_date").cast("string").alias("date")).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
+    kept = rows.withColumn("_place", place).where(F.col("_place") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_o"))
+    return kept.select(*keys, F.transform("_o", lambda o: F.struct((-o["below"]).alias("amount"), o["merchant"], o["date"])).alias("outliers"))
+
+
+def volatility_view(df: DataFrame, mode: str = "category_only", payment: str | None = None, category: str | None = None, card: str | None = None) -> DataFrame:
+    """Volatility, segment and largest outliers of the groups of one mode, after the filters; ``all`` filters nothing."""
+    keys = MODES.get(mode, MODES["category_only"])
+    rows = named_groups(df.where("payment_amount > 0"))
+    for column, value in (("payment_process", payment), ("category", category), ("card_type", card)):
+        if value and value != "all":
+            rows = rows.where(F.col(column) == value)
+    stats = volatility(rows, *keys)
+    cv = F.round(F.when(F.col("avg") > 0, F.col("std") / F.col("avg")).otherwise(0.0), 3)
+    out = stats.withColumn("cv", cv).join(group_segment(rows, *keys), list(keys)).join(top_outliers(rows, stats, *keys), list(keys), "left")
+    return out.withColumn("outliers", F.coalesce("outliers", F.array().cast(out.schema["outliers"].dataType)))
+
+
+def repaired_segment(c: Column) -> Column:
+    """Segments under their present names; none is an active merchant."""
+    out = c
+    for old, new in RENAMED.items():
+        out = F.when(c == old, new).otherwise(out)
+    return F.coalesce(out, F.lit(MERCHANT_LABELS[3]))
+
+
+def value_counts(df: DataFrame, name: str) -> DataFrame:
+    """How often each value occurs; null is no value."""
+    return df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))

@@ -17,6 +17,9 @@ CARD = "實體卡/虛擬卡"
 CARD_NAMES = ("實體卡/其他", "實體卡", "虛擬卡", "實體卡/虛擬卡")
 LINE_PAY = "Linepay"
 OTHER = "其他"
+# Units of rewards by what their type holds, the first that fits.
+UNITS = (("tree|小樹", "小樹點"), ("line", "LINE POINTS"), ("openpoint", "OPENPOINT"), ("esun|e point|^e_points?$", "玉山 e point"), ("hami", "Hami Point"), ("紅利", "紅利點數"))
+MONEY_UNIT = "元"
 
 
 def total(name: str = "payment_amount") -> Column:
@@ -155,3 +158,24 @@ def reward_month_summary(spending: DataFrame, rewards: DataFrame) -> DataFrame:
 def pool_use(rewards: DataFrame) -> DataFrame:
     """Reward of each pool and month, whether any row met its cap, and the cap."""
     return rewards.groupBy("month", "pool_id").agg(total("reward").alias("reward"), F.max("is_capped").alias("is_capped"), F.max("cap_amount").cast("double").alias("cap_amount"))
+
+
+def reward_unit(kind: Column) -> Column:
+    """Unit of a reward type; money if nothing else fits."""
+    out = F.when(C.blank(kind), MONEY_UNIT)
+    for pattern, unit in UNITS:
+        out = out.when(F.trim(kind).rlike(f"(?iu){pattern}"), unit)
+    return out.otherwise(MONEY_UNIT)
+
+
+def predominant_units(rewards: DataFrame, *keys: str) -> DataFrame:
+    """Unit of each key's most frequent reward type, the smallest of equally frequent ones.
+
+    Only rows with a reward count, if there are any at all.
+    """
+    rows = rewards.where(~C.blank(F.col("reward_type")) & (F.lower("reward_type") != "nan"))
+    any_paid = rows.select(F.coalesce(F.max(F.col("reward") > 0), F.lit(False)).alias("_any"))
+    rows = rows.join(F.broadcast(any_paid)).where(~F.col("_any") | (F.col("reward") > 0))
+    n = rows.groupBy(*keys, "reward_type").agg(F.count("*").alias("_n"))
+    first = F.min_by("reward_type", F.struct(-F.col("_n"), F.col("reward_type")))
+    return n.groupBy(*keys).agg(reward_unit(first).alias("reward_unit"))

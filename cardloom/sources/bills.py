@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.sources import bank_rules
 
 # Encoding, header word and stop word of each bank's files, and the standard names of their columns.
 LAYOUTS: dict[str, dict] = {
@@ -70,6 +71,17 @@ def decoded(content: Column, encoding: Column) -> Column:
     return run(content, encoding)
 
 
+def statuses(listed: DataFrame, refused: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """``file``, ``file_hash``, ``status`` of every file: FAILED if it is refused, SKIPPED without a bank or if done before, else SUCCESS."""
+    out = listed.select("file", "file_hash", "bank").join(refused.select("file_hash", F.lit(True).alias("_bad")), "file_hash", "left")
+    known = F.lit(False)
+    if done is not None:
+        out = out.join(done.where("status = 'SUCCESS'").select("file_hash", F.lit(True).alias("_done")).distinct(), "file_hash", "left")
+        known = F.coalesce("_done", F.lit(False))
+    status = F.when(F.coalesce("_bad", F.lit(False)), "FAILED").when(known | F.col("bank").isNull(), "SKIPPED").otherwise("SUCCESS")
+    return out.select("file", "file_hash", status.alias("status"))
+
+
 def files(spark: SparkSession, folder: str, registry: DataFrame | None = None) -> DataFrame:
     """One row per statement: name, SHA-256, bank, status and text; files the registry holds as SUCCESS are left out."""
     rows = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("file_hash"), "content")
@@ -137,6 +149,9 @@ def standard_rows(spark: SparkSession, folder: str, registry: DataFrame | None =
 
     year, month = bill_period(F.col("file"))
     flat = rows.select("file", "file_hash", "bank", "line_no", year.alias("_y"), month.alias("_m"), *(cell(s).alias(s) for s in STANDARD))
+    none = F.lit(None).cast("string")
+    flat = flat.withColumns({"vpc_no": none, "vpc_type": F.col("wallet"), "card_type": none, "payment_process": none, "transaction_type": F.lit("")})
+    flat = bank_rules.by_bank(flat)
     place = F.split("place_currency", "/")
     day = lambda c: C.smart_date(F.col(c), F.col("_y"), F.col("_m"))
     out = flat.select(
@@ -144,7 +159,8 @@ def standard_rows(spark: SparkSession, folder: str, registry: DataFrame | None =
         day("transaction_date").alias("transaction_date"), day("posting_date").alias("posting_date"), day("conversion_date").alias("conversion_date"),
         "merchant", C.location(F.coalesce("merchant_location", F.get(place, F.lit(0)))).alias("merchant_location"),
         C.currency(F.coalesce("currency_type", F.get(place, F.lit(1)))).alias("currency_type"), C.clean_amount(F.col("currency_amount")).alias("currency_amount"),
-        C.currency(F.col("payment_currency")).alias("payment_currency"), C.clean_amount(F.col("payment_amount")).alias("payment_amount"), "card_no", "wallet",
+        C.currency(F.col("payment_currency")).alias("payment_currency"), C.clean_amount(F.col("payment_amount")).alias("payment_amount"),
+        "card_no", "vpc_no", "vpc_type", "card_type", "payment_process", "transaction_type", "wallet",
     )
     return out.where("transaction_date is not null")
 
