@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
-from cardloom.operators import filters, refine, rewards, segments, summaries
-from cardloom.sources import star_tables
+from cardloom.operators import bronze, cards, filters, refine, rewards, segments, summaries
+from cardloom.sources import bank_rules, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -377,18 +377,42 @@ _WORDS = {"payment": ["#000000001"], "credit": ["#000000002"], "fee": ["00000000
 
 
 @query(
-    f"""WITH {TX}, t AS (SELECT transaction_id, CASE WHEN contains(lower(normalized_merchant), '#000000001') THEN '繳款' WHEN contains(lower(normalized_merchant), '#000000002') THEN '紅利折抵'
-    WHEN contains(normalized_merchant, '000000003') OR contains(normalized_merchant, '000000004') THEN '各項費用' WHEN payment_amount < 0 THEN '退刷'
-    WHEN merchant_location <> 'ASIA' AND card_type = 'BUILDING' THEN '一般國外交易' WHEN merchant_location <> 'ASIA' THEN '國外台幣交易' WHEN card_type = 'BUILDING' THEN '國外網路交易' ELSE '交易' END AS kind FROM tx)
+    f"""WITH {TX}, t AS (SELECT transaction_id, coalesce(payment_process, 'USD') = 'USD' AS usd, CASE WHEN regexp_matches(normalized_merchant, '#00000000[1]', 'i') THEN '繳款' WHEN contains(normalized_merchant, '#000000002') THEN '紅利折抵'
+    WHEN contains(normalized_merchant, '000000003') OR contains(normalized_merchant, '000000004') THEN '各項費用' WHEN payment_amount < 0 THEN '退刷' WHEN merchant_location = 'ASIA' THEN '交易'
+    WHEN (card_type = 'BUILDING') <> usd THEN '一般國外交易' WHEN card_type <> 'BUILDING' THEN '台幣跨境交易' ELSE '一般雙幣交易' END AS kind FROM tx)
     SELECT kind, count(*) AS n FROM t GROUP BY ALL"""
 )
 def type_cascade(spark, sf_dir):
     place = F.when(F.col("merchant_location") == "ASIA", "TW").otherwise(F.col("merchant_location"))
     current = F.when(F.col("card_type") == "BUILDING", "USD").otherwise("TWD")
-    kind = refine.transaction_type(F.col("normalized_merchant"), F.col("payment_amount"), place, current, F.lit(None).cast("string"), _WORDS)
+    paid = F.when(F.col("payment_process").isNull(), "USD").otherwise("TWD")
+    kind = refine.transaction_type(F.col("normalized_merchant"), F.col("payment_amount"), place, current, F.lit(None).cast("string"), _WORDS, paid)
     return tx(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {TX}, t AS (SELECT *, CASE WHEN contains(normalized_merchant, '#000000001') THEN 1 WHEN contains(normalized_merchant, '#000000002') THEN 2 WHEN contains(normalized_merchant, '00000003') THEN 3 ELSE 0 END AS k,
+      CASE WHEN card_type = 'BUILDING' THEN 'USD' ELSE 'TWD' END AS cur, CASE WHEN payment_process IS NOT NULL THEN 'TWD' END AS paid FROM tx),
+    f AS (SELECT k, CASE WHEN k > 0 THEN 'TW' ELSE merchant_location END AS merchant_location, CASE WHEN k = 1 OR (k > 1 AND paid IS NULL) THEN cur ELSE paid END AS payment_currency,
+      CASE WHEN k = 3 THEN coalesce(paid, cur) ELSE cur END AS currency_type, CASE WHEN k <> 1 THEN card_type END AS card_type, payment_amount FROM t)
+    SELECT CASE WHEN k = 1 THEN '繳款' WHEN k = 2 THEN '紅利折抵' WHEN k = 3 THEN '各項費用' WHEN payment_amount < 0 THEN '退刷' WHEN merchant_location = 'TW' THEN '交易' WHEN currency_type IS DISTINCT FROM payment_currency THEN '一般國外交易'
+      WHEN currency_type = 'TWD' THEN '台幣跨境交易' ELSE '一般雙幣交易' END AS transaction_type, merchant_location, payment_currency, currency_type, card_type, count(*) AS n, {AMOUNT} AS total_amount FROM f GROUP BY ALL"""
+)
+def classified_rows(spark, sf_dir):
+    """Types with what they put right of place, currency and card."""
+    rows = tx(spark, sf_dir).withColumns(
+        {
+            "merchant": F.col("normalized_merchant"),
+            "transaction_type": F.lit(""),
+            "currency_amount": F.col("payment_amount"),
+            "currency_type": F.when(F.col("card_type") == "BUILDING", "USD").otherwise("TWD"),
+            "payment_currency": F.when(F.col("payment_process").isNotNull(), "TWD"),
+        }
+    )
+    out = refine.classify(rows, {"payment": ["#000000001"], "credit": ["#00000000[2]"], "fee": ["00000003"]})
+    return out.groupBy("transaction_type", "merchant_location", "payment_currency", "currency_type", "card_type").agg(F.count("*").alias("n"), summaries.total().alias("total_amount"))
+
+
 @query(
     f"""WITH {TX} SELECT concat_ws('－', payment_process, category, CASE WHEN normalized_merchant <> category THEN normalized_merchant END) AS display_name, count(*) AS n FROM tx GROUP BY ALL"""
 )
@@ -572,6 +596,157 @@ def day_selection(spark, sf_dir):
     return out.groupBy("transaction_date", locked.alias("locked"), F.coalesce("near_change", F.lit(False)).alias("near_change")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {TX}, p AS (SELECT *, CASE WHEN payment_process IS NULL THEN '實體卡/虛擬卡' WHEN contains(payment_process, 'HIGH') THEN 'Linepay' WHEN payment_process IN ('1-URGENT', '3-MEDIUM') THEN payment_process ELSE '其他' END AS tier FROM tx)
+    SELECT tier, count(*) AS n, {AMOUNT} AS total_amount FROM p GROUP BY ALL"""
+)
+def payment_tier(spark, sf_dir):
+    """Payments by tier, the tiers from a table of priorities."""
+    given = spark.createDataFrame([("1-URGENT", "3"), ("3-MEDIUM", "9"), ("5-LOW", "17")], "payment_process string, priority string")
+    first, second = summaries.payment_tiers(given)
+    pay = F.when(F.col("payment_process") == "2-HIGH", "LINE 2-HIGH Pay").otherwise(F.col("payment_process"))
+    return tx(spark, sf_dir).groupBy(summaries.tier(pay, first, second).alias("tier")).agg(F.count("*").alias("n"), summaries.total().alias("total_amount"))
+
+
+@query(
+    """WITH t AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 12 + 1 AS b FROM orders), m AS (SELECT month(d) AS m, day(d) AS dd, b FROM t)
+    SELECT b AS bill_month, CAST(coalesce(try_cast(concat(CASE WHEN m - b > 6 THEN 1995 WHEN b = 12 AND m = 1 THEN 1997 ELSE 1996 END, '-', lpad(CAST(m AS VARCHAR), 2, '0'), '-', lpad(CAST(dd AS VARCHAR), 2, '0')) AS DATE), NULL) AS DATE) AS day, count(*) AS n FROM m GROUP BY ALL"""
+)
+def smart_dates(spark, sf_dir):
+    """Days without a year on bills of every month of 1996."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format(F.col("o_orderdate").cast("date"), "M/d").alias("text"), (F.col("o_orderkey") % 12 + 1).alias("bill_month"))
+    return rows.groupBy("bill_month", C.smart_date(F.col("text"), F.lit(1996), F.col("bill_month").cast("int")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS v, l_linenumber % 5 AS k FROM lineitem)
+    SELECT k AS way, CAST(sum(CASE WHEN k IN (0, 3) THEN floor(v) WHEN k = 1 THEN ceil(v) ELSE round(v) END) AS DOUBLE) AS total, CAST(sum(CASE WHEN k IN (0, 3) THEN floor(v * 100) WHEN k = 1 THEN ceil(v * 100) ELSE round(v * 100) END) / 100 AS DOUBLE) AS total_2 FROM p GROUP BY ALL"""
+)
+def reward_rounding(spark, sf_dir):
+    """Sums under each way of rounding, to whole numbers and to two digits."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    v = F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(4,2)")
+    way = (F.col("l_linenumber") % 5).cast("long")
+    how = F.element_at(F.array(*(F.lit(x) for x in ("floor", "up", "round", "down", "other"))), (way + 1).cast("int"))
+    sums = [F.sum(C.rounded(v, how, F.lit(d))).cast("double").alias(n) for d, n in ((0, "total"), (2, "total_2"))]
+    return line.groupBy(way.alias("way")).agg(*sums)
+
+
+@query(
+    """WITH t AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN 'nan' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS raw,
+      CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) END AS paid, CAST(l_suppkey AS VARCHAR) AS bank, CAST(l_partkey AS VARCHAR) AS card, l_returnflag AS flag FROM lineitem),
+    c AS (SELECT right('000' || bank, 3) AS bank_no, right('0000' || card, 4) AS card_no, CASE WHEN flag = 'A' THEN 'TWD' ELSE flag END AS raw_currency, TRY_CAST(raw AS DECIMAL(18,2)) AS r, TRY_CAST(paid AS DECIMAL(18,2)) AS p FROM t)
+    SELECT bank_no, card_no, raw_currency, CAST(sum(coalesce(r, p, 0)) AS DOUBLE) AS raw_amount, CAST(sum(coalesce(p, r, 0)) AS DOUBLE) AS payment_amount, count(*) AS n FROM c GROUP BY ALL"""
+)
+def bronze_contract(spark, sf_dir):
+    """Texts of a statement under the contract: numbers of their width, amounts that stand in for each other."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    part = F.col("l_linenumber") % 3
+    rows = line.select(
+        F.when(part == 0, "").when(part == 1, "nan").otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("currency_amount"),
+        F.when(F.col("l_linenumber") % 2 != 0, F.col("l_quantity").cast("decimal(18,2)").cast("string")).alias("payment_amount"),
+        F.concat(F.col("l_suppkey").cast("string"), F.lit(".0")).alias("bank_no"),
+        F.concat(F.lit("no "), F.col("l_partkey").cast("string")).alias("card_no"),
+        F.when(F.col("l_returnflag") == "A", "<NA>").otherwise(F.col("l_returnflag")).alias("currency_type"),
+    )
+    out = bronze.contract(rows)
+    sums = [F.sum(c).cast("double").alias(c) for c in ("raw_amount", "payment_amount")]
+    return out.groupBy("bank_no", "card_no", "raw_currency").agg(*sums, F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {TX}, k AS (SELECT transaction_date, row_number() OVER (PARTITION BY bank_no ORDER BY transaction_id) AS line_no, bank_no AS file, transaction_id, CASE WHEN hash_no % 7 = 0 THEN card_type END AS head FROM (SELECT *, CAST(split_part(transaction_id, '-', 1) AS BIGINT) AS hash_no FROM tx)),
+    f AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS card FROM k)
+    SELECT file, card AS card_type, count(*) AS n FROM f WHERE head IS NULL GROUP BY ALL"""
+)
+def card_header_fill(spark, sf_dir):
+    """Lines of a file that name a card hand it to the lines below."""
+    rows = tx(spark, sf_dir).select(F.col("bank_no").alias("file"), "transaction_id", "card_type")
+    line = F.row_number().over(Window.partitionBy("file").orderBy("transaction_id"))
+    head = F.split("transaction_id", "-")[0].cast("long") % 7 == 0
+    rows = rows.select("file", line.alias("line_no"), F.when(head, F.concat_ws(" ", "card_type", F.lit("卡號 1234"))).otherwise(F.col("transaction_id")).alias("merchant"))
+    return bank_rules.fill_card_headers(rows).groupBy("file", "card_type").agg(F.count("*").alias("n"))
+
+
+def _view(mode: str) -> str:
+    keys = ", ".join(segments.MODES[mode])
+    using = f"USING ({keys})"
+    named = "SELECT * REPLACE (coalesce(payment_process, '實體卡/其他') AS payment_process) FROM sp WHERE payment_amount > 0"
+    rank = lambda v: f"CAST((rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0) / count(*) OVER () AS DOUBLE)"
+    return f"""WITH {SPENT}, x AS (SELECT *, CAST(payment_amount AS DOUBLE) AS x FROM ({named})), d AS (SELECT max(transaction_date) - 180 AS since FROM x),
+    s AS (SELECT {keys}, count(*) AS n, {AMOUNT} AS total_amount, coalesce(stddev_samp(x), 0) AS std, {AMOUNT} / count(*) AS avg, min(x) AS low, max(x) AS high, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3,
+      coalesce(CAST(sum(payment_amount) FILTER (WHERE transaction_date >= since) AS DOUBLE), 0) AS recent, count(*) FILTER (WHERE transaction_date >= since) AS n_recent FROM x, d GROUP BY {keys}),
+    w AS (SELECT *, greatest(low, q1 - (q3 - q1) * 1.5) AS whisker_low, least(high, q3 + (q3 - q1) * 1.5) AS whisker_high, {rank('total_amount')} AS mr, {rank('recent')} AS rr FROM s),
+    o AS (SELECT {keys}, count(*) AS n_outliers, max(x) AS largest FROM x JOIN w {using} WHERE x < whisker_low OR x > whisker_high GROUP BY {keys})
+    SELECT {keys}, n, total_amount, round(std / avg, 3) AS cv, n_recent, {_labels(segments.GROUP_LABELS, 'mr >= 0.8 AND n_recent > 0', 'mr >= 0.8', 'n_recent > 0 AND rr >= 0.8', 'n_recent > 0')} AS rfm_segment,
+      coalesce(n_outliers, 0) AS n_outliers, least(coalesce(n_outliers, 0), 25) AS n_listed, round(largest, 2) AS largest_outlier FROM w LEFT JOIN o {using}"""
+
+
+def _volatility(mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = segments.volatility_view(spent(spark, sf_dir), mode)
+        listed = [F.size("outliers").cast("long").alias("n_listed"), F.get("outliers", F.lit(0))["amount"].alias("largest_outlier")]
+        return out.select(*segments.MODES[mode], "n", "total_amount", "cv", "n_recent", "rfm_segment", "n_outliers", *listed)
+
+    run.__name__ = f"volatility_view_{mode}"
+    return run
+
+
+for _mode in segments.MODES:
+    query(_view(_mode))(_volatility(_mode))
+
+
+_BY_SEGMENT = _rfm("normalized_merchant", _SHORT, f", {_labels(segments.MERCHANT_LABELS, *_SEGMENTS)} AS segment")
+
+
+@query(f"SELECT segment, count(*) AS n FROM ({_BY_SEGMENT}) GROUP BY ALL")
+def segment_counts(spark, sf_dir):
+    """How many merchants each segment has."""
+    out = segments.rfm(spent(spark, sf_dir), ["normalized_merchant"], _SHORT).withColumn("segment", segments.merchant_segment())
+    return segments.value_counts(out, "segment")
+
+
+@query(
+    f"""WITH {_APPLIED}, k AS (SELECT bank_no, card_type, rtype, count(*) AS n FROM applied JOIN pr USING (reward_id, reward_program) WHERE reward > 0 GROUP BY ALL),
+    m AS (SELECT *, row_number() OVER (PARTITION BY bank_no, card_type ORDER BY n DESC, rtype) AS place FROM k)
+    SELECT bank_no, card_type, CASE rtype WHEN 'openpoint' THEN 'OPENPOINT' ELSE '元' END AS reward_unit FROM m WHERE place = 1"""
+)
+def reward_units(spark, sf_dir):
+    """The unit of each card's most frequent reward."""
+    _, out = _rewards(spark, sf_dir)
+    return summaries.predominant_units(out, "bank_no", "card_id").withColumnsRenamed({"card_id": "card_type"})
+
+
+@query(
+    """WITH h AS (SELECT CAST(c_custkey AS VARCHAR) AS card_id, c_mktsegment AS card_type, c_nationkey % 5 = 0 AS active FROM customer)
+    SELECT card_type, CASE WHEN bool_or(active) THEN 'active' ELSE 'cancelled' END AS status FROM h WHERE card_type <> 'BUILDING' GROUP BY ALL UNION ALL SELECT 'BUILDING', 'cancelled'"""
+)
+def card_status(spark, sf_dir):
+    """Status of each card type from the histories of its cards."""
+    history = F.array(F.struct(F.when((F.col("c_nationkey") % 5 == 0) & (F.col("c_mktsegment") != "BUILDING"), "Active").otherwise("cancelled").alias("status")))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("card_id"), F.col("c_mktsegment").alias("card_type"), history.alias("card_history"))
+    return cards.card_status(rows)
+
+
+@query(
+    f"""WITH {TX}, a AS (SELECT transaction_id, payment_amount AS x FROM tx WHERE posting_date < DATE '1997-01-01'), b AS (SELECT transaction_id, payment_amount * 2 AS x FROM tx WHERE posting_date >= DATE '1996-01-01'),
+    m AS (SELECT * FROM a WHERE transaction_id NOT IN (SELECT transaction_id FROM b) UNION ALL SELECT * FROM b) SELECT transaction_id, CAST(sum(x) AS DOUBLE) AS x, count(*) AS n FROM m GROUP BY ALL"""
+)
+def upsert(spark, sf_dir):
+    """Later rows replace earlier ones of the same id."""
+    rows = tx(spark, sf_dir)
+    old = rows.where("posting_date < '1997-01-01'").select("transaction_id", F.col("payment_amount").cast("decimal(20,2)").alias("x"))
+    new = rows.where("posting_date >= '1996-01-01'").select("transaction_id", (F.col("payment_amount") * 2).cast("decimal(20,2)").alias("x"))
+    return refine.merge_by_key(old, new, ["transaction_id"]).groupBy("transaction_id").agg(F.sum("x").cast("double").alias("x"), F.count("*").alias("n"))
+
+
+@query(f"WITH {TX}, a AS (SELECT DISTINCT transaction_id FROM tx WHERE posting_date < DATE '1997-01-01') SELECT DISTINCT transaction_id FROM tx WHERE transaction_id NOT IN (SELECT transaction_id FROM a)")
+def idempotent_rows(spark, sf_dir):
+    """Rows that an idempotent load still appends."""
+    rows = tx(spark, sf_dir).select("transaction_id", "posting_date")
+    return refine.only_new(rows.select("transaction_id").distinct(), rows.where("posting_date < '1997-01-01'").select("transaction_id"), ["transaction_id"])
+
+
 @query(
     """WITH e AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value, CAST(ts AS DATE) AS day FROM events)
     SELECT event_type, day, count(*) AS n, count(DISTINCT k) AS n_keys, round(sum(CAST(value AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM e GROUP BY ALL"""
