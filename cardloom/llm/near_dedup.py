@@ -7,22 +7,23 @@ Method
    one class; from here on only classes are compared.
 2. *Inverted lists* of the ``LISTED`` smallest values.  Two sets with similarity s share one of them unless all of the
    union's ``LISTED`` smallest values are unshared: probability (1 - s) ** LISTED, about 2e-10 at 0.75.
-3. *Stars.*  In every list the member with the smallest set and a pseudo-random member are hubs; every other member is
-   paired with them, so a list of m gives at most 2 m pairs however large its group of copies is.
+3. *Stars.*  In every list the member with the smallest set and ``DRAWN`` others, the first by as many hashes, are hubs;
+   every other member is paired with them, so a list of m gives at most 5 m pairs however large its group of copies is.
+   The lists of one group mostly agree on their hubs, so most of these pairs are the same ones.
 4. *Estimate.*  The union's own bottom-k sketch estimates a pair's similarity; pairs far below the threshold go
    (``ESTIMATE`` lies six standard errors below it).  *Verify.*  The rest are confirmed on full sets.
 5. *Components* of the links.  Most lists now lie within one component and are done.
-6. *Rest.*  In the lists that still hold several components, members of different components are paired.  Lists of
-   more than ``WIDE`` components (a common passage) are skipped for documents that have enough other values: these
-   list more of their sketch instead, leaving the common values out.
-7. *Common passages.*  Documents made up mostly of common passages are joined on their whole sets, exactly.  Shingles
-   that the same of these documents hold are one *part* with a weight, so a passage is one part and not many shingles,
-   and what a single document says takes no part.  Documents with equal parts form a group: two of them share just
-   these parts, so if they are similar then each is similar to the smallest of the group, and the sizes alone tell.
+6. *Rest.*  In the lists that still hold several components, at most ``WIDE``, members of different components are
+   paired; estimate and verification follow.  That finds the links of a document of whose listed values at most one is in
+   a wider list: 15 of 16 are left, as surely as above.
+7. *Common passages.*  Documents with two or more listed values in wider lists are joined on their whole sets, exactly.
+   Shingles that the same of these documents hold are one *part* with a weight, so a passage is one part and not many
+   shingles, and what a single document says takes no part.  Documents with equal parts form a group: two of them share
+   just these parts, so if they are similar then each is similar to the smallest of the group, and the sizes alone tell.
    Across groups, if two documents are similar then so are each one and the other's smallest, and the two smallest;
    hence only the smallest of each group, and those not similar to theirs, are compared with the smallest of other
    groups.  Similar sets share a part among the rarest quarter of each (prefix filter), and what follows the first
-   shared part bounds what they share.
+   shared part bounds what they share; a pair is made there only.
 
 Nothing about all documents reaches the driver: sketches lie in a written table, everything else is joins, aggregates
 and checkpoints in the shared folder.
@@ -51,8 +52,12 @@ LISTED = 16
 PERCENT = 75
 ESTIMATE = 0.43
 WIDE = 64
-#: Share of a sketch's values in wide lists from which a document counts as made of common passages.
-COMMON = 0.5
+#: So many listed values in wide lists, and a document is compared by the parts of its whole set.
+COMMON = 2
+#: Links that one task joins into components (16 MB at most); more are contracted by rounds of joins first.
+FEW_LINKS = 200_000
+#: Hubs of a list that are drawn by a hash, besides the smallest set.
+DRAWN = 4
 #: Columns that name a part: in how many sets its shingles are, and two hashes of these sets.
 PART = ["holders", "one", "two"]
 
@@ -143,11 +148,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Full sets of the wanted classes; one text of each is read again."""
+    """Full sets of the wanted classes, as a written table; one text of each is read again."""
     ids = classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("wanted_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    return full_sets(texts).dropDuplicates(["cls"])
+    return _shared.save(full_sets(texts).dropDuplicates(["cls"]), "whole")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The classes of the pairs."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -158,33 +168,57 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.where(_similar(shared, F.size("a_whole"), F.size("b_whole"))).select("a", "b")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Estimated, then verified pairs, as a written table."""
-    found = _shared.save(_estimated(pairs, classes), "pairs")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    return _shared.save(_verified(found, _whole(wanted, docs, classes)), "links")
+def _joined(edges: DataFrame) -> DataFrame:
+    """``node`` and ``to``, the smallest node that it is connected with, of few edges, by one task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = sorted((root(x), root(y)))
+                parent[high] = low
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.binary()), pa.array([root(x) for x in parent], pa.binary())], ["node", "to"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node binary, to binary")
+
+
+def _nearer(edges: DataFrame) -> DataFrame:
+    """``node`` and ``to``: the smallest node around it and, once more, where that one goes."""
+    both = edges.unionByName(edges.selectExpr("b a", "a b"))
+    step = both.groupBy("a").agg(F.min("b").alias("to")).selectExpr("a node", "least(a, to) to")
+    again = step.selectExpr("node mid", "to far")
+    return step.join(again, F.col("to") == F.col("mid"), "left").selectExpr("node", "least(to, coalesce(far, to)) to")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``cls`` and ``comp`` for every node of the links (``a``, ``b``), the same ``comp`` for connected nodes.
 
-    Each round every node moves to the smallest node around it and, once more, to where that one moved; edges are
-    carried to the new nodes, so connected nodes stay connected, and the rounds end when no edge joins two nodes.
+    Edges are contracted by rounds in which every node moves to a smaller one near it; they are carried to the new nodes,
+    so connected nodes stay connected.  Once few edges are left, one task joins them; the result is the same either way.
     """
     edges = _shared.save(links.where("a != b").distinct(), "edges")
-    label = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct().select("cls", F.col("cls").alias("comp"))
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.selectExpr("b a", "a b"))
-        step = both.groupBy("a").agg(F.min("b").alias("to")).selectExpr("a node", "least(a, to) to")
-        again = step.selectExpr("node mid", "to far")
-        step = step.join(again, F.col("to") == F.col("mid"), "left").selectExpr("node", "least(to, coalesce(far, to)) to")
-        step = _shared.save(step, "step")
-        label = label.join(step, F.col("comp") == F.col("node"), "left").selectExpr("cls", "coalesce(to, comp) comp")
-        label = _shared.save(label, "label")
+    label = None
+    while label is None or not edges.isEmpty():
+        few = edges.count() <= FEW_LINKS
+        step = _shared.save(_joined(edges) if few else _nearer(edges), "step")
+        if label is None:
+            label = step.withColumnsRenamed({"node": "cls", "to": "comp"})
+        else:
+            label = label.join(step, F.col("comp") == F.col("node"), "left").selectExpr("cls", "coalesce(to, comp) comp")
+            label = _shared.save(label, "label")
+        if few:
+            break
         for end in ("a", "b"):
             moved = step.selectExpr(f"node {end}", f"to {end}_to")
             edges = edges.join(moved, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
-        edges = _shared.save(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        edges = _shared.save(_ordered(edges), "edges")
     return label
 
 
@@ -199,41 +233,17 @@ def _across(lists: DataFrame) -> DataFrame:
     return _ordered(pairs.where(F.col("comp") < F.col("b_comp")).where(_near_size("a_n", "b_n")).select("a", "b"))
 
 
-def _rest(classes: DataFrame, label: DataFrame, shared_lists: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs that the stars can have missed: members of different components that share a listed value.
+def _rest(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that the stars can have missed: members of different components in lists (``v``, ``cls``, ``n``) of few ones.
 
-    Also the classes (``cls``) of the documents that are made up mostly of common passages.
+    Also the classes (``cls``) with several values in wider lists.
     """
-    spread = label.select("cls", "comp")
-
-    def with_comp(lists: DataFrame) -> DataFrame:
-        return lists.join(spread, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-
-    lists = with_comp(shared_lists)
+    lists = lists.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     width = lists.groupBy("v", "comp").agg(F.lit(1)).groupBy("v").agg(F.count("*").alias("width")).where("width > 1")
-    width = _shared.save(width, "width")
-    pairs = _across(lists.join(width.where(F.col("width") <= WIDE), "v", "left_semi"))
-    wide = width.where(F.col("width") > WIDE).select("v")
-    if wide.isEmpty():
-        return pairs, None
-
-    # Documents with common values list more of their sketch, without those values.
-    touched = lists.join(wide, "v", "left_semi").groupBy("cls", "n").agg(F.count("*").alias("common"))
-    touched = touched.where(F.col("common") * 4 >= F.least("n", F.lit(LISTED))).select("cls")
-    deep = classes.join(touched, "cls", "left_semi")
-    deep = deep.select("cls", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
-    deep = _shared.save(with_comp(deep), "deep")
-    plain = classes.join(touched, "cls", "left_anti")
-    plain = with_comp(plain.select("cls", F.col("n_shingles").alias("n"), F.explode(F.slice("sketch", 1, LISTED)).alias("v")))
-    more = deep.unionByName(plain.join(deep.select("v").distinct(), "v", "left_semi").select(deep.columns))
-    breadth = more.groupBy("v", "comp").agg(F.lit(1)).groupBy("v").agg(F.count("*").alias("width")).where("width > 1")
-    breadth = _shared.save(breadth, "width")
-    pairs = pairs.unionByName(_across(more.join(breadth.where(F.col("width") <= WIDE), "v", "left_semi")))
-
-    common = breadth.where(F.col("width") > WIDE).select("v")
-    share = deep.join(common.withColumn("is_common", F.lit(1)), "v", "left").groupBy("cls")
-    mostly = share.agg(F.avg(F.coalesce("is_common", F.lit(0))).alias("share")).where(F.col("share") >= COMMON)
-    return pairs.distinct(), _shared.save(mostly.select("cls"), "held")
+    open_lists = _shared.save(lists.join(width, "v"), "open")
+    pairs = _across(open_lists.where(F.col("width") <= WIDE).drop("width"))
+    common = open_lists.where(F.col("width") > WIDE).groupBy("cls", "n").agg(F.count("*").alias("common"))
+    return pairs, common.where(F.col("common") >= F.least("n", F.lit(COMMON))).select("cls")
 
 
 def _parts(whole: DataFrame) -> DataFrame:
@@ -268,10 +278,12 @@ def _common(whole: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.join(label.select("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = _shared.save(rows.select("cls", "n", "is_hub", "comp", "rest", *PART), "asking")
     several = rows.groupBy(*PART).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    earlier = Window.partitionBy("cls").orderBy(*PART)
     rows = rows.join(several, PART, "left_semi")
-    hubs = rows.where("is_hub").select(*PART, *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "comp", "rest")))
+    rows = rows.withColumn("earlier", F.collect_list(F.xxhash64(*PART)).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    hubs = rows.where("is_hub").select(*PART, *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "comp", "rest", "earlier")))
     met = (F.col("comp") != F.col("b_comp")) & _near_size("n", "b_n") & (~F.col("is_hub") | (F.col("cls") < F.col("b_cls")))
-    met = met & _similar(F.least("rest", "b_rest"), F.col("n"), F.col("b_n"))
+    met = met & _similar(F.least("rest", "b_rest"), F.col("n"), F.col("b_n")) & ~F.arrays_overlap("earlier", "b_earlier")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in PART]
     pairs = rows.alias("x").join(hubs.alias("y"), [*same, met])
     return links, _ordered(pairs.select(F.col("cls").alias("a"), F.col("b_cls").alias("b")))
@@ -285,28 +297,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = _shared.save(classes, "classes")
     lists = classes.select("cls", F.col("n_shingles").alias("n"), F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    hubs = lists.groupBy("v").agg(
-        F.count("*").alias("members"),
-        F.min(F.struct("n", "cls")).alias("small"),
-        F.min(F.struct(F.xxhash64("cls", "v").alias("order"), "n", "cls")).alias("random"),
-    )
-    hubs = hubs.where("members > 1").select("v", F.array("small", F.struct("random.n", "random.cls")).alias("hubs"))
+    drawn = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("order"), "n", "cls")).alias(f"drawn{k}") for k in range(DRAWN)]
+    hubs = lists.groupBy("v").agg(F.count("*").alias("members"), F.min(F.struct("n", "cls")).alias("small"), *drawn).where("members > 1")
+    hubs = hubs.select("v", F.array_distinct(F.array("small", *(F.struct(f"drawn{k}.n", f"drawn{k}.cls") for k in range(DRAWN)))).alias("hubs"))
     shared_lists = _shared.save(lists.join(hubs, "v").select("v", "cls", "n", "hubs"), "lists")
     star = shared_lists.select(F.col("cls").alias("a"), "n", F.explode("hubs").alias("hub")).where(_near_size("n", "hub.n"))
-    star = star.select("a", F.col("hub.cls").alias("b"))
-    links = _checked(_ordered(star), docs, classes)
+    pairs = _shared.save(_estimated(_ordered(star.select("a", F.col("hub.cls").alias("b"))), classes), "pairs")
+    whole = _whole(_ends(pairs), docs, classes)
+    links = _shared.save(_verified(pairs, whole), "links")
+    _shared.drop(whole)
     label = components(links)
-    pairs, held = _rest(classes, label, shared_lists.select("v", "cls", "n"))
-    new = _checked(pairs, docs, classes)
-    if not new.isEmpty():
-        links = _shared.save(links.unionByName(new), "links")
-        label = components(links)
-    if held is not None:
-        common = _shared.save(classes.join(held, "cls", "left_semi"), "common")
-        whole = _shared.save(_whole(common.select("cls"), docs, common).join(held, "cls", "left_semi"), "whole")
-        alike, pairs = _common(whole, label)
-        new = _verified(_estimated(_shared.save(pairs, "pairs"), common), whole)
-        links = _shared.save(links.unionByName(alike).unionByName(new), "links")
+    pairs, common = _rest(shared_lists.select("v", "cls", "n"), label)
+    pairs, common = _shared.save(_estimated(pairs, classes), "pairs"), _shared.save(common, "common")
+    if not (pairs.isEmpty() and common.isEmpty()):
+        whole = _whole(_ends(pairs).unionByName(common), docs, classes)
+        alike, more = _common(whole.join(common, "cls", "left_semi"), label)
+        pairs = pairs.unionByName(_estimated(_shared.save(more, "pairs"), classes)).distinct()
+        links = _shared.save(links.unionByName(alike).unionByName(_verified(pairs, whole)), "links")
+        _shared.drop(whole)
         label = components(links)
 
     reach = classes.select("cls", "rep").join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
