@@ -7,9 +7,10 @@ own lines only, and the chunks within a run cover it whole: the chunk that start
 the one that ends with the run reaches back over that line.  So every later copy goes from its first line with words to
 its last, wherever it stands; copies may overlap, and a line repeated over and over leaves one.
 
-Only chunk hashes are dealt out at first.  Chunks whose hash occurs again are fetched and compared byte by byte (rows
-are grouped by the chunk's bytes); of equal chunks the first, by document id and position, stays and all others are
-removed.  Every line that goes is preceded by an equal one that stays.
+Only chunk hashes are dealt out at first.  Chunks whose hash occurs again are fetched and compared byte by byte: per
+hash and bytes one row with the first place, by document id and position, is made by partial aggregates; all chunks meet
+it and go unless they stand there.  Chunks that very many documents hold are dealt by a salt, too, with a copy of that
+row for each salt.  Every line that goes is preceded by an equal one that stays.
 
 Defined cases: a null text stays null; documents with a null ``doc_id`` are left as they are; rows that repeat a
 ``doc_id`` with the same text count as one document and get the same result, with other texts as further documents;
@@ -29,10 +30,12 @@ from cardloom.llm import _shared, _text
 
 LONG_LINE = 50
 MIN_WORDS = 10
+#: Places of one chunk hash that share a salt.
+SALTED = 500
 _CHUNK = ["doc_id", "text_key", "hash", "first_byte", "end_byte"]
 
 
-def chunks(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunks(block: _text.Block, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash, first byte and end byte (both within the text) of every candidate chunk of a block."""
     starts, ends, first = block.lines()
     prefix = block.prefix()
@@ -45,13 +48,13 @@ def chunks(block: _text.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     total = np.concatenate(([0], np.cumsum(words[worded])))
     each = np.arange(n)
     # The nearest line with which each one has enough words, at least the next: after it and before it.
-    to = np.maximum(each + 1, np.searchsorted(total, total[:-1] + MIN_WORDS) - 1)
-    back = np.minimum(each - 1, np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1)
+    to = np.maximum(each + 1, np.searchsorted(total, total[:-1] + min_words) - 1)
+    back = np.minimum(each - 1, np.searchsorted(total, total[1:] - min_words, "right") - 1)
     starting = to < n
     starting[starting] = of[to[starting]] == of[starting]
     ending = back >= 0
     ending[ending] = of[back[ending]] == of[ending]
-    long = each[words[worded] > LONG_LINE]
+    long = each[words[worded] > long_line]
     first_line = np.concatenate((each[starting], back[ending], long))
     last_line = np.concatenate((to[starting], each[ending], long))
     pairs = np.unique(np.column_stack((worded[first_line], worded[last_line])), axis=0)
@@ -65,13 +68,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_key", F.xxhash64("text"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
     """``doc_id``, ``text_key`` and ``cuts``: the byte ranges of each document to remove."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _text.blocks(batch.column(2)):
-                text, hashes, a, b = chunks(block)
+                text, hashes, a, b = chunks(block, min_words, long_line)
                 rows = pa.array(text + block.first)
                 columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes.view(np.int64)), pa.array(a), pa.array(b)]
                 yield pa.RecordBatch.from_arrays(columns, _CHUNK)
@@ -79,17 +82,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     found = keyed.select("doc_id", "text_key", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _CHUNK))
     found = _shared.save(found, "chunks")
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    cand = _shared.save(found.join(again, "hash", "left_semi"), "chunks")
+    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = again.select("hash", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    cand = _shared.save(found.join(again, "hash"), "chunks")
+    _shared.drop(found)
     # The candidates' bytes: one row of places per document meets its text.
-    places = cand.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("hash", "first_byte", "end_byte")).alias("places"))
+    chunk = ["hash", "salts", "first_byte", "end_byte"]
+    places = cand.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*chunk)).alias("places"))
     held = keyed.join(places, ["doc_id", "text_key"]).select("doc_id", "text_key", F.col("text").cast("binary").alias("bytes"), F.explode("places").alias("p"))
     piece = F.substring("bytes", F.col("p.first_byte").cast("int") + 1, (F.col("p.end_byte") - F.col("p.first_byte")).cast("int"))
-    held = held.select("doc_id", "text_key", "p.hash", "p.first_byte", "p.end_byte", piece.alias("piece"))
+    held = held.select("doc_id", "text_key", *(f"p.{c}" for c in chunk), piece.alias("piece"))
     held = _shared.save(held, "pieces")
     place = F.struct("doc_id", "text_key", "first_byte")
-    kept = held.groupBy("hash", "piece").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept != other")
-    gone = held.join(kept.select("hash", "piece", "kept"), ["hash", "piece"]).where(place != F.col("kept"))
+    kept = held.groupBy("hash", "piece").agg(F.min(place).alias("kept"), F.max(place).alias("other"), F.max("salts").alias("salts"))
+    kept = kept.where("kept != other").select("hash", "piece", "kept", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "first_byte"), F.col("salts")).cast("int"))
+    gone = salted.join(kept, ["hash", "piece", "salt"]).where(place != F.col("kept"))
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_byte", "end_byte")).alias("cuts"))
 
 
@@ -114,13 +122,14 @@ def cut(text: str | None, ranges: list[tuple[int, int]]) -> tuple[str | None, in
     return out.decode("utf-8", "surrogatepass"), gone
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_line: int = LONG_LINE) -> DataFrame:
     """The documents, all columns, with repeated chunks cut from ``text``; ``removed_lines`` is added."""
-    spans = repeated_spans(docs)
+    spans = repeated_spans(docs, min_words, long_line)
     name = "removed_lines"
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    spans = spans.selectExpr("doc_id _id", "text_key _key", "cuts _cuts")
-    joined = keyed.join(spans, ["_id", "_key"], "left").select(*docs.columns, "_cuts")
+    own_id, own_key, own_cuts = _shared.unused(docs, "_id", "_key", "_cuts")
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_key: F.xxhash64(F.col("text").cast("string"))})
+    spans = spans.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("cuts").alias(own_cuts))
+    joined = keyed.join(spans, [own_id, own_key], "left").select(*docs.columns, own_cuts)
     schema = docs.select(*[c for c in docs.columns if c != name]).schema.add(name, "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +137,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").cast(pa.string()).to_pylist()
             done = [
                 cut(t, [(c["first_byte"], c["end_byte"]) for c in cuts or ()])
-                for t, cuts in zip(texts, batch.column("_cuts").to_pylist(), strict=True)
+                for t, cuts in zip(texts, batch.column(own_cuts).to_pylist(), strict=True)
             ]
             columns = []
             for field in schema:
