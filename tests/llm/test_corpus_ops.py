@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -304,6 +305,17 @@ def test_shards_do_not_depend_on_the_run(spark, edge, tmp_path, monkeypatch, wri
     assert files[0] == files[1] and len(files[0]) > 1
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    other = con.sql(queries.ORACLE_SQL[name])
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(other.columns) == sorted(df.columns)
+    assert {tuple(r) for r in df.select(*other.columns).collect()} == set(other.fetchall())
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage's decisions equal the operator's on what the stage before it kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -325,3 +337,19 @@ def test_pipeline_stages(spark, sf_dir):
     last = stages["byte_bpe"](spark, clean, sf_dir).collect()
     assert {r.doc_id: r.decoded_sha256 for r in last} == {r.doc_id: brute.sha(r.text) for r in clean.collect()}
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {tuple(r) for r in last}
+
+
+def test_pipeline_stages_on_edge_rows(spark, sf_dir, edge, no_docs):
+    """Null, empty, repeated, very long texts and columns named like the stages' own; then no rows at all."""
+    odd = edge.withColumnsRenamed({"cls": "_gone", "n": "_cuts"})
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = stage(spark, docs, sf_dir).cache()
+            assert name == "byte_bpe" or docs.columns == columns
+    good = corpus_pipeline.quality(spark, odd, sf_dir).collect()
+    assert all(r.text and len(r.text.split()) >= 50 for r in good)
+    left = corpus_pipeline.near(spark, odd, sf_dir).collect()
+    texts = edge_texts()
+    keep = {i for i, (_, c) in brute.near_components(list(enumerate(texts))).items() if i == c}
+    assert {r.doc_id for r in left} == keep | {None} and sum(r.doc_id == 7 for r in left) == 2
