@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's input.  All but the last return the columns of ``documents``.
+
+Defined cases, as in the operators: a document without text fails the base rule and goes at the first stage; an empty
+table passes through empty; repeated rows stay repeated until near copies go by id; extra columns, whatever their names,
+are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Rows that repeat a ``doc_id`` count once: of their rows with the group's smallest id one stays.
+    The verdict is one of ids: rows that repeat an id share it, and a document without an id stays.
     """
-    verdict = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(verdict, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = _shared.unused(docs, "_gone")
+    verdict = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(verdict, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
