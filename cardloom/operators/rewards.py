@@ -19,6 +19,8 @@ MONEY = "decimal(18,2)"
 # Reward types with two digits (others have none) and those that round down (others round half up).
 TWO_DIGITS = ("openpoint",)
 DOWN = ("cashback_floor", "esunpoint_floor", "esun_points_floor")
+# Days around a change of selection in which a booked day may be another one than that of the purchase.
+ABROAD_DAYS, PHONE_DAYS = 1, 2
 FIELDS = ("payment_process", "ec_platform", "vpc_type", "merchant_location")
 
 
@@ -220,6 +222,43 @@ def day_selection(txns: DataFrame, selections: DataFrame, near_days: int = 1) ->
     return txns.join(by_day, "transaction_date", "left")
 
 
+def is_cross_border(kind: Column) -> Column:
+    """Whether a transaction's type is one of those abroad."""
+    return F.coalesce(kind.isin(C.FOREIGN, C.FOREIGN_TWD, C.FOREIGN_DUAL), F.lit(False))
+
+
+def is_mobile(payment: Column) -> Column:
+    """Whether a transaction was paid through a payment process."""
+    return F.coalesce(payment != "", F.lit(False))
+
+
+def active_selection(txns: DataFrame, selections: DataFrame) -> DataFrame:
+    """Adds ``locked``, the programs selected for the transaction's day, and ``verify``, whether a person should look.
+
+    ``selections`` hold a bank and card they are for (blank: any), their days, and ``strategy_ord``: of several strategies
+    the first that says anything counts.  A change of selection near a transaction abroad (1 day) or by phone (2 days)
+    makes it doubtful, as do several programs on its day.
+    """
+    names = ["bank_no", "card_id", "transaction_date"]
+    flags = {"_abroad": is_cross_border(F.col("transaction_type")), "_phone": is_mobile(F.col("payment_process"))}
+    rows = txns.withColumns(flags)
+    keys = rows.select(*names, "_abroad", "_phone").distinct()
+    side = C.small(selections.select(F.col("bank_no").alias("_b"), F.col("card_id").alias("_c"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e"), "base_reward_program", "strategy_ord"))
+    mine = (C.blank(F.col("_b")) | (F.lower("_b") == F.lower("bank_no"))) & (C.blank(F.col("_c")) | (F.lower("_c") == F.lower("card_id")))
+    day = F.col("transaction_date")
+    near = lambda n: (F.abs(F.datediff(day, "_s")) <= n) | (F.abs(F.datediff(day, "_e")) <= n)
+    hit = mine & (day >= F.date_sub("_s", PHONE_DAYS)) & (day <= F.date_add("_e", PHONE_DAYS))
+    found = keys.join(side, hit).groupBy(*names, "_abroad", "_phone", "strategy_ord").agg(
+        F.array_sort(F.collect_set(F.when(day.between(F.col("_s"), F.col("_e")), F.col("base_reward_program")))).alias("locked"),
+        F.max((F.col("_abroad") & near(ABROAD_DAYS)) | (F.col("_phone") & near(PHONE_DAYS))).alias("_near"),
+    )
+    found = found.withColumn("verify", F.col("_near") | (F.size("locked") > 1)).where((F.size("locked") > 0) | F.col("verify"))
+    best = found.groupBy(*names, "_abroad", "_phone").agg(F.min_by(F.struct("locked", "verify"), "strategy_ord").alias("_v"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*names, "_abroad", "_phone")]
+    out = rows.alias("a").join(best.alias("b"), same, "left")
+    return out.select(*(F.col(f"a.{c}") for c in txns.columns), F.col("b._v.locked").alias("locked"), F.coalesce("b._v.verify", F.lit(False)).alias("verify"))
+
+
 def totals(applied: DataFrame) -> DataFrame:
     """Reward of each transaction and the trace of its programs."""
     trace = F.array_sort(F.collect_list(F.struct("priority", "load_ord", "reward_program")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.operators import bronze, refine
@@ -31,6 +31,14 @@ def overwrite_mart(results: Mapping[str, DataFrame], schema: str = "default") ->
     return written
 
 
+def read_mart(spark: SparkSession, name: str, schema: str = "default") -> DataFrame:
+    """A mart table with zeros for numbers that are none or infinite, and false for missing truth values."""
+    df = spark.table(f"{schema}.{name}")
+    clean = {n: F.when(F.col(n).isNull() | F.isnan(n) | (F.abs(n) == float("inf")), 0.0).otherwise(F.col(n)) for n, kind in df.dtypes if kind in ("double", "float")}
+    flags = {n: F.coalesce(n, F.lit(False)) for n, kind in df.dtypes if kind == "boolean"}
+    return df.withColumns(clean | flags)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header; nested values as JSON."""
     nested = [n for n, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]

@@ -17,6 +17,9 @@ CARD = "實體卡/虛擬卡"
 CARD_NAMES = ("實體卡/其他", "實體卡", "虛擬卡", "實體卡/虛擬卡")
 LINE_PAY = "Linepay"
 OTHER = "其他"
+# Order of categories where no list gives one; those that hold the last word come last.
+CATEGORY_ORDER = ("百貨量販", "便利商店", "連鎖飲食", "商圈", "生活服務", "電子商務", "保險費用")
+LAST_CATEGORY = "保險"
 # Units of rewards by what their type holds, the first that fits.
 UNITS = (("tree|小樹", "小樹點"), ("line", "LINE POINTS"), ("openpoint", "OPENPOINT"), ("esun|e point|^e_points?$", "玉山 e point"), ("hami", "Hami Point"), ("紅利", "紅利點數"))
 MONEY_UNIT = "元"
@@ -34,9 +37,10 @@ def monthly(df: DataFrame, *keys: str, average: bool = True) -> DataFrame:
     return out.withColumn("avg_amount", F.col("total_amount") / F.col("n_transactions")) if average else out
 
 
-def pivot(df: DataFrame, row: Column, column: str, values: Sequence[str], fill: float = 0.0) -> DataFrame:
-    """Amount per row key and listed column value, one pass: the values are given, so nothing is collected first."""
-    cells = [F.coalesce(F.sum(F.when(F.col(column) == v, F.col("payment_amount"))).cast("double"), F.lit(fill)).alias(v) for v in values]
+def pivot(df: DataFrame, row: Column, column: str, values: Sequence[str], fill: float = 0.0, how: str = "sum") -> DataFrame:
+    """Amounts by row and the given column values: their sum, count or mean, in one pass."""
+    of = {"sum": F.sum, "count": F.count, "mean": F.avg}[how]
+    cells = [F.coalesce(of(F.when(F.col(column) == v, F.col("payment_amount"))).cast("double"), F.lit(fill)).alias(v) for v in values]
     return df.groupBy(row).agg(*cells)
 
 
@@ -179,3 +183,11 @@ def predominant_units(rewards: DataFrame, *keys: str) -> DataFrame:
     n = rows.groupBy(*keys, "reward_type").agg(F.count("*").alias("_n"))
     first = F.min_by("reward_type", F.struct(-F.col("_n"), F.col("reward_type")))
     return n.groupBy(*keys).agg(reward_unit(first).alias("reward_unit"))
+
+
+def category_place(c: Column, order: Sequence[str] = CATEGORY_ORDER) -> Column:
+    """Sort key of categories: the listed ones in order, others by name, insurance last."""
+    place = F.lit(len(order))
+    for k, name in reversed(list(enumerate(order))):
+        place = F.when(c == name, k).otherwise(place)
+    return F.struct(F.coalesce(F.contains(c, F.lit(LAST_CATEGORY)), F.lit(False)).alias("last"), place.alias("place"), c.alias("name"))

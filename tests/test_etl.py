@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
-from cardloom.operators import bronze, cards, refine, segments, sinks, summaries
+from cardloom.operators import bronze, cards, refine, rewards, segments, sinks, summaries
 from cardloom.plans import etl
-from cardloom.sources import bank_rules, bills
+from cardloom.sources import bank_rules, bills, reward_tables
 
 D = datetime.date
 
@@ -127,6 +127,44 @@ def test_largest_outliers(spark):
     assert segments.volatility_view(df, "card_payment", card="g").count() == 1 and segments.volatility_view(df, "no such mode").columns[0] == "category"
 
 
+def test_reward_tables(spark):
+    base = spark.createDataFrame([("b1", "013", "nan", "cube", "x", "TRUE", "1.5", "2025-01-01", 0)], "base_reward_id string, bank_no string, card_id string, base_reward_program string, base_priority string, reward_cal_break string, base_reward_rate string, start_date string, load_ord int")
+    more = spark.createDataFrame([("c1", "ALL", "gold", "5", "100", 0)], "campaigns_reward_id string, bank_no string, campaign_reward_program string, campaign_priority string, cap_amount string, load_ord int")
+    out = reward_tables.programs(base, more).orderBy("load_ord").collect()
+    assert [(r.reward_id, r.source, r.priority, r.reward_cal_break, r.card_id) for r in out] == [("b1", "base", 999, True, None), ("c1", "campaign", 5, False, None)]
+    assert out[0].start_date == D(2025, 1, 1) and out[1].cap_amount == 100 and out[1].reward_rate is None and out[1].reward_program == "gold"
+    linked = spark.createDataFrame([("b1", "p1", 0), (" ", "p2", 1), ("c1", None, 2)], "reward_id string, merchant_reward_pools_id string, load_ord int")
+    assert rows(reward_tables.links(linked), "reward_id", "pool_id") == [("b1", "p1")]
+    pools = spark.createDataFrame([("p1", "a", None, '[{"merchants":["x"],"merchant_rate":2}]')], "merchant_reward_pools_id string, pool_name string, pass_rules string, rules string")
+    (pool,) = reward_tables.pools(pools).collect()
+    assert pool.pass_rules == [] and pool.rules[0].merchants == ["x"] and pool.rules[0].merchant_rate == 2
+    flat = spark.createDataFrame([("p", "a, b,", "3", "false", 1), ("p", "c", None, "1", 0), ("p", "", "1", None, 0)], "pool_id string, merchants string, merchant_rate string, is_pass string, rule_ord int")
+    (pool,) = reward_tables.pools_from_rows(flat).collect()
+    assert [r.merchants for r in pool.rules] == [[], ["a", "b"]] and [r.merchants for r in pool.pass_rules] == [["c"]]
+    days = spark.createDataFrame([("a", "2025-01-01", "2025-02-01", "n"), ("b", "no", None, None)], "reward_program string, start_date string, end_date string, remark string")
+    assert rows(reward_tables.selections(days), "base_reward_program", "note") == [("a", "n")] and reward_tables.missing_tables(spark, ["no_such_table"]) == ["no_such_table"]
+
+
+def test_selected_programs(spark):
+    days = [("013", None, D(2025, 1, 1), D(2025, 1, 31), "A", 0), ("013", None, D(2025, 2, 1), D(2025, 2, 28), "B", 0), ("", "C9", D(2025, 1, 1), D(2025, 12, 31), "R", 1)]
+    chosen = spark.createDataFrame(days, "bank_no string, card_id string, start_date date, end_date date, base_reward_program string, strategy_ord int")
+    data = [
+        (1, "013", "c", D(2025, 1, 15), C.PURCHASE, None), (2, "013", "c", D(2025, 1, 30), C.PURCHASE, "LINE"), (3, "013", "c", D(2025, 1, 30), C.FOREIGN, ""), (4, "013", "c", D(2025, 2, 1), C.FOREIGN_DUAL, None),
+        (5, "812", "c9", D(2025, 6, 1), C.PURCHASE, None), (6, "812", "x", D(2025, 6, 1), C.PURCHASE, "LINE"), (7, "013", "C9", D(2025, 3, 1), None, "LINE"), (8, None, None, None, None, None),
+    ]
+    txns = spark.createDataFrame(data, "id int, bank_no string, card_id string, transaction_date date, transaction_type string, payment_process string")
+    out = {r.id: (r.locked, r.verify) for r in rewards.active_selection(txns, chosen).collect()}
+    assert out == {1: (["A"], False), 2: (["A"], True), 3: (["A"], True), 4: (["B"], True), 5: (["R"], False), 6: (None, False), 7: ([], True), 8: (None, False)}
+
+
+def test_category_order_and_pivots(spark):
+    df = spark.createDataFrame([("x保險", 1), ("便利商店", 2), ("百貨量販", 3), ("其他類", 4), ("保險費用", 5)], "c string, payment_amount int")
+    assert rows(df.orderBy(summaries.category_place(F.col("c"))), "c") == ["百貨量販", "便利商店", "其他類", "保險費用", "x保險"]
+    more = df.unionByName(df.limit(2))
+    for how, value in (("sum", 4.0), ("count", 2.0), ("mean", 2.0)):
+        assert summaries.pivot(more.where("c = '便利商店'"), F.lit(1).alias("r"), "c", ["便利商店", "none"], how=how).collect()[0][1:] == (value, 0.0)
+
+
 def write(folder, name, text, encoding):
     (folder / name).write_bytes(text.encode(encoding))
 
@@ -166,6 +204,7 @@ def test_statements_to_mart(spark, tmp_path, nested):
     assert not sinks.overwrite_mart({"rfm_merchants": spark.table("etl_test.rfm_merchants").limit(0)}, "etl_test")["rfm_merchants"] and spark.table("etl_test.rfm_merchants").count() > 0
     sinks.export_csv(spark.table("etl_test.volatility_category_only"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.table("etl_test.volatility_category_only").count()
+    assert sinks.read_mart(spark, "rfm_merchants", "etl_test").count() == spark.table("etl_test.rfm_merchants").count()
     assert json.loads(sinks.payload(spark.table("etl_test.files")).first().payload).keys() == {"file", "file_hash", "status"}
     odd = spark.createDataFrame([("未分類", False), ("交易", True), ("交易", False)], "transaction_type string, fx_missing boolean")
     assert rows(sinks.anomalies(odd), "reason") == ["uncategorized", "fx_missing"]
