@@ -116,10 +116,10 @@ def test_rules_and_names(spark):
     each = {r.m: (r.a, r.b) for r in refine.tag_each(df, "m", rules, "p", ["a", "b"]).collect()}
     assert each["ｌｉｎｅ line pay"] == ("first", "x")
     assert one(spark, refine.display_name(F.lit("LINE－ "), F.lit("momo"), F.lit("momo"))) == "LINE－momo"
-    kinds = [("繳款 auto", 5, "TW", "TWD", None), ("a", -5, "TW", "TWD", None), ("a", 5, "JP", "JPY", None), ("a", 5, "JP", "TWD", ""), ("a", 5, "", "USD", None), ("a", -5, "TW", "TWD", "手動")]
+    kinds = [("繳款 auto", 5, "TW", "TWD", None), ("a", -5, "TW", "TWD", None), ("a", 5, "JP", "JPY", None), ("a", 5, "JP", "TWD", ""), ("a", 5, None, "USD", None), ("a", -5, "TW", "TWD", "手動")]
     df = spark.createDataFrame(kinds, "m string, a int, p string, c string, g string")
-    kind = refine.transaction_type(F.col("m"), F.col("a"), F.col("p"), F.col("c"), F.col("g"), {"payment": ["繳款"]})
-    assert [r.k for r in df.select(kind.alias("k")).collect()] == [C.REPAYMENT, C.REFUND, C.FOREIGN, C.FOREIGN_TWD, C.FOREIGN_ONLINE, "手動"]
+    kind = refine.transaction_type(F.col("m"), F.col("a"), F.col("p"), F.col("c"), F.col("g"), {"payment": ["繳.*auto"]})
+    assert [r.k for r in df.select(kind.alias("k")).collect()] == [C.REPAYMENT, C.REFUND, C.FOREIGN, C.FOREIGN_TWD, C.PURCHASE, "手動"]
 
 
 def test_equal_rows_get_different_ids(spark):
