@@ -36,23 +36,45 @@ def byte_class(chars: bytes, base: bool = False) -> np.ndarray:
 
 
 WORD_BYTE = byte_class(b"\x20\x09\x0a\x0b\x0c\x0d", base=True)
-_CASED = keyed(256, 17)
+_CASED = np.arange(1, 257, dtype=np.uint64)
 _LOWER = _CASED.copy()
 _LOWER[65:91] = _CASED[97:123]
-_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+# Polynomial hashes are taken modulo this prime; modulo a power of two some texts collide whatever the base.
+_PRIME = _U((1 << 61) - 1)
+_BASE = 0x1545F4914F6CDD1D
+_powers: list[np.ndarray] = [np.ones(1, np.uint32), np.zeros(1, np.uint32), np.ones(1, np.uint64)]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime."""
+    x = (x & _PRIME) + (x >> _U(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo the prime of numbers below it, by halves of 31 bits."""
+    half = _U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> _U(31), a & half, b >> _U(31), b & half
+    middle = a1 * b0 + a0 * b1
+    low = (middle & _U((1 << 30) - 1)) << _U(31)
+    return _fold((a1 * b1 << _U(1)) + (middle >> _U(30)) + low + _fold(a0 * b0))
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of the base modulo the prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, _times(out, np.full(len(out), pow(base, len(out), int(_PRIME)), np.uint64))))
+    return out[:n]
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base, their low 32 and their high bits, and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, BLOCK_BYTES + (BLOCK_BYTES >> 3))
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+        power = _series(_BASE, size)
+        _powers[:] = [power.astype(np.uint32), (power >> _U(32)).astype(np.uint32), _series(pow(_BASE, -1, int(_PRIME)), size)]
+    return _powers
 
 
 class Block:
@@ -78,17 +100,20 @@ class Block:
         return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
     def prefix(self, lower: bool = False) -> np.ndarray:
-        """Prefix sums from which :meth:`hashes` takes the hash of any byte range."""
+        """Two rows of prefix sums from which :meth:`hashes` takes the hash of any byte range."""
         n = len(self.data)
-        power, _ = _tables(n + 1)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _CASED)[self.data] * power[:n], out=out[1:])
+        out = np.zeros((2, n + 1), np.uint64)
+        values = (_LOWER if lower else _CASED)[self.data]
+        for k, power in enumerate(_tables(n + 1)[:2]):
+            np.cumsum(values * power[:n], out=out[k, 1:])
         return out
 
     def hashes(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit content hash of each byte range."""
-        _, inverse = _tables(len(self.data) + 1)
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        """64-bit content hash of each byte range; sums of ranges above 4 MB wrap, which is as well a hash of the content."""
+        low, high = (row[ends] - row[starts] for row in prefix)
+        value = _fold(_times(_fold(high), np.full(len(high), 1 << 32, np.uint64)) + _fold(low))
+        value = _times(value, _tables(len(self.data) + 1)[2][starts])
+        return mix(value + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the \\n-split lines, and the index of each document's first line (one more than rows)."""

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from cardloom.llm import bpe, chat_format, license_scan, pii, quality_rules, queries, token_counts
 from tests.llm import brute
-from tests.llm.conftest import edge_texts
+from tests.llm.conftest import edge_texts, passage
 
 
 @pytest.fixture(scope="module")
@@ -233,3 +233,26 @@ def test_latin1_pattern_is_the_same_below_256():
 
     text = "".join(map(chr, range(256))) * 2 + "don't we'll  x 12é  "
     assert re.findall(bpe.latin1_pattern(queries.PATTERN), text) == regex.findall(queries.PATTERN, text)
+
+
+def alternating(rounds: int) -> tuple[str, str]:
+    """Two texts that any polynomial hash modulo 2**64 confuses."""
+    text, other = "a", "b"
+    for _ in range(rounds):
+        text, other = text + other, other + text
+    return text, other
+
+
+def test_hashes_tell_alternating_texts_apart(spark):
+    from cardloom.llm import decontaminate, near_dedup
+
+    one, two = alternating(11)
+    (row,) = quality_rules.assess(spark.createDataFrame([(1, f"{one}\n{two}\n{one}")], "doc_id long, text string"), None).collect()
+    assert row.n_dup_lines == 1
+    found = by_id(near_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")).collect())
+    assert [found[k].component_id for k in (1, 2, 3)] == [1, 2, 1]
+    words = passage(5, 12).split()
+    docs = spark.createDataFrame([(1, " ".join([one, *words])), (2, " ".join([two, *words]))], "doc_id long, text string")
+    item = spark.createDataFrame([(9, one)], "item_id long, text string")
+    hits = by_id(decontaminate.report(docs, item).collect())
+    assert hits[1] != hits[2]
