@@ -20,6 +20,7 @@ from cardloom.llm import (
     quality_rules,
     token_counts,
     token_shards,
+    vector_codes,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -115,6 +116,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors alone and by label, and the codebooks as a digest."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return vector_codes.with_label_errors(coded).select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -126,11 +140,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_shards": op9_token_shards,
     "op10_license_scan": op10_license_scan,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HARD = "\\### Assistant: </turn> ok"
 
+
+
+def _lloyd(n: int) -> str:
+    """CTEs of one round: the nearest entry of each distinct part, and the entries after it."""
+    return f"""a{n} AS ({_nearest(f"c{n}")}),
+    m{n} AS (SELECT pos, e, d, CAST(floor(sum(w * CAST(part[d] AS HUGEINT)) / sum(w)) AS BIGINT) AS x FROM a{n}, unnest(range(1, len(part) + 1)) t(d) GROUP BY ALL),
+    l{n} AS (SELECT pos, e, list(x ORDER BY d) AS part FROM m{n} GROUP BY ALL),
+    c{n + 1} AS (SELECT c.pos, c.e, coalesce(l.part, c.part) AS part FROM c{n} c LEFT JOIN l{n} l USING (pos, e))"""
+
+
+def _nearest(books: str) -> str:
+    far = "list_sum(list_transform(list_zip(u.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""SELECT pos, part, w, e, far FROM (SELECT u.pos, u.part, u.w, c.e, {far} AS far FROM u JOIN {books} c USING (pos)) QUALIFY row_number() OVER (PARTITION BY pos, part ORDER BY far, e) = 1"""
+
+
 #: The queries that SQL can express; the others are held against plain versions in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -146,4 +176,13 @@ ORACLE_SQL: dict[str, str] = {
     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
     r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
     SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op11_vector_codes": f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT vec_id, label, pos, v[pos * (len(v) // 16) + 1:(pos + 1) * (len(v) // 16)] AS part FROM k, range(16) t(pos)),
+    u AS (SELECT pos, part, count(*) AS w FROM p GROUP BY ALL),
+    f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 64),
+    c0 AS (SELECT pos, e, part FROM p JOIN f USING (vec_id)), {_lloyd(0)}, {_lloyd(1)}, z AS ({_nearest("c2")}),
+    o AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(far) AS BIGINT) AS error FROM p JOIN z USING (pos, part) GROUP BY ALL),
+    b AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, e)) AS s FROM c2)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM o, b""",
 }
