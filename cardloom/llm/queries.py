@@ -18,6 +18,7 @@ from cardloom.llm import (
     near_dedup,
     pii,
     quality_rules,
+    repeated_windows,
     token_counts,
     token_shards,
     vector_codes,
@@ -129,6 +130,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the words that windows of smaller documents hold."""
+    found = repeated_windows.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_key")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -141,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_shards": op9_token_shards,
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op13_repeated_windows": op13_repeated_windows,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -185,4 +193,10 @@ ORACLE_SQL: dict[str, str] = {
     o AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(far) AS BIGINT) AS error FROM p JOIN z USING (pos, part) GROUP BY ALL),
     b AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, e)) AS s FROM c2)
     SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM o, b""",
+    "op13_repeated_windows": """WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+    s AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS g FROM d, unnest(range(1, len(w) - 48)) t(k)),
+    f AS (SELECT doc_id, k FROM s QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+    gone AS (SELECT DISTINCT doc_id, k + j AS p FROM f, range(50) t(j)), p AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) t(p)),
+    l AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM p ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l USING (doc_id)""",
 }
