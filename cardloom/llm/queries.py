@@ -19,6 +19,7 @@ from cardloom.llm import (
     pii,
     quality_rules,
     repeated_windows,
+    resampling,
     token_counts,
     token_shards,
     vector_codes,
@@ -130,6 +131,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark texts, its score and its place in the draw."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the words that windows of smaller documents hold."""
     found = repeated_windows.find_repeats(table(spark, sf_dir, "documents"))
@@ -148,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_shards": op9_token_shards,
     "op10_license_scan": op10_license_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op12_target_resampling": op12_target_resampling,
     "op13_repeated_windows": op13_repeated_windows,
 }
 
@@ -169,6 +177,8 @@ def _nearest(books: str) -> str:
     return f"""SELECT pos, part, w, e, far FROM (SELECT u.pos, u.part, u.w, c.e, {far} AS far FROM u JOIN {books} c USING (pos)) QUALIFY row_number() OVER (PARTITION BY pos, part ORDER BY far, e) = 1"""
 
 
+_WORDS = f"""coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"""
+
 #: The queries that SQL can express; the others are held against plain versions in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -199,4 +209,17 @@ ORACLE_SQL: dict[str, str] = {
     gone AS (SELECT DISTINCT doc_id, k + j AS p FROM f, range(50) t(j)), p AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) t(p)),
     l AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM p ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l USING (doc_id)""",
+    "op12_target_resampling": f"""WITH c0 AS (SELECT n, n AS c, 0 AS k FROM range(256) t(n)), {", ".join(f"c{k + 1} AS (SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM c{k})" for k in range(8))},
+    tab AS (SELECT list(c ORDER BY n) AS t FROM c8),
+    w AS (SELECT side, id, {_WORDS} AS w FROM (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+    f AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM w),
+    g AS (SELECT side, id, f, count(*) AS n FROM f GROUP BY ALL), x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+    b AS (SELECT f, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT))), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM x, tab),
+    s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM g JOIN b USING (f) GROUP BY ALL), z AS (SELECT sum(s) AS zs, sum(t) AS zt FROM s),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(zs + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(zt + 10000 AS DOUBLE)))) AS BIGINT) AS v FROM s, z),
+    d AS (SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * v) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM g JOIN b USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY ALL),
+    e AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) AS n_words, CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN d ON id = doc_id WHERE side = 0),
+    k AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS p, count(*) OVER (PARTITION BY n_words >= 20) * 25 // 100 AS top FROM k)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND p <= top THEN p END AS rank FROM r""",
 }
