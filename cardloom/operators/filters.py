@@ -6,7 +6,7 @@ Every filter is a Column predicate, so the scan gets what it can push down; the
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,8 @@ NAMES = {
     "LAST_CALENDAR_YEAR": ("PREV_YEAR", "PREVIOUS_YEAR", "去年", "去年(曆年)", "LAST_YEAR_CALENDAR"),
     "LIFETIME": ("LIFE", "ALL", "全歷史", "全時段", "NONE", "NULL", ""),
 }
-DOMESTIC = ("TW", "TWN", "台灣")
+DOMESTIC = ("TW", "TWN", "台灣", "臺灣", "國內")
+HOME, ABROAD = "國內", "國外"
 UNSORTED, BANK_FEES, NO_SUB = "未分類", "銀行費用", "無次分類"
 
 
@@ -61,10 +62,21 @@ def between_days(first: datetime.date | None, last: datetime.date | None) -> Col
     return cond & (day <= F.lit(last)) if last else cond
 
 
-def in_window(df: DataFrame, name: str) -> DataFrame:
-    """Rows in a named window that ends at the table's last transaction date."""
-    (anchor,) = df.agg(F.max("transaction_date")).first()
-    return df.where(between_days(*resolve_window(name, anchor))) if anchor else df
+def within(rows: DataFrame, of: DataFrame, name: str | None) -> DataFrame:
+    """Rows in a named window that ends at the last transaction date of the table ``of``, a one-row aggregate joined in."""
+    key = window_name(name)
+    if key not in DAYS and key not in ("THIS_YEAR", "LAST_CALENDAR_YEAR"):
+        return rows
+    last = F.broadcast(of.agg(F.max("transaction_date").alias("_anchor")))
+    day, anchor = F.col("transaction_date"), F.col("_anchor")
+    this_year = F.trunc(anchor, "year")
+    cond = {"THIS_YEAR": day.between(this_year, anchor), "LAST_CALENDAR_YEAR": day.between(F.add_months(this_year, -12), F.date_sub(this_year, 1))}
+    return rows.join(last, cond.get(key) if key in cond else day.between(F.date_sub(anchor, DAYS.get(key, 0)), anchor)).drop("_anchor")
+
+
+def in_window(df: DataFrame, name: str | None = "LAST_YEAR") -> DataFrame:
+    """Rows in a named window that ends at the table's last transaction date; the last year if none is named."""
+    return within(df, df, name)
 
 
 def payment_is(payments: Iterable[str] | None, direct: bool) -> Column:
@@ -79,16 +91,22 @@ def payment_is(payments: Iterable[str] | None, direct: bool) -> Column:
     return F.coalesce(listed, F.lit(False)) | C.blank(c) if direct else F.coalesce(listed, F.lit(False))
 
 
-def place_is(place: str | list[str] | None, domestic: Iterable[str] = DOMESTIC) -> Column:
-    """國內 passes the domestic names and blanks, 國外 the others; None, both and all pass everything, else a list of names."""
+def place_is(place: str | Iterable[str] | None, domestic: Iterable[str] = DOMESTIC) -> Column:
+    """A list with 國內 passes the domestic names and blanks, one with 國外 the others; None, both and all pass everything.
+
+    Any other list is one of names.
+    """
     c = F.col("merchant_location")
-    if place in (None, "both", "all", "全部"):
+    if place is None or place in ("both", "all", "全部"):
         return F.lit(True)
-    if place == "國內":
+    wanted = [place] if isinstance(place, str) else list(place)
+    if not wanted or (HOME in wanted and ABROAD in wanted):
+        return F.lit(True)
+    if HOME in wanted:
         return C.blank(c) | c.isin(*domestic)
-    if place == "國外":
+    if ABROAD in wanted:
         return ~C.blank(c) & ~c.isin(*domestic)
-    return c.isin(*([place] if isinstance(place, str) else place))
+    return c.isin(*wanted)
 
 
 def category_is(categories: Iterable[str] | None) -> Column:
@@ -106,14 +124,17 @@ def sub_category_is(names: Iterable[str] | None) -> Column:
     return c.isin(*names) | C.blank(c) if NO_SUB in names or "" in names else c.isin(*names)
 
 
-def bank_names(wanted: Iterable[str], banks: Iterable[dict]) -> list[str]:
-    """Full names of the wanted banks, found by id, number, name or keyword, whatever their case; unknown ones stay."""
-    out = []
-    for name in wanted:
-        low = name.strip().lower()
-        hit = next((b for b in banks if low in {str(x).lower() for x in (b["bank_id"], b["bank_no"], b["bank_name"], *b.get("keywords", ()))}), None)
-        out.append(hit["bank_name"] if hit else name)
-    return out
+def bank_names(wanted: Iterable[str], banks: Iterable[Mapping]) -> list[str]:
+    """All names of the wanted banks: id, number, name, name on statements, keywords; a bank goes by any of them, whatever the case.
+
+    Unknown names stay as they are.
+    """
+    known: dict[str, set[str]] = {}
+    for bank in banks:
+        names = {str(bank.get("bank_id") or "").strip().lower(), *(str(bank.get(c) or "").strip() for c in ("bank_no", "bank_name", "bills_mapping_name")), *(bank.get("keywords") or ())}
+        names = {n for n in names if n and n.lower() not in ("none", "nan")}
+        known |= {n.lower(): names for n in names}
+    return sorted({n for name in wanted for n in known.get(name.lower(), {name}) if n})
 
 
 def query_transactions(
@@ -127,17 +148,20 @@ def query_transactions(
     end_date: datetime.date | None = None,
     location: str | list[str] | None = None,
     domestic: Iterable[str] = DOMESTIC,
+    bank_table: Iterable[Mapping] = (),
 ) -> DataFrame:
-    """The filtered transactions; dates count only without a named window.  Sort at the sink, by date descending."""
+    """The filtered transactions; dates count only without a named window.  Sort at the sink, by date descending.
+
+    ``bank_table`` holds the names that banks go by.
+    """
     out = consumption(df)
     if banks:
-        out = out.where(F.col("bank_name").isin(*banks))
+        out = out.where(F.col("bank_name").isin(*bank_names(banks, bank_table)))
     if cards:
         out = out.where(F.col("card_type").isin(*cards))
     out = out.where(payment_is(payments, include_direct_payment)).where(place_is(location, domestic))
     if time_window:
-        (anchor,) = df.agg(F.max("transaction_date")).first()
-        return out.where(between_days(*resolve_window(time_window, anchor))) if anchor else out
+        return within(out, df, time_window)
     return out.where(between_days(start_date, end_date))
 
 

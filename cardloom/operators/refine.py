@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.operators import intervals
 
 
 def with_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0) -> DataFrame:
@@ -36,8 +37,8 @@ def convert_currency(df: DataFrame, rates: DataFrame, home: str = "TWD") -> Data
 
     The payment currency is looked up first, then the transaction currency.  ``fx_missing`` marks rows that stay as they are.
     """
-    table = rates.select("conversion_date", F.upper("currency_type").alias("_c"), "fx_rate", "load_ord").dropna()
-    table = C.small(table.groupBy("conversion_date", "_c").agg(F.max_by("fx_rate", "load_ord").alias("_rate")))
+    table = rates.select("conversion_date", F.upper("currency_type").alias("_c"), "fx_rate", "load_ord").dropna(subset=["conversion_date", "_c", "fx_rate"])
+    table = C.small(table.groupBy("conversion_date", "_c").agg(F.max_by("fx_rate", F.struct(F.col("load_ord").isNotNull(), "load_ord")).alias("_rate")))
     wanted = F.col("conversion_date").isNotNull() & (F.upper("payment_currency") != home)
     out = df.withColumn("_a", F.upper("payment_currency")).withColumn("_b", F.upper("currency_type"))
     for key, rate in (("_a", "_r1"), ("_b", "_r2")):
@@ -164,22 +165,37 @@ def classify(df: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
 
 
 def billing_intervals(history: DataFrame) -> DataFrame:
-    """First and last posting day of each statement: from the day after the previous close; the first from a month before."""
-    keys = [c for c in ("bank_no", "card_id") if c in history.columns]
-    closes = history.withColumn("last_day", F.coalesce("actual_closing_date", "closing_date"))
-    before = F.lag("last_day").over(Window.partitionBy(*keys).orderBy("last_day"))
+    """First and last posting day of each statement: from the day after the previous close; the first from a month before.
+
+    Statements of equal bank and card (number or else name, whatever the case) follow each other by their month.
+    """
+    name = lambda *cs: F.lower(F.trim(F.coalesce(*(F.col(c) for c in cs if c in history.columns), F.lit(""))))
+    keys = [c for c in ("bank_no", "bank_name", "card_id", "card_type") if c in history.columns]
+    closes = history.withColumn("last_day", F.coalesce("actual_closing_date", "closing_date")).where("last_day is not null")
+    closes = closes.withColumns({"_bank": name("bank_no", "bank_name"), "_card": name("card_id", "card_type")})
+    before = F.lag("last_day").over(Window.partitionBy("_bank", "_card").orderBy("statement_month", "last_day"))
     return closes.withColumn("first_day", F.coalesce(F.date_add(before, 1), F.date_add(F.add_months("last_day", -1), 1))).select(*keys, "statement_month", "first_day", "last_day")
 
 
-def statement_of(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Statement month by posting date: the card's own interval, else its bank's, else the posting month."""
-    side = C.small(intervals.select(F.col("bank_no").alias("_bank"), F.col("card_id").alias("_card"), "statement_month", "first_day", "last_day"))
-    keys = df.select("bank_no", "card_id", "posting_date").distinct()
-    hit = (F.col("bank_no") == F.col("_bank")) & (F.col("_card").isNull() | (F.col("card_id") == F.col("_card"))) & F.col("posting_date").between(F.col("first_day"), F.col("last_day"))
-    best = keys.join(side, hit).groupBy("bank_no", "card_id", "posting_date").agg(F.min_by("statement_month", F.struct(F.col("_card").isNull(), "statement_month")).alias("_month"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("bank_no", "card_id", "posting_date")]
+def statement_of(df: DataFrame, history: DataFrame) -> DataFrame:
+    """Statement month by posting date: the card's own interval, else its bank's, else the posting month.
+
+    ``history`` are intervals; a transaction's bank and card are looked for among their numbers and names.  The different
+    banks, cards and days ask, by equal keys, and not every row.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    held = lambda *cs: F.array_distinct(F.filter(F.array(*(low(F.col(c)) for c in cs if c in history.columns), F.lit(None).cast("string")), lambda x: x != ""))
+    cards = held("card_id", "card_type")
+    side = history.select(F.explode(held("bank_no", "bank_name")).alias("_bank"), F.when(F.size(cards) > 0, cards).otherwise(F.array(F.lit(""))).alias("_cards"), "statement_month", "first_day", "last_day")
+    side = side.select("_bank", F.explode("_cards").alias("_card"), "statement_month", "first_day", "last_day")
+    names = ["bank_no", "card_id", "posting_date"]
+    keys = df.select(*names).distinct()
+    asked = keys.withColumn("_bank", low(F.col("bank_no"))).withColumn("_card", F.explode(F.array_distinct(F.array(F.coalesce(low(F.col("card_id")), F.lit("")), F.lit("")))))
+    found = intervals.join_days(asked, side, ["_bank", "_card"], "posting_date", "first_day", "last_day")
+    best = found.groupBy(*names).agg(F.min_by("statement_month", F.struct(F.col("_card") == "", "statement_month")).alias("_month"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
     out = df.alias("a").join(best.alias("b"), same, "left")
-    return out.select("a.*", F.coalesce("_month", F.date_format("a.posting_date", "yyyy-MM")).alias("statement_month"))
+    return out.select(*(F.col(f"a.{c}") for c in df.columns if c != "statement_month"), F.coalesce("_month", F.date_format("a.posting_date", "yyyy-MM")).alias("statement_month"))
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.operators import intervals
 
 MONEY = "decimal(18,2)"
 # Reward types with two digits (others have none) and those that round down (others round half up).
@@ -22,6 +23,7 @@ DOWN = ("cashback_floor", "esunpoint_floor", "esun_points_floor")
 # Days around a change of selection in which a booked day may be another one than that of the purchase.
 ABROAD_DAYS, PHONE_DAYS = 1, 2
 FIELDS = ("payment_process", "ec_platform", "vpc_type", "merchant_location")
+HOLDER = ("bank_no", "card_id")
 
 
 def candidates(txns: DataFrame, programs: DataFrame) -> DataFrame:
@@ -39,28 +41,46 @@ def candidates(txns: DataFrame, programs: DataFrame) -> DataFrame:
     day = F.col("transaction_date")
     cond = (F.coalesce(day >= F.col("_start"), F.lit(True))) & (F.coalesce(day <= F.col("_end"), F.lit(True)))
     if "locked" in txns.columns:
-        open_to = (F.col("source") != "base") | F.coalesce(F.size("locked"), F.lit(0)).isin(0, -1) | F.array_contains("locked", F.col("reward_program"))
+        open_to = (F.col("source") != "base") | F.coalesce(F.size("locked"), F.lit(0)).isin(0, -1) | F.exists("locked", lambda x: F.lower(x) == F.lower("reward_program"))
         cond = cond & F.coalesce(open_to, F.lit(True))
     return asked.join(C.small(wanted), ["_bank", "_card"]).where(cond).drop("_bank", "_card", "_start", "_end")
 
 
+def _listed(wanted: Column, value: Column) -> Column:
+    return F.coalesce(F.exists(wanted, lambda w: F.lower(w) == F.lower(value)), F.lit(False))
+
+
 def matches(wanted: Column, value: Column, blanks: tuple[str, ...] = ()) -> Column:
-    """Field rule: no list is any value; NONE is a blank one, ALL one that is not blank, else a member whatever its case."""
-    v = F.when(~C.blank(value) & ~F.upper(value).isin("NONE", *blanks), F.lower(F.trim(value)))
-    hit = F.exists(wanted, lambda w: F.when(F.upper(w) == "NONE", v.isNull()).when(F.upper(w) == "ALL", v.isNotNull()).otherwise(F.coalesce(F.lower(F.trim(w)) == v, F.lit(False))))
-    return wanted.isNull() | (F.size(wanted) == 0) | hit
+    """Field rule: no list is any value; NONE is a blank one, ALL one that is not blank, else a member whatever its case.
+
+    ``blanks`` are values that count as blank for NONE and ALL, but can be listed all the same.
+    """
+    none = C.blank(value) | (F.upper(value) == "NONE")
+    blank = none | F.upper(value).isin(*blanks) if blanks else none
+    member = _listed(wanted, value) & ~(C.blank(value) if blanks else none)
+    hit = (_listed(wanted, F.lit("NONE")) & blank) | (_listed(wanted, F.lit("ALL")) & ~blank) | member
+    return wanted.isNull() | (F.size(wanted) == 0) | F.coalesce(hit, F.lit(False))
+
+
+def holder_matches(wanted: Column, value: Column) -> Column:
+    """Bank or card rule: no list and ALL are any; else a member, a blank value never."""
+    return wanted.isNull() | (F.size(wanted) == 0) | _listed(wanted, F.lit("ALL")) | (_listed(wanted, value) & ~C.blank(value))
 
 
 def merchant_matches(wanted: Column, *names: Column) -> Column:
-    """A listed merchant is equal to or part of either name."""
-    hit = F.exists(wanted, lambda w: reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(n), F.lower(w)), F.lit(False)) for n in names)))
-    return wanted.isNull() | (F.size(wanted) == 0) | hit
+    """A listed merchant is equal to or part of either name; NONE and ALL speak of the first name that there is."""
+    name = F.coalesce(*names)
+    blank = C.blank(name) | (F.upper(name) == "NONE")
+    inside = F.exists(wanted, lambda w: reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(n), F.lower(w)), F.lit(False)) for n in names)))
+    hit = (_listed(wanted, F.lit("NONE")) & blank) | (~blank & (_listed(wanted, F.lit("ALL")) | inside))
+    return wanted.isNull() | (F.size(wanted) == 0) | F.coalesce(hit, F.lit(False))
 
 
 def rule_holds(rule: Column, txn: dict[str, Column]) -> Column:
     """Whether one rule (a struct of arrays, rate and dates) fits a transaction."""
     cond = reduce(lambda a, b: a & b, (matches(rule[f], txn[f], ("CARD",) if f == "vpc_type" else ()) for f in FIELDS))
-    cond = cond & merchant_matches(rule["merchants"], txn["normalized_merchant"], txn["merchant_display"])
+    cond = cond & reduce(lambda a, b: a & b, (holder_matches(rule[f], txn[f]) for f in HOLDER))
+    cond = cond & merchant_matches(F.coalesce(rule["normalized_merchant"], rule["merchant_display"]), txn["normalized_merchant"], txn["merchant_display"])
     return cond & F.coalesce(txn["transaction_date"] >= rule["start_date"], F.lit(True)) & F.coalesce(txn["transaction_date"] <= rule["end_date"], F.lit(True))
 
 
@@ -70,19 +90,26 @@ def with_rates(cands: DataFrame, links: DataFrame, pools: DataFrame) -> DataFram
     A program without pools fits everything; a pool one of whose pass rules fits is skipped; a program none of whose
     rules fits goes.  Each candidate sees its program's pools as one array, so nothing is multiplied.
     """
-    pool = links.join(pools, "pool_id").groupBy("reward_id").agg(F.array_sort(F.collect_list(F.struct("link_ord", "pool_id", "pass_rules", "rules"))).alias("_pools"))
-    rows = cands.join(C.small(pool), "reward_id", "left")
-    txn = {c: F.col(c) for c in (*FIELDS, "normalized_merchant", "merchant_display", "transaction_date")}
+    low = lambda c: F.lower(F.trim(c))
+    named = pools if "pool_name" in pools.columns else pools.withColumn("pool_name", F.lit(None).cast("string"))
+    held = links.select(low("reward_id").alias("_reward"), low("pool_id").alias("_pool"), "link_ord").join(named.withColumn("_pool", low("pool_id")), "_pool")
+    pool = held.groupBy("_reward").agg(F.array_sort(F.collect_list(F.struct("link_ord", "pool_id", "pool_name", "pass_rules", "rules"))).alias("_pools"))
+    rows = cands.withColumn("_reward", low("reward_id")).join(C.small(pool), "_reward", "left").drop("_reward")
+    txn = {c: F.col(c) for c in (*FIELDS, *HOLDER, "normalized_merchant", "merchant_display", "transaction_date")}
 
     def hit(p: Column) -> Column:
         fitting = F.filter(p["rules"], lambda r: rule_holds(r, txn))
         passed = F.exists(p["pass_rules"], lambda r: rule_holds(r, txn))
-        return F.when(F.coalesce(~passed, F.lit(True)) & (F.size(fitting) > 0), F.struct(p["pool_id"].alias("pool_id"), F.get(fitting, F.lit(0))["merchant_rate"].alias("rate")))
+        first = F.get(fitting, F.lit(0))
+        shown = F.array_join(F.coalesce(first["merchant_display"], first["normalized_merchant"]), ";")
+        found = F.struct(p["pool_id"].alias("pool_id"), p["pool_name"].alias("pool_name"), first["merchant_rate"].alias("rate"), shown.alias("rule_merchant"), F.array_join(first["payment_process"], ";").alias("rule_payment"))
+        return F.when(F.coalesce(~passed, F.lit(True)) & (F.size(fitting) > 0), found)
 
     found = F.get(F.filter(F.transform("_pools", hit), lambda x: x.isNotNull()), F.lit(0))
     rows = rows.withColumn("_hit", found).where(F.col("_pools").isNull() | F.col("_hit").isNotNull())
     rate = F.coalesce(F.col("_hit.rate"), F.col("reward_rate"), F.lit(0))
-    return rows.withColumn("rate", rate.cast("decimal(9,4)")).withColumn("pool_id", F.col("_hit.pool_id")).drop("_hit", "_pools")
+    told = {c: F.col(f"_hit.{c}") for c in ("pool_id", "pool_name", "rule_merchant", "rule_payment")}
+    return rows.withColumns({"rate": rate.cast("decimal(9,4)"), **told}).drop("_hit", "_pools")
 
 
 def waterfall(rows: DataFrame) -> DataFrame:
@@ -203,22 +230,50 @@ def calculate(txns: DataFrame, programs: DataFrame, links: DataFrame, pools: Dat
     return capped(waterfall(with_rates(candidates(txns, programs), links, pools)), any_mixed)
 
 
+#: What stands in the report where no program or no pool applies (fixed values).
+NO_PROGRAM, NO_POOL_ID, NO_POOL = "未匹配方案", "N/A", "無回饋池"
+BASE_ID, BASE_POOL = "BASE_PROGRAM", "全通路基礎方案"
+
+
 def audit(txns: DataFrame, applied: DataFrame) -> DataFrame:
-    """All transactions with their applied programs; those without any get placeholders."""
-    names = applied.select("transaction_id", "reward_program", "pool_id", "source", "reward", "is_capped")
+    """All transactions with their applied programs; those without any get placeholders, programs without a pool its stand-in."""
+    names = applied.select("transaction_id", "reward_program", "pool_id", "reward", "is_capped")
     out = txns.select("transaction_id").join(names, "transaction_id", "left")
     none = F.col("reward_program").isNull()
-    pool = F.when(none, "無回饋池").when(F.col("pool_id").isNull() & (F.col("source") == "base"), "BASE_PROGRAM").otherwise(F.coalesce("pool_id", F.lit("N/A")))
-    return out.select("transaction_id", F.coalesce("reward_program", F.lit("未匹配方案")).alias("reward_program"), pool.alias("pool_id"), F.coalesce("reward", F.lit(0).cast(MONEY)).alias("reward"), F.coalesce("is_capped", F.lit(False)).alias("is_capped"))
+    pool = F.when(none, NO_POOL_ID).otherwise(F.coalesce("pool_id", F.lit(BASE_ID)))
+    return out.select("transaction_id", F.coalesce("reward_program", F.lit(NO_PROGRAM)).alias("reward_program"), pool.alias("pool_id"), F.coalesce("reward", F.lit(0).cast(MONEY)).alias("reward"), F.coalesce("is_capped", F.lit(False)).alias("is_capped"))
+
+
+def report(txns: DataFrame, applied: DataFrame) -> DataFrame:
+    """The full audit: a row for each transaction and program, with the rule that gave the rate, the cap, and the trace.
+
+    The trace lists the transaction's programs with their rewards in the order in which they were applied.
+    """
+    own = ["reward_program", "reward_type", "reward_cycle", "pool_id", "pool_name", "rule_merchant", "rule_payment", "rate", "reward", "is_capped", "cap_amount", "priority", "load_ord"]
+    step = F.struct("priority", "load_ord", F.concat_ws(" ", "reward_program", F.col("reward").cast("string"), F.when(F.col("is_capped"), "capped")).alias("said"))
+    sums = applied.groupBy("transaction_id").agg(F.sum("reward").cast(MONEY).alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["said"]), " > ").alias("stage_trace"))
+    shown = [c for c in ("transaction_date", "posting_date", "bank_name", "card_type", "merchant_display", "normalized_merchant", "payment_process", "amount") if c in txns.columns]
+    out = txns.select("transaction_id", *shown).join(applied.select("transaction_id", *own), "transaction_id", "left").join(sums, "transaction_id", "left")
+    none = F.col("reward_program").isNull()
+    or_blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return out.select(
+        "transaction_id", *(F.col(c).alias({"payment_process": "mobile_payment", "amount": "payment_amount"}.get(c, c)) for c in shown),
+        F.coalesce("reward_program", F.lit(NO_PROGRAM)).alias("reward_program"), or_blank("reward_type").alias("reward_type"), or_blank("reward_cycle").alias("reward_cycle"),
+        F.when(none, NO_POOL_ID).otherwise(F.coalesce("pool_id", F.lit(BASE_ID))).alias("pool_id"), F.when(none, NO_POOL).when(F.col("pool_id").isNull(), BASE_POOL).otherwise(or_blank("pool_name")).alias("pool_name"),
+        or_blank("rule_merchant").alias("matched_rule_merchant"), or_blank("rule_payment").alias("matched_rule_payment"), F.coalesce("rate", F.lit(0)).cast("decimal(9,4)").alias("effective_rate"),
+        F.coalesce("reward", F.lit(0)).cast(MONEY).alias("calculated_reward"), F.coalesce("total", F.lit(0)).cast(MONEY).alias("total_txn_reward"), F.coalesce("is_capped", F.lit(False)).alias("is_capped"),
+        F.col("cap_amount").cast(MONEY).alias("cap_amount"), or_blank("stage_trace").alias("stage_trace"), "priority", "load_ord",
+    )
 
 
 def day_selection(txns: DataFrame, selections: DataFrame, near_days: int = 1) -> DataFrame:
     """Programs selected for the transaction's day (``locked``) and whether a selection changes within ``near_days``."""
-    side = C.small(selections.withColumnsRenamed({"start_date": "_s", "end_date": "_e"}))
-    days = txns.select("transaction_date").distinct().join(side, F.col("transaction_date").between(F.date_sub("_s", near_days), F.date_add("_e", near_days)))
-    inside = F.col("transaction_date").between(F.col("_s"), F.col("_e"))
-    edge = (F.abs(F.datediff("transaction_date", "_s")) <= near_days) | (F.abs(F.datediff("transaction_date", "_e")) <= near_days)
-    by_day = days.groupBy("transaction_date").agg(F.array_sort(F.collect_set(F.when(inside, F.col("base_reward_program")))).alias("locked"), F.max(edge).alias("near_change"))
+    side = selections.select("base_reward_program", F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
+    days = txns.select("transaction_date").distinct()
+    inside = intervals.join_days(days, side, [], "transaction_date", "_s", "_e").select("transaction_date", "base_reward_program", F.lit(False).alias("_near"))
+    near = intervals.days_near(side, "_s", "_e", near_days).select(F.col("near_day").alias("transaction_date")).distinct()
+    near = days.join(near, "transaction_date").select("transaction_date", F.lit(None).cast("string").alias("base_reward_program"), F.lit(True).alias("_near"))
+    by_day = inside.unionByName(near).groupBy("transaction_date").agg(F.array_sort(F.collect_set("base_reward_program")).alias("locked"), F.max("_near").alias("near_change"))
     return txns.join(by_day, "transaction_date", "left")
 
 
@@ -242,19 +297,20 @@ def active_selection(txns: DataFrame, selections: DataFrame) -> DataFrame:
     names = ["bank_no", "card_id", "transaction_date"]
     flags = {"_abroad": is_cross_border(F.col("transaction_type")), "_phone": is_mobile(F.col("payment_process"))}
     rows = txns.withColumns(flags)
-    keys = rows.select(*names, "_abroad", "_phone").distinct()
-    side = C.small(selections.select(F.col("bank_no").alias("_b"), F.col("card_id").alias("_c"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e"), "base_reward_program", "strategy_ord"))
-    mine = (C.blank(F.col("_b")) | (F.lower("_b") == F.lower("bank_no"))) & (C.blank(F.col("_c")) | (F.lower("_c") == F.lower("card_id")))
-    day = F.col("transaction_date")
-    near = lambda n: (F.abs(F.datediff(day, "_s")) <= n) | (F.abs(F.datediff(day, "_e")) <= n)
-    hit = mine & (day >= F.date_sub("_s", PHONE_DAYS)) & (day <= F.date_add("_e", PHONE_DAYS))
-    found = keys.join(side, hit).groupBy(*names, "_abroad", "_phone", "strategy_ord").agg(
-        F.array_sort(F.collect_set(F.when(day.between(F.col("_s"), F.col("_e")), F.col("base_reward_program")))).alias("locked"),
-        F.max((F.col("_abroad") & near(ABROAD_DAYS)) | (F.col("_phone") & near(PHONE_DAYS))).alias("_near"),
-    )
+    keys = [*names, "_abroad", "_phone"]
+    name = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    side = selections.select(name("bank_no").alias("_bank"), name("card_id").alias("_card"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e"), "base_reward_program", "strategy_ord")
+    either = lambda c: F.explode(F.array_distinct(F.array(name(c), F.lit(""))))
+    asked = rows.select(*keys).distinct().withColumn("_bank", either("bank_no")).withColumn("_card", either("card_id"))
+    inside = intervals.join_days(asked, side, ["_bank", "_card"], "transaction_date", "_s", "_e")
+    inside = inside.select(*keys, "strategy_ord", "base_reward_program", F.lit(False).alias("_near"))
+    edges = intervals.days_near(side, "_s", "_e", PHONE_DAYS).groupBy("_bank", "_card", "strategy_ord", F.col("near_day").alias("transaction_date")).agg(F.min("apart").alias("apart"))
+    doubt = (F.col("_abroad") & (F.col("apart") <= ABROAD_DAYS)) | (F.col("_phone") & (F.col("apart") <= PHONE_DAYS))
+    near = asked.join(edges, ["_bank", "_card", "transaction_date"]).select(*keys, "strategy_ord", F.lit(None).cast("string").alias("base_reward_program"), doubt.alias("_near"))
+    found = inside.unionByName(near).groupBy(*keys, "strategy_ord").agg(F.array_sort(F.collect_set("base_reward_program")).alias("locked"), F.max("_near").alias("_near"))
     found = found.withColumn("verify", F.col("_near") | (F.size("locked") > 1)).where((F.size("locked") > 0) | F.col("verify"))
-    best = found.groupBy(*names, "_abroad", "_phone").agg(F.min_by(F.struct("locked", "verify"), "strategy_ord").alias("_v"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*names, "_abroad", "_phone")]
+    best = found.groupBy(*keys).agg(F.min_by(F.struct("locked", "verify"), "strategy_ord").alias("_v"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
     out = rows.alias("a").join(best.alias("b"), same, "left")
     return out.select(*(F.col(f"a.{c}") for c in txns.columns), F.col("b._v.locked").alias("locked"), F.coalesce("b._v.verify", F.lit(False)).alias("verify"))
 

@@ -76,27 +76,36 @@ def dashboard(df: DataFrame) -> DataFrame:
 
 
 FLOW = (("bank_name", "card_type"), ("card_type", "payment_process"), ("payment_process", "category"))
+# Names of ends without a value.
+END_NAMES = {"bank_name": "其他發卡行", "card_type": "其他卡片", "payment_process": "一般實體刷卡", "category": "未分類", "normalized_merchant": "其他商家"}
+
+
+def named_ends(df: DataFrame) -> DataFrame:
+    """Null and empty ends of flows get their names."""
+    return df.withColumns({c: F.when(F.col(c).isNull() | (F.col(c) == ""), n).otherwise(F.col(c)) for c, n in END_NAMES.items() if c in df.columns})
 
 
 def flow_links(df: DataFrame, threshold: float = 0.0, layers: Sequence[tuple[str, str]] = FLOW, top_merchants: int = 0) -> DataFrame:
     """Weighted edges of each pair of layers above a threshold, in one pass over the rows (grouping sets).
 
-    With ``top_merchants`` a last layer leads from categories to the merchants with the largest amounts.
+    Ends without a value go under a name; values are rounded to two digits before they are compared.  With
+    ``top_merchants`` a last layer leads from categories to the merchants with the largest amounts.
     """
     names = list(dict.fromkeys(n for pair in layers for n in pair))
+    rows = named_ends(df)
     sets = [[F.col(a), F.col(b)] for a, b in layers]
-    grouped = df.groupingSets(sets, *names).agg(total().alias("value"), F.grouping_id().alias("gid"))
+    grouped = rows.groupingSets(sets, *names).agg(total().alias("value"), F.grouping_id().alias("gid"))
     out = None
     for k, (a, b) in enumerate(layers):
         bits = sum(1 << (len(names) - 1 - n) for n, name in enumerate(names) if name not in (a, b))
         part = grouped.where(F.col("gid") == bits).select(F.lit(k).alias("layer"), F.col(a).alias("source"), F.col(b).alias("target"), "value")
         out = part if out is None else out.unionByName(part)
     if top_merchants:
-        by_merchant = df.dropna(subset=["normalized_merchant"]).groupBy("normalized_merchant").agg(total().alias("m"))
+        by_merchant = rows.groupBy("normalized_merchant").agg(total().alias("m"))
         top = by_merchant.orderBy(F.desc("m"), "normalized_merchant").limit(top_merchants)
-        last = df.join(F.broadcast(top), "normalized_merchant", "left_semi").groupBy(F.col("category").alias("source"), F.col("normalized_merchant").alias("target")).agg(total().alias("value"))
+        last = rows.join(F.broadcast(top), "normalized_merchant", "left_semi").groupBy(F.col("category").alias("source"), F.col("normalized_merchant").alias("target")).agg(total().alias("value"))
         out = out.unionByName(last.select(F.lit(len(layers)).alias("layer"), "source", "target", "value"))
-    return out.where("source is not null and target is not null").where(F.col("value") > threshold)
+    return out.withColumn("value", F.bround("value", 2)).where(F.col("value") > threshold)
 
 
 def flow_nodes(links: DataFrame) -> DataFrame:
@@ -150,18 +159,25 @@ def matrix_by_window(df: DataFrame, payment: Column, columns: Sequence[str], win
 
 
 def reward_month_summary(spending: DataFrame, rewards: DataFrame) -> DataFrame:
-    """Spending (each transaction once) and rewards by month, bank and card, and the effective rate in percent."""
+    """Spending (each transaction once) and rewards by month, bank and card, and the effective rate in percent.
+
+    Without spending above zero the rate is 0.
+    """
     keys = ["month", "bank_name", "card_type"]
     once = spending.groupBy(*keys, "transaction_id").agg(F.min("payment_amount").alias("payment_amount"))
     spent = once.groupBy(*keys).agg(total().alias("spending"))
     earned = rewards.groupBy(*keys).agg(total("reward").alias("reward"))
     out = spent.join(earned, keys, "full").fillna(0.0, ["spending", "reward"])
-    return out.withColumn("rate_percent", F.when(F.col("spending") == 0, 0.0).otherwise(F.col("reward") * 100 / F.col("spending")))
+    return out.withColumn("rate_percent", F.when(F.col("spending") > 0, F.col("reward") * 100 / F.col("spending")).otherwise(0.0))
+
+
+POOL_KEYS = ("month", "bank_name", "card_type", "pool_id", "pool_name")
 
 
-def pool_use(rewards: DataFrame) -> DataFrame:
-    """Reward of each pool and month, whether any row met its cap, and the cap."""
-    return rewards.groupBy("month", "pool_id").agg(total("reward").alias("reward"), F.max("is_capped").alias("is_capped"), F.max("cap_amount").cast("double").alias("cap_amount"))
+def pool_use(rewards: DataFrame, order: Sequence[str] = ("transaction_date", "transaction_id", "priority", "load_ord")) -> DataFrame:
+    """Reward of each pool by month, bank and card, whether any row met its cap, and the first cap in order (0 if none)."""
+    first = F.min_by("cap_amount", F.when(F.col("cap_amount").isNotNull(), F.struct(*order)))
+    return rewards.groupBy(*POOL_KEYS).agg(total("reward").alias("reward"), F.max("is_capped").alias("is_capped"), F.coalesce(first.cast("double"), F.lit(0.0)).alias("cap_amount"))
 
 
 def reward_unit(kind: Column) -> Column:
@@ -172,14 +188,15 @@ def reward_unit(kind: Column) -> Column:
     return out.otherwise(MONEY_UNIT)
 
 
-def predominant_units(rewards: DataFrame, *keys: str) -> DataFrame:
+def predominant_units(rewards: DataFrame, *keys: str, paid_first: bool = True) -> DataFrame:
     """Unit of each key's most frequent reward type, the smallest of equally frequent ones.
 
-    Only rows with a reward count, if there are any at all.
+    With ``paid_first`` only rows with a reward count, if there are any at all.
     """
     rows = rewards.where(~C.blank(F.col("reward_type")) & (F.lower("reward_type") != "nan"))
-    any_paid = rows.select(F.coalesce(F.max(F.col("reward") > 0), F.lit(False)).alias("_any"))
-    rows = rows.join(F.broadcast(any_paid)).where(~F.col("_any") | (F.col("reward") > 0))
+    if paid_first:
+        any_paid = rows.select(F.coalesce(F.max(F.col("reward") > 0), F.lit(False)).alias("_any"))
+        rows = rows.join(F.broadcast(any_paid)).where(~F.col("_any") | (F.col("reward") > 0))
     n = rows.groupBy(*keys, "reward_type").agg(F.count("*").alias("_n"))
     first = F.min_by("reward_type", F.struct(-F.col("_n"), F.col("reward_type")))
     return n.groupBy(*keys).agg(reward_unit(first).alias("reward_unit"))

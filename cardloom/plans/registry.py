@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.operators import bronze, cards, filters, refine, rewards, segments, summaries
-from cardloom.sources import bank_rules, star_tables
+from cardloom.sources import bank_rules, reward_tables, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,18 +468,16 @@ def _rewards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     programs = spark.sql(f"SELECT * FROM VALUES {_PROGRAM_ROWS} AS t({', '.join(c.split()[0] for c in _PROGRAMS.replace('decimal(9,4)', 'd').replace('decimal(18,2)', 'd').split(','))})")
     programs = programs.select(*(F.col(c.split()[0]).cast(c.split()[1].replace(";", ",")).alias(c.split()[0]) for c in _PROGRAMS.replace("(9,4)", "(9;4)").replace("(18,2)", "(18;2)").split(",")))
     links = spark.createDataFrame([("p1", "gone", 0), ("p3", "high", 0), ("p3", "asia", 1)], "reward_id string, pool_id string, link_ord int")
-    rule = "struct<payment_process:array<string>,ec_platform:array<string>,vpc_type:array<string>,merchant_location:array<string>,merchants:array<string>,merchant_rate:decimal(9,4),start_date:date,end_date:date>"
-    shops = '[{"merchants":["00000007","000000031"]}]'
+    shops = '[{"normalized_merchant":["00000007","000000031"]}]'
     pools = spark.createDataFrame(
         [
             ("gone", "[]", shops),
             ("high", '[{"merchant_location":["AFRICA"]}]', '[{"payment_process":["1-urgent","2-HIGH"],"merchant_rate":2.5},{"payment_process":["NONE"]}]'),
-            ("asia", "[]", '[{"merchant_location":["Asia"],"merchants":["PROMO"],"merchant_rate":4}]'),
+            ("asia", "[]", '[{"merchant_location":"Asia","merchant_display":"PROMO","merchant_rate":4}]'),
         ],
-        "pool_id string, p string, r string",
+        "pool_id string, pass_rules string, rules string",
     )
-    pools = pools.select("pool_id", F.from_json("p", f"array<{rule}>").alias("pass_rules"), F.from_json("r", f"array<{rule}>").alias("rules"))
-    return txns, rewards.calculate(txns, programs, links, pools)
+    return txns, rewards.calculate(txns, programs, links, reward_tables.pools(pools))
 
 
 _RW = f"""{TX}, u AS (SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY transaction_date, posting_date, bank_no, card_type, normalized_merchant, payment_amount, category) = 1),
@@ -529,7 +527,7 @@ def reward_cap_aggregate(spark, sf_dir):
 
 @query(
     f"""WITH {_APPLIED} SELECT u.transaction_id, coalesce(a.reward_program, '未匹配方案') AS reward_program,
-    CASE WHEN a.reward_program IS NULL THEN '無回饋池' WHEN a.pool_id IS NULL AND a.source = 'base' THEN 'BASE_PROGRAM' ELSE coalesce(a.pool_id, 'N/A') END AS pool_id,
+    CASE WHEN a.reward_program IS NULL THEN 'N/A' ELSE coalesce(a.pool_id, 'BASE_PROGRAM') END AS pool_id,
     CAST(coalesce(a.reward, 0) AS DOUBLE) AS reward, coalesce(a.is_capped, FALSE) AS is_capped FROM u LEFT JOIN applied a USING (transaction_id)"""
 )
 def reward_audit(spark, sf_dir):

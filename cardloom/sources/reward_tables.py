@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 
-RULE = (
-    "struct<payment_process:array<string>,ec_platform:array<string>,vpc_type:array<string>,merchant_location:array<string>,"
-    "merchants:array<string>,merchant_rate:decimal(9,4),start_date:date,end_date:date>"
-)
-FIELDS = ("payment_process", "ec_platform", "vpc_type", "merchant_location", "merchants")
+LISTS = ("normalized_merchant", "merchant_display", "merchant_location", "payment_process", "ec_platform", "vpc_type", "card_id", "bank_no")
+RULE = f"struct<{','.join(f'{n}:array<string>' for n in LISTS)},merchant_rate:decimal(9,4),start_date:date,end_date:date,note:string>"
 TRUE = ("true", "1", "t", "yes", "y")
 
 
@@ -54,22 +51,49 @@ def links(df: DataFrame) -> DataFrame:
     return out.dropna(subset=["reward_id", "pool_id"])
 
 
+def rules_from_json(json: Column) -> Column:
+    """Rules of a parsed JSON list; a field holds a list of texts or one text.  What is no such list gives no rules."""
+    found = F.try_variant_get(json, "$", "array<variant>")
+
+    def rule(v: Column) -> Column:
+        get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+        lists = [F.coalesce(get(n, "array<string>"), F.when(get(n, "string").isNotNull(), F.array(get(n, "string")))).alias(n) for n in LISTS]
+        return F.struct(*lists, get("merchant_rate", "decimal(9,4)").alias("merchant_rate"), *(get(n, "string").try_cast("date").alias(n) for n in ("start_date", "end_date")), get("note", "string").alias("note"))
+
+    return F.coalesce(F.transform(found, rule), F.array()).cast(f"array<{RULE}>")
+
+
 def pools(df: DataFrame) -> DataFrame:
     """Pools with their rules from JSON; none are empty lists."""
-    rules = lambda n: F.coalesce(F.from_json(F.col(n).cast("string"), f"array<{RULE}>"), F.array().cast(f"array<{RULE}>"))
-    return df.select(_first(df, "merchant_reward_pools_id", "pool_id").alias("pool_id"), _first(df, "pool_name").alias("pool_name"), rules("pass_rules").alias("pass_rules"), rules("rules").alias("rules"))
+    out = df.select(_first(df, "merchant_reward_pools_id", "pool_id").alias("pool_id"), _first(df, "pool_name").alias("pool_name"), *(F.col(n).cast("string").alias(n) for n in ("pass_rules", "rules")))
+    for name in ("pass_rules", "rules"):
+        out = out.withColumn("_json", F.try_parse_json(name)).withColumn(name, rules_from_json(F.col("_json")))
+    return out.drop("_json")
 
 
 def pools_from_rows(df: DataFrame) -> DataFrame:
     """Pools from flat rows, one rule a row with comma lists in its fields; ``is_pass`` marks pass rules."""
     listed = lambda n: F.filter(F.transform(F.split(F.coalesce(F.col(n), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    held = [listed(n).alias(n) if n in df.columns else F.array().cast("array<string>").alias(n) for n in FIELDS]
+    held = [F.when(F.size(listed(n)) > 0, listed(n)).alias(n) if n in df.columns else F.lit(None).cast("array<string>").alias(n) for n in LISTS]
     rate = F.col("merchant_rate").try_cast("decimal(9,4)") if "merchant_rate" in df.columns else F.lit(None).cast("decimal(9,4)")
     days = [F.col(n).try_cast("date").alias(n) if n in df.columns else F.lit(None).cast("date").alias(n) for n in ("start_date", "end_date")]
-    rule = F.struct(*held, rate.alias("merchant_rate"), *days)
-    rows = df.select("pool_id", F.coalesce(F.lower(F.col("is_pass").cast("string")).isin(*TRUE), F.lit(False)).alias("_pass"), F.struct(F.col("rule_ord").alias("o"), rule.alias("r")).alias("_r"))
+    note = F.col("note").cast("string") if "note" in df.columns else F.lit(None).cast("string")
+    rule = F.struct(*held, rate.alias("merchant_rate"), *days, note.alias("note"))
+    name = F.first("pool_name", ignorenulls=True) if "pool_name" in df.columns else F.lit(None).cast("string")
+    flag = F.coalesce(F.lower(F.col("is_pass").cast("string")).isin(*TRUE), F.lit(False))
+    rows = df.withColumns({"_pass": flag, "_r": F.struct(F.col("rule_ord").alias("o"), rule.alias("r"))})
     kept = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.col("_r")))), lambda x: x["r"])
-    return rows.groupBy("pool_id").agg(kept(F.col("_pass")).alias("pass_rules"), kept(~F.col("_pass")).alias("rules"))
+    return rows.groupBy("pool_id").agg(name.alias("pool_name"), kept(F.col("_pass")).alias("pass_rules"), kept(~F.col("_pass")).alias("rules"))
+
+
+def pools_to_rows(pools: DataFrame) -> DataFrame:
+    """The flat rows of pools, as :func:`pools_from_rows` reads them; pass rules come first."""
+    rows = None
+    for is_pass, name in ((True, "pass_rules"), (False, "rules")):
+        part = pools.select("pool_id", "pool_name", F.lit(is_pass).alias("is_pass"), F.posexplode(name).alias("rule_ord", "r"))
+        rows = part if rows is None else rows.unionByName(part)
+    lists = [F.array_join(F.col(f"r.{n}"), ",").alias(n) for n in LISTS]
+    return rows.select("pool_id", "pool_name", "is_pass", "rule_ord", *lists, "r.merchant_rate", "r.start_date", "r.end_date", "r.note")
 
 
 def selections(df: DataFrame) -> DataFrame:

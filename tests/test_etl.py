@@ -135,12 +135,17 @@ def test_reward_tables(spark):
     assert out[0].start_date == D(2025, 1, 1) and out[1].cap_amount == 100 and out[1].reward_rate is None and out[1].reward_program == "gold"
     linked = spark.createDataFrame([("b1", "p1", 0), (" ", "p2", 1), ("c1", None, 2)], "reward_id string, merchant_reward_pools_id string, load_ord int")
     assert rows(reward_tables.links(linked), "reward_id", "pool_id") == [("b1", "p1")]
-    pools = spark.createDataFrame([("p1", "a", None, '[{"merchants":["x"],"merchant_rate":2}]')], "merchant_reward_pools_id string, pool_name string, pass_rules string, rules string")
-    (pool,) = reward_tables.pools(pools).collect()
-    assert pool.pass_rules == [] and pool.rules[0].merchants == ["x"] and pool.rules[0].merchant_rate == 2
-    flat = spark.createDataFrame([("p", "a, b,", "3", "false", 1), ("p", "c", None, "1", 0), ("p", "", "1", None, 0)], "pool_id string, merchants string, merchant_rate string, is_pass string, rule_ord int")
+    text = '[{"normalized_merchant":["x","y"],"card_id":"C1","bank_no":["013"],"merchant_rate":2.5,"start_date":"2025-01-01","note":"n"},{"merchant_display":"z","payment_process":null}]'
+    pools = spark.createDataFrame([("p1", "a", None, text), ("p2", "b", "no list", "[]")], "merchant_reward_pools_id string, pool_name string, pass_rules string, rules string")
+    pool, other = reward_tables.pools(pools).orderBy("pool_id").collect()
+    first, second = pool.rules
+    assert pool.pass_rules == [] and first.normalized_merchant == ["x", "y"] and first.card_id == ["C1"] and first.bank_no == ["013"] and float(first.merchant_rate) == 2.5 and first.start_date == D(2025, 1, 1) and first.note == "n"
+    assert second.merchant_display == ["z"] and second.payment_process is None and second.normalized_merchant is None and second.merchant_rate is None and (other.pass_rules, other.rules) == ([], [])
+    flat = spark.createDataFrame([("p", "a, b,", "3", "false", 1), ("p", "c", None, "1", 0), ("p", "", "1", None, 0)], "pool_id string, card_id string, merchant_rate string, is_pass string, rule_ord int")
     (pool,) = reward_tables.pools_from_rows(flat).collect()
-    assert [r.merchants for r in pool.rules] == [[], ["a", "b"]] and [r.merchants for r in pool.pass_rules] == [["c"]]
+    assert [r.card_id for r in pool.rules] == [None, ["a", "b"]] and [r.card_id for r in pool.pass_rules] == [["c"]]
+    back = reward_tables.pools_from_rows(reward_tables.pools_to_rows(reward_tables.pools_from_rows(flat)))
+    assert back.collect() == reward_tables.pools_from_rows(flat).collect()
     days = spark.createDataFrame([("a", "2025-01-01", "2025-02-01", "n"), ("b", "no", None, None)], "reward_program string, start_date string, end_date string, remark string")
     assert rows(reward_tables.selections(days), "base_reward_program", "note") == [("a", "n")] and reward_tables.missing_tables(spark, ["no_such_table"]) == ["no_such_table"]
 

@@ -31,9 +31,9 @@ def test_payment_filter(spark, payments, direct, expected):
     assert {r.id for r in df.where(filters.payment_is(payments, direct)).collect()} == expected
 
 
-@pytest.mark.parametrize(("place", "expected"), [("國內", {1, 2, 3}), ("國外", {4}), (None, {1, 2, 3, 4}), (["JP"], {4}), ("both", {1, 2, 3, 4})])
+@pytest.mark.parametrize(("place", "expected"), [("國內", {1, 2, 3}), ("國外", {4}), (None, {1, 2, 3, 4}), (["JP"], {4}), ("both", {1, 2, 3, 4}), (["國內"], {1, 2, 3}), (["國外", "JP"], {4}), (["國內", "國外"], {1, 2, 3, 4}), ([], {1, 2, 3, 4})])
 def test_place_filter(spark, place, expected):
-    df = spark.createDataFrame([(1, "TW"), (2, "台灣"), (3, None), (4, "JP")], "id int, merchant_location string")
+    df = spark.createDataFrame([(1, "TW"), (2, "臺灣"), (3, None), (4, "JP")], "id int, merchant_location string")
     assert {r.id for r in df.where(filters.place_is(place)).collect()} == expected
 
 
@@ -49,7 +49,7 @@ def test_windows():
 
 def test_banks_by_any_name():
     banks = [{"bank_id": "cathay", "bank_no": "013", "bank_name": "國泰世華", "keywords": ["CUBE"]}]
-    assert filters.bank_names(["cube", "013", "other"], banks) == ["國泰世華", "國泰世華", "other"]
+    assert filters.bank_names(["cube", "013", "other"], banks) == ["013", "CUBE", "cathay", "other", "國泰世華"]
 
 
 @pytest.mark.parametrize("ranges", [2, 200])
@@ -291,7 +291,7 @@ def test_flow_and_trend(spark):
     rows = [("b", "c", "LINE", "food", "m1", "100"), ("b", "c", None, "food", "m2", "50"), ("b", "d", "LINE", "toys", "m1", "-120")]
     df = spark.createDataFrame(rows, "bank_name string, card_type string, payment_process string, category string, normalized_merchant string, a string").withColumn("payment_amount", F.col("a").cast("decimal(18,2)"))
     links = {(r.layer, r.source, r.target): r.value for r in summaries.flow_links(df, top_merchants=1).collect()}
-    assert links == {(0, "b", "c"): 150.0, (1, "c", "LINE"): 100.0, (2, "LINE", "food"): 100.0, (3, "food", "m2"): 50.0}
+    assert links == {(0, "b", "c"): 150.0, (1, "c", "LINE"): 100.0, (1, "c", "一般實體刷卡"): 50.0, (2, "LINE", "food"): 100.0, (2, "一般實體刷卡", "food"): 50.0, (3, "food", "m2"): 50.0}
     days = spark.createDataFrame([(D(2025, 1, 5), Decimal(3)), (D(2025, 3, 1), Decimal(4))], "transaction_date date, payment_amount decimal(18,2)")
     months = {r.month: r.total_amount for r in summaries.trend(days).collect()}
     assert len(months) == 12 and months["2025-02"] == 0.0 and months["2025-03"] == 4.0 and min(months) == "2024-04"
