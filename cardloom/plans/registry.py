@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.operators import bronze, cards, filters, refine, rewards, segments, summaries
+from cardloom.plans import reward_run
 from cardloom.sources import bank_rules, reward_tables, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,20 +221,25 @@ def top3_by_category(spark, sf_dir):
     return segments.top_per_group(spent(spark, sf_dir), "category", "normalized_merchant")
 
 
+# Flows name ends without a value.
+_ENDS = """f AS (SELECT payment_amount, coalesce(nullif(bank_name, ''), '其他發卡行') AS bank_name, coalesce(nullif(card_type, ''), '其他卡片') AS card_type, coalesce(nullif(payment_process, ''), '一般實體刷卡') AS payment_process,
+    coalesce(nullif(category, ''), '未分類') AS category, coalesce(nullif(normalized_merchant, ''), '其他商家') AS normalized_merchant FROM tx)"""
+
+
 @query(
-    f"""WITH {TX}, t AS (SELECT normalized_merchant FROM tx GROUP BY ALL ORDER BY sum(payment_amount) DESC, normalized_merchant LIMIT 10), l AS (
-    SELECT 0 AS layer, bank_name AS source, card_type AS target, {AMOUNT} AS value FROM tx GROUP BY ALL UNION ALL
-    SELECT 1, card_type, payment_process, {AMOUNT} FROM tx GROUP BY ALL UNION ALL SELECT 2, payment_process, category, {AMOUNT} FROM tx GROUP BY ALL UNION ALL
-    SELECT 3, category, normalized_merchant, {AMOUNT} FROM tx SEMI JOIN t USING (normalized_merchant) GROUP BY ALL)
-    SELECT * FROM l WHERE source IS NOT NULL AND target IS NOT NULL AND value > 1000"""
+    f"""WITH {TX}, {_ENDS}, t AS (SELECT normalized_merchant FROM f GROUP BY ALL ORDER BY sum(payment_amount) DESC, normalized_merchant LIMIT 10), l AS (
+    SELECT 0 AS layer, bank_name AS source, card_type AS target, {AMOUNT} AS value FROM f GROUP BY ALL UNION ALL
+    SELECT 1, card_type, payment_process, {AMOUNT} FROM f GROUP BY ALL UNION ALL SELECT 2, payment_process, category, {AMOUNT} FROM f GROUP BY ALL UNION ALL
+    SELECT 3, category, normalized_merchant, {AMOUNT} FROM f SEMI JOIN t USING (normalized_merchant) GROUP BY ALL)
+    SELECT * FROM l WHERE value > 1000"""
 )
 def sankey_links(spark, sf_dir):
     return summaries.flow_links(tx(spark, sf_dir), 1000.0, top_merchants=10)
 
 
 @query(
-    f"""WITH {TX}, l AS (SELECT bank_name AS a, card_type AS b, sum(payment_amount) AS v FROM tx GROUP BY ALL UNION ALL SELECT card_type, payment_process, sum(payment_amount) FROM tx GROUP BY ALL
-    UNION ALL SELECT payment_process, category, sum(payment_amount) FROM tx GROUP BY ALL), k AS (SELECT * FROM l WHERE v > 0 AND a IS NOT NULL AND b IS NOT NULL) SELECT a AS name FROM k UNION SELECT b FROM k"""
+    f"""WITH {TX}, {_ENDS}, l AS (SELECT bank_name AS a, card_type AS b, sum(payment_amount) AS v FROM f GROUP BY ALL UNION ALL SELECT card_type, payment_process, sum(payment_amount) FROM f GROUP BY ALL
+    UNION ALL SELECT payment_process, category, sum(payment_amount) FROM f GROUP BY ALL), k AS (SELECT * FROM l WHERE v > 0) SELECT a AS name FROM k UNION SELECT b FROM k"""
 )
 def sankey_nodes(spark, sf_dir):
     return summaries.flow_nodes(summaries.flow_links(tx(spark, sf_dir)))
@@ -471,11 +477,11 @@ def _rewards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     shops = '[{"normalized_merchant":["00000007","000000031"]}]'
     pools = spark.createDataFrame(
         [
-            ("gone", "[]", shops),
-            ("high", '[{"merchant_location":["AFRICA"]}]', '[{"payment_process":["1-urgent","2-HIGH"],"merchant_rate":2.5},{"payment_process":["NONE"]}]'),
-            ("asia", "[]", '[{"merchant_location":"Asia","merchant_display":"PROMO","merchant_rate":4}]'),
+            ("gone", "gone", "[]", shops),
+            ("high", "high payments", '[{"merchant_location":["AFRICA"]}]', '[{"payment_process":["1-urgent","2-HIGH"],"merchant_rate":2.5},{"payment_process":["NONE"]}]'),
+            ("asia", "asia", "[]", '[{"merchant_location":"Asia","merchant_display":"PROMO","merchant_rate":4}]'),
         ],
-        "pool_id string, pass_rules string, rules string",
+        "pool_id string, pool_name string, pass_rules string, rules string",
     )
     return txns, rewards.calculate(txns, programs, links, reward_tables.pools(pools))
 
@@ -551,12 +557,12 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, out = _rewards(spark, sf_dir)
     month = C.month_key(F.col("transaction_date"))
     names = lambda df: df.withColumns({"month": month, "bank_name": F.col("bank_no"), "card_type": F.col("card_id"), "payment_amount": F.col("amount")})
-    return summaries.reward_month_summary(names(txns).where("amount > 0"), names(out))
+    return summaries.reward_month_summary(names(txns), names(out))
 
 
 _SUMMARY = f"""WITH {_APPLIED}, r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, CAST(sum(reward) AS DOUBLE) AS reward FROM applied GROUP BY ALL),
-    s AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, {AMOUNT} AS spending FROM u WHERE payment_amount > 0 GROUP BY ALL)
-    SELECT month, bank_name, card_type, coalesce(spending, 0) AS spending, coalesce(reward, 0) AS reward, CASE WHEN coalesce(spending, 0) = 0 THEN 0 ELSE coalesce(reward, 0) * 100 / spending END AS rate_percent
+    s AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, {AMOUNT} AS spending FROM u GROUP BY ALL)
+    SELECT month, bank_name, card_type, coalesce(spending, 0) AS spending, coalesce(reward, 0) AS reward, CASE WHEN spending > 0 THEN coalesce(reward, 0) * 100 / spending ELSE 0 END AS rate_percent
     FROM s FULL JOIN r USING (month, bank_name, card_type)"""
 
 
@@ -566,22 +572,114 @@ def reward_monthly_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
-@query(_SUMMARY)
-def reward_monthly_summary_all(spark, sf_dir):
-    """The same under its earlier name."""
-    return _summary(spark, sf_dir)
-
-
 @query(
-    f"""WITH {_APPLIED} SELECT strftime(transaction_date, '%Y-%m') AS month, pool_id, CAST(sum(reward) AS DOUBLE) AS reward, bool_or(is_capped) AS is_capped, CAST(max(cap) AS DOUBLE) AS cap_amount
-    FROM applied WHERE pool_id IS NOT NULL GROUP BY ALL"""
+    f"""WITH {_APPLIED}, a AS (SELECT applied.*, priority, load_ord FROM applied JOIN pr USING (reward_id))
+    SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, pool_id, CASE pool_id WHEN 'high' THEN 'high payments' ELSE pool_id END AS pool_name, CAST(sum(reward) AS DOUBLE) AS reward, bool_or(is_capped) AS is_capped,
+    coalesce(CAST(arg_min(cap, (transaction_date, transaction_id, priority, load_ord)) FILTER (WHERE cap IS NOT NULL) AS DOUBLE), 0) AS cap_amount FROM a WHERE pool_id IS NOT NULL GROUP BY ALL"""
 )
 def pool_utilization(spark, sf_dir):
+    """Use of each pool by month, bank and card."""
     _, out = _rewards(spark, sf_dir)
-    rows = out.withColumn("month", C.month_key(F.col("transaction_date"))).where("pool_id is not null")
+    rows = out.withColumns({"month": C.month_key(F.col("transaction_date")), "bank_name": F.col("bank_no"), "card_type": F.col("card_id")}).where("pool_id is not null")
     return summaries.pool_use(rows)
 
 
+# A whole run: excluded types, statement months by bank and card, locked base programs, pool rules with banks and cards.
+_RUN_ROWS = """('q1','ALL','ALL','stop','campaign','NONE','point','PER_ITEM','floor',1,true,0,NULL,NULL,NULL,0),
+ ('q2','3','','pick','campaign','BILLING_CYCLE','tree_points','PER_ITEM','round',10,false,2,1500,NULL,NULL,1),
+ ('q3','ALL','building','Alpha','base','BILLING_CYCLE','point','AGGREGATE','floor',20,false,1,NULL,NULL,NULL,2),
+ ('q4','ALL','BUILDING','beta','base','CALENDAR_MONTH','openpoint','PER_ITEM','',30,false,1.5,2000,NULL,NULL,3),
+ ('q5','ALL','','gamma','base','TRANSACTION_DATE','cashback_floor','PER_ITEM','',40,false,0.5,NULL,NULL,NULL,4)"""
+_SELECTED = "('', 'building', 'ALPHA', DATE'1996-01-01', DATE'1996-06-30', 0), ('', 'Building', 'BETA', DATE'1996-06-15', DATE'1996-12-31', 0), ('3', NULL, 'Gamma', DATE'1997-01-01', DATE'1997-03-31', 1)"
+
+
+def _run(spark: SparkSession, sf_dir: str) -> reward_run.RewardRun:
+    shop = F.col("normalized_merchant")
+    kind = F.when(shop.endswith("1"), C.REPAYMENT).when(shop.endswith("2"), C.POINTS).otherwise(F.col("transaction_type"))
+    rows = tx(spark, sf_dir).withColumn("transaction_type", kind)
+    first = F.struct("transaction_date", "posting_date", "bank_no", "card_type", "normalized_merchant", "payment_amount", "category")
+    rows = rows.groupBy("transaction_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "transaction_id")), first).alias("r")).select("transaction_id", "r.*")
+    gold = rows.withColumns({"card_id": F.col("card_type"), "merchant_display": F.col("category")})
+    days = tx(spark, sf_dir).select("bank_no", F.trunc("posting_date", "month").alias("m")).distinct()
+    closes = days.select("bank_no", F.lit(None).cast("string").alias("card_type"), F.date_format("m", "yyyy-MM").alias("statement_month"), F.date_add("m", F.col("bank_no").cast("int") % 20 + 4).alias("closing_date"), F.lit(None).cast("date").alias("actual_closing_date"))
+    own = days.where("bank_no = '3'").select("bank_no", F.lit(" building ").alias("card_type"), F.date_format("m", "yyyy-MM").alias("statement_month"), F.col("m").alias("closing_date"), F.last_day("m").alias("actual_closing_date"))
+    names = [c.split()[0] for c in _PROGRAMS.replace("(9,4)", "").replace("(18,2)", "").split(",")]
+    types = [c.split()[1].replace(";", ",") for c in _PROGRAMS.replace("(9,4)", "(9;4)").replace("(18,2)", "(18;2)").split(",")]
+    programs = spark.sql(f"SELECT * FROM VALUES {_RUN_ROWS} AS t({', '.join(names)})").select(*(F.col(n).cast(k).alias(n) for n, k in zip(names, types, strict=True)))
+    links = spark.createDataFrame([("Q1", "gone", 0), ("q2", "CARDS", 1), ("q9", "cards", 2)], "reward_id string, pool_id string, link_ord int")
+    pools = spark.createDataFrame(
+        [("gone", "gone", None, '[{"normalized_merchant":"#00000009"}]'), ("cards", "two cards", '[{"merchant_location":"europe"}]', '[{"bank_no":"3","card_id":["BUILDING","machinery"],"payment_process":["ALL"],"merchant_rate":3},{"bank_no":["ALL"],"card_id":"automobile","merchant_display":["BRASS","PROMO"]}]')],
+        "pool_id string, pool_name string, pass_rules string, rules string",
+    )
+    chosen = spark.sql(f"SELECT * FROM VALUES {_SELECTED} AS t(bank_no, card_id, base_reward_program, start_date, end_date, strategy_ord)")
+    return reward_run.run_rewards(gold, reward_run.RewardTables(programs, links, reward_tables.pools(pools), chosen, closes.unionByName(own)))
+
+
+_FOREIGN_DAY, _PHONE_DAY = (" OR ".join(f"abs(datediff('day', DATE'{d}', transaction_date)) <= {n}" for d in ("1996-01-01", "1996-06-30", "1996-06-15", "1996-12-31")) for n in (1, 2))
+_IN = "transaction_date BETWEEN DATE'{}' AND DATE'{}'"
+_RUN = f"""{TX}, u AS (SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY transaction_date, posting_date, bank_no, card_type, normalized_merchant, payment_amount, category) = 1),
+ t AS (SELECT * FROM u WHERE normalized_merchant NOT LIKE '%1' AND normalized_merchant NOT LIKE '%2'),
+ m AS (SELECT DISTINCT bank_no AS b, CAST(date_trunc('month', posting_date) AS DATE) AS m FROM tx), cl AS (SELECT b, '' AS c, strftime(m, '%Y-%m') AS sm, m + CAST(CAST(b AS INT) % 20 + 4 AS INT) AS e FROM m UNION ALL SELECT b, 'BUILDING', strftime(m, '%Y-%m'), CAST(last_day(m) AS DATE) FROM m WHERE b = '3'),
+ iv AS (SELECT *, CAST(coalesce(lag(e) OVER (PARTITION BY b, c ORDER BY sm), e - INTERVAL 1 MONTH) AS DATE) + 1 AS f FROM cl),
+ sm AS (SELECT t.*, coalesce(o.sm, d.sm, strftime(posting_date, '%Y-%m')) AS sm FROM t LEFT JOIN iv o ON o.b = bank_no AND o.c = card_type AND posting_date BETWEEN o.f AND o.e LEFT JOIN iv d ON d.b = bank_no AND d.c = '' AND posting_date BETWEEN d.f AND d.e),
+ lk AS (SELECT *, CASE WHEN card_type = 'BUILDING' AND ({_IN.format("1996-01-01", "1996-12-31")} OR (transaction_type = '一般國外交易' AND ({_FOREIGN_DAY})) OR (payment_process IS NOT NULL AND ({_PHONE_DAY}))) THEN
+     CASE WHEN {_IN.format("1996-01-01", "1996-06-14")} THEN ['alpha'] WHEN {_IN.format("1996-06-15", "1996-06-30")} THEN ['alpha', 'beta'] WHEN {_IN.format("1996-07-01", "1996-12-31")} THEN ['beta'] ELSE [] END
+   WHEN bank_no = '3' AND {_IN.format("1997-01-01", "1997-03-31")} THEN ['gamma'] ELSE [] END AS locked FROM sm),
+ pr AS (SELECT * FROM (VALUES {_RUN_ROWS}) v(reward_id, p_bank, p_card, reward_program, source, cycle, rtype, method, strat, priority, brk, rate0, cap, s, e, load_ord)),
+ c AS (SELECT lk.*, pr.* FROM lk JOIN pr ON p_bank IN ('ALL', bank_no) AND upper(p_card) IN ('ALL', '', card_type) AND (source <> 'base' OR len(locked) = 0 OR list_contains(locked, lower(reward_program)))),
+ h AS (SELECT *, CASE WHEN reward_id = 'q1' AND contains(normalized_merchant, '#00000009') THEN 'gone' WHEN reward_id = 'q2' AND merchant_location <> 'EUROPE' AND ((card_type IN ('BUILDING', 'MACHINERY') AND payment_process IS NOT NULL) OR (card_type = 'AUTOMOBILE' AND (contains(category, 'BRASS') OR contains(category, 'PROMO')))) THEN 'cards' END AS pool_id FROM c),
+ g AS (SELECT *, CAST(CASE WHEN pool_id = 'cards' AND card_type <> 'AUTOMOBILE' THEN 3 ELSE rate0 END AS DECIMAL(9,4)) AS rate FROM h WHERE reward_id NOT IN ('q1', 'q2') OR pool_id IS NOT NULL),
+ wf AS (SELECT * FROM g QUALIFY coalesce(max(CAST(brk AS INT)) OVER (PARTITION BY transaction_id ORDER BY priority, load_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0),
+ a2 AS (SELECT *, concat_ws('|', bank_no, card_type, sm) AS k, CAST(round(payment_amount * rate / 100) AS DECIMAL(18,2)) AS p FROM wf WHERE reward_id = 'q2' UNION ALL
+   SELECT *, concat_ws('|', 'm', bank_no, card_type, strftime(transaction_date, '%Y-%m')), CAST(round(payment_amount * rate / 100, 2) AS DECIMAL(18,2)) FROM wf WHERE reward_id = 'q4'),
+ b2 AS (SELECT *, sum(p) OVER ({_NOW}) AS cs FROM a2), c2 AS (SELECT *, max(cs) OVER ({_HAD}) AS cm FROM b2),
+ a3 AS (SELECT *, concat_ws('|', bank_no, card_type, sm) AS k FROM wf WHERE reward_id = 'q3'), b3 AS (SELECT *, CAST(floor(sum(payment_amount) OVER ({_NOW}) * rate / 100) AS DECIMAL(18,2)) AS earned FROM a3), c3 AS (SELECT *, greatest(0, coalesce(max(earned) OVER ({_HAD}), 0)) AS had FROM b3),
+ ap AS (SELECT transaction_id, reward_id, pool_id, rate, CAST(0 AS DECIMAL(18,2)) AS reward, FALSE AS is_capped FROM wf WHERE reward_id = 'q1' UNION ALL SELECT transaction_id, reward_id, pool_id, rate, CAST(floor(payment_amount * rate / 100) AS DECIMAL(18,2)), FALSE FROM wf WHERE reward_id = 'q5'
+   UNION ALL SELECT transaction_id, reward_id, pool_id, rate, CASE WHEN coalesce(cm >= cap, FALSE) THEN 0 ELSE least(p, cap - (cs - p)) END, coalesce(cm >= cap, FALSE) OR cs > cap FROM c2 UNION ALL SELECT transaction_id, reward_id, pool_id, rate, greatest(had, earned) - had, FALSE FROM c3),
+ rep AS (SELECT t.transaction_id, t.transaction_date, t.bank_name, t.card_type, t.payment_amount, coalesce(reward_program, '未匹配方案') AS reward_program, coalesce(rtype, '') AS reward_type, CASE WHEN ap.reward_id IS NULL THEN 'N/A' ELSE coalesce(pool_id, 'BASE_PROGRAM') END AS pool_id,
+   CASE WHEN ap.reward_id IS NULL THEN '無回饋池' WHEN pool_id IS NULL THEN '全通路基礎方案' WHEN pool_id = 'cards' THEN 'two cards' ELSE pool_id END AS pool_name, CAST(coalesce(rate, 0) AS DOUBLE) AS effective_rate, coalesce(reward, 0) AS reward, coalesce(is_capped, FALSE) AS is_capped, cap, priority, load_ord,
+   CASE pool_id WHEN 'gone' THEN '#00000009' WHEN 'cards' THEN CASE WHEN t.card_type = 'AUTOMOBILE' THEN 'BRASS;PROMO' ELSE '' END ELSE '' END AS matched_rule_merchant FROM t LEFT JOIN ap USING (transaction_id) LEFT JOIN pr ON pr.reward_id = ap.reward_id)"""
+
+
+@query(
+    f"""WITH {_RUN} SELECT transaction_id, bank_name, card_type, reward_program, pool_id, pool_name, matched_rule_merchant, effective_rate, CAST(reward AS DOUBLE) AS calculated_reward,
+    CAST(sum(reward) OVER (PARTITION BY transaction_id) AS DOUBLE) AS total_txn_reward, is_capped, CAST(cap AS DOUBLE) AS cap_amount FROM rep"""
+)
+def reward_run_report(spark, sf_dir):
+    """The report of a whole run."""
+    money = {c: F.col(c).cast("double") for c in ("effective_rate", "calculated_reward", "total_txn_reward", "cap_amount")}
+    names = ["transaction_id", "bank_name", "card_type", "reward_program", "pool_id", "pool_name", "matched_rule_merchant", "effective_rate", "calculated_reward", "total_txn_reward", "is_capped", "cap_amount"]
+    return _run(spark, sf_dir).report.select(*(money.get(n, F.col(n)).alias(n) for n in names))
+
+
+_UNITS = "CASE {} WHEN 'tree_points' THEN '小樹點' WHEN 'openpoint' THEN 'OPENPOINT' ELSE '元' END"
+_MARTS = f"""{_RUN}, n AS (SELECT bank_name, card_type, reward_type, count(*) AS n FROM rep WHERE reward > 0 AND reward_type <> '' GROUP BY ALL),
+    cu AS (SELECT bank_name, card_type, {_UNITS.format("reward_type")} AS unit FROM n QUALIFY row_number() OVER (PARTITION BY bank_name, card_type ORDER BY n DESC, reward_type) = 1)"""
+
+
+@query(
+    f"""WITH {_MARTS}, s AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_name, card_type, sum(a) AS a FROM (SELECT DISTINCT transaction_id, transaction_date, bank_name, card_type, payment_amount AS a FROM rep) GROUP BY ALL),
+    r AS (SELECT strftime(transaction_date, '%Y-%m') AS month, bank_name, card_type, sum(reward) AS r FROM rep GROUP BY ALL)
+    SELECT month, bank_name, card_type, CAST(a AS DOUBLE) AS total_spending, CAST(r AS DOUBLE) AS total_reward, CASE WHEN a > 0 THEN round_even(CAST(r AS DOUBLE) * 100 / CAST(a AS DOUBLE), 2) + 0 ELSE 0 END AS effective_rate, coalesce(unit, '元') AS reward_unit
+    FROM s JOIN r USING (month, bank_name, card_type) LEFT JOIN cu USING (bank_name, card_type)"""
+)
+def reward_run_months(spark, sf_dir):
+    """The mart's months of a whole run."""
+    return reward_run.mart_tables(_run(spark, sf_dir).report)["rewards_monthly_summary"]
+
+
+@query(
+    f"""WITH {_MARTS}, pn AS (SELECT bank_name, card_type, pool_name, reward_type, count(*) AS n FROM rep WHERE reward_type <> '' GROUP BY ALL),
+    pu AS (SELECT bank_name, card_type, pool_name, {_UNITS.format("reward_type")} AS own FROM pn QUALIFY row_number() OVER (PARTITION BY bank_name, card_type, pool_name ORDER BY n DESC, reward_type) = 1)
+    SELECT strftime(transaction_date, '%Y-%m') AS month, bank_name, card_type, pool_id, pool_name, CAST(sum(reward) AS DOUBLE) AS total_reward, bool_or(is_capped) AS is_capped,
+    coalesce(CAST(arg_min(cap, (transaction_date, transaction_id, priority, load_ord)) FILTER (WHERE cap IS NOT NULL) AS DOUBLE), 0) AS cap_amount, coalesce(any_value(own), any_value(unit), '元') AS reward_unit
+    FROM rep LEFT JOIN pu USING (bank_name, card_type, pool_name) LEFT JOIN cu USING (bank_name, card_type) GROUP BY month, bank_name, card_type, pool_id, pool_name"""
+)
+def reward_run_pools(spark, sf_dir):
+    """The mart's pools of a whole run."""
+    return reward_run.mart_tables(_run(spark, sf_dir).report)["rewards_pool_utilization"]
+
+
 @query(
     f"""WITH {TX}, s AS (SELECT * FROM (VALUES ('alpha', DATE'1996-01-01', DATE'1996-06-30'), ('beta', DATE'1996-06-15', DATE'1996-12-31')) v(p, s, e)),
     d AS (SELECT DISTINCT transaction_date AS d FROM tx), j AS (SELECT d, string_agg(p, ',' ORDER BY p) FILTER (WHERE d BETWEEN s AND e) AS locked, bool_or(abs(datediff('day', s, d)) <= 2 OR abs(datediff('day', e, d)) <= 2) AS near_change

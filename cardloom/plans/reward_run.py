@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.functions.lineage import cut
 from cardloom.operators import refine, rewards, sinks, summaries
 
 #: Types that earn nothing and take nothing back; refunds stay.
@@ -75,16 +76,18 @@ def reward_transactions(
 def run_rewards(gold: DataFrame, tables: RewardTables, **which: object) -> RewardRun:
     """Rewards of the Gold table's transactions: statement months, locked programs, waterfall and caps, and the report.
 
-    ``which`` are the filters of :func:`reward_transactions`.
+    ``which`` are the filters of :func:`reward_transactions`.  The rows are written once for every step that reads them
+    more than once: as taken from Gold, with what the lookups add, and after the caps.
     """
-    txns = reward_transactions(gold, **which)
+    txns = cut(reward_transactions(gold, **which))
     if tables.history is None:
         txns = txns.withColumn("statement_month", F.date_format("posting_date", "yyyy-MM"))
     else:
         txns = refine.statement_of(txns, refine.billing_intervals(tables.history))
     if tables.selections is not None:
         txns = rewards.active_selection(txns, tables.selections)
-    applied = rewards.calculate(txns, tables.programs, tables.links, tables.pools)
+    txns = cut(txns)
+    applied = cut(rewards.calculate(txns, tables.programs, tables.links, tables.pools))
     return RewardRun(txns, applied, rewards.report(txns, applied))
 
 
