@@ -1,6 +1,7 @@
 """Card rewards: candidate programs, pool rules, priority waterfall, capped accumulation per cycle.
 
-The waterfall and the caps are window functions; only cycle keys that mix caps or methods go through a per-key loop.
+The waterfall and the caps are window functions, those of campaigns a scan over ranges; only cycle keys that mix caps or
+methods go through a per-key loop.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.functions.lineage import cut
 from cardloom.operators import intervals
 
 MONEY = "decimal(18,2)"
@@ -151,43 +153,105 @@ def base_reward(rows: DataFrame) -> Column:
 
 
 def with_mixed(programs: DataFrame) -> DataFrame:
-    """Adds ``_mixed``: whether programs of one name and cycle, which can share a key, differ in cap or method."""
+    """Adds ``_mixed``: whether programs of one name and cycle, which can share a key, differ in cap or method.
+
+    And ``_alone``: whether there is only one of them.
+    """
     cap = F.when(F.col("cap_amount") > 0, F.col("cap_amount")).cast(MONEY)
     kind = F.struct(F.coalesce(cap, F.lit(-1)), F.coalesce(F.upper("calc_method") == "AGGREGATE", F.lit(False)))
     same = Window.partitionBy(F.lower("reward_program"), F.upper(F.trim("reward_cycle")))
-    return programs.withColumn("_mixed", F.min(kind).over(same) != F.max(kind).over(same))
+    return programs.withColumns({"_mixed": F.min(kind).over(same) != F.max(kind).over(same), "_alone": F.count("*").over(same) == 1})
 
 
 ORDER = ("transaction_date", "transaction_id", "priority", "load_ord")
+LASTING = ("BILLING_CYCLE", "CALENDAR_MONTH", "CAMPAIGN_CYCLE")
+#: Ranges of a campaign's rows for each task of a shuffle.
+RANGES = 4
 
 
-def capped(rows: DataFrame, any_mixed: bool = True) -> DataFrame:
-    """Adds ``reward`` and ``is_capped``: rewards of each cycle key in order, up to its cap (none if null or not positive).
+def _paid(amounts: DataFrame) -> dict[str, Column]:
+    """Reward and whether the cap was met, from the running values of a row's key.
 
-    PER_ITEM rounds each row and pays up to what is left; once full, a key pays nothing more.  AGGREGATE rounds the
-    running amount and pays the increments.  Both are running sums and maxima over one sort.  Rows with ``_mixed`` go
-    through a loop per key instead; ``any_mixed`` says whether there can be any.
+    ``_p`` is the row's own reward, ``_sum`` the sum of these up to it and ``_max`` the largest such sum before it;
+    ``_earned`` is the rounded reward of the running amount and ``_before`` the largest such reward before it, 0 at least.
     """
-    rows = rows.withColumn("cycle_key", cycle_key(rows)).withColumn("_p", base_reward(rows))
-    rows = rows.withColumn("_cap", F.when(F.col("cap_amount") > 0, F.col("cap_amount")).cast(MONEY)).withColumn("_agg", F.upper("calc_method") == "AGGREGATE")
-    order = Window.partitionBy("cycle_key").orderBy(*ORDER)
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    amounts = (rows.where("not _mixed") if any_mixed else rows).withColumn("_sum", F.sum("_p").over(upto)).withColumn("_amount", F.sum("amount").over(upto))
-    earned = C.rounded(F.col("_amount") * F.col("rate") / F.lit(100), rounding(), digits(F.col("reward_type")))
-    amounts = amounts.withColumn("_earned", earned)
-    amounts = amounts.withColumn("_max", F.max("_sum").over(before)).withColumn("_before", F.greatest(F.lit(0), F.coalesce(F.max("_earned").over(before), F.lit(0))))
     cap, zero = F.col("_cap"), F.lit(0).cast(MONEY)
     full = F.coalesce(F.col("_max") >= cap, F.lit(False))
     item = F.when(cap.isNull(), F.col("_p")).when(full, zero).otherwise(F.least(F.col("_p"), cap - (F.col("_sum") - F.col("_p"))))
     now = F.greatest("_before", "_earned")
     share = F.when(cap.isNull(), now - F.col("_before")).otherwise(F.least(cap, now) - F.least(cap, F.col("_before")))
     hit = F.coalesce(F.when(F.col("_agg"), (F.col("_before") >= cap) | (now > cap)).otherwise(full | (F.col("_sum") > cap)), F.lit(False))
+    return {"reward": F.when(F.col("_agg"), share).otherwise(item).cast(MONEY), "is_capped": hit}
+
+
+def _earned() -> Column:
+    return C.rounded(F.col("_amount") * F.col("rate") / F.lit(100), rounding(), digits(F.col("reward_type")))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Rows that share their key with no other, or whose program neither has a cap nor adds up: no order is needed."""
+    return rows.withColumns({"_sum": F.col("_p"), "_amount": F.col("amount"), "_max": F.lit(None).cast(MONEY), "_before": F.lit(0).cast(MONEY)}).withColumn("_earned", _earned())
+
+
+def _in_one_go(rows: DataFrame) -> DataFrame:
+    """Running values over one sort per key, for keys of one card's month."""
+    order = Window.partitionBy("cycle_key").orderBy(*ORDER)
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_sum", F.sum("_p").over(upto)).withColumn("_amount", F.sum("amount").over(upto)).withColumn("_earned", _earned())
+    return out.withColumn("_max", F.max("_sum").over(before)).withColumn("_before", F.greatest(F.lit(0), F.coalesce(F.max("_earned").over(before), F.lit(0))))
+
+
+def _by_ranges(rows: DataFrame) -> DataFrame:
+    """Running values of keys that may hold any share of all rows, by a scan in two levels.
+
+    Rows are dealt by ranges of key and order.  Each range sums its own rows; the ranges' sums and maxima, one row for a key
+    and range, are scanned, and what came before is carried into the ranges.  Only keys that cross into another range
+    carry anything, two a range at most.  The reward of a running amount is known after the first carry, so its maximum is
+    scanned by a second one.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
+    dealt = rows.repartitionByRange(parts, "cycle_key", *ORDER).sortWithinPartitions("cycle_key", *ORDER)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    order = Window.partitionBy("_range", "cycle_key").orderBy(*ORDER)
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("cycle_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ["cycle_key", "_range"]
+    local = dealt.withColumn("_s", F.sum("_p").over(upto)).withColumn("_a", F.sum("amount").over(upto))
+    sums = local.groupBy(*ends).agg(F.sum("_p").alias("_s1"), F.sum("amount").alias("_a1"), F.max("_s").alias("_m1"))
+    sums = sums.withColumn("_s0", F.sum("_s1").over(earlier)).withColumn("_a0", F.sum("_a1").over(earlier))
+    sums = sums.withColumn("_m0", F.max(F.coalesce("_s0", F.lit(0)) + F.col("_m1")).over(earlier)).where("_s0 is not null or _a0 is not null")
+    local = local.join(F.broadcast(sums.select(*ends, "_s0", "_a0", "_m0")), ends, "left")
+    so_far = F.coalesce("_s0", F.lit(0))
+    local = local.withColumns({"_sum": F.col("_s") + so_far, "_amount": F.col("_a") + F.coalesce("_a0", F.lit(0)), "_max": F.greatest(F.col("_m0"), F.max("_s").over(before) + so_far)}).withColumn("_earned", _earned())
+    most = local.groupBy(*ends).agg(F.max("_earned").alias("_e1"))
+    most = most.withColumn("_e0", F.max("_e1").over(earlier)).where("_e0 is not null").select(*ends, "_e0")
+    local = local.join(F.broadcast(most), ends, "left")
+    return local.withColumn("_before", F.greatest(F.lit(0), F.coalesce("_e0", F.lit(0)), F.coalesce(F.max("_earned").over(before), F.lit(0))))
+
+
+def capped(rows: DataFrame, any_mixed: bool = True, any_wide: bool = True) -> DataFrame:
+    """Adds ``reward`` and ``is_capped``: rewards of each cycle key in order, up to its cap (none if null or not positive).
+
+    PER_ITEM rounds each row and pays up to what is left; once full, a key pays nothing more.  AGGREGATE rounds the
+    running amount and pays the increments.  Both are running sums and maxima: over one sort per key for the keys of a
+    card's month, over ranges for campaigns, whose key any number of rows can share, and not at all where nothing adds up.
+    Rows with ``_mixed`` go through a loop per key instead.  ``any_mixed`` and ``any_wide`` say whether there can be rows
+    with it, and campaigns with a cap or a running amount.  A transaction's id names one transaction.
+    """
+    rows = cut(rows.withColumn("cycle_key", cycle_key(rows)).withColumn("_p", base_reward(rows)))  # read once for each way
+    rows = rows.withColumn("_cap", F.when(F.col("cap_amount") > 0, F.col("cap_amount")).cast(MONEY)).withColumn("_agg", F.coalesce(F.upper("calc_method") == "AGGREGATE", F.lit(False)))
+    cycle = F.coalesce(F.upper(F.trim("reward_cycle")), F.lit(""))
+    free = (~F.col("_agg") & F.col("_cap").isNull()) | (~cycle.isin(*LASTING) & F.col("_alone"))
+    wide = cycle == "CAMPAIGN_CYCLE"
+    plain = rows.where("not _mixed") if any_mixed else rows
+    ways = [_alone(plain.where(free)), _in_one_go(plain.where(~free & ~wide))]
+    if any_wide:
+        ways.append(_by_ranges(plain.where(~free & wide)))
     columns = [c for c in rows.columns if not c.startswith("_")]
-    closed = amounts.select(*columns, F.when(F.col("_agg"), share).otherwise(item).cast(MONEY).alias("reward"), hit.alias("is_capped"))
+    closed = reduce(DataFrame.unionByName, (w.select(*columns, *(c.alias(n) for n, c in _paid(w).items())) for w in ways))
     if not any_mixed:
         return closed
-    schema = closed.schema
-    mixed = rows.where("_mixed").repartition("cycle_key").sortWithinPartitions("cycle_key", *ORDER).mapInPandas(_loop, schema)
+    mixed = rows.where("_mixed").repartition("cycle_key").sortWithinPartitions("cycle_key", *ORDER).mapInPandas(_loop, closed.schema)
     return closed.unionByName(mixed)
 
 
@@ -226,8 +290,9 @@ def _loop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def calculate(txns: DataFrame, programs: DataFrame, links: DataFrame, pools: DataFrame) -> DataFrame:
     """Every applied program of every transaction with its reward."""
     programs = with_mixed(programs).withColumn("program_start", F.col("start_date")).withColumn("program_end", F.col("end_date"))
-    any_mixed = not programs.where("_mixed").isEmpty()
-    return capped(waterfall(with_rates(candidates(txns, programs), links, pools)), any_mixed)
+    adds_up = (F.col("cap_amount") > 0) | (F.upper("calc_method") == "AGGREGATE")
+    kinds = programs.agg(F.max("_mixed").alias("mixed"), F.max((F.upper(F.trim("reward_cycle")) == "CAMPAIGN_CYCLE") & adds_up).alias("wide")).first()
+    return capped(waterfall(with_rates(candidates(txns, programs), links, pools)), bool(kinds.mixed), bool(kinds.wide))
 
 
 #: What stands in the report where no program or no pool applies (fixed values).

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.functions.lineage import cut
+from cardloom.operators import selection
 from cardloom.operators.summaries import total
 
 WINDOWS = {"d30": 30, "d90": 90, "d180": 180, "d365": 365, "d730": 730, "life": None}
@@ -112,32 +114,36 @@ def quadrant(avg: Column, std: Column, middle_avg: Column, middle_std: Column) -
     return F.when(big & wide, spike).when(big, fixed).when(wide, mixed).otherwise(routine)
 
 
-def volatility(df: DataFrame, *keys: str) -> DataFrame:
-    """Positive tickets per key: count, money, quartiles, whiskers, outliers beyond them, kind of distribution, quadrant."""
-    rows = df.dropna(subset=list(keys)).where("payment_amount > 0").withColumn("x", F.col("payment_amount").cast("double"))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        total().alias("total_amount"),
-        F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-        q.alias("q"),
-    )
-    spread = (F.col("q")[2] - F.col("q")[0]) * 1.5
-    stats = stats.select(
-        *keys, "n", "total_amount", "std", "low", "high", (F.col("total_amount") / F.col("n")).alias("avg"),
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-        F.greatest(F.col("low"), F.col("q")[0] - spread).alias("whisker_low"),
-        F.least(F.col("high"), F.col("q")[2] + spread).alias("whisker_high"),
-    )
-    # The rows beyond the whiskers; statistics come back to the rows by a join on the keys.
-    beyond = rows.join(stats.select(*keys, "whisker_low", "whisker_high"), list(keys)).where("x < whisker_low or x > whisker_high")
-    out = stats.join(beyond.groupBy(*keys).agg(F.count("*").alias("n_outliers")), list(keys), "left").fillna(0, ["n_outliers"])
+def volatility(df: DataFrame, *keys: str, since: Column | None = None) -> DataFrame:
+    """Positive tickets per key: count, money, quartiles, whiskers, outliers beyond them, kind of distribution, quadrant.
+
+    The rows are read once, for the counts of equal tickets, which are written; all figures come from these.  With
+    ``since`` tickets from that day on are counted (``n_recent``) and summed up (``recent_money``), too.
+    """
+    keys = list(keys)
+    rows = df.dropna(subset=keys).where("payment_amount > 0")
+    more = [] if since is None else [F.count(F.when(F.col("transaction_date") >= since, F.lit(1))).alias("n_new")]
+    counts = cut(selection.counted(rows, keys, F.col("payment_amount"), *more))
+    money = lambda n: F.coalesce(F.sum((F.col("x").cast("decimal(18,2)") * F.col(n)).cast("decimal(38,2)")), F.lit(0)).cast("double")
+    recent = {} if since is None else {"recent_money": money("n_new"), "n_recent": F.sum("n_new")}
+    figures = {"n_": F.sum("n"), "total_amount": money("n"), "low": F.min("x"), "high": F.max("x"), **recent}
+    sums = counts.groupBy(*keys).agg(*(c.alias(name) for name, c in figures.items())).withColumnRenamed("n_", "n")
+    spread = (F.col("q3") - F.col("q1")) * 1.5
+    stats = sums.join(selection.quantiles(counts, keys, (0.25, 0.5, 0.75), ("q1", "median", "q3")), keys)
+    stats = stats.withColumns({"avg": F.col("total_amount") / F.col("n"), "whisker_low": F.greatest(F.col("low"), F.col("q1") - spread), "whisker_high": F.least(F.col("high"), F.col("q3") + spread)})
+    stats = cut(stats)
+    # Each group's figures meet its counts again: squares are taken from the mean, and tickets beyond the whiskers counted.
+    beside = counts.join(C.small(stats.select(*keys, "avg", "whisker_low", "whisker_high")), keys)
+    beyond = (F.col("x") < F.col("whisker_low")) | (F.col("x") > F.col("whisker_high"))
+    square = F.sum(F.col("n") * (F.col("x") - F.col("avg")) * (F.col("x") - F.col("avg")))
+    beside = beside.groupBy(*keys).agg(square.alias("_square"), F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("n_outliers"))
+    out = cut(stats.join(beside, keys).withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("_square") / (F.col("n") - 1))).otherwise(0.0)).drop("_square"))
     kind = F.when(F.col("n") == 1, "single").when((F.col("q1") == F.col("q3")) | (F.col("low") == F.col("high")), "fixed_amount").otherwise("regular")
-    middles = stats.agg(F.median(F.when(F.col("avg") > 0, F.col("avg"))).alias("_a"), F.median(F.when(F.col("std") > 0, F.col("std"))).alias("_s"))
-    out = out.withColumn("kind", kind).join(F.broadcast(middles))
-    return out.withColumn("quadrant", quadrant(F.col("avg"), F.col("std"), F.coalesce("_a", F.lit(0.0)), F.coalesce("_s", F.lit(0.0)))).drop("_a", "_s")
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    out = out.withColumn("kind", kind).join(F.broadcast(selection.medians(out, _a=positive("avg"), _s=positive("std"))))
+    out = out.withColumn("quadrant", quadrant(F.col("avg"), F.col("std"), F.coalesce("_a", F.lit(0.0)), F.coalesce("_s", F.lit(0.0))))
+    names = ["n", "total_amount", "std", "low", "high", "avg", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers", "kind", "quadrant"]
+    return out.select(*keys, *names, *recent)
 
 
 def top_per_group(df: DataFrame, group: str, item: str, n: int = 3) -> DataFrame:
@@ -173,26 +179,18 @@ def named_groups(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(C.text_or_null(F.col(c)), F.lit(n)) for c, n in names.items()})
 
 
-def group_segment(df: DataFrame, *keys: str) -> DataFrame:
-    """Segment of each group by the rank of its money, and of its money in the last 180 days."""
-    rows = df.where("payment_amount > 0")
-    last = rows.select(F.max("transaction_date").alias("_last"))
-    recent = F.col("transaction_date") >= F.date_sub("_last", 180)
-    sums = rows.join(F.broadcast(last)).groupBy(*keys).agg(
-        F.sum("payment_amount").cast("double").alias("money"),
-        F.coalesce(F.sum(F.when(recent, F.col("payment_amount"))).cast("double"), F.lit(0.0)).alias("recent_money"),
-        F.count(F.when(recent, F.lit(1))).alias("n_recent"),
-    )
-    out = C.rank_shares(sums, keys, {"_m": (F.col("money"), False), "_r": (F.col("recent_money"), False)})
+def group_segment(sums: DataFrame, *keys: str) -> DataFrame:
+    """Segment of each group by the rank of its money (``total_amount``), and of its money in the last 180 days."""
+    out = C.rank_shares(sums.select(*keys, "total_amount", "recent_money", "n_recent"), keys, {"_m": (F.col("total_amount"), False), "_r": (F.col("recent_money"), False)})
     high, seen = F.col("_m") >= 0.8, F.col("n_recent") > 0
     core, churned, rising, active, dormant = GROUP_LABELS
     label = F.when(high & seen, core).when(high, churned).when(seen & (F.col("_r") >= 0.8), rising).when(seen, active).otherwise(dormant)
-    return out.select(*keys, "n_recent", label.alias("rfm_segment"))
+    return out.select(*keys, label.alias("rfm_segment"))
 
 
 def top_outliers(df: DataFrame, beyond: DataFrame, *keys: str, n: int = 25) -> DataFrame:
     """The ``n`` largest tickets of each group outside its whiskers, as an array; only so many rows of a group are kept."""
-    rows = df.where("payment_amount > 0").join(beyond.select(*keys, "whisker_low", "whisker_high"), list(keys))
+    rows = df.where("payment_amount > 0").join(C.small(beyond.select(*keys, "whisker_low", "whisker_high")), list(keys))
     amount = F.col("payment_amount").cast("double")
     rows = rows.where((amount < F.col("whisker_low")) | (amount > F.col("whisker_high")))
     shop = F.coalesce(C.text_or_null(F.col("normalized_merchant")), F.lit(NO_MERCHANT))
@@ -209,9 +207,10 @@ def volatility_view(df: DataFrame, mode: str = "category_only", payment: str | N
     for column, value in (("payment_process", payment), ("category", category), ("card_type", card)):
         if value and value != "all":
             rows = rows.where(F.col(column) == value)
-    stats = volatility(rows, *keys)
+    last = rows.agg(F.max("transaction_date").alias("_last"))
+    stats = cut(volatility(rows.join(F.broadcast(last)), *keys, since=F.date_sub("_last", 180)))
     cv = F.round(F.when(F.col("avg") > 0, F.col("std") / F.col("avg")).otherwise(0.0), 3)
-    out = stats.withColumn("cv", cv).join(group_segment(rows, *keys), list(keys)).join(top_outliers(rows, stats, *keys), list(keys), "left")
+    out = stats.withColumn("cv", cv).join(group_segment(stats, *keys), list(keys)).join(top_outliers(rows, stats, *keys), list(keys), "left")
     return out.withColumn("outliers", F.coalesce("outliers", F.array().cast(out.schema["outliers"].dataType)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.operators import selection
 
 # Payment tiers where no table of payments gives priorities (1 to 7 and 8 to 16), and names of plain cards.
 TIER_1 = ("Linepay", "街口支付", "悠遊付", "icash Pay", "一卡通", "全盈+PAY", "全支付")
@@ -62,17 +63,23 @@ def trend(df: DataFrame, least_months: int = 12) -> DataFrame:
 
 
 def dashboard(df: DataFrame) -> DataFrame:
-    """One row: total, count, median, active months, cards, payments and monthly average."""
+    """One row: total, count, median, active months, cards, payments and monthly average.
+
+    The median comes from counts of equal amounts, so no task holds all of them; the different months, cards and payments
+    are few and counted from rows that are brought together first.
+    """
     month = C.month_key(F.col("transaction_date"))
-    out = df.agg(
-        total().alias("total_amount"),
-        F.count("*").alias("n_transactions"),
-        F.median(F.col("payment_amount").cast("double")).alias("median_amount"),
-        F.countDistinct(month).alias("active_months"),
+    few = df.groupBy(month.alias("_month"), "card_type", "payment_process").agg(F.sum("payment_amount").alias("_sum"), F.count("*").alias("_n"))
+    out = few.agg(
+        F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0)).alias("total_amount"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_transactions"),
+        F.countDistinct("_month").alias("active_months"),
         F.countDistinct("card_type").alias("n_cards"),
         F.countDistinct("payment_process").alias("n_payments"),
     )
-    return out.withColumn("monthly_average", F.col("total_amount") / F.greatest("active_months", F.lit(1)))
+    middle = selection.medians(df, median_amount=F.col("payment_amount"))
+    out = out.join(F.broadcast(middle)).withColumn("monthly_average", F.col("total_amount") / F.greatest("active_months", F.lit(1)))
+    return out.select("total_amount", "n_transactions", "median_amount", "active_months", "n_cards", "n_payments", "monthly_average")
 
 
 FLOW = (("bank_name", "card_type"), ("card_type", "payment_process"), ("payment_process", "category"))

@@ -236,6 +236,21 @@ def test_caps_equal_a_sequential_run(spark, mixed):
     assert paid(spark, rows) == expected
 
 
+@pytest.mark.parametrize("method", ["PER_ITEM", "AGGREGATE"])
+def test_campaign_caps_over_ranges(spark, method):
+    """One key over all ranges gives the rows of a sequential run, and no range holds more than twice the mean."""
+    rng = random.Random(6)
+    rows = [txn(k, rng.randrange(-900, 2000), D(2025, 1, 1) + datetime.timedelta(days=k % 90), 20_000, method, "CAMPAIGN_CYCLE", rng.choice(("floor", "round", "ceil")), rng.choice(("1", "2.5", "3"))) for k in range(3000)]
+    wide = paid(spark, rows)
+    df = rewards.with_mixed(spark.createDataFrame(rows, PROGRAM)).withColumn("_mixed", F.lit(True))
+    assert wide == [(float(r.reward), r.is_capped) for r in rewards.capped(df).orderBy("transaction_date", "transaction_id").collect()] and sum(c for _, c in wide) > 100
+    few = paid(spark, [r[:8] + (None,) + r[9:] for r in rows[:400]] + [txn(9000 + k, 10, cap=5, cycle="CAMPAIGN_CYCLE", program=f"q{k}") for k in range(50)])
+    assert len(few) == 450 and sum(c for _, c in few) == 0
+    keyed = df.withColumns({"cycle_key": F.lit("k"), "_p": F.lit(1).cast("decimal(18,2)"), "_cap": F.lit(None).cast("decimal(18,2)"), "_agg": F.lit(False)})
+    sizes = [r["count"] for r in rewards._by_ranges(keyed).groupBy("_range").count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def bill(folder, name, text, encoding):
     (folder / name).write_bytes(text.encode(encoding))
 
