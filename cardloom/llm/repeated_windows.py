@@ -142,40 +142,51 @@ class Suffixes:
         self.first = np.concatenate(([0], np.cumsum(counts)))
         of = np.repeat(np.arange(len(counts)), counts)
         begins = np.flatnonzero(of[: max(0, len(of) - window + 1)] == of[window - 1 :])
-        at = offsets(window, symbol)
-        grams = _text.combine(np.concatenate(hashes), min(symbol, window))
-        symbols = np.column_stack([grams[begins + k] for k in at])
-        chain = symbols[:, 0].copy()
-        for k in range(1, len(at)):
-            chain = _text.mix(chain * _STEP + symbols[:, k])
+        self.offsets = offsets(window, symbol)
+        self.grams = grams = _text.combine(np.concatenate(hashes), min(symbol, window))
+        chain = grams[begins]
+        for k in self.offsets[1:]:
+            chain = _text.mix(chain * _STEP + grams[begins + k])
         own = self.ids[of[begins]]
-        order = np.lexsort((own, chain))
-        apart = (symbols[order[1:]] != symbols[order[:-1]]).any(axis=1)
-        if (apart & (chain[order[1:]] == chain[order[:-1]])).any():  # different windows of one hash
-            order = np.lexsort((own, *symbols.T, chain))
-            apart = (symbols[order[1:]] != symbols[order[:-1]]).any(axis=1)
+        order = np.argsort(chain)
+        ranked = chain[order]
         new = np.ones(len(order), bool)
-        new[1:] = apart
+        new[1:] = ranked[1:] != ranked[:-1]
+        same = np.flatnonzero(~new)
+        if len(same):
+            if any((grams[begins[order[same]] + k] != grams[begins[order[same - 1]] + k]).any() for k in self.offsets):  # different windows of one hash
+                symbols = np.column_stack([grams[begins + k] for k in self.offsets])
+                order = np.lexsort((own, *symbols.T, chain))
+                new[1:] = (symbols[order[1:]] != symbols[order[:-1]]).any(axis=1)
+            else:  # the smallest id first among equal windows
+                inside = ~new
+                inside[same - 1] = True
+                some = order[inside]
+                order[inside] = some[np.lexsort((own[some], chain[some]))]
         #: Where each window of the block begins, sorted so that equal windows stand together, the smallest id first.
         self.begins, self.window_no = begins[order], np.cumsum(new) - 1
         self.own_id = own[order]
         self.lead = np.flatnonzero(new)  # of each different window, its first place in ``begins``
-        self.symbols = symbols[order[self.lead]]
+        self.lead_at = self.begins[self.lead]
         self.lead_id = self.own_id[self.lead]
         #: Whether documents of different ids in this block hold the window.
         self.shared = np.zeros(len(self.lead), bool)
-        self.shared[self.window_no[self.own_id != self.lead_id[self.window_no]]] = True
+        self.shared[self.window_no[same][self.own_id[same] != self.lead_id[self.window_no[same]]]] = True
 
-    def prefix(self, length: int) -> np.ndarray:
-        """Hash of the first ``length`` symbols of every row."""
-        out = self.symbols[:, 0].copy()
-        for k in range(1, length):
-            out = _text.mix(out * _STEP + self.symbols[:, k])
+    def symbols(self, rows: np.ndarray) -> np.ndarray:
+        """The symbols of the rows."""
+        return np.column_stack([self.grams[self.lead_at[rows] + k] for k in self.offsets])
+
+    def prefix(self, rows: np.ndarray, length: int) -> np.ndarray:
+        """Hash of the first ``length`` symbols of the rows."""
+        out = self.grams[self.lead_at[rows]]
+        for k in self.offsets[1:length]:
+            out = _text.mix(out * _STEP + self.grams[self.lead_at[rows] + k])
         return out
 
     def groups(self, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different prefixes of the rows: hash, how many rows, whether different ids hold it; and the prefix of each row."""
-        found, no, n = np.unique(self.prefix(length)[rows], return_inverse=True, return_counts=True)
+        found, no, n = np.unique(self.prefix(rows, length), return_inverse=True, return_counts=True)
         low = np.full(len(found), np.iinfo(np.int64).max)
         high = np.full(len(found), np.iinfo(np.int64).min)
         np.minimum.at(low, no, self.lead_id[rows])
@@ -194,15 +205,20 @@ def _signed(hashes: np.ndarray) -> pa.Array:
     return pa.array((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
 
 
-def _offer(suffixes: Suffixes, rows: np.ndarray, length: int, bins: int) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
-    """For each bin: its number, which of the block's prefixes it gets, their hashes, counts and flags."""
-    found, n, several, _ = suffixes.groups(rows, length)
-    to = _bins(found, bins)
+def _dealt(hashes: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by bin, and where each bin begins in it."""
+    to = _bins(hashes, bins)
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(bins + 1))
-    for b in np.unique(to):
+    return order, np.searchsorted(to[order], np.arange(bins + 1))
+
+
+def _offer(suffixes: Suffixes, rows: np.ndarray, length: int, bins: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """For each bin: its number, the hashes of the block's prefixes that it gets, their counts and flags."""
+    found, n, several, _ = suffixes.groups(rows, length)
+    order, cuts = _dealt(found, bins)
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
         mine = order[cuts[b] : cuts[b + 1]]
-        yield int(b), mine, _signed(found[mine]), n[mine], several[mine]
+        yield b, _signed(found[mine]), n[mine], several[mine]
 
 
 def _verdict(group: int, last: bool) -> Callable[[pa.Table], pa.Table]:
@@ -234,15 +250,18 @@ def _said(right: pa.Table) -> dict[int, bytes]:
     return dict(zip(right.column("bin").to_pylist(), right.column("said").to_pylist(), strict=True))
 
 
-def settled(blocks: DataFrame, bins: int, window: int, symbol: int, first: int, group: int) -> DataFrame:
-    """``block``, ``bin`` (-1), ``said``: of every suffix of a block the length of the prefix it belongs to, 0 if it was dropped."""
+def settled(blocks: DataFrame, bins: int, homes: int, window: int, symbol: int, first: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """``block``, ``bin`` (-1), ``said``: of every suffix of a block the length of the prefix it belongs to, 0 if it was dropped.
+
+    And the suffixes that are left, with their symbols and ids, by block and the bin that their prefix calls home.
+    """
     depth = len(offsets(window, symbol))
 
     def offered(length: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = []
             for block, s, state in _opened(left, right, window, symbol):
-                for b, _, prefixes, n, several in _offer(s, np.flatnonzero(state == OPEN), length, bins):
+                for b, prefixes, n, several in _offer(s, np.flatnonzero(state == OPEN), length, bins):
                     rows.append((block, b, prefixes, n, several.astype(np.uint8).tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             ints = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *(pa.array(x, pa.int32()) for x in xs)]))
@@ -255,39 +274,45 @@ def settled(blocks: DataFrame, bins: int, window: int, symbol: int, first: int,
             rows = []
             for block, s, state in _opened(left, right, window, symbol):
                 open_rows = np.flatnonzero(state == OPEN)
-                said = {b: codes for b, codes in _said(right).items() if b >= 0}
-                verdict = np.zeros(0, np.uint8)
                 if len(open_rows):
                     found, _, _, no = s.groups(open_rows, length)
-                    to = _bins(found, bins)
                     verdict = np.zeros(len(found), np.uint8)
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order], np.arange(bins + 1))
-                    for b, codes in said.items():
-                        verdict[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(codes, np.uint8)
-                    verdict = verdict[no]
-                state[open_rows] = np.array([0, length, OPEN], np.uint8)[verdict]
-                rows.append((block, -1, state.tobytes(), int((state == OPEN).sum()), int((state > 0).sum())))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            names = ("block", "bin", "said", "n_open", "n_kept")
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+                    order, cuts = _dealt(found, bins)
+                    for b, codes in _said(right).items():
+                        if b >= 0:
+                            verdict[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(codes, np.uint8)
+                    state[open_rows] = np.array([0, length, OPEN], np.uint8)[verdict[no]]
+                rows.append((block, -1, state.tobytes(), int((state == OPEN).sum()), [], []))
+                for b, mine in _homes(s, state, length, homes):
+                    rows.append((block, b, None, 0, s.symbols(mine).view(np.int64).reshape(-1), s.lead_id[mine]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = {"block": pa.int64(), "bin": pa.int64(), "said": pa.binary(), "n_open": pa.int64()}
+            held = {n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=False)}
+            return pa.table(held | {"symbols": _lists(columns[4]), "ids": _lists(columns[5])})
 
         return run
 
-    state = blocks.limit(0).selectExpr("block", "block bin", "keys[0] said", "block n_open", "block n_kept")
+    known = blocks.limit(0).selectExpr("block", "block bin", "keys[0] said")
+    trees = None
     for length in range(min(first, depth), depth + 1):
-        old = state
-        known = old.select("block", "bin", "said")
         offers = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(offered(length), "block long, bin long, prefixes array<int>, n array<int>, several binary")
         ruled = offers.groupBy("bin").applyInArrow(_verdict(group, length == depth), "block long, bin long, said binary")
         ruled = _shared.save(ruled, "ruled")
-        state = blocks.groupBy("block").cogroup(known.unionByName(ruled).groupBy("block")).applyInArrow(told(length), "block long, bin long, said binary, n_open long, n_kept long")
+        state = blocks.groupBy("block").cogroup(known.unionByName(ruled).groupBy("block")).applyInArrow(told(length), "block long, bin long, said binary, n_open long, symbols array<long>, ids array<long>")
         state = _shared.save(state, "state")
-        _shared.drop(old, ruled)
+        _shared.drop(ruled)
+        known = state.where("bin = -1").select("block", "bin", "said")
+        grown = state.where("bin >= 0").select("block", "bin", "symbols", "ids")
+        trees = grown if trees is None else trees.unionByName(grown)
         if not state.agg(F.sum("n_open")).first()[0]:
             break
-    return state
+    return known, trees
+
+
+def _lists(arrays: Iterable[np.ndarray | list]) -> pa.Array:
+    """Arrow lists of long."""
+    arrays = [np.asarray(x, np.int64) for x in arrays]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _opened(left: pa.Table, right: pa.Table, window: int, symbol: int) -> Iterator[tuple[int, Suffixes, np.ndarray]]:
@@ -326,17 +351,12 @@ def _below(table: pa.Table, depth: int) -> pa.Table:
     return pa.table({"block": table.column("block"), "bin": table.column("bin"), "said": pa.array(bits, pa.binary())})
 
 
-def _homes(s: Suffixes, state: np.ndarray, bins: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each bin the suffixes that go there by their prefix."""
-    kept = np.flatnonzero(state)
-    to = np.zeros(len(kept), np.int64)
-    for length in np.unique(state[kept]):
-        mine = state[kept] == length
-        to[mine] = _bins(_text.mix(s.prefix(int(length))[kept[mine]]), bins)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(bins + 1))
-    for b in np.unique(to):
-        yield int(b), kept[order[cuts[b] : cuts[b + 1]]]
+def _homes(s: Suffixes, state: np.ndarray, length: int, homes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bin the suffixes that go there by their prefix, of those whose prefix has so many symbols."""
+    kept = np.flatnonzero(state == length)
+    order, cuts = _dealt(_text.mix(s.prefix(kept, length)), homes)
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b + length * homes, kept[order[cuts[b] : cuts[b + 1]]]
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, first: int = FIRST, group: int = GROUP, block_bytes: int = BLOCK_BYTES, classes: DataFrame | None = None) -> DataFrame:
@@ -347,30 +367,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL,
     classes = classes_of(keyed(docs), window) if classes is None else classes
     blocks = class_texts(docs, classes, window, block_bytes)
     total = classes.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    state = settled(blocks, int(total // BIN) + 1, window, symbol, first, group)
-    left = state.agg(F.coalesce(F.sum("n_kept"), F.lit(0))).first()[0]
-    bins = int(left // max(1, group // 2)) + 1
+    known, trees = settled(blocks, int(total // BIN) + 1, homes := int(total // max(1, 2 * group)) + 1, window, symbol, first, group)
     depth = len(offsets(window, symbol))
-    known = state.select("block", "bin", "said")
-
-    def planted(one: pa.Table, two: pa.Table) -> pa.Table:
-        blocks_, to, symbols, ids = [], [], [], []
-        for block, s, state_ in _opened(one, two, window, symbol):
-            for b, rows in _homes(s, state_, bins):
-                blocks_.append(block)
-                to.append(b)
-                symbols.append(s.symbols[rows].view(np.int64).reshape(-1))
-                ids.append(s.lead_id[rows])
-        longs = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
-        return pa.table({"block": pa.array(blocks_, pa.int64()), "bin": pa.array(to, pa.int64()), "symbols": longs(symbols), "ids": longs(ids)})
 
     def gathered(one: pa.Table, two: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for _, s, state_ in _opened(one, two, window, symbol):
             repeats = np.zeros(len(s.lead), bool)
             said = _said(two)
-            for b, rows in _homes(s, state_, bins):
-                repeats[rows] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=len(rows)).astype(bool)
+            for length in np.unique(state_[state_ > 0]).tolist():
+                for b, rows in _homes(s, state_, length, homes):
+                    repeats[rows] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=len(rows)).astype(bool)
             gone = repeats[s.window_no] | (s.own_id > s.lead_id[s.window_no])
             covered = np.zeros(int(s.first[-1]) + 1, np.int64)
             np.add.at(covered, s.begins[gone], 1)
@@ -390,11 +397,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL,
         kinds = (pa.binary(), pa.int64(), span, pa.int64(), pa.binary())
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("key", "doc_id", "spans", "n_removed", "kept_key"), columns, kinds, strict=True)})
 
-    trees = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(planted, "block long, bin long, symbols array<long>, ids array<long>")
     bits = _shared.save(trees.groupBy("bin").applyInArrow(lambda t: _below(t, depth), "block long, bin long, said binary"), "bits")
     out = blocks.groupBy("block").cogroup(known.unionByName(bits).groupBy("block")).applyInArrow(gathered, f"key binary, doc_id long, spans {_SPANS}, n_removed long, kept_key binary")
     out = _shared.save(out, "spans")
-    _shared.drop(blocks, state, bits)
+    _shared.drop(blocks, bits)
     return out
 
 
