@@ -8,18 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.functions.numbering import numbered
 from cardloom.operators import refine
 
 
+def with_numbers(df: DataFrame, order: Sequence[str], name: str, pattern: str) -> DataFrame:
+    """Adds ids written by the pattern, numbered from 1 in the given order, without one task that sees all rows."""
+    rows = numbered(df, order, "_number")
+    return rows.withColumn(name, F.format_string(pattern, F.col("_number") + 1)).drop("_number")
+
+
 def card_tables(cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nested cards (``card_history`` of ``vpc_pay``) as three tables: cards, their numbers over time, virtual cards."""
+    """Nested cards (``card_history`` of ``vpc_pay``) as three tables: cards, their numbers over time, virtual cards.
+
+    The rows of the last two have ids, HIST_0001 and VPC_00001 on, by card and place; a virtual card knows its history row.
+    """
     outer = cards.select("card_id", "bank_no", "card_type").dropDuplicates(["card_id"])
     held = cards.select("card_id", F.posexplode("card_history").alias("history_no", "h"))
+    held = with_numbers(held, ["card_id", "history_no"], "history_id", "HIST_%04d")
     fields = [f.name for f in held.schema["h"].dataType.fields]
     flat = [c for c in fields if c != "vpc_pay"]
-    history = held.select("card_id", "history_no", *(f"h.{c}" for c in flat))
-    virtual = held.select("card_id", "history_no", F.col("h.card_no").alias("card_no"), F.posexplode("h.vpc_pay").alias("vpc_ord", "v"))
-    return outer, history, virtual.select("card_id", "history_no", "card_no", "vpc_ord", "v.*")
+    history = held.select("history_id", "card_id", "history_no", *(f"h.{c}" for c in flat))
+    virtual = held.select("history_id", "card_id", "history_no", F.col("h.card_no").alias("card_no"), F.posexplode("h.vpc_pay").alias("vpc_ord", "v"))
+    virtual = with_numbers(virtual, ["card_id", "history_no", "vpc_ord"], "vpc_id", "VPC_%05d")
+    return outer, history, virtual.select("vpc_id", "history_id", "card_id", "history_no", "card_no", "vpc_ord", "v.*")
 
 
 def card_status(cards: DataFrame) -> DataFrame:

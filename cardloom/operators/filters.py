@@ -166,20 +166,42 @@ def query_transactions(
 
 
 def prepared(df: DataFrame, categories: Iterable[str] | None = None, sub_categories: Iterable[str] | None = None) -> DataFrame:
-    """Analytics input: amounts and labels filled, then the category filters."""
+    """Analytics input: amounts, merchants and labels filled, then the category filters.
+
+    A merchant without a normal name goes by its shown name, or else by its own where there is no column of shown ones.
+    """
+    text = lambda n, other: F.coalesce(*(F.col(c) for c in (n,) if c in df.columns), other)
+    shown = next((F.col(c) for c in ("merchant_display", "display_name", "merchant_name", "merchant") if c in df.columns), F.lit(""))
     out = df.withColumns(
         {
             "payment_amount": F.coalesce("payment_amount", F.lit(0).cast("decimal(18,2)")),
-            "category": F.coalesce("category", F.lit(UNSORTED)),
-            "sub_category": F.coalesce("sub_category", F.lit("")),
+            "normalized_merchant": text("normalized_merchant", shown),
+            "category": text("category", F.lit(UNSORTED)),
+            "sub_category": text("sub_category", F.lit("")),
         }
     )
     return out.where(category_is(categories)).where(sub_category_is(sub_categories))
 
 
+def dataset(df: DataFrame, categories: Iterable[str] | None = None, sub_categories: Iterable[str] | None = None, **which: object) -> DataFrame:
+    """The rows that analytics work on: the filtered query (``which`` are its filters), prepared."""
+    return prepared(query_transactions(df, **which), categories, sub_categories)
+
+
 def menu(df: DataFrame) -> DataFrame:
     """Categories with their sub-categories, the blank one last as 無次分類."""
     subs = F.collect_set(F.when(~C.blank(F.col("sub_category")), F.col("sub_category")))
     empty = F.max(C.blank(F.col("sub_category")).cast("int")) == 1
     subs = F.concat(F.array_sort(subs), F.when(empty, F.array(F.lit(NO_SUB))).otherwise(F.array().cast("array<string>")))
     return df.where(~C.blank(F.col("category"))).groupBy("category").agg(F.array_join(subs, ",").alias("sub_categories"))
+
+
+def menu_names(df: DataFrame, payments: DataFrame) -> DataFrame:
+    """What can be chosen besides categories: ``kind`` (card or payment), ``name`` and its ``place``.
+
+    Cards are the different ones of the rows, by name; payments those of the rules with a priority below 25, by priority.
+    """
+    cards = df.where(~C.blank(F.col("card_type"))).select(F.lit("card").alias("kind"), F.trim("card_type").alias("name"), F.lit(0).alias("place")).distinct()
+    rank = F.col("priority").try_cast("int")
+    ways = payments.where((rank < 25) & ~C.blank(F.col("payment_process"))).groupBy(F.trim("payment_process").alias("name")).agg(F.min(rank).alias("place"))
+    return cards.unionByName(ways.select(F.lit("payment").alias("kind"), "name", "place"))

@@ -33,22 +33,23 @@ def rfm(df: DataFrame, keys: Sequence[str], windows: Mapping[str, int | None] =
     is the day after the last transaction.  Ranks cover the keys that a window holds; a key that it does not hold gets
     recency 9999 and zeros.  ``names`` gives null keys a name; other null keys are left out.
     """
-    (last,) = df.agg(F.max("transaction_date")).first()
-    rows = df.fillna(dict(names or {})).dropna(subset=list(keys))
-    if last is None:
-        last = F.lit(None).cast("date")
-    anchor = F.date_add(F.lit(last), 1)
-    inside = {n: F.lit(True) if d is None else F.col("transaction_date") >= F.date_sub(anchor, d) for n, d in windows.items()}
-    # Per transaction: its last day and its amount in each window; rows of one id may have different days.
-    per_id = rows.groupBy(*keys, "transaction_id").agg(
-        F.max("transaction_date").alias("_day"), *(F.sum(F.when(c, F.col("payment_amount"))).alias(f"_{n}") for n, c in inside.items())
-    )
-    aggs = []
+    last = F.broadcast(df.agg(F.max("transaction_date").alias("_last")))
+    rows = df.fillna(dict(names or {})).dropna(subset=list(keys)).join(last).withColumn("_anchor", F.date_add("_last", 1))
+    inside = {n: F.lit(True) if d is None else F.col("transaction_date") >= F.date_sub("_anchor", d) for n, d in windows.items()}
+    # Per transaction: its last day and its amount in each window; rows of one id may have different days.  Rows of a cube
+    # stand for n transactions of one day each.
+    cube = "n" in df.columns
+    sums = {f"_{n}": F.when(c, F.col("payment_amount")) for n, c in inside.items()}
+    if cube:
+        per_id = rows.withColumns({"_day": F.col("transaction_date"), **sums})
+    else:
+        per_id = rows.groupBy(*keys, "transaction_id").agg(F.max("transaction_date").alias("_day"), F.first("_anchor").alias("_anchor"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    aggs = [F.max("_anchor").alias("_anchor")]
     for name, days in windows.items():
-        held = F.col("_day").isNotNull() if days is None else F.col("_day") >= F.date_sub(anchor, days)
+        held = F.col("_day").isNotNull() if days is None else F.col("_day") >= F.date_sub("_anchor", days)
         aggs += [
             F.max(F.when(held, F.col("_day"))).alias(f"{name}_day"),
-            F.count(F.when(held, F.col("transaction_id"))).alias(f"{name}_frequency"),
+            (F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)) if cube else F.count(F.when(held, F.col("transaction_id")))).alias(f"{name}_frequency"),
             F.sum(f"_{name}").cast("double").alias(f"{name}_monetary"),
         ]
     out = per_id.groupBy(*keys).agg(*aggs)
@@ -56,7 +57,7 @@ def rfm(df: DataFrame, keys: Sequence[str], windows: Mapping[str, int | None] =
     cols: list[Column] = [F.col(k) for k in keys]
     for name in windows:
         here = F.col(f"{name}_frequency") > 0
-        recency = F.when(here, F.datediff(anchor, f"{name}_day"))
+        recency = F.when(here, F.datediff("_anchor", f"{name}_day"))
         frequency, money = F.when(here, F.col(f"{name}_frequency")), F.when(here, F.coalesce(f"{name}_monetary", F.lit(0.0)))
         ranks |= {f"{name}_r_rank": (recency, True), f"{name}_f_rank": (frequency, False), f"{name}_m_rank": (money, False)}
         cols += [
@@ -96,14 +97,20 @@ def average_ticket(window: str = "life") -> Column:
 
 def common_category(df: DataFrame) -> DataFrame:
     """Each merchant's most frequent category, the smallest of equally frequent ones."""
-    n = df.dropna(subset=["normalized_merchant", "category"]).groupBy("normalized_merchant", "category").count()
+    n = df.dropna(subset=["normalized_merchant", "category"]).groupBy("normalized_merchant", "category").agg((F.sum("n") if "n" in df.columns else F.count("*")).alias("count"))
     return n.groupBy("normalized_merchant").agg(F.min_by("category", F.struct(-F.col("count"), F.col("category"))).alias("category"))
 
 
 def ticket_stats(df: DataFrame, *keys: str) -> DataFrame:
     """Mean, sample deviation, their ratio and count per key; the ratio is 0 for means up to 0."""
-    x = F.col("payment_amount").cast("double")
-    out = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.avg(x).alias("avg"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.count("*").alias("n"))
+    x, n = F.col("payment_amount").cast("double"), F.col("n") if "n" in df.columns else F.lit(1)
+    rows = df.dropna(subset=list(keys))
+    if "n" not in df.columns:
+        out = rows.groupBy(*keys).agg(F.avg(x).alias("avg"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.count("*").alias("n"))
+    else:  # equal tickets come as one row; deviations are taken from the mean
+        means = rows.groupBy(*keys).agg((F.sum(x * n) / F.sum(n)).alias("avg"), F.sum(n).alias("_n"))
+        out = rows.join(C.small(means), list(keys)).groupBy(*keys).agg(F.first("avg").alias("avg"), F.sum(n * (x - F.col("avg")) * (x - F.col("avg"))).alias("_s"), F.first("_n").alias("_n"))
+        out = out.select(*keys, "avg", F.when(F.col("_n") > 1, F.sqrt(F.col("_s") / (F.col("_n") - 1))).otherwise(0.0).alias("std"), F.col("_n").alias("n"))
     return out.withColumn("cv", F.when(F.col("avg") > 0, F.col("std") / F.col("avg")).otherwise(0.0))
 
 
@@ -122,7 +129,8 @@ def volatility(df: DataFrame, *keys: str, since: Column | None = None) -> DataFr
     """
     keys = list(keys)
     rows = df.dropna(subset=keys).where("payment_amount > 0")
-    more = [] if since is None else [F.count(F.when(F.col("transaction_date") >= since, F.lit(1))).alias("n_new")]
+    times = F.col("n") if "n" in df.columns else F.lit(1)
+    more = [] if since is None else [F.coalesce(F.sum(F.when(F.col("transaction_date") >= since, times)), F.lit(0)).alias("n_new")]
     counts = cut(selection.counted(rows, keys, F.col("payment_amount"), *more))
     money = lambda n: F.coalesce(F.sum((F.col("x").cast("decimal(18,2)") * F.col(n)).cast("decimal(38,2)")), F.lit(0)).cast("double")
     recent = {} if since is None else {"recent_money": money("n_new"), "n_recent": F.sum("n_new")}
@@ -194,6 +202,8 @@ def top_outliers(df: DataFrame, beyond: DataFrame, *keys: str, n: int = 25) -> D
     amount = F.col("payment_amount").cast("double")
     rows = rows.where((amount < F.col("whisker_low")) | (amount > F.col("whisker_high")))
     shop = F.coalesce(C.text_or_null(F.col("normalized_merchant")), F.lit(NO_MERCHANT))
+    if "n" in df.columns:  # rows that stand for several, of which no more than n are listed
+        rows = rows.withColumn("_each", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(n)))))
     rows = rows.select(*keys, F.struct((-F.round(amount, 2)).alias("below"), shop.alias("merchant"), F.col("transaction_date").cast("string").alias("date")).alias("_o"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
     kept = rows.withColumn("_place", place).where(F.col("_place") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_o"))
@@ -225,3 +235,46 @@ def repaired_segment(c: Column) -> Column:
 def value_counts(df: DataFrame, name: str) -> DataFrame:
     """How often each value occurs; null is no value."""
     return df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+
+
+PINNED = ("cube", "uniopen", "unicard")
+
+
+def rfm_dashboard(merchants: DataFrame, cards: DataFrame, tickets: DataFrame, window: str = "life", category: str | None = None, limit: int = 200) -> dict[str, DataFrame]:
+    """The parts of the dashboard, from the mart's merchants and cards and the tickets of the window.
+
+    ``merchants`` have a row with category, segment and figures each; ``tickets`` are transactions, or rows that stand for n
+    equal ones.  Medians are those of tickets' means and deviations above zero: of all merchants, and of the category's.
+    Merchants come by money, at most ``limit`` of them (a top-k report), each with its quadrant against the category's medians.
+    """
+    stats = ticket_stats(tickets.where(F.col("normalized_merchant") != ""), "normalized_merchant")
+    two = lambda c: F.bround(c, 2)
+    stats = stats.select("normalized_merchant", two("avg").alias("avg_ticket"), two("std").alias("std_ticket"), F.bround("cv", 3).alias("cv"))
+    money, often, last = (F.col(f"{window}_{x}") for x in ("monetary", "frequency", "recency"))
+    rows = merchants.join(C.small(stats), "normalized_merchant", "left")
+    fallback = F.when(often > 0, two(money / often)).otherwise(0.0)
+    rows = cut(
+        rows.select(
+            F.col("normalized_merchant").alias("name"), last.alias("recency"), often.alias("frequency"), money.alias("monetary"), F.coalesce("avg_ticket", fallback).alias("avg_ticket"),
+            F.coalesce("std_ticket", F.lit(0.0)).alias("std_ticket"), F.coalesce("cv", F.lit(0.0)).alias("cv"), repaired_segment(F.col("segment")).alias("segment"), "category",
+        )
+    )
+    chosen = rows.where(F.col("category") == category) if category and category != "all" else rows
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    medians = lambda df, a, s: selection.medians(df, **{a: positive("avg_ticket"), s: positive("std_ticket")})
+    both = medians(rows, "_ga", "_gs").join(F.broadcast(medians(chosen, "_a", "_s")))
+    every = {c: F.coalesce(c, F.lit(0.0)) for c in ("_ga", "_gs")}
+    both = both.select(F.coalesce("_a", every["_ga"]).alias("_a"), F.coalesce("_s", every["_gs"]).alias("_s"), *(c.alias(n) for n, c in every.items()))
+    top = chosen.orderBy(F.desc("monetary"), "name").limit(limit).join(F.broadcast(both))
+    label = quadrant(F.col("avg_ticket"), F.col("std_ticket"), F.col("_a"), F.col("_s"))
+    sorted_out = chosen.where(~C.blank(F.col("category")) & (F.col("category") != NO_CATEGORY) & (F.col("monetary") > 0))
+    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("monetary"), "name"))
+    shown = cards.select("bank_name", "card_type", *(["status"] if "status" in cards.columns else [F.lit("active").alias("status")]), "segment", last.alias("recency"), often.alias("frequency"), money.alias("monetary"), *(["avg_ticket"] if "avg_ticket" in cards.columns else []))
+    return {
+        "merchants": top.select(*rows.columns, label.alias("volatility_segment")),
+        "segment_counts": value_counts(chosen, "segment"),
+        "categories": rows.where(~C.blank(F.col("category"))).select("category").distinct(),
+        "top_by_category": sorted_out.withColumn("rank", place).where("rank <= 3").select("category", "rank", "name", "monetary", "frequency", "recency", "segment"),
+        "cards": pinned_first(shown, "card_type", PINNED, "monetary").withColumnRenamed("is_pinned", "is_demo_pinned"),
+        "medians": both.select(*(two(a).alias(n) for a, n in (("_a", "current_median_avg_ticket"), ("_s", "current_median_std_ticket"), ("_ga", "global_median_avg_ticket"), ("_gs", "global_median_std_ticket")))),
+    }

@@ -23,8 +23,12 @@ def bucket(value: Column) -> Column:
 
 
 def counted(df: DataFrame, keys: Sequence[str], value: Column, *more: Column) -> DataFrame:
-    """``x`` and ``n``: how often each group holds each value (null is none); ``more`` are further aggregates."""
-    return df.where(value.isNotNull()).groupBy(*keys, value.cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), *more)
+    """``x`` and ``n``: how often each group holds each value (null is none); ``more`` are further aggregates.
+
+    Rows that stand for several, ``n`` of them, count as often.
+    """
+    times = F.sum("n") if "n" in df.columns else F.count(F.lit(1))
+    return df.where(value.isNotNull()).groupBy(*keys, value.cast("double").alias("x")).agg(times.alias("n"), *more)
 
 
 def quantiles(counts: DataFrame, keys: Sequence[str], shares: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -56,9 +60,12 @@ def quantiles(counts: DataFrame, keys: Sequence[str], shares: Sequence[float], n
     return found.select(*keys, *(between(k, p).alias(name) for k, (p, name) in enumerate(zip(shares, names, strict=True))))
 
 
-def medians(df: DataFrame, **values: Column) -> DataFrame:
-    """One row with the median of each named value over all rows; null and values left out by a condition are none."""
+def medians(df: DataFrame, weighted: bool = False, **values: Column) -> DataFrame:
+    """One row with the median of each named value over all rows; null and values left out by a condition are none.
+
+    If ``weighted``, a row counts ``n`` times.
+    """
     pairs = F.array(*(F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()))
-    long = df.select(F.explode(pairs).alias("_p")).select("_p.*")
+    long = df.select(F.explode(pairs).alias("_p"), *(["n"] if weighted else [])).select("_p.*", *(["n"] if weighted else []))
     found = quantiles(counted(long, ["_name"], F.col("_v")), ["_name"], [0.5], ["_median"])
     return found.agg(*(F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in values))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.functions.lineage import cut
 from cardloom.operators import selection
 
 # Payment tiers where no table of payments gives priorities (1 to 7 and 8 to 16), and names of plain cards.
@@ -31,10 +32,15 @@ def total(name: str = "payment_amount") -> Column:
     return F.coalesce(F.sum(name).cast("double"), F.lit(0.0))
 
 
+def n_rows(df: DataFrame) -> Column:
+    """How many transactions: rows, or the sum of ``n`` where rows are sums of several."""
+    return F.sum("n") if "n" in df.columns else F.count("*")
+
+
 def monthly(df: DataFrame, *keys: str, average: bool = True) -> DataFrame:
     """Total, count and average per month and key; rows without a key are left out."""
     rows = df.dropna(subset=list(keys)).withColumn("month", C.month_key(F.col("transaction_date")))
-    out = rows.groupBy("month", *keys).agg(total().alias("total_amount"), F.count("*").alias("n_transactions"))
+    out = rows.groupBy("month", *keys).agg(total().alias("total_amount"), n_rows(df).alias("n_transactions"))
     return out.withColumn("avg_amount", F.col("total_amount") / F.col("n_transactions")) if average else out
 
 
@@ -65,11 +71,12 @@ def trend(df: DataFrame, least_months: int = 12) -> DataFrame:
 def dashboard(df: DataFrame) -> DataFrame:
     """One row: total, count, median, active months, cards, payments and monthly average.
 
-    The median comes from counts of equal amounts, so no task holds all of them; the different months, cards and payments
+    Rows may stand for ``n`` equal tickets each.  The median comes from counts of equal amounts, so no task holds all of them; the different months, cards and payments
     are few and counted from rows that are brought together first.
     """
     month = C.month_key(F.col("transaction_date"))
-    few = df.groupBy(month.alias("_month"), "card_type", "payment_process").agg(F.sum("payment_amount").alias("_sum"), F.count("*").alias("_n"))
+    each = F.col("payment_amount") * F.col("n") if "n" in df.columns else F.col("payment_amount")
+    few = df.groupBy(month.alias("_month"), "card_type", "payment_process").agg(F.sum(each.cast("decimal(38,2)")).alias("_sum"), n_rows(df).alias("_n"))
     out = few.agg(
         F.coalesce(F.sum("_sum").cast("double"), F.lit(0.0)).alias("total_amount"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_transactions"),
@@ -77,7 +84,7 @@ def dashboard(df: DataFrame) -> DataFrame:
         F.countDistinct("card_type").alias("n_cards"),
         F.countDistinct("payment_process").alias("n_payments"),
     )
-    middle = selection.medians(df, median_amount=F.col("payment_amount"))
+    middle = selection.medians(df, weighted="n" in df.columns, median_amount=F.col("payment_amount"))
     out = out.join(F.broadcast(middle)).withColumn("monthly_average", F.col("total_amount") / F.greatest("active_months", F.lit(1)))
     return out.select("total_amount", "n_transactions", "median_amount", "active_months", "n_cards", "n_payments", "monthly_average")
 
@@ -153,12 +160,26 @@ def spending_matrix(df: DataFrame, payment: Column, columns: Sequence[str]) -> D
     return out.select("category", "total_amount", *((F.col(f"`{v}`") * 100 / whole).alias(v) for v in columns))
 
 
+def pruned_matrix(df: DataFrame, payment: Column, first: Sequence[str], second: Sequence[str], order: Sequence[str] = CATEGORY_ORDER) -> DataFrame:
+    """The matrix with the columns that hold anything: the card and the first tier always, the second tier and others if used.
+
+    In two phases: categories and payments are summed up into a short table, written once; the columns are chosen from its
+    sums, and it is pivoted, not the rows.  ``place`` sorts the categories.
+    """
+    cells = cut(df.dropna(subset=["category"]).groupBy("category", payment.alias("_payment")).agg(F.sum("payment_amount").alias("payment_amount")))
+    kept = [*first, CARD]
+    sums = {r["_payment"]: r["s"] for r in cells.where(~F.col("_payment").isin(kept)).groupBy("_payment").agg(total().alias("s")).collect()}
+    columns = [*first, CARD, *(c for c in (*second, OTHER) if sums.get(c, 0) > 0)]
+    out = spending_matrix(cells, F.col("_payment"), columns)
+    return out.withColumn("place", category_place(F.col("category"), order))
+
+
 def matrix_by_window(df: DataFrame, payment: Column, columns: Sequence[str], windows: dict[str, int | None]) -> DataFrame:
     """The matrix of each look-back window that ends at the last transaction date, from one scan; empty windows have no rows."""
-    (last,) = df.agg(F.max("transaction_date")).first()
+    last = F.broadcast(df.agg(F.max("transaction_date").alias("_last")))
     spans = F.array(*(F.struct(F.lit(n).alias("window"), F.lit(d).cast("int").alias("days")) for n, d in windows.items()))
-    rows = df.dropna(subset=["category"]).withColumn("_payment", payment).withColumn("_w", F.explode(spans))
-    rows = rows.where(F.col("_w.days").isNull() | (F.col("transaction_date") >= F.date_sub(F.lit(last), F.col("_w.days"))))
+    rows = df.dropna(subset=["category"]).withColumn("_payment", payment).withColumn("_w", F.explode(spans)).join(last)
+    rows = rows.where(F.col("_w.days").isNull() | (F.col("transaction_date") >= F.date_sub("_last", F.col("_w.days"))))
     cells = [F.coalesce(F.sum(F.when(F.col("_payment") == v, F.col("payment_amount"))).cast("double"), F.lit(0.0)).alias(v) for v in columns]
     out = rows.groupBy(F.col("_w.window").alias("window"), "category").agg(total().alias("total_amount"), *cells)
     whole = F.when(F.col("total_amount") == 0, 1.0).otherwise(F.col("total_amount"))

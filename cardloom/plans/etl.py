@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from cardloom.functions.lineage import cut
 from cardloom.operators import bronze, cards, filters, refine, segments, sinks, summaries
 from cardloom.sources import bills
 
-ID_KEYS = ("bank_no", "card_no", "transaction_date", "posting_date", "merchant", "payment_amount", "currency_amount")
+ID_KEYS = ("transaction_date", "merchant", "card_no", "payment_amount", "transaction_type")
 
 
 @dataclass
@@ -29,6 +30,19 @@ class Rules:
     rates: DataFrame | None = None
 
 
+def with_gold_ids(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Ids of Gold: those that are given, if every row has one, else hashed from day, merchant, card, amount, type and number.
+
+    The number is that of a row among rows equal in all of these.
+    """
+    if "transaction_id" not in df.columns:
+        return refine.with_ids(df, ID_KEYS, order)
+    given = F.col("transaction_id")
+    lacking = df.agg(F.coalesce(F.max(C.blank(given).cast("int")), F.lit(1)).alias("_lacking"))
+    own = refine.with_ids(df.withColumnRenamed("transaction_id", "_given"), ID_KEYS, order).join(F.broadcast(lacking))
+    return own.withColumn("transaction_id", F.when(F.col("_lacking") == 0, F.col("_given")).otherwise(F.col("transaction_id"))).drop("_given", "_lacking")
+
+
 def refine_transactions(raw: DataFrame, rules: Rules) -> DataFrame:
     """Bronze rows as Gold: cards, payments, platforms, merchants, types, home currency, ids, types and widths."""
     out = bronze.aligned(raw, rules.bank_names)
@@ -50,7 +64,7 @@ def refine_transactions(raw: DataFrame, rules: Rules) -> DataFrame:
     out = out.withColumn("display_name", refine.display_name(F.col("prefix"), F.col("ec_platform"), F.col("normalized_merchant")))
     out = refine.classify(out, rules.words)
     out = refine.convert_currency(out, rules.rates) if rules.rates is not None else out.withColumn("fx_missing", F.lit(False))
-    out = refine.with_ids(out.drop("transaction_id"), ID_KEYS, [c for c in ("statement_month", "raw_merchant", "vpc_no") if c in out.columns])
+    out = with_gold_ids(out, [c for c in ("statement_month", "posting_date", "bank_no", "raw_merchant", "vpc_no", "currency_amount") if c in out.columns])
     return bronze.enforced(out.drop("raw_extra", "raw_merchant", "raw_location", "raw_currency", "raw_amount"))
 
 
@@ -68,27 +82,75 @@ def run_etl(spark: SparkSession, folder: str, rules: Rules, registry: DataFrame
     return refine_transactions(raw, rules), bills.statuses(bills.files(spark, folder), refused, registry)
 
 
-def run_analytics(gold: DataFrame) -> dict[str, DataFrame]:
-    """The mart: every summary of the Gold table by its name; :func:`cardloom.operators.sinks.overwrite_mart` writes it."""
-    spent = filters.consumption(gold)
-    merchants = segments.rfm(spent, ["normalized_merchant"]).withColumn("segment", segments.merchant_segment())
+TICKET = ("transaction_date", "bank_name", "card_type", "payment_process", "category", "sub_category", "normalized_merchant", "payment_amount")
+
+
+def tickets_of(rows: DataFrame) -> DataFrame:
+    """Equal tickets of one day, bank, card, payment, category and merchant as one row, with their number ``n``; written."""
+    return cut(rows.groupBy(*(c for c in TICKET if c in rows.columns)).agg(F.count("*").alias("n")))
+
+
+def cube_of(tickets: DataFrame) -> DataFrame:
+    """Days by bank, card, payment, category and merchant: sum and number of their tickets; written."""
+    keys = [c for c in TICKET[:-1] if c in tickets.columns]
+    money = (F.col("payment_amount") * F.col("n")).cast("decimal(38,2)")
+    return cut(tickets.groupBy(*keys).agg(F.sum(money).alias("payment_amount"), F.sum("n").alias("n")))
+
+
+def run_analytics(
+    gold: DataFrame,
+    categories: Iterable[str] | None = None,
+    sub_categories: Iterable[str] | None = None,
+    card_status: DataFrame | None = None,
+    wanted: Iterable[str] | None = None,
+    **which: object,
+) -> dict[str, DataFrame]:
+    """The mart: every summary of the chosen transactions by its name; :func:`cardloom.operators.sinks.overwrite_mart` writes it.
+
+    ``which`` are the filters of :func:`cardloom.operators.filters.query_transactions`, ``wanted`` the results to make if not
+    all.  Gold is read once (once more for the last day, if a window is asked for): equal tickets are brought together and
+    written, days summed up from them, and every result comes from one of these two.  Gold holds each transaction id
+    once, so transactions are counted as rows.
+    """
+    tickets = tickets_of(filters.dataset(gold, categories, sub_categories, **which))
+    days = cube_of(tickets)
     named = {"category": segments.NO_CATEGORY, "payment_process": segments.NO_PAYMENT}
-    by_category = segments.rfm(spent, ["category"], names=named).withColumn("segment", segments.merchant_segment(labels=segments.CATEGORY_LABELS))
-    return {
-        "monthly_category": summaries.monthly(spent, "category"),
-        "monthly_card": summaries.monthly(spent, "bank_name", "card_type"),
-        "monthly_payment": summaries.monthly(spent, "payment_process"),
-        "trend": summaries.trend(spent),
-        "summary": summaries.dashboard(spent),
-        "flows": summaries.flow_links(spent, top_merchants=10),
-        "rfm_merchants": merchants.join(segments.common_category(spent), "normalized_merchant", "left"),
-        "rfm_categories": by_category,
-        "rfm_payments": segments.rfm(spent, ["payment_process"], names=named).withColumn("segment", segments.payment_segment()),
-        "rfm_cards": segments.rfm(spent.where(~C.blank(F.col("card_type"))), ["bank_name", "card_type"]).withColumn("segment", segments.card_segment()),
-        "segment_counts": segments.value_counts(merchants, "segment"),
-        "top_by_category": segments.top_per_group(spent, "category", "normalized_merchant"),
-        **{f"volatility_{mode}": segments.volatility_view(spent, mode) for mode in segments.MODES},
+
+    @cache
+    def merchants() -> DataFrame:
+        found = segments.rfm(days.where("normalized_merchant != ''"), ["normalized_merchant"]).withColumn("segment", segments.merchant_segment())
+        return cut(found.join(segments.common_category(days), "normalized_merchant", "left"))
+
+    @cache
+    def own_cards() -> DataFrame:
+        found = segments.rfm(days.where(~C.blank(F.col("card_type"))), ["bank_name", "card_type"])
+        found = cut(found.withColumns({"segment": segments.card_segment(), "avg_ticket": segments.average_ticket()}))
+        return found.withColumn("status", F.lit("active")) if card_status is None else cards.with_status(found, card_status)
+
+    @cache
+    def board() -> dict[str, DataFrame]:
+        return segments.rfm_dashboard(merchants(), own_cards(), tickets)
+
+    results: dict[str, Callable[[], DataFrame]] = {
+        "rfm_merchants": merchants,
+        "rfm_categories": lambda: segments.rfm(days, ["category"], names=named).withColumn("segment", segments.merchant_segment(labels=segments.CATEGORY_LABELS)),
+        "rfm_payments": lambda: segments.rfm(days, ["payment_process"], names=named).withColumn("segment", segments.payment_segment()),
+        "rfm_cards": own_cards,
+        "matrix_monthly_category": lambda: summaries.monthly(days, "category"),
+        "matrix_monthly_card": lambda: summaries.monthly(days, "bank_name", "card_type"),
+        "matrix_monthly_payment": lambda: summaries.monthly(days, "payment_process"),
+        "matrix_monthly_detail": lambda: summaries.monthly(days, "card_type", "category", average=False),
+        "sankey_flow_links": lambda: summaries.flow_links(days),
+        "trend": lambda: summaries.trend(days),
+        "summary": lambda: summaries.dashboard(tickets),
+        "top_by_category": lambda: board()["top_by_category"],
+        "segment_counts": lambda: board()["segment_counts"],
+        "dashboard_merchants": lambda: board()["merchants"],
+        "dashboard_medians": lambda: board()["medians"],
+        "dashboard_cards": lambda: board()["cards"].drop("sort_key"),
+        **{f"volatility_{mode}": partial(segments.volatility_view, tickets, mode) for mode in segments.MODES},
     }
+    return {name: results[name]() for name in (results if wanted is None else wanted)}
 
 
 def run(spark: SparkSession, folder: str, rules: Rules, schema: str = "default") -> dict[str, bool]:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
-from cardloom.operators import bronze, cards, filters, refine, rewards, segments, summaries
-from cardloom.plans import reward_run
+from cardloom.operators import bronze, cards, filters, refine, rewards, segments, sinks, summaries
+from cardloom.plans import etl, reward_run
 from cardloom.sources import bank_rules, reward_tables, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -850,3 +850,78 @@ def idempotent_rows(spark, sf_dir):
 def events_by_day(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return rows.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("k").alias("n_keys"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+# The mart of a filtered run: one read of the transactions for all its results.
+_WHICH = {"banks": ["nation 1", "NATION_2", "5"], "cards": ["BUILDING", "MACHINERY"], "payments": ["1-URGENT", "2-HIGH"], "time_window": "2Y", "location": ["國外"]}
+_BANKS = [{"bank_id": "one", "bank_no": "1", "bank_name": "NATION_1", "bills_mapping_name": None, "keywords": ["Nation 1"]}, {"bank_id": "five", "bank_no": "5", "bank_name": "NATION_5", "keywords": []}]
+_CHOSEN = f"""{SPENT}, a AS (SELECT max(transaction_date) AS d FROM tx), ch AS (SELECT sp.* REPLACE (coalesce(category, '未分類') AS category) FROM sp, a WHERE bank_name IN ('NATION_1', 'NATION_2', 'NATION_5') AND card_type IN ('BUILDING', 'MACHINERY')
+    AND (payment_process IN ('1-URGENT', '2-HIGH') OR payment_process IS NULL) AND transaction_date BETWEEN d - 730 AND d AND category IN ('PROMO', 'LARGE'))"""
+
+
+def _mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return etl.run_analytics(tx(spark, sf_dir), categories=["PROMO", "LARGE"], bank_table=_BANKS, wanted=[name], **_WHICH)[name]
+
+
+@query(f"WITH {_CHOSEN} SELECT strftime(transaction_date, '%Y-%m') AS month, bank_name, card_type, {AMOUNT} AS total_amount, count(*) AS n_transactions, {AMOUNT} / count(*) AS avg_amount FROM ch GROUP BY ALL")
+def mart_monthly_card(spark, sf_dir):
+    """Months by bank and card of a filtered run."""
+    return _mart(spark, sf_dir, "matrix_monthly_card")
+
+
+@query(
+    f"""WITH {_CHOSEN}, {_ENDS.replace("FROM tx)", "FROM ch)")},
+    l AS (SELECT 0 AS layer, bank_name AS source, card_type AS target, {AMOUNT} AS value FROM f GROUP BY ALL UNION ALL SELECT 1, card_type, payment_process, {AMOUNT} FROM f GROUP BY ALL UNION ALL SELECT 2, payment_process, category, {AMOUNT} FROM f GROUP BY ALL)
+    SELECT * FROM l WHERE value > 0"""
+)
+def mart_flows(spark, sf_dir):
+    """Flows of a filtered run."""
+    return _mart(spark, sf_dir, "sankey_flow_links")
+
+
+@query(
+    f"""WITH {TX}, t AS (SELECT normalized_merchant AS name, avg(CAST(payment_amount AS DOUBLE)) AS a, coalesce(stddev_samp(CAST(payment_amount AS DOUBLE)), 0) AS s, count(*) AS frequency, {AMOUNT} AS monetary
+      FROM tx WHERE transaction_type <> '退刷' GROUP BY ALL), x AS (SELECT *, round_even(a, 2) AS avg_ticket, round_even(s, 2) AS std_ticket FROM t),
+    n AS (SELECT normalized_merchant AS name, category, count(*) AS n FROM tx WHERE transaction_type <> '退刷' GROUP BY ALL), c AS (SELECT name, category FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, category) = 1),
+    m AS (SELECT median(avg_ticket) FILTER (WHERE avg_ticket > 0) AS ma, median(std_ticket) FILTER (WHERE std_ticket > 0) AS ms FROM x)
+    SELECT name, frequency, monetary, category, {_labels(segments.QUADRANT_LABELS, 'avg_ticket >= ma AND std_ticket < ms', 'avg_ticket >= ma', 'std_ticket < ms')} AS volatility_segment FROM x JOIN c USING (name), m ORDER BY monetary DESC, name LIMIT 200"""
+)
+def mart_dashboard(spark, sf_dir):
+    """The dashboard's merchants of a run over all transactions: the 200 with the most money."""
+    return etl.run_analytics(tx(spark, sf_dir), wanted=["dashboard_merchants"])["dashboard_merchants"].select("name", "frequency", "monetary", "category", "volatility_segment")
+
+
+@query(
+    f"""WITH {SPENT}, p AS (SELECT category, payment_amount, CASE WHEN payment_process IS NULL THEN '實體卡/虛擬卡' WHEN payment_process IN ('1-URGENT', '3-MEDIUM') THEN payment_process ELSE '其他' END AS pay FROM sp WHERE payment_process IS NULL OR payment_process <> '5-LOW' OR payment_amount < 0),
+    g AS (SELECT category, {AMOUNT} AS total_amount, {_cells('pay', ("none at all", "1-URGENT", "實體卡/虛擬卡", "3-MEDIUM", "其他"))} FROM p GROUP BY ALL)
+    SELECT category, total_amount, {', '.join(f'"{v}" * 100 / CASE WHEN total_amount = 0 THEN 1 ELSE total_amount END AS "{v}"' for v in ("none at all", "1-URGENT", "實體卡/虛擬卡", "3-MEDIUM", "其他"))} FROM g"""
+)
+def matrix_pruned(spark, sf_dir):
+    """The matrix with an empty column of the first tier, which stays, and one of the second, which goes."""
+    rows = spent(spark, sf_dir).where("payment_process is null or payment_process <> '5-LOW' or payment_amount < 0")
+    pay = F.col("payment_process")
+    kind = F.when(pay.isNull(), summaries.CARD).when(pay.isin("1-URGENT", "3-MEDIUM"), pay).otherwise(summaries.OTHER)
+    return summaries.pruned_matrix(rows, kind, ["none at all", "1-URGENT"], ["3-MEDIUM", "nobody"]).drop("place")
+
+
+@query(
+    """WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, value FROM events), g AS (SELECT event_type, day, sum(CAST(value AS DECIMAL(18,2))) AS v, count(*) AS n FROM e GROUP BY ALL)
+    SELECT event_type, day, CASE WHEN n % 2 = 0 THEN NULL ELSE CAST(v AS DOUBLE) END AS inner_value, n FROM g"""
+)
+def payload_numbers(spark, sf_dir):
+    """Numbers that are none or infinite, inside arrays of structs, come out of payloads as null."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("v"), F.count("*").alias("n"))
+    odd = F.when(F.col("n") % 4 == 0, F.lit(float("nan"))).when(F.col("n") % 2 == 0, F.lit(float("inf"))).otherwise(F.col("v"))
+    out = sinks.payload(rows.select("event_type", "day", "n", F.array(F.struct(odd.alias("value"), F.lit("x").alias("kept"))).alias("items")))
+    back = out.select(F.from_json("payload", "event_type string, day date, n long, items array<struct<value:double,kept:string>>").alias("p")).where("p.items[0].kept = 'x'")
+    return back.select("p.event_type", "p.day", F.col("p.items")[0]["value"].alias("inner_value"), "p.n")
+
+
+@query(
+    """WITH c AS (SELECT c_mktsegment AS card_id, c_custkey AS k, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS n FROM customer)
+    SELECT card_id, k, printf('HIST_%04d', n) AS history_id FROM c"""
+)
+def card_history_ids(spark, sf_dir):
+    """Ids of history rows, dense over all cards."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("card_id"), F.col("c_custkey").alias("k"))
+    return cards.with_numbers(rows, ["card_id", "k"], "history_id", "HIST_%04d")

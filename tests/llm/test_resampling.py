@@ -80,7 +80,7 @@ def test_words_beyond_half_a_key():
     import pyarrow as pa
 
     big = np.array([1 << 40, 5, 1 << 40, (1 << 40) + 1], np.uint64)
-    table = pa.table({c: pa.array([resampling._packed(x)], pa.binary()) for c, x in (("first", big), ("second", np.array([0, 1 << 41, 0, 0], np.uint64)), ("n", np.ones(4, np.uint64)))})
+    table = pa.table({c: pa.array([resampling._packed(x)], pa.binary()) for c, x in (("first", resampling._steps(big)), ("second", np.array([0, 1 << 41, 0, 0], np.uint64)), ("n", np.ones(4, np.uint64)))})
     no, count, cuts = resampling._numbers(table)
     assert no[0] == no[2] and len(set(no.tolist())) == 3 and count.tolist() == [1, 1, 1, 1] and cuts == [0, 4]
 
