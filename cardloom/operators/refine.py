@@ -1,6 +1,7 @@
 """Refinement of raw transactions: ids, ordered pattern rules, cards, currency conversion, transaction types.
 
-Rule tables are short ordered lists that become one ``when`` chain, evaluated once per distinct merchant text.
+Rules are ordered lists.  Short ones become one ``when`` chain, long ones a table joined by the literals of its patterns;
+either way a distinct merchant text is looked at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.operators import intervals
+from cardloom.operators import rules as many
 
 
 def with_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0) -> DataFrame:
@@ -51,9 +53,17 @@ def convert_currency(df: DataFrame, rates: DataFrame, home: str = "TWD") -> Data
     return out.withColumn("payment_currency", F.when(done, home).otherwise(F.col("payment_currency"))).drop("_a", "_b", "_r1", "_r2").select(*df.columns, "fx_missing")
 
 
+#: Up to so many rules become one chain of conditions; more are found by their literals.
+CHAIN = 100
+
+
 def tag(df: DataFrame, text: str, rules: Sequence[Mapping], pattern: str, fields: Sequence[str]) -> DataFrame:
     """The fields of the first rule whose pattern is found in the text, and the rule's number; found once per distinct text."""
     chosen = C.ordered(rules)
+    if len(chosen) > CHAIN:
+        table = many.as_table(df.sparkSession, chosen, pattern, fields)
+        names = many.first_match(df, text, table, pattern, fields).withColumns({"rule": F.col("rule").cast("int")}).withColumnsRenamed({"rule": "rule_no", text: "_text"})
+        return df.join(names, df[text] == names["_text"], "left").drop("_text")
     names = df.select(text).distinct().withColumn("rule_no", C.first_rule(F.col(text), chosen, pattern))
     for f in fields:
         values = F.array(*(F.lit(r.get(f)).cast("string") for r in chosen))
@@ -66,6 +76,11 @@ def tag_all(df: DataFrame, text: str, tags: Sequence[tuple[Sequence[Mapping], st
     names = df.select(text).distinct()
     for rules, pattern, fields in tags:
         chosen = C.ordered(rules)
+        if len(chosen) > CHAIN:
+            table = many.as_table(df.sparkSession, chosen, pattern, list(fields))
+            found = many.first_match(names, text, table, pattern, list(fields)).drop("rule").withColumnsRenamed({text: "_key", **fields})
+            names = names.join(found, F.col(text) == F.col("_key"), "left").drop("_key")
+            continue
         names = names.withColumn("_rule", C.first_rule(F.col(text), chosen, pattern))
         for field, name in fields.items():
             value = F.get(F.array(*(F.lit(r.get(field)).cast("string") for r in chosen)), F.col("_rule")) if chosen else F.lit(None).cast("string")
@@ -77,6 +92,10 @@ def tag_all(df: DataFrame, text: str, tags: Sequence[tuple[Sequence[Mapping], st
 def tag_each(df: DataFrame, text: str, rules: Sequence[Mapping], pattern: str, fields: Sequence[str]) -> DataFrame:
     """As :func:`tag`, but every field comes from the first matching rule that sets it."""
     chosen = C.ordered(rules)
+    if len(chosen) > CHAIN:
+        table = many.as_table(df.sparkSession, chosen, pattern, fields)
+        names = many.first_match(df, text, table, pattern, fields, each=True).withColumnRenamed(text, "_text")
+        return df.join(names, df[text] == names["_text"], "left").drop("_text")
     names = df.select(text).distinct()
     names = names.withColumns({f: C.first_match(F.col(text), chosen, f, pattern) for f in fields})
     return df.join(names, df[text].eqNullSafe(names[text]), "left").drop(names[text])
