@@ -120,7 +120,7 @@ def text_part() -> Column:
 
 TURNS = (
     "conv_id long, turn long, formatted string, loss_start long, loss_end long, expanded_tokens long, "
-    "attachments array<struct<ordinal int, type string, ref string, tokens long>>, tie string"
+    "attachments array<struct<ordinal int, type string, ref string, tokens long>>, tie string, raw string"
 )
 
 
@@ -139,8 +139,9 @@ def format_turns(messages: DataFrame) -> DataFrame:
                 pa.array([d[3].expanded_tokens for d in done], pa.int64()),
                 pa.array([d[3].attachments for d in done], pa.list_(attachment)),
                 pa.array([r or "" for r in roles], pa.string()),
+                pa.array(["".join(unescape(body) for _, body in parse(d[0])) for d in done], pa.string()),
             ]
-            names = ["conv_id", "turn", "formatted", "loss_start", "loss_end", "expanded_tokens", "attachments", "tie"]
+            names = ["conv_id", "turn", "formatted", "loss_start", "loss_end", "expanded_tokens", "attachments", "tie", "raw"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     rows = messages.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "parts")
@@ -149,12 +150,12 @@ def format_turns(messages: DataFrame) -> DataFrame:
 
 def in_order(turns: DataFrame) -> DataFrame:
     """Formatted turns dealt by conversation and sorted by turn within each partition."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "formatted")
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "raw")
 
 
 def join_conversations(turns: DataFrame) -> DataFrame:
     """``conv_id`` and the whole formatted string, for conversations that fit one row."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "tie", "formatted")))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "tie", "raw", "formatted")))
     joined = F.array_join(F.transform(ordered, lambda t: t["formatted"]), "")
     return turns.groupBy("conv_id").agg(joined.alias("formatted"), F.sum("expanded_tokens").alias("expanded_tokens"))
 

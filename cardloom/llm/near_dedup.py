@@ -7,9 +7,10 @@ Method
    one class; from here on only classes are compared.
 2. *Inverted lists* of the ``LISTED`` smallest values.  Two sets with similarity s share one of them unless all of the
    union's ``LISTED`` smallest values are unshared: probability (1 - s) ** LISTED, about 2e-10 at 0.75.
-3. *Stars.*  In every list the member with the smallest set and ``DRAWN`` others, the first by as many hashes, are hubs;
-   every other member is paired with them, so a list of m gives at most 5 m pairs however large its group of copies is.
-   The lists of one group mostly agree on their hubs, so most of these pairs are the same ones.
+3. *Stars.*  In every list the first member by a hash is the hub that every other member is paired with.  Lists that then
+   still hold several components get more hubs, the smallest set and ``DRAWN`` - 1 members by other hashes, for pairs
+   across components.  A list of m gives at most 5 m pairs however large its group of copies is, and the lists of one
+   group mostly agree on their hubs, so most of these pairs are the same ones.
 4. *Estimate.*  The union's own bottom-k sketch estimates a pair's similarity; pairs far below the threshold go
    (``ESTIMATE`` lies six standard errors below it).  *Verify.*  The rest are confirmed on full sets.
 5. *Components* of the links.  Most lists now lie within one component and are done.
@@ -233,6 +234,23 @@ def _across(lists: DataFrame) -> DataFrame:
     return _ordered(pairs.where(F.col("comp") < F.col("b_comp")).where(_near_size("a_n", "b_n")).select("a", "b"))
 
 
+def _stars(lists: DataFrame, label: DataFrame | None, orders: list[int]) -> DataFrame:
+    """Pairs of each list's members with its hubs: the smallest set (order 0) or the first by a hash of that number.
+
+    With ``label`` only lists of several components are left, and only pairs across components.
+    """
+    comp = lists.withColumn("comp", F.col("cls"))
+    if label is not None:
+        comp = lists.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        several = comp.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+        comp = _shared.save(comp.join(several.select("v"), "v"), "open")
+    first = [F.min(F.struct("n", "cls", "comp") if k == 0 else F.struct(F.xxhash64("cls", F.lit(k)).alias("order"), "n", "cls", "comp")).alias(f"hub{k}") for k in orders]
+    hubs = comp.groupBy("v").agg(*first).select("v", F.array_distinct(F.array(*(F.struct(f"hub{k}.n", f"hub{k}.cls", f"hub{k}.comp") for k in orders))).alias("hubs"))
+    star = comp.join(hubs, "v").select(F.col("cls").alias("a"), "n", "comp", F.explode("hubs").alias("hub"))
+    star = star.where(_near_size("n", "hub.n") & (F.col("comp") != F.col("hub.comp")))
+    return _ordered(star.select("a", F.col("hub.cls").alias("b")))
+
+
 def _rest(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs that the stars can have missed: members of different components in lists (``v``, ``cls``, ``n``) of few ones.
 
@@ -297,16 +315,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = _shared.save(classes, "classes")
     lists = classes.select("cls", F.col("n_shingles").alias("n"), F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    drawn = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("order"), "n", "cls")).alias(f"drawn{k}") for k in range(DRAWN)]
-    hubs = lists.groupBy("v").agg(F.count("*").alias("members"), F.min(F.struct("n", "cls")).alias("small"), *drawn).where("members > 1")
-    hubs = hubs.select("v", F.array_distinct(F.array("small", *(F.struct(f"drawn{k}.n", f"drawn{k}.cls") for k in range(DRAWN)))).alias("hubs"))
-    shared_lists = _shared.save(lists.join(hubs, "v").select("v", "cls", "n", "hubs"), "lists")
-    star = shared_lists.select(F.col("cls").alias("a"), "n", F.explode("hubs").alias("hub")).where(_near_size("n", "hub.n"))
-    pairs = _shared.save(_estimated(_ordered(star.select("a", F.col("hub.cls").alias("b"))), classes), "pairs")
-    whole = _whole(_ends(pairs), docs, classes)
-    links = _shared.save(_verified(pairs, whole), "links")
-    _shared.drop(whole)
-    label = components(links)
+    shared = lists.groupBy("v").agg(F.count("*").alias("members")).where("members > 1").select("v")
+    shared_lists = _shared.save(lists.join(shared, "v"), "lists")
+    links = label = None
+    for orders in ([1], [0, *range(2, DRAWN + 1)]):  # one hub a list joins most of what belongs together
+        pairs = _shared.save(_estimated(_stars(shared_lists, label, orders), classes), "pairs")
+        whole = _whole(_ends(pairs), docs, classes)
+        found = _verified(pairs, whole)
+        links = _shared.save(found if links is None else links.unionByName(found), "links")
+        _shared.drop(whole, pairs)
+        label = components(links)
     pairs, common = _rest(shared_lists.select("v", "cls", "n"), label)
     pairs, common = _shared.save(_estimated(pairs, classes), "pairs"), _shared.save(common, "common")
     if not (pairs.isEmpty() and common.isEmpty()):

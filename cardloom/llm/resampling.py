@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ _WORD = _text.byte_class(bytes([*range(48, 58), *range(65, 91), *range(97, 123),
 _DOWN = np.arange(256, dtype=np.uint8)
 _DOWN[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CODED = "block long, doc_ids array<long>, lengths binary, seq binary, hashes binary, words array<binary>, n_words long, n_distinct long"
+_CODED = "block long, doc_ids array<long>, lengths binary, seq binary, words array<binary>, n_words long, n_distinct long"
 _SAID = "block long, bin long, said binary"
 
 
@@ -67,12 +68,16 @@ def coded(docs: DataFrame, id_col: str, side: int, block_bytes: int = BLOCK_BYTE
                 starts, ends = part.runs(_WORD)
                 hashes = part.hashes(part.prefix(lower=True), starts, ends)
                 lengths = np.diff(np.searchsorted(starts, part.offsets))
-                found, first, seq = np.unique(hashes, return_index=True, return_inverse=True)
+                found, first, seq, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                by_count = np.argsort(-often, kind="stable")  # small numbers for frequent words pack well
+                place = np.empty(len(found), np.int64)
+                place[by_count] = np.arange(len(found))
+                first, seq = first[by_count], place[seq]
                 down = _DOWN[part.data].tobytes()
                 words = [down[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 ids = batch.column(0).slice(part.first, part.rows)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(ids, pa.int64()), pa.array(words, pa.binary()))]
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lengths.astype(np.int32), seq.astype(np.int32), found)]
+                blobs = [pa.array([_packed(x)], pa.binary()) for x in (lengths, seq)]
                 longs = [pa.array([x], pa.int64()) for x in (number * 2 + side, len(seq), len(found))]
                 yield pa.RecordBatch.from_arrays([longs[0], lists[0], *blobs, lists[1], *longs[1:]], [c.split()[0] for c in _CODED.split(", ")])
                 number += 1
@@ -93,13 +98,29 @@ def _filled(cuts: np.ndarray) -> list[int]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes as the largest needs, after one byte that says how many."""
+    """Unsigned numbers in as few bytes as the largest needs, compressed, after one byte that says how many."""
     kind = np.min_scalar_type(values.max() if len(values) else 0)
-    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.uint64)
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Twice what each number adds to the one before it; twice what it lacks, and one, where it is smaller."""
+    step = np.diff(numbers, prepend=np.uint64(0))
+    back = np.uint64(0) - step
+    return np.where(step >> np.uint64(63), back << np.uint64(1) | np.uint64(1), step << np.uint64(1))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of every word; words hold no blanks."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0] if len(words) else np.zeros(1, np.int64)
+    block = _text.Block(0, data, offsets)
+    return block.hashes(block.prefix(), offsets[:-1], offsets[1:])
 
 
 def _rows(kinds: str, rows: list[tuple]) -> pa.Table:
@@ -117,8 +138,8 @@ def dictionary(blocks: DataFrame, bins: int) -> tuple[DataFrame, list[int]]:
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, hashes, words in zip(*(batch.column(c) for c in ("block", "hashes", "words")), strict=True):
-                order, cuts = _bins(np.frombuffer(hashes.as_py(), np.uint64), bins)
+            for block, words in zip(*(batch.column(c) for c in ("block", "words")), strict=True):
+                order, cuts = _bins(_hashes(words.values), bins)
                 to = _filled(cuts)
                 lists = [words.values.take(pa.array(order[cuts[b] : cuts[b + 1]])) for b in to]
                 flat = pa.concat_arrays([pa.array([], pa.binary()), *lists])
@@ -134,7 +155,7 @@ def dictionary(blocks: DataFrame, bins: int) -> tuple[DataFrame, list[int]]:
         rows.append((-1, rows[0][1], _packed(np.array([len(codes.dictionary)], np.uint64))))
         return _rows(_SAID, rows)
 
-    words = blocks.select("block", "hashes", "words").mapInArrow(dealt, "block long, bin long, words array<binary>")
+    words = blocks.select("block", "words").mapInArrow(dealt, "block long, bin long, words array<binary>")
     said = _shared.save(words.groupBy("bin").applyInArrow(numbers, _SAID), "dictionary")
     sizes = {r.bin: int(_unpacked(r.said)[0]) for r in said.where("block = -1").collect()}
     begins = np.concatenate(([0], np.cumsum([sizes.get(b, 0) for b in range(bins)])))
@@ -145,26 +166,33 @@ class Features:
     """The different tuples of a block, its words first, then its pairs of neighbours; and where each of them occurs."""
 
     def __init__(self, row: dict, said: dict[int, bytes], begins: list[int]):
-        self.words = row["words"].values
-        self.lengths = np.frombuffer(row["lengths"].as_py(), np.int32).astype(np.int64)
-        self.seq = np.frombuffer(row["seq"].as_py(), np.int32).astype(np.int64)
-        n = len(self.words)
+        words = row["words"].values
+        self.lengths = _unpacked(row["lengths"].as_py()).astype(np.int64)
+        n = len(words)
         ids = np.zeros(n, np.uint64)
-        order, cuts = _bins(np.frombuffer(row["hashes"].as_py(), np.uint64), len(begins) - 1)
+        order, cuts = _bins(_hashes(words), len(begins) - 1)
         for b in _filled(cuts):
             ids[order[cuts[b] : cuts[b + 1]]] = _unpacked(said[-1 - b]) + np.uint64(begins[b] + 1)
+        # From here on words stand in the order of their numbers, so tuples do, too.
+        order = np.argsort(ids)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.words, ids = words.take(pa.array(order)), ids[order]
+        self.seq = place[_unpacked(row["seq"].as_py()).astype(np.int64)]
         of = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.of = of
         self.pair_at = np.flatnonzero(of[1:] == of[:-1])
         pairs, self.pair_no, n_pairs = np.unique(self.seq[self.pair_at] * n + self.seq[self.pair_at + 1], return_inverse=True, return_counts=True)
-        #: Numbers of the words in the block, the second -1 for single words.
+        #: Places of the words in the block, the second -1 for single words.
         self.one = np.concatenate((np.arange(n), pairs // max(n, 1)))
         self.two = np.concatenate((np.full(n, -1), pairs % max(n, 1)))
         self.count = np.concatenate((np.bincount(self.seq, minlength=n), n_pairs)).astype(np.uint64)
+        self.singles = n
         self.first = ids[self.one] if n else np.zeros(0, np.uint64)
         self.second = np.where(self.two < 0, np.uint64(0), ids[self.two]) if n else np.zeros(0, np.uint64)
 
     def bins(self, bins: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order that sorts tuples by bin, single words before pairs, each by its first word; and where bins begin."""
         return _bins(_text.mix(self.first * _STEP + _text.mix(self.second + _STEP)), bins)
 
     def texts(self, rows: np.ndarray) -> pa.Array:
@@ -185,6 +213,7 @@ def _opened(left: pa.Table, right: pa.Table, begins: list[int]) -> Iterator[tupl
 def _numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """The tuple of every entry of a bin, counted from 0 over its different tuples; the counts; where each row begins."""
     first, second, count = ([_unpacked(x) for x in table.column(c).to_pylist()] for c in ("first", "second", "n"))
+    first = [np.cumsum(np.where(x & np.uint64(1), np.uint64(0) - (x >> np.uint64(1)), x >> np.uint64(1)), dtype=np.uint64) for x in first]
     cuts = np.cumsum([0, *map(len, first)]).tolist()
     pair = np.concatenate((*first, *second))
     if len(pair) and pair.max() >> np.uint64(32):  # more words than half a key holds: by their order in this bin
@@ -193,33 +222,39 @@ def _numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return np.unique(keys, return_inverse=True)[1], np.concatenate(count).astype(np.int64), cuts
 
 
+_OWNED = "block long, bin long, said binary, tuples binary, n binary"
+
+
 def _owned(table: pa.Table) -> pa.Table:
-    """For each block a bit for every tuple that it dealt: whether it is the first block here to hold it."""
+    """For each block a bit for every tuple that it dealt: whether it is the first block here to hold it.
+
+    And the tuples' numbers in the bin with their counts, which stand for the tuples from here on.
+    """
     table = table.sort_by("block")
-    no, _, cuts = _numbers(table)
+    no, count, cuts = _numbers(table)
     mine = np.zeros(len(no), bool)
     mine[np.unique(no, return_index=True)[1]] = True
-    rows = [(k, b, np.packbits(mine[x:y]).tobytes()) for k, b, x, y in zip(table.column("block").to_pylist(), table.column("bin").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
-    return _rows(_SAID, rows)
+    ends = zip(table.column("block").to_pylist(), table.column("bin").to_pylist(), cuts[:-1], cuts[1:], strict=True)
+    return _rows(_OWNED, [(k, b, np.packbits(mine[x:y]).tobytes(), _packed(no[x:y]), _packed(count[x:y])) for k, b, x, y in ends])
 
 
 def _joined(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Buckets of the owners' tuples joined to the counts of all blocks; sums a bucket come as blocks -1 and -2."""
 
-    def run(grams: pa.Table, hashed: pa.Table) -> pa.Table:
-        grams = grams.sort_by("block")
-        no, count, cuts = _numbers(grams)
-        owner = np.unique(no, return_index=True)[1]
+    def run(held: pa.Table, hashed: pa.Table) -> pa.Table:
+        held = held.sort_by("block")
+        blocks, bin_no = held.column("block").to_pylist(), held.column("bin")[0].as_py()
         sent = dict(zip(hashed.column("block").to_pylist(), hashed.column("said").to_pylist(), strict=True))
-        bucket = np.zeros(len(owner), np.uint64)
-        bucket[no[np.sort(owner)]] = np.concatenate([_unpacked(sent[k]) for k in grams.column("block").to_pylist() if k in sent])
-        each = bucket[no].astype(np.int64)
-        rows = []
+        numbers = [_unpacked(x).astype(np.int64) for x in held.column("tuples").to_pylist()]
+        every = np.concatenate(numbers)
+        owner = np.unique(every, return_index=True)[1]
+        bucket = np.zeros(len(owner), np.int64)
+        bucket[every[np.sort(owner)]] = np.concatenate([_unpacked(sent[k]) for k in blocks if k in sent])
         sums = np.zeros((2, buckets), np.int64)
-        bin_no = grams.column("bin")[0].as_py()
-        for k, x, y in zip(grams.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True):
-            rows.append((k, bin_no, _packed(each[x:y])))
-            sums[k & 1] += np.bincount(each[x:y], count[x:y], buckets).astype(np.int64)
+        rows = []
+        for k, no, n in zip(blocks, numbers, held.column("n").to_pylist(), strict=True):
+            rows.append((k, bin_no, _packed(bucket[no])))
+            sums[k & 1] += np.bincount(bucket[no], _unpacked(n), buckets).astype(np.int64)
         rows += [(-1 - side, bin_no, sums[side].tobytes()) for side in (0, 1)]
         return _rows(_SAID, rows)
 
@@ -265,7 +300,7 @@ def weights(docs: DataFrame, target: DataFrame, target_id: str = "item_id", buck
             order, cuts = tuples.bins(bins)
             for b in _filled(cuts):
                 mine = order[cuts[b] : cuts[b + 1]]
-                rows.append((block, b, *(_packed(x[mine]) for x in (tuples.first, tuples.second, tuples.count))))
+                rows.append((block, b, *map(_packed, (_steps(tuples.first[mine]), tuples.second[mine], tuples.count[mine]))))
         return _rows(grams_schema, rows)
 
     def hashed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -282,12 +317,13 @@ def weights(docs: DataFrame, target: DataFrame, target_id: str = "item_id", buck
 
     grams_schema = "block long, bin long, first binary, second binary, n binary"
     by_block = blocks.groupBy("block")
-    grams = _shared.save(by_block.cogroup(ids.groupBy("block")).applyInArrow(dealt, grams_schema), "tuples", "zstd")
-    owned = _shared.save(grams.groupBy("bin").applyInArrow(_owned, _SAID), "owned")
-    sent = by_block.cogroup(ids.unionByName(owned).groupBy("block")).applyInArrow(hashed, _SAID)
-    sent = _shared.save(sent, "hashed")
-    found = _shared.save(grams.groupBy("bin").cogroup(sent.groupBy("bin")).applyInArrow(_joined(buckets), _SAID), "buckets")
-    _shared.drop(grams, owned, sent)
+    grams = by_block.cogroup(ids.groupBy("block")).applyInArrow(dealt, grams_schema)
+    owned = _shared.save(grams.groupBy("bin").applyInArrow(_owned, _OWNED), "owned", "none")
+    sent = by_block.cogroup(ids.unionByName(owned.select("block", "bin", "said")).groupBy("block")).applyInArrow(hashed, _SAID)
+    sent = _shared.save(sent, "hashed", "none")
+    held = owned.select("block", "bin", "tuples", "n")
+    found = _shared.save(held.groupBy("bin").cogroup(sent.groupBy("bin")).applyInArrow(_joined(buckets), _SAID), "buckets", "none")
+    _shared.drop(owned, sent)
     gain = gains(*bucket_counts(found.where("block < 0"), buckets))
 
     def weighed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -298,7 +334,7 @@ def weights(docs: DataFrame, target: DataFrame, target_id: str = "item_id", buck
             for b in _filled(cuts):
                 gained[order[cuts[b] : cuts[b + 1]]] = gain[_unpacked(said[b]).astype(np.int64)]
             docs_ = len(tuples.lengths)
-            n = len(tuples.words)
+            n = tuples.singles
             total = np.bincount(tuples.of, gained[:n][tuples.seq], docs_) + np.bincount(tuples.of[tuples.pair_at], gained[n:][tuples.pair_no], docs_)
             features = tuples.lengths + np.maximum(tuples.lengths - 1, 0)
             weight = np.where(features > 0, total.astype(np.int64) // np.maximum(features, 1), 0)
