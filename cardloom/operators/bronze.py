@@ -37,23 +37,23 @@ def last_digits(c: Column) -> Column:
 
 
 def contract(df: DataFrame) -> DataFrame:
-    """Rows of the contract: one amount and currency stands in for the other, numbers have their width, dates are dates."""
-    money = lambda *names: F.coalesce(*(C.clean_amount(no_value(_or_null(df, n))) if n not in df.columns or dict(df.dtypes)[n] == "string" else F.col(n).cast(MONEY) for n in names))
+    """Rows of the contract: one amount and currency stands in for the other, numbers have their width, dates are dates.
+
+    Each text is trimmed once and each amount read once, in steps that the plan keeps apart; texts that are numbers as
+    they stand meet no pattern.
+    """
     given = lambda *names: F.coalesce(*(no_value(_or_null(df, n)) for n in names))
-    raw, paid = given("raw_amount", "currency_amount"), given("payment_amount")
-    raw_value = F.when(raw.isNotNull(), money("raw_amount", "currency_amount") if "raw_amount" in df.columns else money("currency_amount"))
-    paid_value = F.when(paid.isNotNull(), money("payment_amount"))
-    zero = F.lit(0).cast(MONEY)
     day = lambda n: _or_null(df, n).cast("string").try_cast("date")
-    extra = _or_null(df, "raw_extra").cast("map<string,string>")
-    return df.select(
-        no_value(_or_null(df, "transaction_id")).alias("transaction_id"), C.code(no_value(_or_null(df, "bank_no")), 3).alias("bank_no"),
-        last_digits(_or_null(df, "card_no")).alias("card_no"), day("statement_month").alias("statement_month"), day("transaction_date").alias("transaction_date"),
-        day("posting_date").alias("posting_date"), day("conversion_date").alias("conversion_date"), given("raw_merchant", "merchant").alias("raw_merchant"),
-        given("raw_location", "merchant_location").alias("raw_location"), F.coalesce(given("raw_currency", "currency_type"), F.lit("TWD")).alias("raw_currency"),
-        F.coalesce(raw_value, paid_value, zero).alias("raw_amount"), F.coalesce(given("payment_currency"), F.lit("TWD")).alias("payment_currency"),
-        F.coalesce(paid_value, raw_value, zero).alias("payment_amount"), extra.alias("raw_extra"),
+    rows = df.select(
+        no_value(_or_null(df, "transaction_id")).alias("transaction_id"), no_value(_or_null(df, "bank_no")).alias("bank_no"), no_value(_or_null(df, "card_no")).alias("card_no"),
+        *(day(n).alias(n) for n in ("statement_month", "transaction_date", "posting_date", "conversion_date")),
+        given("raw_merchant", "merchant").alias("raw_merchant"), given("raw_location", "merchant_location").alias("raw_location"), F.coalesce(given("raw_currency", "currency_type"), F.lit("TWD")).alias("raw_currency"),
+        F.coalesce(given("payment_currency"), F.lit("TWD")).alias("payment_currency"), given("raw_amount", "currency_amount").alias("_raw"), given("payment_amount").alias("_paid"), _or_null(df, "raw_extra").cast("map<string,string>").alias("raw_extra"),
     )
+    value = lambda n: F.when(F.col(n).isNotNull(), F.coalesce(F.col(n).try_cast(MONEY), C.clean_amount(F.col(n))))
+    rows = rows.withColumns({"_raw": value("_raw"), "_paid": value("_paid"), "bank_no": C.code(F.col("bank_no"), 3), "card_no": last_digits(F.col("card_no"))})
+    zero = F.lit(0).cast(MONEY)
+    return rows.withColumns({"raw_amount": F.coalesce("_raw", "_paid", zero), "payment_amount": F.coalesce("_paid", "_raw", zero)}).select(*CONTRACT)
 
 
 def pack_extra(df: DataFrame, keep: Iterable[str]) -> DataFrame:

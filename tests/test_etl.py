@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
-from cardloom.operators import bronze, cards, refine, rewards, segments, sinks, summaries
+from cardloom.operators import bronze, cards, filters, refine, rewards, segments, sinks, summaries
 from cardloom.plans import etl
 from cardloom.sources import bank_rules, bills, reward_tables
 
@@ -213,3 +213,29 @@ def test_statements_to_mart(spark, tmp_path, nested):
     assert json.loads(sinks.payload(spark.table("etl_test.files")).first().payload).keys() == {"file", "file_hash", "status"}
     odd = spark.createDataFrame([("未分類", False), ("交易", True), ("交易", False)], "transaction_type string, fx_missing boolean")
     assert rows(sinks.anomalies(odd), "reason") == ["uncategorized", "fx_missing"]
+
+
+def test_gold_ids_follow_the_keys_or_stay(spark):
+    """Given ids stay if every row has one; else equal rows differ by their number and others by day, merchant, card, amount, type."""
+    data = [("a", D(2025, 1, 1), "shop", "1234", Decimal(5), "x", "1"), ("b", D(2025, 1, 1), "shop", "1234", Decimal(5), "x", "2"), ("c", D(2025, 1, 1), "shop", "1234", Decimal(6), "x", "3")]
+    df = spark.createDataFrame(data, "transaction_id string, transaction_date date, merchant string, card_no string, payment_amount decimal(18,2), transaction_type string, raw_merchant string")
+    assert [r.transaction_id for r in etl.with_gold_ids(df, ["raw_merchant"]).orderBy("raw_merchant").collect()] == ["a", "b", "c"]
+    lacking = df.withColumn("transaction_id", F.when(F.col("transaction_id") != "b", F.col("transaction_id")).otherwise(" "))
+    ids = [r.transaction_id for r in etl.with_gold_ids(lacking, ["raw_merchant"]).orderBy("raw_merchant").collect()]
+    expected = df.select(*(C.hashed_id(*(F.col(k) for k in etl.ID_KEYS), F.lit(n)).alias(f"i{n}") for n in (0, 1))).orderBy("i0").distinct().collect()
+    assert len(set(ids)) == 3 and {ids[0], ids[1]} <= {x for r in expected for x in r} and all(len(i) == 32 for i in ids)
+    assert len({r.transaction_id for r in etl.with_gold_ids(df.drop("transaction_id"), ["raw_merchant"]).collect()}) == 3
+
+
+def test_payload_numbers_at_any_depth(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, [nan, 1.5], {"k": inf, "l": 2.0}, (nan, [(inf, "t")]), None)], "id int, a array<double>, m map<string,double>, s struct<x:double,y:array<struct<z:float,t:string>>>, n double")
+    assert json.loads(sinks.payload(df).first().payload) == {"id": 1, "a": [None, 1.5], "m": {"k": None, "l": 2.0}, "s": {"x": None, "y": [{"z": None, "t": "t"}]}, "n": None}
+
+
+def test_menu_of_cards_and_payments(spark):
+    cards_ = spark.createDataFrame([("gold",), (" gold",), (None,), ("",), ("blue",)], "card_type string")
+    ways = spark.createDataFrame([("LINE", "3"), ("LINE", "1"), ("late", "25"), (" ", "2"), ("x", "no")], "payment_process string, priority string")
+    assert sorted(rows(filters.menu_names(cards_, ways), "kind", "name", "place")) == [("card", "blue", 0), ("card", "gold", 0), ("payment", "LINE", 1)]
+    some = spark.createDataFrame([(None, None, "Shown", None), (Decimal(5), "Norm", "x", "y")], "payment_amount decimal(18,2), normalized_merchant string, merchant_display string, category string")
+    assert rows(filters.prepared(some.withColumn("transaction_type", F.lit(C.PURCHASE)), ["未分類", "y"]), "normalized_merchant", "category", "sub_category") == [("Shown", "未分類", ""), ("Norm", "y", "")]
