@@ -572,6 +572,12 @@ def reward_monthly_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
+@query(_SUMMARY)
+def reward_monthly_summary_all(spark, sf_dir):
+    """The same under its earlier name."""
+    return _summary(spark, sf_dir)
+
+
 @query(
     f"""WITH {_APPLIED}, a AS (SELECT applied.*, priority, load_ord FROM applied JOIN pr USING (reward_id))
     SELECT strftime(transaction_date, '%Y-%m') AS month, bank_no AS bank_name, card_type, pool_id, CASE pool_id WHEN 'high' THEN 'high payments' ELSE pool_id END AS pool_name, CAST(sum(reward) AS DOUBLE) AS reward, bool_or(is_capped) AS is_capped,

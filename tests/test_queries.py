@@ -51,7 +51,7 @@ def test_monthly_summary_has_every_reward(spark, sf_dir):
     rows = registry.QUERIES["reward_monthly_summary_all"](spark, sf_dir).collect()
     assert {"p3", "p4", "p5"} <= {r.reward_id for r in earned} and any(r.amount > 50000 for r in earned)
     assert sum(float(r.reward) for r in rows) == pytest.approx(float(sum(r.reward for r in earned)))
-    assert all(r.rate_percent == (pytest.approx(float(r.reward) * 100 / float(r.spending)) if r.spending else 0) for r in rows)
+    assert all(r.rate_percent == (pytest.approx(float(r.reward) * 100 / float(r.spending)) if r.spending > 0 else 0) for r in rows)
 
 
 def test_entry(spark):
