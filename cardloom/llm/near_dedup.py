@@ -142,10 +142,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose union sketch doesn't rule the similarity out."""
     for name in ("a", "b"):
         pairs = pairs.join(classes.selectExpr(f"cls {name}", f"n_shingles {name}_n", f"sketch {name}_sketch"), name)
-    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), F.col("merged")))
-    pairs = pairs.where(_near_size("a_n", "b_n")).withColumn("merged", union)
-    return pairs.where(shared >= F.size("merged") * ESTIMATE).select("a", "b")
+    return pairs.where(_near_size("a_n", "b_n") & _alike("a_sketch", "b_sketch")).select("a", "b")
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether the union's sketch, made from both, leaves the similarity open."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= F.size(union) * ESTIMATE
 
 
 def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -280,8 +283,11 @@ def _parts(whole: DataFrame) -> DataFrame:
     return parts.select("cls", "n", *PART, shared.alias("shared"), rest.alias("rest"))
 
 
-def _common(whole: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links within groups of equal parts, and pairs across groups and components that can be similar."""
+def _common(whole: DataFrame, label: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links within groups of equal parts, and pairs across groups and components that can be similar.
+
+    Sketches come along to the join, so a pair that they rule out is never made.
+    """
     parts = _shared.save(_parts(whole), "parts")
     members = parts.groupBy("cls", "n", "shared").agg(
         F.bit_xor(F.xxhash64("one", "two")).alias("g1"), F.bit_xor(F.xxhash64("two", "holders", "one")).alias("g2")
@@ -299,9 +305,10 @@ def _common(whole: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     earlier = Window.partitionBy("cls").orderBy(*PART)
     rows = rows.join(several, PART, "left_semi")
     rows = rows.withColumn("earlier", F.collect_list(F.xxhash64(*PART)).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
-    hubs = rows.where("is_hub").select(*PART, *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "comp", "rest", "earlier")))
+    rows = rows.join(classes.select("cls", "sketch"), "cls")
+    hubs = rows.where("is_hub").select(*PART, *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "comp", "rest", "earlier", "sketch")))
     met = (F.col("comp") != F.col("b_comp")) & _near_size("n", "b_n") & (~F.col("is_hub") | (F.col("cls") < F.col("b_cls")))
-    met = met & _similar(F.least("rest", "b_rest"), F.col("n"), F.col("b_n")) & ~F.arrays_overlap("earlier", "b_earlier")
+    met = met & _similar(F.least("rest", "b_rest"), F.col("n"), F.col("b_n")) & ~F.arrays_overlap("earlier", "b_earlier") & _alike("sketch", "b_sketch")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in PART]
     pairs = rows.alias("x").join(hubs.alias("y"), [*same, met])
     return links, _ordered(pairs.select(F.col("cls").alias("a"), F.col("b_cls").alias("b")))
@@ -329,8 +336,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs, common = _shared.save(_estimated(pairs, classes), "pairs"), _shared.save(common, "common")
     if not (pairs.isEmpty() and common.isEmpty()):
         whole = _whole(_ends(pairs).unionByName(common), docs, classes)
-        alike, more = _common(whole.join(common, "cls", "left_semi"), label)
-        pairs = pairs.unionByName(_estimated(_shared.save(more, "pairs"), classes)).distinct()
+        alike, more = _common(whole.join(common, "cls", "left_semi"), label, classes)
+        pairs = pairs.unionByName(_shared.save(more, "pairs")).distinct()
         links = _shared.save(links.unionByName(alike).unionByName(_verified(pairs, whole)), "links")
         _shared.drop(whole)
         label = components(links)
