@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ SEED = 7
 BLOCK_BYTES = 8 << 20
 #: Words, and tuples, of one bin.
 WORD_BIN, TUPLE_BIN = 1_000_000, 3_000_000
+#: Turns in which bins get their tuples.
+TURNS = 2
 _WORD = _text.byte_class(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 _DOWN = np.arange(256, dtype=np.uint8)
 _DOWN[65:91] += 32
@@ -294,14 +297,18 @@ def weights(docs: DataFrame, target: DataFrame, target_id: str = "item_id", buck
     ids, begins = dictionary(blocks, int(size.distinct // WORD_BIN) + 1)
     bins = int(2 * size.words // TUPLE_BIN) + 1
 
-    def dealt(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        for block, _, tuples, _ in _opened(left, right, begins):
-            order, cuts = tuples.bins(bins)
-            for b in _filled(cuts):
-                mine = order[cuts[b] : cuts[b + 1]]
-                rows.append((block, b, *map(_packed, (_steps(tuples.first[mine]), tuples.second[mine], tuples.count[mine]))))
-        return _rows(grams_schema, rows)
+    def dealt(turn: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            for block, _, tuples, _ in _opened(left, right, begins):
+                order, cuts = tuples.bins(bins)
+                for b in _filled(cuts):
+                    if b % TURNS == turn:
+                        mine = order[cuts[b] : cuts[b + 1]]
+                        rows.append((block, b, *map(_packed, (_steps(tuples.first[mine]), tuples.second[mine], tuples.count[mine]))))
+            return _rows(grams_schema, rows)
+
+        return run
 
     def hashed(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -317,13 +324,16 @@ def weights(docs: DataFrame, target: DataFrame, target_id: str = "item_id", buck
 
     grams_schema = "block long, bin long, first binary, second binary, n binary"
     by_block = blocks.groupBy("block")
-    grams = by_block.cogroup(ids.groupBy("block")).applyInArrow(dealt, grams_schema)
-    owned = _shared.save(grams.groupBy("bin").applyInArrow(_owned, _OWNED), "owned", "none")
+    parts = []
+    for turn in range(TURNS):  # so that the disk holds the tuples of some bins at a time
+        grams = by_block.cogroup(ids.groupBy("block")).applyInArrow(dealt(turn), grams_schema)
+        parts.append(_shared.save(grams.groupBy("bin").applyInArrow(_owned, _OWNED), "owned", "none"))
+    owned = reduce(DataFrame.unionByName, parts)
     sent = by_block.cogroup(ids.unionByName(owned.select("block", "bin", "said")).groupBy("block")).applyInArrow(hashed, _SAID)
     sent = _shared.save(sent, "hashed", "none")
     held = owned.select("block", "bin", "tuples", "n")
     found = _shared.save(held.groupBy("bin").cogroup(sent.groupBy("bin")).applyInArrow(_joined(buckets), _SAID), "buckets", "none")
-    _shared.drop(owned, sent)
+    _shared.drop(*parts, sent)
     gain = gains(*bucket_counts(found.where("block < 0"), buckets))
 
     def weighed(left: pa.Table, right: pa.Table) -> pa.Table:
