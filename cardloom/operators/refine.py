@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.functions.lineage import cut_small
 from cardloom.operators import intervals
 from cardloom.operators import rules as many
 
@@ -211,7 +212,7 @@ def statement_of(df: DataFrame, history: DataFrame) -> DataFrame:
     keys = df.select(*names).distinct()
     asked = keys.withColumn("_bank", low(F.col("bank_no"))).withColumn("_card", F.explode(F.array_distinct(F.array(F.coalesce(low(F.col("card_id")), F.lit("")), F.lit("")))))
     found = intervals.join_days(asked, side, ["_bank", "_card"], "posting_date", "first_day", "last_day")
-    best = found.groupBy(*names).agg(F.min_by("statement_month", F.struct(F.col("_card") == "", "statement_month")).alias("_month"))
+    best = cut_small(found.groupBy(*names).agg(F.min_by("statement_month", F.struct(F.col("_card") == "", "statement_month")).alias("_month")))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
     out = df.alias("a").join(best.alias("b"), same, "left")
     return out.select(*(F.col(f"a.{c}") for c in df.columns if c != "statement_month"), F.coalesce("_month", F.date_format("a.posting_date", "yyyy-MM")).alias("statement_month"))
