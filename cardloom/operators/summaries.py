@@ -103,22 +103,23 @@ def flow_links(df: DataFrame, threshold: float = 0.0, layers: Sequence[tuple[str
     """Weighted edges of each pair of layers above a threshold, in one pass over the rows (grouping sets).
 
     Ends without a value go under a name; values are rounded to two digits before they are compared.  With
-    ``top_merchants`` a last layer leads from categories to the merchants with the largest amounts.
+    ``top_merchants`` a last layer leads from categories to the merchants with the largest amounts; its pairs come from the
+    same pass, whose sums are written once.
     """
-    names = list(dict.fromkeys(n for pair in layers for n in pair))
-    rows = named_ends(df)
-    sets = [[F.col(a), F.col(b)] for a, b in layers]
-    grouped = rows.groupingSets(sets, *names).agg(total().alias("value"), F.grouping_id().alias("gid"))
+    pairs = [*layers, ("category", "normalized_merchant")] if top_merchants else list(layers)
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    sets = [[F.col(a), F.col(b)] for a, b in pairs]
+    grouped = named_ends(df).groupingSets(sets, *names).agg(F.sum("payment_amount").alias("value"), F.grouping_id().alias("gid"))
+    grouped = cut(grouped) if top_merchants else grouped
     out = None
-    for k, (a, b) in enumerate(layers):
+    for k, (a, b) in enumerate(pairs):
         bits = sum(1 << (len(names) - 1 - n) for n, name in enumerate(names) if name not in (a, b))
-        part = grouped.where(F.col("gid") == bits).select(F.lit(k).alias("layer"), F.col(a).alias("source"), F.col(b).alias("target"), "value")
+        part = grouped.where(F.col("gid") == bits)
+        if k == len(layers):
+            top = part.groupBy("normalized_merchant").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("m")).orderBy(F.desc("m"), "normalized_merchant").limit(top_merchants)
+            part = part.join(F.broadcast(top.select("normalized_merchant")), "normalized_merchant", "left_semi")
+        part = part.select(F.lit(k).alias("layer"), F.col(a).alias("source"), F.col(b).alias("target"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
         out = part if out is None else out.unionByName(part)
-    if top_merchants:
-        by_merchant = rows.groupBy("normalized_merchant").agg(total().alias("m"))
-        top = by_merchant.orderBy(F.desc("m"), "normalized_merchant").limit(top_merchants)
-        last = rows.join(F.broadcast(top), "normalized_merchant", "left_semi").groupBy(F.col("category").alias("source"), F.col("normalized_merchant").alias("target")).agg(total().alias("value"))
-        out = out.unionByName(last.select(F.lit(len(layers)).alias("layer"), "source", "target", "value"))
     return out.withColumn("value", F.bround("value", 2)).where(F.col("value") > threshold)
 
 
