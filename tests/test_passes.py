@@ -7,7 +7,7 @@ import pytest
 from cardloom.functions.lineage import cut
 from cardloom.plans import registry
 
-ONCE = ["statement_months"]
+ONCE = ["statement_months", "upsert", "sankey_links", "volatility_view_payment_only", "volatility_view_card_category"]
 
 
 @pytest.mark.parametrize("name", ONCE)
