@@ -76,8 +76,8 @@ def reward_transactions(
 def run_rewards(gold: DataFrame, tables: RewardTables, **which: object) -> RewardRun:
     """Rewards of the Gold table's transactions: statement months, locked programs, waterfall and caps, and the report.
 
-    ``which`` are the filters of :func:`reward_transactions`.  The rows are written once for every step that reads them
-    more than once: as taken from Gold, with what the lookups add, and after the caps.
+    ``which`` are the filters of :func:`reward_transactions`.  The rows are written as taken from Gold, where the lookups
+    read them, and with their programs; the report is made of these and joins nothing.
     """
     txns = cut(reward_transactions(gold, **which))
     if tables.history is None:
@@ -86,18 +86,19 @@ def run_rewards(gold: DataFrame, tables: RewardTables, **which: object) -> Rewar
         txns = refine.statement_of(txns, refine.billing_intervals(tables.history))
     if tables.selections is not None:
         txns = rewards.active_selection(txns, tables.selections)
-    txns = cut(txns)
-    applied = cut(rewards.calculate(txns, tables.programs, tables.links, tables.pools))
-    return RewardRun(txns, applied, rewards.report(txns, applied))
+    rows = rewards.everything(txns, tables.programs, tables.links, tables.pools)
+    return RewardRun(txns, rewards.applied_of(rows), rewards.report_of(rows))
 
 
 def mart_tables(report: DataFrame) -> dict[str, DataFrame]:
     """The two tables of the mart: months by bank and card with their rate, and pools by month with their use; both with units.
 
-    Rows without a bank or card belong to neither; amounts have two digits.
+    Rows without a bank or card belong to neither; amounts have two digits.  The report's rows are written once, with the
+    columns that are summed up.
     """
     rows = report.where(~C.blank(F.col("bank_name")) & ~C.blank(F.col("card_type")))
     rows = rows.withColumns({"month": F.coalesce(F.date_format("transaction_date", "yyyy-MM"), F.lit(NO_MONTH)), "reward": F.col("calculated_reward")})
+    rows = cut(rows.select(*summaries.POOL_KEYS, "transaction_id", "transaction_date", "payment_amount", "reward", "reward_type", "is_capped", "cap_amount", "priority", "load_ord"))
     months = summaries.reward_month_summary(rows, rows)
     cards = summaries.predominant_units(rows, "bank_name", "card_type").withColumnRenamed("reward_unit", "_card_unit")
     months = months.join(C.small(cards), ["bank_name", "card_type"], "left")
